@@ -6,7 +6,7 @@ count for modes and dictionaries) and returns a ``PipelineModel`` of
 
     ImputeScaleModel -> StringIndexerModel -> OneHotEncoderModel -> VectorAssembler
 
-The dictionaries are handed to ``StringIndexerModel.from_arrays_of_labels``
+The dictionaries are handed to ``StringIndexerModel.from_labels``
 (sorted ascending, unseen values -> the extra last index), and ``dropLast=True``
 drops exactly that extra slot, so each real level keeps a column and an unseen
 value encodes to all zeros. All-null columns are dropped, as in the reference.
@@ -94,11 +94,15 @@ class TabularPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritabl
             cat_out = impute.catOutputCols()
             idx_out = [f"__idx_{i}" for i in range(len(keep_cat))]
             ohe_out = [f"__ohe_{i}" for i in range(len(keep_cat))]
-            indexer = StringIndexerModel.from_arrays_of_labels(
-                [cstats.categories[c] for c in keep_cat], inputCols=cat_out, outputCols=idx_out, handleInvalid="keep")
-            encoded = indexer.transform(impute.transform(df.limit(0)))
+            # one indexer per column: the multi-column form pads shorter label lists with nulls
+            indexers = [StringIndexerModel.from_labels(cstats.categories[c], inputCol=i, outputCol=o,
+                                                       handleInvalid="keep")
+                        for c, i, o in zip(keep_cat, cat_out, idx_out)]
+            encoded = impute.transform(df.limit(0))
+            for ix in indexers:
+                encoded = ix.transform(encoded)
             ohe = OneHotEncoder(inputCols=idx_out, outputCols=ohe_out, dropLast=True, handleInvalid="error").fit(encoded)
-            stages += [indexer, ohe]
+            stages += [*indexers, ohe]
             inputs += ohe_out
             names += [f"{c}_{v}" for c in keep_cat for v in cstats.categories[c]]
         stages.append(VectorAssembler(inputCols=inputs, outputCol=self.getOrDefault(self.outputCol),
