@@ -142,7 +142,10 @@ def fit_pca(feats: DataFrame, k: int = 2) -> tuple[PipelineModel, list[float]]:
     signs, offsets = [], []
     for j in range(k):
         v = pc[:, j]
-        s = 1.0 if v[int(np.argmax(np.abs(v)))] >= 0 else -1.0
+        mag = np.abs(v)
+        # first loading whose magnitude ties the largest (within rounding) is made positive
+        lead = int(np.flatnonzero(mag >= mag.max() * (1.0 - 1e-9))[0])
+        s = 1.0 if v[lead] >= 0 else -1.0
         signs.append(s)
         offsets.append(float(mean @ v))
     scores = PCScores(inputCol="_pca_raw", outputCols=[f"pc{j + 1}" for j in range(k)], offsets=offsets, signs=signs)

@@ -89,7 +89,8 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
         ytxt = as_text(_c(target), target_type)
         lab_stats = stats.category_stats(train.select(ytxt.alias("y_text")), ["y_text"], max_categories=MAX_CLASSES)
         labels = metrics.label_order(lab_stats.categories["y_text"], is_numeric(target_type))
-        indexer = StringIndexerModel.from_labels(labels, inputCol="y_text", outputCol="label", handleInvalid="keep")
+        # train labels only: "keep" would add an unknown class to the metadata (3 classes for a binary task)
+        indexer = StringIndexerModel.from_labels(labels, inputCol="y_text", outputCol="label", handleInvalid="error")
         train_feat = M.persist(indexer.transform(prep.transform(train.withColumn("y_text", ytxt)))
                                .select("row_key", "features", "label"))
         held.append(train_feat)
