@@ -65,6 +65,25 @@ def classification_metrics(pred: DataFrame, y_true: str = "y_true", y_pred: str
                    (F.sum(F.col("support") * f1) / F.sum("support")).alias("f1_weighted"))
 
 
+def classification_report(conf_rows: list[tuple[str, str, int]], numeric_labels: bool) -> dict:
+    """Accuracy, weighted F1, label list and dense matrix from the (small) long
+    confusion table, so a task needs a single aggregate job for all of them."""
+    labels = label_order(sorted({t for t, _, _ in conf_rows} | {p for _, p, _ in conf_rows}), numeric_labels)
+    pos = {lab: i for i, lab in enumerate(labels)}
+    cm = [[0] * len(labels) for _ in labels]
+    for t, p, n in conf_rows:
+        cm[pos[t]][pos[p]] += int(n)
+    total = sum(map(sum, cm))
+    support = [sum(row) for row in cm]
+    predicted = [sum(cm[i][j] for i in range(len(labels))) for j in range(len(labels))]
+    tp = [cm[i][i] for i in range(len(labels))]
+    f1 = [0.0 if support[i] + predicted[i] == 0 else 2.0 * tp[i] / (support[i] + predicted[i])
+          for i in range(len(labels))]
+    return {"accuracy": sum(tp) / total if total else 0.0,
+            "f1_weighted": sum(s * f for s, f in zip(support, f1)) / total if total else 0.0,
+            "confusion_matrix": cm, "class_labels": labels}
+
+
 def regression_metrics(pred: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
     """A13 + A14 (+F7): one row ``(n, mse, rmse, r2)``; constant truth -> R2 1 if exact else 0."""
     y, p = _c(y_true).cast("double"), _c(y_pred).cast("double")

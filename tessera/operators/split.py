@@ -7,8 +7,8 @@ because the split only needs them to be interchangeable.
 ``exact_split`` shuffles by ``h = md5(row_key | seed)`` and puts the
 ``ceil(test_size * n)`` smallest hashes in the test set, like a seeded shuffle
 followed by a cut. The cut value is found by histograms over hash prefixes (each
-pass groups by the next four hex digits inside the boundary bucket; partial
-aggregation keeps each shuffle at <= 65,536 rows per partition), never by a sort
+pass groups by the next three hex digits inside the boundary bucket; partial
+aggregation keeps each shuffle at <= 4,096 rows per partition), never by a sort
 of the data. Rows below the cut are test, rows above are train. If the cut falls
 inside a group of exact copies, that group alone is written once to the shared
 checkpoint folder and numbered there (per-partition offsets, no single task),
@@ -26,7 +26,7 @@ from tessera.functions.columns import key_text
 from tessera.session import ensure_checkpoint_dir
 
 EXACT_LIMIT = 100_000
-PREFIX_STEP = 4
+PREFIX_STEP = 3  # 4,096 buckets per histogram level
 
 
 def with_row_key(df: DataFrame, key_cols: list[str] | None = None, name: str = "row_key") -> DataFrame:
@@ -52,9 +52,11 @@ def n_test_rows(n: int, test_size: float) -> int:
 
 
 def _prefix_hist(hashed: DataFrame, prefix: str, width: int) -> list:
+    """``[(bucket, n)]`` sorted, for hashes starting with ``prefix`` (Arrow transfer)."""
     sub = hashed if not prefix else hashed.where(F.col("_h").startswith(prefix))
-    return (sub.groupBy(F.substring("_h", 1, width).alias("b"))
-            .agg(F.count(F.lit(1)).alias("n")).collect())
+    pdf = (sub.groupBy(F.substring("_h", 1, width).alias("b"))
+           .agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("b"))
+    return list(zip(pdf["b"].tolist(), pdf["n"].astype("int64").tolist()))
 
 
 def find_cut(hashed: DataFrame, k: int, first: list | None = None) -> tuple[str, int, int]:
@@ -66,18 +68,18 @@ def find_cut(hashed: DataFrame, k: int, first: list | None = None) -> tuple[str,
     prefix, below, width = "", 0, PREFIX_STEP
     while True:
         if first is not None:
-            rows, first = sorted(first, key=lambda r: r["b"]), None
+            rows, first = first, None
         else:
-            rows = sorted(_prefix_hist(hashed, prefix, width), key=lambda r: r["b"])
+            rows = _prefix_hist(hashed, prefix, width)
         seen = below
-        for r in rows:
-            if seen + r["n"] >= k:
+        for b, n in rows:
+            if seen + n >= k:
                 if width >= 32:
-                    return r["b"], seen, r["n"]
-                prefix, below = r["b"], seen
-                width = 32 if r["n"] <= EXACT_LIMIT else min(32, width + PREFIX_STEP)
+                    return b, seen, n
+                prefix, below = b, seen
+                width = 32 if n <= EXACT_LIMIT else min(32, width + PREFIX_STEP)
                 break
-            seen += r["n"]
+            seen += n
         else:
             raise RuntimeError("split cut not found")
 
@@ -87,7 +89,7 @@ def exact_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str
     """``df`` plus a boolean ``is_test``; exactly ``ceil(test_size*n)`` test rows."""
     hashed = df.withColumn("_h", split_hash(key, seed))
     first = _prefix_hist(hashed, "", PREFIX_STEP)  # the top-level histogram also yields n
-    n = sum(r["n"] for r in first)
+    n = sum(c for _, c in first)
     if n == 0:
         raise ValueError("Dataset is empty.")
     k = n_test_rows(n, test_size)

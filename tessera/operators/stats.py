@@ -1,10 +1,12 @@
 """Fused column statistics.
 
-* ``numeric_summary``: one aggregate for counts, min, max, mean and population
-  variance of every numeric column.
+* ``numeric_summary``: one grouped aggregate over the unpivoted numeric columns
+  for counts, min, max, mean, population variance and a ``percentile_approx``
+  bracket around the median (a bounded sketch per column).
 * ``exact_order_stats`` / ``exact_medians``: exact order statistics by distributed
   selection. ``median``/``percentile`` aggregate every distinct value into one map
-  in a single final task, which does not hold at scale; here each pass builds an
+  in a single final task, which does not hold at scale. The sketch bracket is
+  checked and refined: each pass counts the values below it and builds an
   equal-width histogram inside the current bracket (partial aggregation, so only
   ``bins`` rows per partition are shuffled), keeps the bin holding the wanted rank
   and narrows the bracket to that bin's observed min/max. Once a bin is small
@@ -25,15 +27,28 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import as_text
 
-HIST_BINS = 2048
+HIST_BINS = 1024
 EXACT_LIMIT = 50_000
 MAX_PASSES = 64
+SKETCH_ACCURACY = 2000   # percentile_approx relative rank error 1/2000: a bounded sketch per column
+SKETCH_SLACK = 3.0       # bracket = sketch quantiles at p -/+ SKETCH_SLACK / accuracy
 
 
 def _c(name: str):
     return F.col(f"`{name}`")
 
 
+def long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Unpivot to ``(ci, v)``: one row per (input row, numeric column), nulls kept.
+
+    Grouping this by ``ci`` keeps the plan the same size for 2 or 2,000 columns
+    (a wide ``agg`` with 5 expressions per column costs seconds of codegen), and
+    partial aggregation shuffles only ``len(cols)`` rows per partition.
+    """
+    items = [F.struct(F.lit(i).alias("ci"), _c(c).cast("double").alias("v")) for i, c in enumerate(cols)]
+    return df.select(F.explode(F.array(*items)).alias("s")).select("s.ci", "s.v")
+
+
 @dataclass
 class NumericSummary:
     rows: int
@@ -42,24 +57,34 @@ class NumericSummary:
     max: dict[str, float | None]
     mean: dict[str, float | None]
     var_pop: dict[str, float | None]
+    bracket: dict[str, tuple[float, float]] = field(default_factory=dict)
+
 
+def numeric_summary(df: DataFrame, cols: list[str], median_bracket: bool = True) -> NumericSummary:
+    """One pass: row count and per-column count/min/max/mean/var_pop, plus a
+    sketch bracket around the median (``percentile_approx``, bounded memory)."""
+    if not cols:
+        return NumericSummary(int(df.count()), {}, {}, {}, {}, {})
+    aggs = [F.count(F.lit(1)).alias("rows"), F.count("v").alias("n"), F.min("v").alias("lo"),
+            F.max("v").alias("hi"), F.avg("v").alias("mu"), F.var_pop("v").alias("var")]
+    eps = SKETCH_SLACK / SKETCH_ACCURACY
+    if median_bracket:
+        aggs.append(F.percentile_approx("v", [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], SKETCH_ACCURACY)
+                    .alias("q"))
+    pdf = long_numeric(df, cols).groupBy("ci").agg(*aggs).toPandas()
+    by = {int(r.ci): r for r in pdf.itertuples(index=False)}
+    out = NumericSummary(int(pdf["rows"].max()), {}, {}, {}, {}, {})
+
+    def val(x):
+        return None if x is None or x != x else float(x)
 
-def numeric_summary(df: DataFrame, cols: list[str]) -> NumericSummary:
-    """One pass: row count and per-column count/min/max/mean/var_pop."""
-    aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
-        v = _c(c).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 F.avg(v).alias(f"mu{i}"), F.var_pop(v).alias(f"var{i}")]
-    r = df.agg(*aggs).collect()[0]
-    return NumericSummary(
-        rows=int(r["__rows"]),
-        count={c: int(r[f"n{i}"]) for i, c in enumerate(cols)},
-        min={c: r[f"lo{i}"] for i, c in enumerate(cols)},
-        max={c: r[f"hi{i}"] for i, c in enumerate(cols)},
-        mean={c: r[f"mu{i}"] for i, c in enumerate(cols)},
-        var_pop={c: r[f"var{i}"] for i, c in enumerate(cols)},
-    )
+        r = by[i]
+        out.count[c] = int(r.n)
+        out.min[c], out.max[c], out.mean[c], out.var_pop[c] = val(r.lo), val(r.hi), val(r.mu), val(r.var)
+        if median_bracket and r.q is not None and len(r.q) == 2 and r.n > 0:
+            out.bracket[c] = (float(r.q[0]), float(r.q[1]))
+    return out
 
 
 @dataclass
@@ -68,24 +93,35 @@ class _Target:
     rank: int            # 0-based rank among the non-null values
     lo: float
     hi: float
-    below: int = 0       # number of values < lo
-    exact: bool = False  # next pass counts distinct values instead of bins
+    below: int | None = 0  # number of values < lo (None: count it in the next pass)
+    exact: bool = False    # next pass counts distinct values instead of bins
     value: float | None = None
     done: bool = False
 
 
 def exact_order_stats(df: DataFrame, wanted: dict[str, list[int]], summary: NumericSummary | None = None,
-                      bins: int = HIST_BINS, exact_limit: int = EXACT_LIMIT) -> dict[tuple[str, int], float]:
-    """Exact k-th smallest non-null value for each ``(column, k)``."""
+                      bins: int = HIST_BINS, exact_limit: int = EXACT_LIMIT,
+                      brackets: dict[str, tuple[float, float]] | None = None) -> dict[tuple[str, int], float]:
+    """Exact k-th smallest non-null value for each ``(column, k)``.
+
+    ``brackets`` (e.g. sketch quantiles) seed the search; a bracket that turns
+    out not to contain the rank is widened to the full range, so the answer
+    never depends on the sketch being right.
+    """
     cols = list(wanted)
-    summary = summary or numeric_summary(df, cols)
+    summary = summary or numeric_summary(df, cols, median_bracket=False)
+    brackets = brackets or {}
     targets: list[_Target] = []
     for c, ranks in wanted.items():
         for k in ranks:
             if not 0 <= k < summary.count[c]:
                 raise ValueError(f"rank {k} out of range for column {c}")
             t = _Target(c, k, float(summary.min[c]), float(summary.max[c]))
-            if t.lo == t.hi:
+            if c in brackets and brackets[c][0] <= brackets[c][1]:
+                t.lo, t.hi, t.below = brackets[c][0], brackets[c][1], None
+                # a sketch bracket holds about 4 * SKETCH_SLACK / accuracy of the values
+                t.exact = summary.count[c] * 4 * SKETCH_SLACK / SKETCH_ACCURACY <= exact_limit
+            if t.lo == t.hi and t.below == 0:
                 t.value, t.done = t.lo, True
             elif summary.count[c] <= exact_limit:
                 t.exact = True
@@ -97,33 +133,46 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, list[int]], summary: Nume
             break
         probes: dict[tuple, int] = {}
         for t in active:
-            probes.setdefault((t.col, t.lo, t.hi, t.exact), len(probes))
+            probes.setdefault((t.col, t.lo, t.hi, t.exact, t.below is None), len(probes))
         items = []
-        for (c, lo, hi, exact), pid in probes.items():
+        for (c, lo, hi, exact, count_below), pid in probes.items():
             v = _c(c).cast("double")
             key = v if exact else F.least(
                 F.floor((v - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)).cast("double"),
-                F.lit(float(bins - 1)))
-            items.append(F.when(v.between(lo, hi), F.struct(F.lit(pid).alias("p"), key.alias("b"), v.alias("v"))))
+                F.lit(float(bins - 1))) if hi > lo else F.lit(0.0)
+            item = F.when(v.between(lo, hi), F.struct(F.lit(pid).alias("p"), key.alias("b"), v.alias("v")))
+            if count_below:
+                item = item.when(v < lo, F.struct(F.lit(pid).alias("p"), F.lit(float("-inf")).alias("b"),
+                                                  F.lit(None).cast("double").alias("v")))
+            items.append(item)
         exploded = df.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("s")).select("s.*")
         hist = (exploded.groupBy("p", "b")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                .collect())
-        by_probe: dict[int, list] = {}
-        for r in hist:
-            by_probe.setdefault(r["p"], []).append(r)
+                .toPandas().sort_values(["p", "b"]))
+        by_probe = {int(p): g for p, g in hist.groupby("p")}
         for t in active:
-            rows = sorted(by_probe.get(probes[(t.col, t.lo, t.hi, t.exact)], []), key=lambda r: r["b"])
+            key = (t.col, t.lo, t.hi, t.exact, t.below is None)
+            rows = by_probe.get(probes[key])
+            rows = [] if rows is None else list(rows.itertuples(index=False))
+            if t.below is None:
+                t.below = int(sum(r.n for r in rows if r.b == float("-inf")))
+                rows = [r for r in rows if r.b != float("-inf")]
+                inside = sum(r.n for r in rows)
+                if not (t.below <= t.rank < t.below + inside):
+                    # the sketch bracket missed: fall back to the full range
+                    t.lo, t.hi, t.below = float(summary.min[t.col]), float(summary.max[t.col]), 0
+                    t.exact = summary.count[t.col] <= exact_limit
+                    continue
             seen = t.below
             for r in rows:
-                if seen + r["n"] > t.rank:
-                    if t.exact or r["mn"] == r["mx"]:
-                        t.value, t.done = float(r["mn"]), True
+                if seen + r.n > t.rank:
+                    if t.exact or r.mn == r.mx:
+                        t.value, t.done = float(r.mn), True
                     else:
-                        t.lo, t.hi, t.below = float(r["mn"]), float(r["mx"]), seen
-                        t.exact = r["n"] <= exact_limit
+                        t.lo, t.hi, t.below = float(r.mn), float(r.mx), seen
+                        t.exact = r.n <= exact_limit
                     break
-                seen += r["n"]
+                seen += int(r.n)
             else:
                 raise RuntimeError(f"selection lost rank {t.rank} of {t.col}")
     if any(not t.done for t in targets):
@@ -139,7 +188,7 @@ def exact_medians(df: DataFrame, cols: list[str], summary: NumericSummary | None
         m = summary.count[c]
         if m > 0:
             wanted[c] = sorted({(m - 1) // 2, m // 2})
-    found = exact_order_stats(df, wanted, summary) if wanted else {}
+    found = exact_order_stats(df, wanted, summary, brackets=summary.bracket) if wanted else {}
     out: dict[str, float | None] = {}
     for c in cols:
         m = summary.count[c]
@@ -217,8 +266,8 @@ def category_stats(df: DataFrame, cols: list[str], max_categories: int | None =
                         f"Column '{wide[0]}' has {n_distinct[wide[0]]} distinct values, more than "
                         f"max_categories={max_categories}; exclude it or raise the limit.")
             cats = {c: [] for c in cols}
-            for r in vc.select("column", "value").collect():
-                cats[r["column"]].append(r["value"])
+            for r in vc.select("column", "value").toPandas().itertuples(index=False):
+                cats[r.column].append(r.value)
             cats = {c: sorted(v) for c, v in cats.items()}
         return CategoryStats(n_distinct, mode, cats)
     finally:

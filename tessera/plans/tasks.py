@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import as_text, is_numeric
 from tessera.operators import metrics
 from tessera.operators import models as M
-from tessera.operators import stats
 from tessera.operators.prep import drop_internal, fit_preprocessor, split_roles
 from tessera.operators.split import exact_split, with_row_key
 
@@ -87,8 +86,11 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
     held = [split]
     if task == "Classification":
         ytxt = as_text(_c(target), target_type)
-        lab_stats = stats.category_stats(train.select(ytxt.alias("y_text")), ["y_text"], max_categories=MAX_CLASSES)
-        labels = metrics.label_order(lab_stats.categories["y_text"], is_numeric(target_type))
+        # distinct train labels in one bounded job: at most MAX_CLASSES + 1 rows reach the driver
+        seen = (train.select(ytxt.alias("y_text")).distinct().limit(MAX_CLASSES + 1).toPandas()["y_text"].tolist())
+        if len(seen) > MAX_CLASSES:
+            raise ValueError(f"Target column has more than {MAX_CLASSES} classes; use a regression task.")
+        labels = metrics.label_order(seen, is_numeric(target_type))
         # train labels only: "keep" would add an unknown class to the metadata (3 classes for a binary task)
         indexer = StringIndexerModel.from_labels(labels, inputCol="y_text", outputCol="label", handleInvalid="error")
         train_feat = M.persist(indexer.transform(prep.transform(train.withColumn("y_text", ytxt)))
@@ -99,15 +101,11 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
         model = PipelineModel([prep, fitted, to_text])
         results = (model.transform(test)
                    .select("row_key", ytxt.alias("y_true"), F.col("y_pred")))
-        row = metrics.classification_metrics(results).first()
-        all_labels = metrics.label_order(
-            sorted({r["l"] for r in results.select(F.col("y_true").alias("l")).union(
-                results.select(F.col("y_pred").alias("l"))).distinct().collect()}), is_numeric(target_type))
+        conf = metrics.confusion_long(results).toPandas()
+        rep = metrics.classification_report(list(conf.itertuples(index=False, name=None)), is_numeric(target_type))
+        report.update(rep)
+        cm, all_labels = rep["confusion_matrix"], rep["class_labels"]
         dense = metrics.confusion_dense(results, all_labels)
-        cells = {(r["i"], r["j"]): r["n"] for r in dense.collect()}
-        cm = [[int(cells.get((i, j), 0)) for j in range(len(all_labels))] for i in range(len(all_labels))]
-        report.update({"accuracy": float(row["accuracy"]), "f1_weighted": float(row["f1_weighted"]),
-                       "confusion_matrix": cm, "class_labels": all_labels})
         plot = {"type": "confusion_matrix", "cm": cm, "labels": all_labels, "data": dense}
     else:
         if not is_numeric(target_type):

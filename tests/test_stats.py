@@ -61,3 +61,11 @@ def test_mode_hot_value_spread_over_partitions(spark):
     df = spark.range(30000).selectExpr("case when id % 3 = 0 then 'hot' else cast(id as string) end as c")
     cs = stats.category_stats(df.repartition(7), ["c"], max_categories=None, with_categories=False)
     assert cs.mode == {"c": "hot"} and cs.n_distinct == {"c": 20001}
+
+
+def test_wrong_bracket_falls_back(spark):
+    rng = np.random.default_rng(9)
+    a = rng.normal(0, 1, 4001)
+    df = spark.createDataFrame([(float(v),) for v in a], "x double")
+    got = stats.exact_order_stats(df, {"x": [2000]}, brackets={"x": (5.0, 6.0)})
+    assert got[("x", 2000)] == float(np.median(a))
