@@ -50,8 +50,8 @@ UNKNOWN_MODEL = {
 DEFAULTS = {
     "logreg_max_iter": 2000, "logreg_tol": 1e-6,
     "ridge_alpha": 1.0,
-    "num_trees": 300, "max_depth": 10, "max_bins": 32,
-    "k": 3, "kmeans_max_iter": 300, "kmeans_tol": 1e-4,
+    "num_trees": 300, "max_depth": 10, "max_bins": 32, "forest_memory_mb": 1024,
+    "k": 3, "kmeans_max_iter": 300, "kmeans_tol": 1e-4,  # relative, as in the reference's library
     "iforest_trees": 100, "iforest_max_samples": 256,
     "components": 2,
     "fit_partitions": None,
@@ -91,7 +91,7 @@ def fit_classifier(model_name: str, train: DataFrame, n_train: int, seed: int, p
     est = RandomForestClassifier(featuresCol="features", labelCol="label", predictionCol="prediction",
                                  numTrees=params["num_trees"], maxDepth=params["max_depth"],
                                  maxBins=params["max_bins"], featureSubsetStrategy="sqrt", impurity="gini",
-                                 seed=seed)
+                                 seed=seed, maxMemoryInMB=params["forest_memory_mb"])
     return est.fit(canonical_layout(train, fit_partitions(train, params)))
 
 
@@ -110,14 +110,20 @@ def fit_regressor(model_name: str, train: DataFrame, n_train: int, y_std: float,
     est = RandomForestRegressor(featuresCol="features", labelCol="y", predictionCol="prediction",
                                 numTrees=params["num_trees"], maxDepth=params["max_depth"],
                                 maxBins=params["max_bins"], featureSubsetStrategy="all", impurity="variance",
-                                seed=seed)
+                                seed=seed, maxMemoryInMB=params["forest_memory_mb"])
     return est.fit(canonical_layout(train, fit_partitions(train, params)))
 
 
-def fit_kmeans(feats: DataFrame, seed: int, params: dict) -> PipelineModel:
-    """KMeans + deterministic renumbering (largest cluster first, then by centre)."""
+def fit_kmeans(feats: DataFrame, seed: int, params: dict, mean_variance: float = 1.0) -> PipelineModel:
+    """KMeans + deterministic renumbering (largest cluster first, then by centre).
+
+    The reference's tolerance is relative: stop when the summed squared centre
+    shift is below ``tol * mean feature variance``; Spark stops when every centre
+    moves less than an absolute distance, so that distance is the square root.
+    """
+    tol = max(params["kmeans_tol"] * mean_variance, 1e-30) ** 0.5
     km = KMeans(featuresCol="features", predictionCol="_km", k=params["k"], seed=seed,
-                maxIter=params["kmeans_max_iter"], tol=params["kmeans_tol"], initMode="k-means||")
+                maxIter=params["kmeans_max_iter"], tol=tol, initMode="k-means||")
     model = km.fit(canonical_layout(feats, fit_partitions(feats, params)))
     sizes = list(model.summary.clusterSizes)
     centres = [tuple(float(v) for v in c) for c in model.clusterCenters()]

@@ -41,6 +41,7 @@ class PrepInfo:
     categories: dict
     rows: int
     feature_names: list[str]
+    mean_variance: float = 1.0  # mean per-feature variance of the encoded matrix
 
 
 def split_roles(df: DataFrame, features: list[str] | None = None, exclude: tuple[str, ...] = ()) -> tuple[list, list]:
@@ -107,8 +108,14 @@ class TabularPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritabl
             names += [f"{c}_{v}" for c in keep_cat for v in cstats.categories[c]]
         stages.append(VectorAssembler(inputCols=inputs, outputCol=self.getOrDefault(self.outputCol),
                                       handleInvalid="error"))
+        n = max(summary.rows, 1)
+        variances = [1.0 if stds[c] > 0 else 0.0 for c in keep_num]
+        for c in keep_cat:
+            filled = dict(cstats.counts[c])
+            filled[cstats.mode[c]] += n - sum(filled.values())  # nulls take the mode
+            variances += [(k / n) * (1 - k / n) for k in (filled[v] for v in cstats.categories[c])]
         self.info = PrepInfo(keep_num, keep_cat, dropped, medians, means, stds, cstats.mode,
-                             cstats.categories, summary.rows, names)
+                             cstats.categories, summary.rows, names, sum(variances) / len(variances))
         return PipelineModel(stages)
 
 

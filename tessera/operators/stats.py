@@ -225,6 +225,7 @@ class CategoryStats:
     n_distinct: dict[str, int]
     mode: dict[str, str | None]
     categories: dict[str, list[str]] = field(default_factory=dict)
+    counts: dict[str, dict[str, int]] = field(default_factory=dict)
 
 
 def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -265,10 +266,11 @@ def category_stats(df: DataFrame, cols: list[str], max_categories: int | None =
                     raise ValueError(
                         f"Column '{wide[0]}' has {n_distinct[wide[0]]} distinct values, more than "
                         f"max_categories={max_categories}; exclude it or raise the limit.")
-            cats = {c: [] for c in cols}
-            for r in vc.select("column", "value").toPandas().itertuples(index=False):
-                cats[r.column].append(r.value)
-            cats = {c: sorted(v) for c, v in cats.items()}
+            counts: dict[str, dict[str, int]] = {c: {} for c in cols}
+            for r in vc.select("column", "value", "n").toPandas().itertuples(index=False):
+                counts[r.column][r.value] = int(r.n)
+            cats = {c: sorted(v) for c, v in counts.items()}
+            return CategoryStats(n_distinct, mode, cats, counts)
         return CategoryStats(n_distinct, mode, cats)
     finally:
         vc.unpersist()

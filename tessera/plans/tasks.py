@@ -27,12 +27,32 @@ from tessera.operators.split import exact_split, with_row_key
 MAX_CLASSES = 1000
 
 
+class _Lazy:
+    def __init__(self, fn):
+        self.fn = fn
+
+
+class Plot(dict):
+    """Plot payload; entries built by a function are computed on first access,
+    so a task never runs plot jobs nobody reads."""
+
+    def __getitem__(self, key):
+        value = super().__getitem__(key)
+        if isinstance(value, _Lazy):
+            value = value.fn()
+            super().__setitem__(key, value)
+        return value
+
+    def get(self, key, default=None):
+        return self[key] if key in self else default
+
+
 @dataclass
 class TaskResult:
     model: PipelineModel
     results: DataFrame
     report: dict
-    plot: dict = field(default_factory=dict)
+    plot: dict = field(default_factory=Plot)
     unpersist: list = field(default_factory=list)
 
     def release(self) -> None:
@@ -106,7 +126,7 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
         report.update(rep)
         cm, all_labels = rep["confusion_matrix"], rep["class_labels"]
         dense = metrics.confusion_dense(results, all_labels)
-        plot = {"type": "confusion_matrix", "cm": cm, "labels": all_labels, "data": dense}
+        plot = Plot(type="confusion_matrix", cm=cm, labels=all_labels, data=dense)
     else:
         if not is_numeric(target_type):
             raise ValueError("Regression target must be numeric.")
@@ -119,8 +139,8 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
         results = model.transform(test).select("row_key", y.alias("y_true"), F.col("prediction").alias("y_pred"))
         row = metrics.regression_metrics(results).first()
         report.update({"rmse": float(row["rmse"]), "r2": float(row["r2"])})
-        plot = {"type": "pred_vs_actual", "range": metrics.axis_range(results),
-                "data": metrics.grid_counts(results, "y_true", "y_pred")}
+        plot = Plot(type="pred_vs_actual", range=metrics.axis_range(results),
+                    data=_Lazy(lambda: metrics.grid_counts(results, "y_true", "y_pred")))
     return TaskResult(model, results, report, plot, held)
 
 
@@ -134,17 +154,19 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
     held = [feats]
     width = len(info.feature_names)
     if task == "Clustering":
-        km = M.fit_kmeans(feats.select("row_key", "features"), seed, p)
+        km = M.fit_kmeans(feats.select("row_key", "features"), seed, p, info.mean_variance)
         model = PipelineModel([prep, km])
         out = km.transform(feats)
         results = drop_internal(out).select(*[_c(c) for c in user_cols], F.col("cluster"))
         sizes = (metrics.cluster_sizes(results).orderBy(F.desc("n"), "cluster").collect())
         report.update({"k": int(p["k"]), "cluster_counts": {int(r["cluster"]): int(r["n"]) for r in sizes}})
-        plot = {"type": "scatter2d", "title": "Clusters (PCA view)"}
+        plot = Plot(type="scatter2d", title="Clusters (PCA view)")
         if width >= 2:
-            pca, _ = M.fit_pca(feats, 2)
-            view = pca.transform(out.select("features", "cluster"))
-            plot["data"] = metrics.grid_counts(view, "pc1", "pc2", group="cluster")
+            def view():
+                pca, _ = M.fit_pca(feats, 2)
+                return metrics.grid_counts(pca.transform(out.select("features", "cluster")), "pc1", "pc2",
+                                           group="cluster")
+            plot["data"] = _Lazy(view)
         return TaskResult(model, results, report, plot, held)
     if task == "Anomaly Detection":
         forest = M.fit_iforest(feats.select("row_key", "features"), seed, p)
@@ -154,8 +176,8 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
         results = M.persist(results)
         held.append(results)
         report.update({"anomalies": int(metrics.anomaly_count(results).first()["anomalies"])})
-        plot = {"type": "hist", "title": "Anomaly scores (higher = more normal)",
-                "data": metrics.histogram(results, "anomaly_score", 30)}
+        plot = Plot(type="hist", title="Anomaly scores (higher = more normal)",
+                    data=_Lazy(lambda: metrics.histogram(results, "anomaly_score", 30)))
         return TaskResult(model, results, report, plot, held)
     # Dimensionality Reduction
     k = int(p["components"])
@@ -166,5 +188,6 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
     results = drop_internal(pca.transform(feats)).select(*[_c(c) for c in user_cols],
                                                          *[f"pc{j + 1}" for j in range(k)])
     report.update({"components": k, "explained_variance_ratio": evr})
-    plot = {"type": "scatter2d", "title": "PCA (PC1 vs PC2)", "data": metrics.grid_counts(results, "pc1", "pc2")}
+    plot = Plot(type="scatter2d", title="PCA (PC1 vs PC2)",
+                data=_Lazy(lambda: metrics.grid_counts(results, "pc1", "pc2")))
     return TaskResult(model, results, report, plot, held)

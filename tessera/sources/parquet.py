@@ -11,11 +11,28 @@ from pyspark.sql import types as T
 from tessera.functions.columns import is_categorical, is_numeric, normalize_nulls
 
 
-def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def balance_partitions(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cluster when it yields fewer partitions than cores.
+
+    A Parquet row group is the smallest unit a scan can split, so a small file
+    written as one row group is read by one task and every expression above it
+    (hashes, regexes, casts) runs single-threaded. Large inputs have far more
+    splits than cores, and then this is a no-op.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None,
+                 balance: bool = True) -> DataFrame:
     """Columnar scan; a column list is pruned at the reader, NaN becomes NULL."""
     df = spark.read.parquet(path)
     if columns:
         df = df.select(*[F.col(f"`{c}`") for c in columns])
+    if balance:
+        df = balance_partitions(df)
     return normalize_nulls(df)
 
 
