@@ -11,6 +11,7 @@ from tessera.functions.columns import (  # noqa: F401
     is_numeric,
     key_text,
     normalize_nulls,
+    num_value,
     numeric_columns,
     zscore,
 )

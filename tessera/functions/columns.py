@@ -42,6 +42,15 @@ def categorical_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[st
     return [f.name for f in df.schema.fields if is_categorical(f.dataType) and f.name not in exclude]
 
 
+def num_value(c: Column) -> Column:
+    """A numeric cell as double with NaN read as missing (one missing concept).
+
+    Applied where values are consumed (statistics, filling) rather than at the
+    scan, so predicates on raw columns still push down to Parquet.
+    """
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+
+
 def normalize_nulls(df: DataFrame) -> DataFrame:
     """One missing concept: NaN in float columns becomes NULL, once, at the scan."""
     exprs = []

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import as_text
+from tessera.functions.columns import as_text, num_value
 
 
 def _c(name: str):
@@ -53,7 +53,7 @@ class ImputeScaleModel(Transformer, DefaultParamsReadable, DefaultParamsWritable
         g = self.getOrDefault
         for i, (c, med, mu, sd) in enumerate(zip(g(self.numCols), g(self.medians), g(self.means), g(self.stds))):
             scale = sd if sd > 0.0 else 1.0
-            out[f"__num_{i}"] = (F.coalesce(_c(c).cast("double"), F.lit(med)) - F.lit(mu)) / F.lit(scale)
+            out[f"__num_{i}"] = (F.coalesce(num_value(_c(c)), F.lit(med)) - F.lit(mu)) / F.lit(scale)
         for i, (c, mode) in enumerate(zip(g(self.catCols), g(self.modes))):
             out[f"__cat_{i}"] = F.coalesce(as_text(_c(c), types[c]), F.lit(mode))
         return df.withColumns(out) if out else df

@@ -25,7 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import as_text
+from tessera.functions.columns import as_text, num_value
 
 HIST_BINS = 1024
 EXACT_LIMIT = 50_000
@@ -45,7 +45,7 @@ def long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     (a wide ``agg`` with 5 expressions per column costs seconds of codegen), and
     partial aggregation shuffles only ``len(cols)`` rows per partition.
     """
-    items = [F.struct(F.lit(i).alias("ci"), _c(c).cast("double").alias("v")) for i, c in enumerate(cols)]
+    items = [F.struct(F.lit(i).alias("ci"), num_value(_c(c)).alias("v")) for i, c in enumerate(cols)]
     return df.select(F.explode(F.array(*items)).alias("s")).select("s.ci", "s.v")
 
 
@@ -136,7 +136,7 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, list[int]], summary: Nume
             probes.setdefault((t.col, t.lo, t.hi, t.exact, t.below is None), len(probes))
         items = []
         for (c, lo, hi, exact, count_below), pid in probes.items():
-            v = _c(c).cast("double")
+            v = num_value(_c(c))
             key = v if exact else F.least(
                 F.floor((v - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)).cast("double"),
                 F.lit(float(bins - 1))) if hi > lo else F.lit(0.0)

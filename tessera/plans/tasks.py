@@ -17,6 +17,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.columns import as_text, is_numeric
 from tessera.operators import metrics
@@ -96,7 +97,10 @@ def run_task(df: DataFrame, task: str, model_name: str, target: str | None = Non
 
 def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, exclude, report) -> TaskResult:
     target_type = df.schema[target].dataType
-    df2 = with_row_key(df.where(_c(target).isNotNull()), key_cols)
+    present = _c(target).isNotNull()
+    if isinstance(target_type, (T.FloatType, T.DoubleType)):
+        present = present & ~F.isnan(_c(target))  # NaN is missing too (P1)
+    df2 = with_row_key(df.where(present), key_cols)
     skip = {target, "row_key", *exclude}
     num_cols, cat_cols = split_roles(df2, [c for c in df2.columns if c not in skip])
     split = M.persist(exact_split(df2, test_size, seed))

@@ -26,14 +26,19 @@ def balance_partitions(df: DataFrame) -> DataFrame:
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None,
-                 balance: bool = True) -> DataFrame:
-    """Columnar scan; a column list is pruned at the reader, NaN becomes NULL."""
+                 balance: bool = True, normalize_nan: bool = False) -> DataFrame:
+    """Columnar scan; a column list is pruned at the reader.
+
+    NaN is read as missing by the operators themselves (``num_value``), so the
+    scan stays a plain scan and filters on it push down to Parquet;
+    ``normalize_nan=True`` rewrites NaN to NULL here instead.
+    """
     df = spark.read.parquet(path)
     if columns:
         df = df.select(*[F.col(f"`{c}`") for c in columns])
     if balance:
         df = balance_partitions(df)
-    return normalize_nulls(df)
+    return normalize_nulls(df) if normalize_nan else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:

@@ -81,3 +81,11 @@ def test_grid_counts_total(spark):
     df = spark.range(1000).select((F.col("id") % 37).cast("double").alias("x"), (F.col("id") % 11).alias("y"))
     g = metrics.grid_counts(df, "x", "y", bins=10)
     assert g.agg(F.sum("n")).first()[0] == 1000
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), "a"), (3.0, "b"), (None, "b")], "x double, c string")
+    model, info = fit_preprocessor(df, ["x"], ["c"])
+    assert info.medians["x"] == 2.0
+    xs = [r["f"][0] for r in model.transform(df).select(vector_to_array("features").alias("f")).collect()]
+    assert all(v == v for v in xs)  # no NaN survives the fill

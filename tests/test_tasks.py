@@ -73,3 +73,10 @@ def test_pca_needs_two_features(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "x double")
     with pytest.raises(ValueError, match="at least 2 features"):
         run_task(df, "Dimensionality Reduction", "PCA", None)
+
+
+def test_nan_target_dropped(spark, small):
+    df = small.withColumn("y", F.when(F.col("id") % 4 == 0, float("nan")).otherwise(F.col("y")))
+    res = run_task(df, "Regression", "Ridge Regression", "y", key_cols=["id"], exclude=["id"])
+    assert res.results.count() == 18
+    res.release()
