@@ -135,9 +135,13 @@ def fit_kmeans(feats: DataFrame, seed: int, params: dict, mean_variance: float =
 
 
 def fit_iforest(feats: DataFrame, seed: int, params: dict):
+    """No canonical layout here: the fit reads only a Bernoulli sample of about
+    3 * trees * psi rows, so a full shuffle of the features would cost far more
+    than the fit. The sample is deterministic for a given input layout (the
+    reference's own sampling is positional, i.e. row-order dependent, too)."""
     est = IsolationForest(featuresCol="features", keyCol="row_key", numTrees=params["iforest_trees"],
                           maxSamples=params["iforest_max_samples"], seed=seed)
-    return est.fit(canonical_layout(feats, fit_partitions(feats, params)))
+    return est.fit(feats)
 
 
 def fit_pca(feats: DataFrame, k: int = 2) -> tuple[PipelineModel, list[float]]:

@@ -27,10 +27,11 @@ def shape(df: DataFrame) -> DataFrame:
 
 def missing_counts(df: DataFrame) -> DataFrame:
     """A2: ``(position, column, n_missing)`` for every column, one aggregate pass."""
-    aggs = [(F.count(F.lit(1)) - F.count(_c(c))).alias(f"m{i}") for i, c in enumerate(df.columns)]
-    items = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"m{i}").alias("n_missing"))
+    # long form: the plan stays the same size however wide the table is
+    items = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), _c(c).isNull().alias("m"))
              for i, c in enumerate(df.columns)]
-    return df.agg(*aggs).select(F.explode(F.array(*items)).alias("r")).select("r.*")
+    return (df.select(F.explode(F.array(*items)).alias("r")).select("r.*")
+            .groupBy("position", "column").agg(F.count_if("m").alias("n_missing")))
 
 
 def top_missing(df: DataFrame, k: int = 10) -> DataFrame:

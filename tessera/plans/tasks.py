@@ -103,6 +103,8 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
     df2 = with_row_key(df.where(present), key_cols)
     skip = {target, "row_key", *exclude}
     num_cols, cat_cols = split_roles(df2, [c for c in df2.columns if c not in skip])
+    # only the key, the target and the features are cached for the fit passes
+    df2 = df2.select("row_key", _c(target), *[_c(c) for c in num_cols + cat_cols])
     split = M.persist(exact_split(df2, test_size, seed))
     train = split.where(~F.col("is_test"))
     test = split.where(F.col("is_test"))
