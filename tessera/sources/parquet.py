@@ -45,13 +45,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", columns)
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """Load a table the way a user of the reference would: CSV (inferred) or Parquet."""
+def load(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """Load a table the way a user of the reference would: CSV (inferred) or Parquet.
+
+    The format comes from ``fmt`` or the path's extension (works for any
+    filesystem URI; nothing is listed on the driver).
+    """
     from tessera.sources.csv import read_csv
 
-    if path.lower().endswith(".csv") or (os.path.isdir(path) and any(p.endswith(".csv") for p in os.listdir(path))):
+    fmt = (fmt or ("csv" if path.rstrip("/").lower().endswith(".csv") else "parquet")).lower()
+    if fmt == "csv":
         return read_csv(spark, path)
-    return read_parquet(spark, path)
+    if fmt == "parquet":
+        return read_parquet(spark, path)
+    raise ValueError(f"Unsupported format: {fmt}")
 
 
 def source_name(path: str | None) -> str:

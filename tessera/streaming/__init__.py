@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The reference reads one file whole and has no stream input, watermark, window
+or stateful operator (SURVEY §2.10), so nothing is built here. A fitted
+``PipelineModel`` from ``tessera.plans.tasks.run_task`` contains only stateless
+stages (projections, Spark ML models, a vectorised scoring UDF), so Spark can
+apply ``model.transform`` to a streaming DataFrame as it is; no extra operator
+is needed for that.
+"""
