@@ -119,6 +119,36 @@ def _bin(v: str, mn: str, mx: str, bins: int) -> str:
 
 _LINE_KEY = "concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
 
+def _newton_logreg(steps: int = 12) -> str:
+    """Newton iterations for min 0.5*w^2 + sum(logloss) (C = 1, free intercept) on one z-scored feature."""
+    ctes = ["it0 AS (SELECT 0.0::DOUBLE AS w, 0.0::DOUBLE AS b)"]
+    for i in range(1, steps + 1):
+        ctes.append(f"""
+        g{i} AS (SELECT it{i - 1}.w AS w, it{i - 1}.b AS b,
+                        it{i - 1}.w + sum((p - y) * z) AS gw, sum(p - y) AS gb,
+                        1 + sum(p * (1 - p) * z * z) AS hww, sum(p * (1 - p) * z) AS hwb, sum(p * (1 - p)) AS hbb
+                 FROM (SELECT z, y, 1 / (1 + exp(-(it{i - 1}.w * z + it{i - 1}.b))) AS p FROM train, it{i - 1}) t, it{i - 1}
+                 GROUP BY it{i - 1}.w, it{i - 1}.b),
+        it{i} AS (SELECT w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb) AS w,
+                         b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb) AS b FROM g{i})""")
+    return ",".join(ctes)
+
+
+_LOGREG_SQL = f"""
+        WITH base AS (SELECT {{key}} AS row_key, l_extendedprice AS x, CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END AS y
+                      FROM lineitem),
+        ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', row_key, '42'))) AS rn,
+                          count(*) OVER () AS n FROM base),
+        flag AS (SELECT *, rn <= CEIL(0.2::DOUBLE * n) AS is_test FROM ranked),
+        med AS (SELECT median(x) AS m FROM flag WHERE NOT is_test),
+        mom AS (SELECT avg(coalesce(x, m)) AS mu, stddev_pop(coalesce(x, m)) AS sd FROM flag, med WHERE NOT is_test),
+        zs AS (SELECT flag.*, (coalesce(x, m) - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS z FROM flag, med, mom),
+        train AS (SELECT z, y FROM zs WHERE NOT is_test),
+        {_newton_logreg()}
+        SELECT CASE WHEN y = 1 THEN 'True' ELSE 'False' END AS y_true,
+               CASE WHEN w * z + b > 0 THEN 'True' ELSE 'False' END AS y_pred, count(*) AS n
+        FROM zs, it12 WHERE is_test GROUP BY 1, 2"""
+
 _TOP_MISSING_ORDERS = f"SELECT * FROM ({_missing('orders_nulls', ORDERS_COLS)}) ORDER BY n_missing DESC, position LIMIT 10"
 
 ORACLE_SQL: dict[str, str] = {
@@ -256,8 +286,13 @@ ORACLE_SQL: dict[str, str] = {
         z AS (SELECT p_partkey, (p_size - m1) / s1 AS z1, (p_retailprice - m2) / s2 AS z2, r FROM part, s)
         SELECT p_partkey, round((z1 + sign(r) * z2) / sqrt(2), 6) AS pc1,
                round((z1 - sign(r) * z2) / sqrt(2), 6) AS pc2 FROM z""",
+    "m1_logreg_closed_form_lineitem": _LOGREG_SQL.replace("{key}", _LINE_KEY),
+    "k2_report_roundtrip_labels": with_views(
+        f", {_CLS_CTE}\nSELECT 'accuracy' AS metric, round(accuracy, 3) AS value FROM m "
+        "UNION ALL SELECT 'f1_weighted', round(f1_weighted, 3) FROM m", "labels_pred"),
     "m7_pca_evr_part": """
         WITH s AS (SELECT corr(p_size, p_retailprice) AS r FROM part)
         SELECT 1 AS component, round((1 + abs(r)) / 2, 6) AS ratio FROM s
         UNION ALL SELECT 2, round((1 - abs(r)) / 2, 6) FROM s""",
 }
+ORACLE_SQL["k3_model_roundtrip_part"] = ORACLE_SQL["m7_pca_scores_part"]

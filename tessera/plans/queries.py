@@ -18,7 +18,7 @@ from tessera.operators.split import exact_split, with_row_key
 from tessera.plans import views as V
 from tessera.plans.tasks import run_task
 from tessera.session import scratch_path
-from tessera.sinks import write_results_csv
+from tessera.sinks import load_model, read_report_json, save_model, write_report_json, write_results_csv
 from tessera.sources.csv import inference_frame, read_csv
 from tessera.sources.parquet import dtypes_frame, read_table
 
@@ -52,6 +52,26 @@ def k1_csv_roundtrip_orders(spark, sf):
     return read_csv(spark, path)
 
 
+def k2_report_roundtrip_labels(spark, sf):
+    """K2: the metrics report written as one JSON document to the shared folder and read back."""
+    m = metrics.classification_metrics(V.labels_pred(spark, sf)).first()
+    report = {"task": "Classification", "model": "(given predictions)",
+              "accuracy": float(m["accuracy"]), "f1_weighted": float(m["f1_weighted"])}
+    path = scratch_path(spark, "k2")
+    write_report_json(spark, report, path)
+    back = read_report_json(spark, path)
+    return metrics.metrics_long(back, ["accuracy", "f1_weighted"], spark)
+
+
+def k3_model_roundtrip_part(spark, sf):
+    """K3: the fitted PCA pipeline saved to the shared folder, loaded and applied."""
+    res = _pca_part(spark, sf)
+    path = scratch_path(spark, "k3")
+    save_model(res.model, path)
+    scored = load_model(path).transform(with_row_key(V.part_num(spark, sf), ["p_partkey"]))
+    return scored.select("p_partkey", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
+
+
 # ---------------------------------------------------------------- profile
 
 def a1_shape_orders(spark, sf):
@@ -246,6 +266,15 @@ def m7_pca_evr_part(spark, sf):
     return _small(spark, [(i + 1, round(v, 6)) for i, v in enumerate(evr)], "component int, ratio double")
 
 
+def m1_logreg_closed_form_lineitem(spark, sf):
+    """Logistic regression with one feature, checked against Newton's method in SQL."""
+    li = read_table(spark, sf, "lineitem", V.LINEITEM_KEY + ["l_extendedprice", "l_quantity"])
+    df = li.select(*V.LINEITEM_KEY, "l_extendedprice", (F.col("l_quantity") > 25).alias("is_big"))
+    res = run_task(df, "Classification", "Logistic Regression", "is_big", TEST_SIZE, SEED, key_cols=V.LINEITEM_KEY,
+                   exclude=V.LINEITEM_KEY, params={"logreg_tol": 1e-10})
+    return metrics.confusion_long(res.results)
+
+
 # ---------------------------------------------------------------- randomised models (rows-only check)
 
 def m1_logreg_lineitem(spark, sf):
@@ -325,6 +354,9 @@ QUERIES: dict[str, Query] = {
     "m3_ridge_lineitem": m3_ridge_lineitem,
     "m7_pca_scores_part": m7_pca_scores_part,
     "m7_pca_evr_part": m7_pca_evr_part,
+    "m1_logreg_closed_form_lineitem": m1_logreg_closed_form_lineitem,
+    "k2_report_roundtrip_labels": k2_report_roundtrip_labels,
+    "k3_model_roundtrip_part": k3_model_roundtrip_part,
     "m1_logreg_lineitem": m1_logreg_lineitem,
     "m2_rf_classifier_orders": m2_rf_classifier_orders,
     "m4_rf_regressor_lineitem": m4_rf_regressor_lineitem,
