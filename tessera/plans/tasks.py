@@ -117,6 +117,9 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
         if len(seen) > MAX_CLASSES:
             raise ValueError(f"Target column has more than {MAX_CLASSES} classes; use a regression task.")
         labels = metrics.label_order(seen, is_numeric(target_type))
+        if model_name == "Logistic Regression" and len(labels) < 2:
+            raise ValueError("This solver needs samples of at least 2 classes in the data, but the data contains "
+                             f"only one class: {labels[0]!r}")
         # train labels only: "keep" would add an unknown class to the metadata (3 classes for a binary task)
         indexer = StringIndexerModel.from_labels(labels, inputCol="y_text", outputCol="label", handleInvalid="error")
         train_feat = M.persist(indexer.transform(prep.transform(train.withColumn("y_text", ytxt)))
@@ -160,6 +163,8 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
     held = [feats]
     width = len(info.feature_names)
     if task == "Clustering":
+        if info.rows < int(p["k"]):
+            raise ValueError(f"n_samples={info.rows} should be >= n_clusters={int(p['k'])}.")
         km = M.fit_kmeans(feats.select("row_key", "features"), seed, p, info.mean_variance)
         model = PipelineModel([prep, km])
         out = km.transform(feats)
@@ -167,7 +172,7 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
         sizes = (metrics.cluster_sizes(results).orderBy(F.desc("n"), "cluster").collect())
         report.update({"k": int(p["k"]), "cluster_counts": {int(r["cluster"]): int(r["n"]) for r in sizes}})
         plot = Plot(type="scatter2d", title="Clusters (PCA view)")
-        if width >= 2:
+        if width >= 2 and info.rows >= 2:
             def view():
                 pca, _ = M.fit_pca(feats, 2)
                 return metrics.grid_counts(pca.transform(out.select("features", "cluster")), "pc1", "pc2",
@@ -189,6 +194,9 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
     k = int(p["components"])
     if width < k:
         raise ValueError(f"PCA needs at least {k} features after encoding; found {width}.")
+    if info.rows < k:
+        raise ValueError(f"n_components={k} must be between 0 and min(n_samples, n_features)="
+                         f"{min(info.rows, width)}")
     pca, evr = M.fit_pca(feats, k)
     model = PipelineModel([prep, pca])
     results = drop_internal(pca.transform(feats)).select(*[_c(c) for c in user_cols],

@@ -80,3 +80,16 @@ def test_nan_target_dropped(spark, small):
     res = run_task(df, "Regression", "Ridge Regression", "y", key_cols=["id"], exclude=["id"])
     assert res.results.count() == 18
     res.release()
+
+
+def test_degenerate_inputs(spark):
+    one = spark.createDataFrame([(i, float(i), "a") for i in range(50)], "id long, x double, y string")
+    with pytest.raises(ValueError, match="at least 2 classes"):
+        run_task(one, "Classification", "Logistic Regression", "y", key_cols=["id"], exclude=["id"])
+    with pytest.raises(ValueError, match="n_samples=2 should be >= n_clusters=3"):
+        run_task(one.limit(2), "Clustering", "KMeans", None, key_cols=["id"], exclude=["id"])
+    with pytest.raises(ValueError, match="n_components=2"):
+        run_task(one.limit(1), "Dimensionality Reduction", "PCA", None, key_cols=["id"], exclude=["id"])
+    res = run_task(one.limit(1), "Anomaly Detection", "Isolation Forest", None, key_cols=["id"], exclude=["id"])
+    assert res.results.count() == 1
+    res.release()
