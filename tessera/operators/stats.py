@@ -104,6 +104,12 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, list[int]], summary: Nume
                       brackets: dict[str, tuple[float, float]] | None = None) -> dict[tuple[str, int], float]:
     """Exact k-th smallest non-null value for each ``(column, k)``.
 
+    Each pass unpivots the numeric columns to ``(ci, v)`` and joins the small
+    probe table ``(ci, probe, lo, hi, mode)``, so the plan has the same size for
+    any number of columns; values below a probe's bracket are counted, values
+    inside it are binned (or kept exact when few), everything else is dropped
+    before the shuffle.
+
     ``brackets`` (e.g. sketch quantiles) seed the search; a bracket that turns
     out not to contain the rank is widened to the full range, so the answer
     never depends on the sketch being right.
@@ -134,19 +140,23 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, list[int]], summary: Nume
         probes: dict[tuple, int] = {}
         for t in active:
             probes.setdefault((t.col, t.lo, t.hi, t.exact, t.below is None), len(probes))
-        items = []
-        for (c, lo, hi, exact, count_below), pid in probes.items():
-            v = num_value(_c(c))
-            key = v if exact else F.least(
-                F.floor((v - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)).cast("double"),
-                F.lit(float(bins - 1))) if hi > lo else F.lit(0.0)
-            item = F.when(v.between(lo, hi), F.struct(F.lit(pid).alias("p"), key.alias("b"), v.alias("v")))
-            if count_below:
-                item = item.when(v < lo, F.struct(F.lit(pid).alias("p"), F.lit(float("-inf")).alias("b"),
-                                                  F.lit(None).cast("double").alias("v")))
-            items.append(item)
-        exploded = df.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("s")).select("s.*")
-        hist = (exploded.groupBy("p", "b")
+        # one row per probe (at most 2 per numeric column): a bounded broadcast side
+        ci = {c: i for i, c in enumerate(cols)}
+        probe_df = df.sparkSession.createDataFrame(
+            [(ci[c], pid, lo, hi, exact, below) for (c, lo, hi, exact, below), pid in probes.items()],
+            "ci int, p int, lo double, hi double, exact boolean, count_below boolean")
+        used = sorted({c for (c, *_rest) in probes})
+        long = long_numeric(df, cols).where(F.col("ci").isin([ci[c] for c in used]) & F.col("v").isNotNull())
+        v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+        binned = F.least(F.floor((v - lo) * F.lit(float(bins)) / (hi - lo)), F.lit(float(bins - 1)))
+        key = (F.when(v < lo, F.lit(float("-inf")))
+               .when(F.col("exact"), v)
+               .when(hi > lo, binned)
+               .otherwise(F.lit(0.0)))
+        hist = (long.join(F.broadcast(probe_df), "ci")
+                .where(v.between(lo, hi) | (F.col("count_below") & (v < lo)))
+                .select("p", key.alias("b"), F.when(v >= lo, v).alias("v"))
+                .groupBy("p", "b")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
                 .toPandas().sort_values(["p", "b"]))
         by_probe = {int(p): g for p, g in hist.groupby("p")}
