@@ -66,13 +66,45 @@ def check_model(task: str, model_name: str) -> None:
         raise ValueError(UNKNOWN_MODEL[task])
 
 
-def canonical_layout(df: DataFrame, n_partitions: int, key: str = "row_key") -> DataFrame:
+HOT_SAMPLE_ROWS = 200_000
+
+
+def hot_keys(df: DataFrame, n_partitions: int, key: str = "row_key", rows: int | None = None) -> list:
+    """Keys holding more than a partition's share of the rows (groups of exact copies).
+
+    Found on a Bernoulli sample of the key column (about HOT_SAMPLE_ROWS rows);
+    at most ``n_partitions`` keys can pass the threshold, so the result is bounded.
+    A key with a third of all rows is always caught; a key with a single row never is.
+    """
+    if rows is None:
+        rows = df.select(key).count()
+    if rows == 0:
+        return []
+    frac = min(1.0, HOT_SAMPLE_ROWS / rows)
+    threshold = max(2.0, 0.5 * frac * rows / n_partitions)
+    sample = df.select(key).sample(withReplacement=False, fraction=frac, seed=17) if frac < 1.0 else df.select(key)
+    hot = (sample.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
+           .orderBy(F.desc("n")).limit(n_partitions).toPandas())
+    return hot[key].tolist()
+
+
+def canonical_layout(df: DataFrame, n_partitions: int, key: str = "row_key", rows: int | None = None) -> DataFrame:
     """Partition-independent input for seeded fits: hash-partition by key, sort within.
 
     MLlib's seeded algorithms draw per partition, so the same data in another
     layout gives another forest/clustering; this fixes the layout (one shuffle).
+    A hot group of exact copies would put all its rows in one task, so those
+    keys (and only those) are salted over all partitions; every other row keeps
+    its deterministic place.
     """
-    return df.repartition(n_partitions, key).sortWithinPartitions(key)
+    hot = hot_keys(df, n_partitions, key, rows)
+    if not hot:
+        return df.repartition(n_partitions, key).sortWithinPartitions(key)
+    # many more salt values than partitions, so the hashed (key, salt) pairs cover all partitions evenly
+    salt = (F.when(F.col(key).isin(hot),
+                   F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(64 * n_partitions)))
+            .otherwise(F.lit(0)))
+    return df.repartition(n_partitions, F.col(key), salt).sortWithinPartitions(key)
 
 
 def fit_partitions(df: DataFrame, params: dict) -> int:
@@ -92,7 +124,7 @@ def fit_classifier(model_name: str, train: DataFrame, n_train: int, seed: int, p
                                  numTrees=params["num_trees"], maxDepth=params["max_depth"],
                                  maxBins=params["max_bins"], featureSubsetStrategy="sqrt", impurity="gini",
                                  seed=seed, maxMemoryInMB=params["forest_memory_mb"])
-    return est.fit(canonical_layout(train, fit_partitions(train, params)))
+    return est.fit(canonical_layout(train, fit_partitions(train, params), rows=n_train))
 
 
 def fit_regressor(model_name: str, train: DataFrame, n_train: int, y_std: float, seed: int, params: dict):
@@ -111,10 +143,11 @@ def fit_regressor(model_name: str, train: DataFrame, n_train: int, y_std: float,
                                 numTrees=params["num_trees"], maxDepth=params["max_depth"],
                                 maxBins=params["max_bins"], featureSubsetStrategy="all", impurity="variance",
                                 seed=seed, maxMemoryInMB=params["forest_memory_mb"])
-    return est.fit(canonical_layout(train, fit_partitions(train, params)))
+    return est.fit(canonical_layout(train, fit_partitions(train, params), rows=n_train))
 
 
-def fit_kmeans(feats: DataFrame, seed: int, params: dict, mean_variance: float = 1.0) -> PipelineModel:
+def fit_kmeans(feats: DataFrame, seed: int, params: dict, mean_variance: float = 1.0,
+               rows: int | None = None) -> PipelineModel:
     """KMeans + deterministic renumbering (largest cluster first, then by centre).
 
     The reference's tolerance is relative: stop when the summed squared centre
@@ -124,7 +157,7 @@ def fit_kmeans(feats: DataFrame, seed: int, params: dict, mean_variance: float =
     tol = max(params["kmeans_tol"] * mean_variance, 1e-30) ** 0.5
     km = KMeans(featuresCol="features", predictionCol="_km", k=params["k"], seed=seed,
                 maxIter=params["kmeans_max_iter"], tol=tol, initMode="k-means||")
-    model = km.fit(canonical_layout(feats, fit_partitions(feats, params)))
+    model = km.fit(canonical_layout(feats, fit_partitions(feats, params), rows=rows))
     sizes = list(model.summary.clusterSizes)
     centres = [tuple(float(v) for v in c) for c in model.clusterCenters()]
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], centres[i]))

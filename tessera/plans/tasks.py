@@ -165,7 +165,7 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
     if task == "Clustering":
         if info.rows < int(p["k"]):
             raise ValueError(f"n_samples={info.rows} should be >= n_clusters={int(p['k'])}.")
-        km = M.fit_kmeans(feats.select("row_key", "features"), seed, p, info.mean_variance)
+        km = M.fit_kmeans(feats.select("row_key", "features"), seed, p, info.mean_variance, info.rows)
         model = PipelineModel([prep, km])
         out = km.transform(feats)
         results = drop_internal(out).select(*[_c(c) for c in user_cols], F.col("cluster"))
