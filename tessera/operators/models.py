@@ -47,6 +47,11 @@ UNKNOWN_MODEL = {
     "Dimensionality Reduction": "Unknown reduction model",
 }
 
+# Internal column names; the double underscore keeps them clear of user columns
+# (a table may well have a column called "label", "features" or "prediction").
+FEATURES, LABEL, PREDICTION, Y = "__features", "__label", "__prediction", "__y"
+_EXTRA = {"rawPredictionCol": "__raw", "probabilityCol": "__prob"}
+
 DEFAULTS = {
     "logreg_max_iter": 2000, "logreg_tol": 1e-6,
     "ridge_alpha": 1.0,
@@ -116,11 +121,11 @@ def fit_partitions(df: DataFrame, params: dict) -> int:
 
 def fit_classifier(model_name: str, train: DataFrame, n_train: int, seed: int, params: dict):
     if model_name == "Logistic Regression":
-        est = LogisticRegression(featuresCol="features", labelCol="label", predictionCol="prediction",
+        est = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, **_EXTRA,
                                  regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False,
                                  maxIter=params["logreg_max_iter"], tol=params["logreg_tol"], family="auto")
         return est.fit(train)
-    est = RandomForestClassifier(featuresCol="features", labelCol="label", predictionCol="prediction",
+    est = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, **_EXTRA,
                                  numTrees=params["num_trees"], maxDepth=params["max_depth"],
                                  maxBins=params["max_bins"], featureSubsetStrategy="sqrt", impurity="gini",
                                  seed=seed, maxMemoryInMB=params["forest_memory_mb"])
@@ -132,14 +137,15 @@ def fit_regressor(model_name: str, train: DataFrame, n_train: int, y_std: float,
         alpha = params["ridge_alpha"]
         if y_std == 0.0:
             # constant label: zero coefficients, intercept = that constant
-            est = LinearRegression(featuresCol="features", labelCol="y", regParam=0.0, solver="normal",
+            est = LinearRegression(featuresCol=FEATURES, labelCol=Y, predictionCol=PREDICTION, regParam=0.0,
+                                   solver="normal",
                                    standardization=False)
             return est.fit(train)
-        est = LinearRegression(featuresCol="features", labelCol="y", predictionCol="prediction",
+        est = LinearRegression(featuresCol=FEATURES, labelCol=Y, predictionCol=PREDICTION,
                                regParam=alpha * y_std / n_train, elasticNetParam=0.0, standardization=False,
                                solver="normal", fitIntercept=True)
         return est.fit(train)
-    est = RandomForestRegressor(featuresCol="features", labelCol="y", predictionCol="prediction",
+    est = RandomForestRegressor(featuresCol=FEATURES, labelCol=Y, predictionCol=PREDICTION,
                                 numTrees=params["num_trees"], maxDepth=params["max_depth"],
                                 maxBins=params["max_bins"], featureSubsetStrategy="all", impurity="variance",
                                 seed=seed, maxMemoryInMB=params["forest_memory_mb"])
@@ -155,7 +161,7 @@ def fit_kmeans(feats: DataFrame, seed: int, params: dict, mean_variance: float =
     moves less than an absolute distance, so that distance is the square root.
     """
     tol = max(params["kmeans_tol"] * mean_variance, 1e-30) ** 0.5
-    km = KMeans(featuresCol="features", predictionCol="_km", k=params["k"], seed=seed,
+    km = KMeans(featuresCol=FEATURES, predictionCol="__km", k=params["k"], seed=seed,
                 maxIter=params["kmeans_max_iter"], tol=tol, initMode="k-means||")
     model = km.fit(canonical_layout(feats, fit_partitions(feats, params), rows=rows))
     sizes = list(model.summary.clusterSizes)
@@ -164,7 +170,7 @@ def fit_kmeans(feats: DataFrame, seed: int, params: dict, mean_variance: float =
     mapping = [0] * len(sizes)
     for new, old in enumerate(order):
         mapping[old] = new
-    return PipelineModel([model, IndexMap(inputCol="_km", outputCol="cluster", mapping=mapping)])
+    return PipelineModel([model, IndexMap(inputCol="__km", outputCol="cluster", mapping=mapping)])
 
 
 def fit_iforest(feats: DataFrame, seed: int, params: dict):
@@ -172,16 +178,16 @@ def fit_iforest(feats: DataFrame, seed: int, params: dict):
     3 * trees * psi rows, so a full shuffle of the features would cost far more
     than the fit. The sample is deterministic for a given input layout (the
     reference's own sampling is positional, i.e. row-order dependent, too)."""
-    est = IsolationForest(featuresCol="features", keyCol="row_key", numTrees=params["iforest_trees"],
+    est = IsolationForest(featuresCol=FEATURES, keyCol="row_key", numTrees=params["iforest_trees"],
                           maxSamples=params["iforest_max_samples"], seed=seed)
     return est.fit(feats)
 
 
 def fit_pca(feats: DataFrame, k: int = 2) -> tuple[PipelineModel, list[float]]:
     """Spark PCA (covariance on the driver, p x p, p guarded) + centring + sign rule."""
-    model = PCA(k=k, inputCol="features", outputCol="_pca_raw").fit(feats)
+    model = PCA(k=k, inputCol=FEATURES, outputCol="__pca_raw").fit(feats)
     pc = model.pc.toArray()  # p x k
-    mean = np.asarray(feats.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray())
+    mean = np.asarray(feats.select(Summarizer.mean(F.col(FEATURES)).alias("m")).first()["m"].toArray())
     signs, offsets = [], []
     for j in range(k):
         v = pc[:, j]
@@ -191,7 +197,7 @@ def fit_pca(feats: DataFrame, k: int = 2) -> tuple[PipelineModel, list[float]]:
         s = 1.0 if v[lead] >= 0 else -1.0
         signs.append(s)
         offsets.append(float(mean @ v))
-    scores = PCScores(inputCol="_pca_raw", outputCols=[f"pc{j + 1}" for j in range(k)], offsets=offsets, signs=signs)
+    scores = PCScores(inputCol="__pca_raw", outputCols=[f"pc{j + 1}" for j in range(k)], offsets=offsets, signs=signs)
     return PipelineModel([model, scores]), [float(v) for v in model.explainedVariance.toArray()]
 
 

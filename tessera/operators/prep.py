@@ -127,7 +127,8 @@ def fit_preprocessor(df: DataFrame, num_cols: list[str], cat_cols: list[str], ou
     return model, est.info
 
 
-INTERNAL_PREFIXES = ("__num_", "__cat_", "__idx_", "__ohe_")
+INTERNAL_PREFIXES = ("__num_", "__cat_", "__idx_", "__ohe_", "__features", "__prediction", "__raw", "__prob",
+                     "__km", "__pca_raw")
 
 
 def drop_internal(df: DataFrame) -> DataFrame:

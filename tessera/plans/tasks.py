@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IndexToString, StringIndexerModel
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,12 +108,14 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
     split = M.persist(exact_split(df2, test_size, seed))
     train = split.where(~F.col("is_test"))
     test = split.where(F.col("is_test"))
-    prep, info = fit_preprocessor(train, num_cols, cat_cols, max_categories=p.get("max_categories", 1000))
+    prep, info = fit_preprocessor(train, num_cols, cat_cols, output_col=M.FEATURES,
+                                  max_categories=p.get("max_categories", 1000))
     held = [split]
     if task == "Classification":
         ytxt = as_text(_c(target), target_type)
         # distinct train labels in one bounded job: at most MAX_CLASSES + 1 rows reach the driver
-        seen = (train.select(ytxt.alias("y_text")).distinct().limit(MAX_CLASSES + 1).toPandas()["y_text"].tolist())
+        seen = (train.select(ytxt.alias("__y_text")).distinct().limit(MAX_CLASSES + 1)
+                .toPandas()["__y_text"].tolist())
         if len(seen) > MAX_CLASSES:
             raise ValueError(f"Target column has more than {MAX_CLASSES} classes; use a regression task.")
         labels = metrics.label_order(seen, is_numeric(target_type))
@@ -121,12 +123,13 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
             raise ValueError("This solver needs samples of at least 2 classes in the data, but the data contains "
                              f"only one class: {labels[0]!r}")
         # train labels only: "keep" would add an unknown class to the metadata (3 classes for a binary task)
-        indexer = StringIndexerModel.from_labels(labels, inputCol="y_text", outputCol="label", handleInvalid="error")
-        train_feat = M.persist(indexer.transform(prep.transform(train.withColumn("y_text", ytxt)))
-                               .select("row_key", "features", "label"))
+        indexer = StringIndexerModel.from_labels(labels, inputCol="__y_text", outputCol=M.LABEL,
+                                                 handleInvalid="error")
+        train_feat = M.persist(indexer.transform(prep.transform(train.withColumn("__y_text", ytxt)))
+                               .select("row_key", M.FEATURES, M.LABEL))
         held.append(train_feat)
         fitted = M.fit_classifier(model_name, train_feat, info.rows, seed, p)
-        to_text = IndexToString(inputCol="prediction", outputCol="y_pred", labels=labels)
+        to_text = IndexToString(inputCol=M.PREDICTION, outputCol="y_pred", labels=labels)
         model = PipelineModel([prep, fitted, to_text])
         results = (model.transform(test)
                    .select("row_key", ytxt.alias("y_true"), F.col("y_pred")))
@@ -141,11 +144,12 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
             raise ValueError("Regression target must be numeric.")
         y = _c(target).cast("double")
         ystats = train.agg(F.stddev_pop(y).alias("sd")).first()
-        train_feat = M.persist(prep.transform(train).select("row_key", "features", y.alias("y")))
+        train_feat = M.persist(prep.transform(train).select("row_key", M.FEATURES, y.alias(M.Y)))
         held.append(train_feat)
         fitted = M.fit_regressor(model_name, train_feat, info.rows, float(ystats["sd"] or 0.0), seed, p)
-        model = PipelineModel([prep, fitted])
-        results = model.transform(test).select("row_key", y.alias("y_true"), F.col("prediction").alias("y_pred"))
+        named = SQLTransformer(statement=f"SELECT *, {M.PREDICTION} AS y_pred FROM __THIS__")
+        model = PipelineModel([prep, fitted, named])
+        results = model.transform(test).select("row_key", y.alias("y_true"), F.col("y_pred"))
         row = metrics.regression_metrics(results).first()
         report.update({"rmse": float(row["rmse"]), "r2": float(row["r2"])})
         plot = Plot(type="pred_vs_actual", range=metrics.axis_range(results),
@@ -158,14 +162,15 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
     user_cols = [c for c in df.columns]
     skip = {"row_key", *exclude}
     num_cols, cat_cols = split_roles(keyed, [c for c in keyed.columns if c not in skip])
-    prep, info = fit_preprocessor(keyed, num_cols, cat_cols, max_categories=p.get("max_categories", 1000))
+    prep, info = fit_preprocessor(keyed, num_cols, cat_cols, output_col=M.FEATURES,
+                                  max_categories=p.get("max_categories", 1000))
     feats = M.persist(prep.transform(keyed))
     held = [feats]
     width = len(info.feature_names)
     if task == "Clustering":
         if info.rows < int(p["k"]):
             raise ValueError(f"n_samples={info.rows} should be >= n_clusters={int(p['k'])}.")
-        km = M.fit_kmeans(feats.select("row_key", "features"), seed, p, info.mean_variance, info.rows)
+        km = M.fit_kmeans(feats.select("row_key", M.FEATURES), seed, p, info.mean_variance, info.rows)
         model = PipelineModel([prep, km])
         out = km.transform(feats)
         results = drop_internal(out).select(*[_c(c) for c in user_cols], F.col("cluster"))
@@ -175,12 +180,12 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
         if width >= 2 and info.rows >= 2:
             def view():
                 pca, _ = M.fit_pca(feats, 2)
-                return metrics.grid_counts(pca.transform(out.select("features", "cluster")), "pc1", "pc2",
+                return metrics.grid_counts(pca.transform(out.select(M.FEATURES, "cluster")), "pc1", "pc2",
                                            group="cluster")
             plot["data"] = _Lazy(view)
         return TaskResult(model, results, report, plot, held)
     if task == "Anomaly Detection":
-        forest = M.fit_iforest(feats.select("row_key", "features"), seed, p)
+        forest = M.fit_iforest(feats.select("row_key", M.FEATURES), seed, p)
         model = PipelineModel([prep, forest])
         results = drop_internal(forest.transform(feats)).select(*[_c(c) for c in user_cols], "is_anomaly",
                                                                 "anomaly_score")

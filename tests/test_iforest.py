@@ -62,7 +62,7 @@ def test_iforest_model_save_load(spark, tmp_path):
     path = str(tmp_path / "forest")
     forest.write().overwrite().save(path)
     again = IsolationForestModel.load(path)
-    probe = spark.createDataFrame([(Vectors.dense([0.0, 0.0]),), (Vectors.dense([5.0, 5.0]),)], ["features"])
+    probe = spark.createDataFrame([(Vectors.dense([0.0, 0.0]),), (Vectors.dense([5.0, 5.0]),)], ["__features"])
     a = [r["anomaly_score"] for r in forest.transform(probe).collect()]
     b = [r["anomaly_score"] for r in again.transform(probe).collect()]
     assert a == b and a[1] < a[0]

@@ -51,8 +51,8 @@ def test_sinks_round_trip(spark, small, tmp_path):
     mp = str(tmp_path / "model")
     save_model(res.model, mp)
     test = small.where("id < 10")
-    a = [r["prediction"] for r in res.model.transform(test).collect()]
-    b = [r["prediction"] for r in load_model(mp).transform(test).collect()]
+    a = [r["y_pred"] for r in res.model.transform(test).collect()]
+    b = [r["y_pred"] for r in load_model(mp).transform(test).collect()]
     assert a == b
     res.release()
 
@@ -93,3 +93,29 @@ def test_degenerate_inputs(spark):
     res = run_task(one.limit(1), "Anomaly Detection", "Isolation Forest", None, key_cols=["id"], exclude=["id"])
     assert res.results.count() == 1
     res.release()
+
+
+def test_csv_end_to_end(spark, tmp_path):
+    """The reference's flow: a CSV with NA markers, bool and date-like text -> classification -> exports."""
+    lines = ["id,amount,flag,day,segment,label"]
+    for i in range(300):
+        amount = "NA" if i % 17 == 0 else f"{(i % 50) * 1.5:.1f}"
+        seg = "" if i % 13 == 0 else ("retail" if i % 3 else "corp")
+        label = "high" if (i % 50) >= 25 else "low"
+        lines.append(f"{i},{amount},{'True' if i % 2 else 'False'},2020-01-{1 + i % 28:02d},{seg},{label}")
+    path = str(tmp_path / "data.csv")
+    with open(path, "w") as f:
+        f.write("\n".join(lines) + "\n")
+    from tessera.__main__ import main
+
+    out = str(tmp_path / "out")
+    assert main(["run", path, "--task", "Classification", "--model", "Logistic Regression", "--target", "label",
+                 "--key", "id", "--exclude", "id", "--out", out]) == 0
+    report = read_report_json(spark, f"{out}/report")
+    assert report["class_labels"] == ["high", "low"] and report["accuracy"] > 0.9
+    assert read_csv(spark, f"{out}/results").count() == 60
+    assert main(["profile", path, "--out", str(tmp_path / "profile")]) == 0
+    prof = read_csv(spark, str(tmp_path / "profile"))
+    got = {(r["section"], r["name"]): r["value"] for r in prof.collect()}
+    assert got[("shape", "rows")] == "300" and got[("missing", "amount")] == "18"
+    assert got[("dtype", "flag")] == "boolean" and got[("dtype", "day")] == "string"
