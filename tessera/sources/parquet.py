@@ -12,16 +12,19 @@ from tessera.functions.columns import is_categorical, is_numeric, normalize_null
 
 
 def balance_partitions(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cluster when it yields fewer partitions than cores.
+    """Spread a Parquet scan over the cluster when it yields fewer partitions than cores.
 
     A Parquet row group is the smallest unit a scan can split, so a small file
     written as one row group is read by one task and every expression above it
     (hashes, regexes, casts) runs single-threaded. Large inputs have far more
-    splits than cores, and then this is a no-op.
+    splits than cores, and then this is a no-op. The spread hashes Parquet's
+    row index: deterministic on recomputation and, unlike a round-robin
+    repartition, it needs no sort of each input partition first. ``df`` must be
+    the scan itself (the hidden ``_metadata`` column is read from it).
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        return df.repartition(target, F.col("_metadata.row_index"))
     return df
 
 
@@ -34,10 +37,10 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     ``normalize_nan=True`` rewrites NaN to NULL here instead.
     """
     df = spark.read.parquet(path)
-    if columns:
-        df = df.select(*[F.col(f"`{c}`") for c in columns])
     if balance:
         df = balance_partitions(df)
+    if columns:
+        df = df.select(*[F.col(f"`{c}`") for c in columns])
     return normalize_nulls(df) if normalize_nan else df
 
 
