@@ -40,8 +40,11 @@ def _infer(table: str, cols: list[str]) -> str:
     return "\nUNION ALL".join(parts)
 
 
-_DTYPE = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
-                 WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean'
+_DTYPE = """CASE WHEN data_type = 'BIGINT' THEN 'bigint' WHEN data_type = 'INTEGER' THEN 'int'
+                 WHEN data_type = 'DOUBLE' THEN 'double' WHEN data_type = 'VARCHAR' THEN 'string'
+                 WHEN data_type = 'BOOLEAN' THEN 'boolean'
+                 WHEN data_type = 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp'
+                 WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz'
                  ELSE lower(data_type) END"""
 
 
