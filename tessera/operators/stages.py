@@ -11,9 +11,8 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.functions.columns import as_text, num_value
+from tessera.functions.columns import as_text, num_value, zscore
 
 
 def _c(name: str):
@@ -52,8 +51,7 @@ class ImputeScaleModel(Transformer, DefaultParamsReadable, DefaultParamsWritable
         out = {}
         g = self.getOrDefault
         for i, (c, med, mu, sd) in enumerate(zip(g(self.numCols), g(self.medians), g(self.means), g(self.stds))):
-            scale = sd if sd > 0.0 else 1.0
-            out[f"__num_{i}"] = (F.coalesce(num_value(_c(c)), F.lit(med)) - F.lit(mu)) / F.lit(scale)
+            out[f"__num_{i}"] = zscore(F.coalesce(num_value(_c(c)), F.lit(med)), mu, sd)
         for i, (c, mode) in enumerate(zip(g(self.catCols), g(self.modes))):
             out[f"__cat_{i}"] = F.coalesce(as_text(_c(c), types[c]), F.lit(mode))
         return df.withColumns(out) if out else df
@@ -101,22 +99,3 @@ class PCScores(Transformer, DefaultParamsReadable, DefaultParamsWritable):
                                                 self.getOrDefault(self.signs))):
             out[name] = F.lit(s) * (arr[j] - F.lit(off))
         return df.withColumns(out)
-
-
-class ColumnText(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """``outputCol`` = the reference's text form of ``inputCol`` (labels as strings)."""
-
-    inputCol = Param(Params._dummy(), "inputCol", "input column", TypeConverters.toString)
-    outputCol = Param(Params._dummy(), "outputCol", "output column", TypeConverters.toString)
-
-    def __init__(self, inputCol="y", outputCol="y_text"):
-        super().__init__()
-        self._set(inputCol=inputCol, outputCol=outputCol)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        name = self.getOrDefault(self.inputCol)
-        if name not in df.columns:
-            return df
-        dt = df.schema[name].dataType
-        text = as_text(_c(name), dt) if not isinstance(dt, T.StringType) else _c(name)
-        return df.withColumn(self.getOrDefault(self.outputCol), text)
