@@ -54,7 +54,10 @@ def main(argv: list[str] | None = None) -> int:
     params = {}
     for item in args.param:
         name, _, value = item.partition("=")
-        params[name] = json.loads(value) if value[:1] in "-0123456789[{tfn" else value
+        try:
+            params[name] = json.loads(value)
+        except ValueError:
+            params[name] = value
     res = run_task(df, args.task, args.model, args.target, args.test_size, args.seed, params=params,
                    key_cols=args.key, exclude=args.exclude)
     write_results_csv(res.results, f"{out}/results")
