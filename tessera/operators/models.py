@@ -78,7 +78,7 @@ def hot_keys(df: DataFrame, n_partitions: int, key: str = "row_key", rows: int |
     """Keys holding more than a partition's share of the rows (groups of exact copies).
 
     Found on a Bernoulli sample of the key column (about HOT_SAMPLE_ROWS rows);
-    at most ``n_partitions`` keys can pass the threshold, so the result is bounded.
+    at most ``2 * n_partitions`` keys can pass the threshold, so the result is bounded.
     A key with a third of all rows is always caught; a key with a single row never is.
     """
     if rows is None:
@@ -88,8 +88,9 @@ def hot_keys(df: DataFrame, n_partitions: int, key: str = "row_key", rows: int |
     frac = min(1.0, HOT_SAMPLE_ROWS / rows)
     threshold = max(2.0, 0.5 * frac * rows / n_partitions)
     sample = df.select(key).sample(withReplacement=False, fraction=frac, seed=17) if frac < 1.0 else df.select(key)
+    # keys at or above half a partition's share of the sample: at most 2 * n_partitions of them exist
     hot = (sample.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
-           .orderBy(F.desc("n")).limit(n_partitions).toPandas())
+           .limit(2 * n_partitions).toPandas())
     return hot[key].tolist()
 
 
