@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,7 +88,27 @@ def find_cut(hashed: DataFrame, k: int, first: list | None = None) -> tuple[str,
 def exact_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = "row_key",
                 flag: str = "is_test") -> DataFrame:
     """``df`` plus a boolean ``is_test``; exactly ``ceil(test_size*n)`` test rows."""
-    hashed = df.withColumn("_h", split_hash(key, seed))
+    return _split(df.withColumn("_h", split_hash(key, seed)), test_size, flag)
+
+
+def exact_split_cached(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = "row_key",
+                       flag: str = "is_test") -> tuple[DataFrame, DataFrame]:
+    """Like ``exact_split``, for inputs that are read many times (model fitting).
+
+    The input with its hash is cached once (``MEMORY_AND_DISK``), so the cut
+    passes and every later pass read the cache: the input is scanned and hashed
+    once instead of once per pass, and the flag is a comparison on the cached
+    hash. Returns ``(split, cached)``; unpersist ``cached`` when done.
+    """
+    hashed = df.withColumn("_h", split_hash(key, seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _split(hashed, test_size, flag), hashed
+    except Exception:
+        hashed.unpersist()
+        raise
+
+
+def _split(hashed: DataFrame, test_size: float, flag: str) -> DataFrame:
     first = _prefix_hist(hashed, "", PREFIX_STEP)  # the top-level histogram also yields n
     n = sum(c for _, c in first)
     if n == 0:
@@ -100,7 +121,7 @@ def exact_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str
     if need >= at:
         return hashed.withColumn(flag, F.col("_h") <= F.lit(t)).drop("_h")
     # the cut falls inside a group of identical rows: number that group alone
-    ensure_checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(hashed.sparkSession)
     rest = hashed.where(F.col("_h") != F.lit(t)).withColumn(flag, F.col("_h") < F.lit(t))
     group = hashed.where(F.col("_h") == F.lit(t)).checkpoint(eager=True)
     pid = F.spark_partition_id()

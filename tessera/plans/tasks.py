@@ -23,7 +23,7 @@ from tessera.functions.columns import as_text, is_numeric
 from tessera.operators import metrics
 from tessera.operators import models as M
 from tessera.operators.prep import drop_internal, fit_preprocessor, split_roles
-from tessera.operators.split import exact_split, with_row_key
+from tessera.operators.split import exact_split_cached, with_row_key
 
 MAX_CLASSES = 1000
 
@@ -105,12 +105,12 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
     num_cols, cat_cols = split_roles(df2, [c for c in df2.columns if c not in skip])
     # only the key, the target and the features are cached for the fit passes
     df2 = df2.select("row_key", _c(target), *[_c(c) for c in num_cols + cat_cols])
-    split = M.persist(exact_split(df2, test_size, seed))
+    split, cached = exact_split_cached(df2, test_size, seed)
     train = split.where(~F.col("is_test"))
     test = split.where(F.col("is_test"))
     prep, info = fit_preprocessor(train, num_cols, cat_cols, output_col=M.FEATURES,
                                   max_categories=p.get("max_categories", 1000))
-    held = [split]
+    held = [cached]
     if task == "Classification":
         ytxt = as_text(_c(target), target_type)
         # distinct train labels in one bounded job: at most MAX_CLASSES + 1 rows reach the driver
