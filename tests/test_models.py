@@ -50,7 +50,7 @@ def test_logistic_gradient_is_zero(spark):
     Z = (X - X.mean(0)) / X.std(0)
     w, b = lr.coefficients.toArray(), lr.intercept
     p = 1 / (1 + np.exp(-(Z @ w + b)))
-    # sklearn objective with C = 1: 0.5 |w|^2 + sum(logloss); gradient w.r.t. w and b
+    # the reference objective with C = 1: 0.5 |w|^2 + sum(logloss); gradient w.r.t. w and b
     gw = w + Z.T @ (p - y[train])
     gb = np.sum(p - y[train])
     assert np.max(np.abs(gw)) < 1e-3 and abs(gb) < 1e-3
