@@ -158,21 +158,25 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
 
 
 def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> TaskResult:
-    keyed = with_row_key(df, key_cols)
+    # the input (all columns: the results keep them) is cached once; the statistics passes read it,
+    # the fits read a compact cached (row_key, features) table, and the results apply the fitted
+    # pipeline to the cached input
+    keyed = M.persist(with_row_key(df, key_cols))
+    held = [keyed]
     user_cols = [c for c in df.columns]
     skip = {"row_key", *exclude}
     num_cols, cat_cols = split_roles(keyed, [c for c in keyed.columns if c not in skip])
     prep, info = fit_preprocessor(keyed, num_cols, cat_cols, output_col=M.FEATURES,
                                   max_categories=p.get("max_categories", 1000))
-    feats = M.persist(prep.transform(keyed))
-    held = [feats]
+    feats = M.persist(prep.transform(keyed).select("row_key", M.FEATURES))
+    held.append(feats)
     width = len(info.feature_names)
     if task == "Clustering":
         if info.rows < int(p["k"]):
             raise ValueError(f"n_samples={info.rows} should be >= n_clusters={int(p['k'])}.")
-        km = M.fit_kmeans(feats.select("row_key", M.FEATURES), seed, p, info.mean_variance, info.rows)
+        km = M.fit_kmeans(feats, seed, p, info.mean_variance, info.rows)
         model = PipelineModel([prep, km])
-        out = km.transform(feats)
+        out = model.transform(keyed)
         results = drop_internal(out).select(*[_c(c) for c in user_cols], F.col("cluster"))
         sizes = (metrics.cluster_sizes(results).orderBy(F.desc("n"), "cluster").collect())
         report.update({"k": int(p["k"]), "cluster_counts": {int(r["cluster"]): int(r["n"]) for r in sizes}})
@@ -185,10 +189,10 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
             plot["data"] = _Lazy(view)
         return TaskResult(model, results, report, plot, held)
     if task == "Anomaly Detection":
-        forest = M.fit_iforest(feats.select("row_key", M.FEATURES), seed, p)
+        forest = M.fit_iforest(feats, seed, p)
         model = PipelineModel([prep, forest])
-        results = drop_internal(forest.transform(feats)).select(*[_c(c) for c in user_cols], "is_anomaly",
-                                                                "anomaly_score")
+        results = drop_internal(model.transform(keyed)).select(*[_c(c) for c in user_cols], "is_anomaly",
+                                                               "anomaly_score")
         results = M.persist(results)
         held.append(results)
         report.update({"anomalies": int(metrics.anomaly_count(results).first()["anomalies"])})
@@ -204,8 +208,8 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
                          f"{min(info.rows, width)}")
     pca, evr = M.fit_pca(feats, k)
     model = PipelineModel([prep, pca])
-    results = drop_internal(pca.transform(feats)).select(*[_c(c) for c in user_cols],
-                                                         *[f"pc{j + 1}" for j in range(k)])
+    results = drop_internal(model.transform(keyed)).select(*[_c(c) for c in user_cols],
+                                                           *[f"pc{j + 1}" for j in range(k)])
     report.update({"components": k, "explained_variance_ratio": evr})
     plot = Plot(type="scatter2d", title="PCA (PC1 vs PC2)",
                 data=_Lazy(lambda: metrics.grid_counts(results, "pc1", "pc2")))
