@@ -152,7 +152,67 @@ _LOGREG_SQL = f"""
                CASE WHEN w * z + b > 0 THEN 'True' ELSE 'False' END AS y_pred, count(*) AS n
         FROM zs, it12 WHERE is_test GROUP BY 1, 2"""
 
-_TOP_MISSING_ORDERS = f"SELECT * FROM ({_missing('orders_nulls', ORDERS_COLS)}) ORDER BY n_missing DESC, position LIMIT 10"
+def _ridge_report(key: str, table: str, num: list[str], cat: str, target: str, alpha: float = 1.0) -> str:
+    """Ridge (alpha, free intercept) on median-filled z-scores plus a one-hot column, solved in SQL.
+
+    The features are long-form ``(rn, fid, v)``, ``rn`` being the split rank (unique even where keys repeat). The centred normal equations (X'X + alpha*I) w = X'y form an
+    augmented matrix ``(i, j, v)`` that a recursive CTE reduces by Gauss-Jordan elimination, one pivot per step, so
+    the number of one-hot levels comes from the data. The result is the report's rmse and r2 (3 decimals)."""
+    p_num = len(num)
+    xs = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(num))
+    meds = ", ".join(f"median(x{i}) AS m{i}" for i in range(p_num))
+    unpiv = "\n            UNION ALL ".join(
+        f"SELECT rn, is_test, y, {i} AS fid, coalesce(x{i}, m{i}) AS v FROM flag, med" for i in range(p_num))
+    return f"""
+        WITH RECURSIVE base AS (SELECT {key} AS row_key, {xs}, CAST({cat} AS VARCHAR) AS c,
+                             CAST({target} AS DOUBLE) AS y FROM {table} WHERE {target} IS NOT NULL),
+        ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', row_key, '42'))) AS rn,
+                          count(*) OVER () AS n FROM base),
+        flag AS (SELECT *, rn <= CEIL(0.2::DOUBLE * n) AS is_test FROM ranked),
+        med AS (SELECT {meds} FROM flag WHERE NOT is_test),
+        cmode AS (SELECT c AS mode FROM flag WHERE NOT is_test AND c IS NOT NULL
+                  GROUP BY c ORDER BY count(*) DESC, c LIMIT 1),
+        levels AS (SELECT DISTINCT coalesce(c, mode) AS lv FROM flag, cmode WHERE NOT is_test),
+        lvl AS (SELECT lv, {p_num} - 1 + row_number() OVER (ORDER BY lv) AS fid FROM levels),
+        raw AS ({unpiv}),
+        mom AS (SELECT fid, avg(v) AS mu, stddev_pop(v) AS sd FROM raw WHERE NOT is_test GROUP BY fid),
+        feats AS (SELECT raw.rn, raw.is_test, raw.y, raw.fid,
+                         (raw.v - mom.mu) / CASE WHEN mom.sd = 0 THEN 1 ELSE mom.sd END AS v
+                  FROM raw JOIN mom ON raw.fid = mom.fid
+                  UNION ALL
+                  SELECT flag.rn, flag.is_test, flag.y, lvl.fid,
+                         CASE WHEN coalesce(flag.c, cmode.mode) = lvl.lv THEN 1.0 ELSE 0.0 END
+                  FROM flag, cmode, lvl),
+        nfeat AS (SELECT count(DISTINCT fid) AS p FROM feats),
+        xbar AS (SELECT fid, avg(v) AS xb FROM feats WHERE NOT is_test GROUP BY fid),
+        ybar AS (SELECT avg(y) AS yb FROM flag WHERE NOT is_test),
+        cx AS (SELECT f.rn, f.y - ybar.yb AS yc, f.fid, f.v - xbar.xb AS vc
+               FROM feats f JOIN xbar ON f.fid = xbar.fid, ybar WHERE NOT f.is_test),
+        aug AS (SELECT a.fid AS i, b.fid AS j,
+                       sum(a.vc * b.vc) + CASE WHEN a.fid = b.fid THEN {float(alpha)} ELSE 0.0 END AS v
+                FROM cx a JOIN cx b ON a.rn = b.rn GROUP BY a.fid, b.fid
+                UNION ALL
+                SELECT fid, (SELECT p FROM nfeat), sum(vc * yc) FROM cx GROUP BY fid),
+        gj(k, i, j, v) AS (
+            SELECT 0, i, j, v FROM aug
+            UNION ALL
+            SELECT k + 1, i, j, CASE WHEN i = k THEN v / pkk ELSE v - pik * pkj / pkk END
+            FROM (SELECT k, i, j, v,
+                         max(CASE WHEN i = k AND j = k THEN v END) OVER () AS pkk,
+                         max(CASE WHEN i = k THEN v END) OVER (PARTITION BY j) AS pkj,
+                         max(CASE WHEN j = k THEN v END) OVER (PARTITION BY i) AS pik
+                  FROM gj WHERE k < (SELECT p FROM nfeat)) t),
+        w AS (SELECT i AS fid, v AS w FROM gj WHERE k = (SELECT p FROM nfeat) AND j = (SELECT p FROM nfeat)),
+        b0 AS (SELECT max(ybar.yb) - sum(w.w * xbar.xb) AS b FROM w JOIN xbar ON w.fid = xbar.fid, ybar),
+        pred AS (SELECT f.rn, max(f.y) AS y_true, max(b0.b) + sum(w.w * f.v) AS y_pred
+                 FROM feats f JOIN w ON f.fid = w.fid, b0 WHERE f.is_test GROUP BY f.rn),
+        m AS (SELECT sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse,
+                     1 - sum((y_true - y_pred) * (y_true - y_pred)) / (var_pop(y_true) * count(*)) AS r2 FROM pred)
+        SELECT 'rmse' AS metric, round(rmse, 3) AS value FROM m
+        UNION ALL SELECT 'r2', round(r2, 3) FROM m"""
+
+
+_TOP_MISSING_ORDERS =f"SELECT * FROM ({_missing('orders_nulls', ORDERS_COLS)}) ORDER BY n_missing DESC, position LIMIT 10"
 
 ORACLE_SQL: dict[str, str] = {
     "s2_infer_lineitem": _infer("lineitem", LINEITEM_COLS),
@@ -299,3 +359,6 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 2, round((1 - abs(r)) / 2, 6) FROM s""",
 }
 ORACLE_SQL["k3_model_roundtrip_part"] = ORACLE_SQL["m7_pca_scores_part"]
+ORACLE_SQL["m9_report_regression_lineitem"] = _ridge_report(
+    _LINE_KEY, "lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag",
+    "l_extendedprice * (1 - l_discount)")
