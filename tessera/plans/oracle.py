@@ -1,8 +1,9 @@
 """DuckDB oracle SQL for the registered queries (same column names, same rounding).
 
-Queries whose results come from randomised fits (forests, k-means, isolation
-forest, logistic regression) have no entry: the driver then checks rows only,
-and pytest checks their properties.
+Ridge and logistic regression are solved in SQL too (normal equations and
+Newton steps by Gauss-Jordan elimination in recursive CTEs). Queries whose
+results come from randomised fits (forests, k-means, isolation forest) have no
+entry: the driver then checks rows only, and pytest checks their properties.
 """
 
 from __future__ import annotations
@@ -152,20 +153,19 @@ _LOGREG_SQL = f"""
                CASE WHEN w * z + b > 0 THEN 'True' ELSE 'False' END AS y_pred, count(*) AS n
         FROM zs, it12 WHERE is_test GROUP BY 1, 2"""
 
-def _ridge_report(key: str, table: str, num: list[str], cat: str, target: str, alpha: float = 1.0) -> str:
-    """Ridge (alpha, free intercept) on median-filled z-scores plus a one-hot column, solved in SQL.
+def _design(key: str, table: str, num: list[str], cat: str, target: str) -> str:
+    """CTEs shared by the model oracles: the exact split, median fill, z-scores and one-hot levels of the train rows.
 
-    The features are long-form ``(rn, fid, v)``, ``rn`` being the split rank (unique even where keys repeat). The centred normal equations (X'X + alpha*I) w = X'y form an
-    augmented matrix ``(i, j, v)`` that a recursive CTE reduces by Gauss-Jordan elimination, one pivot per step, so
-    the number of one-hot levels comes from the data. The result is the report's rmse and r2 (3 decimals)."""
+    ``feats`` is long-form ``(rn, is_test, y, fid, v)``, ``rn`` being the split rank (unique even where keys
+    repeat); fids ``0..len(num)-1`` are the z-scores, then one per train level of ``cat`` in sorted order."""
     p_num = len(num)
     xs = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(num))
     meds = ", ".join(f"median(x{i}) AS m{i}" for i in range(p_num))
     unpiv = "\n            UNION ALL ".join(
         f"SELECT rn, is_test, y, {i} AS fid, coalesce(x{i}, m{i}) AS v FROM flag, med" for i in range(p_num))
     return f"""
-        WITH RECURSIVE base AS (SELECT {key} AS row_key, {xs}, CAST({cat} AS VARCHAR) AS c,
-                             CAST({target} AS DOUBLE) AS y FROM {table} WHERE {target} IS NOT NULL),
+        base AS (SELECT {key} AS row_key, {xs}, CAST({cat} AS VARCHAR) AS c,
+                        CAST({target} AS DOUBLE) AS y FROM {table} WHERE {target} IS NOT NULL),
         ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', row_key, '42'))) AS rn,
                           count(*) OVER () AS n FROM base),
         flag AS (SELECT *, rn <= CEIL(0.2::DOUBLE * n) AS is_test FROM ranked),
@@ -183,7 +183,30 @@ def _ridge_report(key: str, table: str, num: list[str], cat: str, target: str, a
                   SELECT flag.rn, flag.is_test, flag.y, lvl.fid,
                          CASE WHEN coalesce(flag.c, cmode.mode) = lvl.lv THEN 1.0 ELSE 0.0 END
                   FROM flag, cmode, lvl),
-        nfeat AS (SELECT count(DISTINCT fid) AS p FROM feats),
+        nfeat AS (SELECT count(DISTINCT fid) AS p FROM feats)"""
+
+
+def _gauss_jordan(name: str, aug: str, size: str) -> str:
+    """Recursive CTE ``name(k, i, j, v)``: Gauss-Jordan elimination of the augmented matrix ``aug(i, j, v)``
+    (rows ``0..size-1``, right-hand side in column ``size``), one pivot per step; the solution is column ``size``
+    at ``k = size``. The matrices here are symmetric positive definite, so no pivoting is needed."""
+    return f"""
+        {name}(k, i, j, v) AS (
+            SELECT 0, i, j, v FROM {aug}
+            UNION ALL
+            SELECT k + 1, i, j, CASE WHEN i = k THEN v / pkk ELSE v - pik * pkj / pkk END
+            FROM (SELECT k, i, j, v,
+                         max(CASE WHEN i = k AND j = k THEN v END) OVER () AS pkk,
+                         max(CASE WHEN i = k THEN v END) OVER (PARTITION BY j) AS pkj,
+                         max(CASE WHEN j = k THEN v END) OVER (PARTITION BY i) AS pik
+                  FROM {name} WHERE k < {size}) t)"""
+
+
+def _ridge_report(key: str, table: str, num: list[str], cat: str, target: str, alpha: float = 1.0) -> str:
+    """Ridge (alpha, free intercept) on the design of ``_design``, solved in SQL: the centred normal equations
+    (X'X + alpha*I) w = X'y by Gauss-Jordan elimination. The result is the report's rmse and r2 (3 decimals)."""
+    return f"""
+        WITH RECURSIVE {_design(key, table, num, cat, target)},
         xbar AS (SELECT fid, avg(v) AS xb FROM feats WHERE NOT is_test GROUP BY fid),
         ybar AS (SELECT avg(y) AS yb FROM flag WHERE NOT is_test),
         cx AS (SELECT f.rn, f.y - ybar.yb AS yc, f.fid, f.v - xbar.xb AS vc
@@ -193,15 +216,7 @@ def _ridge_report(key: str, table: str, num: list[str], cat: str, target: str, a
                 FROM cx a JOIN cx b ON a.rn = b.rn GROUP BY a.fid, b.fid
                 UNION ALL
                 SELECT fid, (SELECT p FROM nfeat), sum(vc * yc) FROM cx GROUP BY fid),
-        gj(k, i, j, v) AS (
-            SELECT 0, i, j, v FROM aug
-            UNION ALL
-            SELECT k + 1, i, j, CASE WHEN i = k THEN v / pkk ELSE v - pik * pkj / pkk END
-            FROM (SELECT k, i, j, v,
-                         max(CASE WHEN i = k AND j = k THEN v END) OVER () AS pkk,
-                         max(CASE WHEN i = k THEN v END) OVER (PARTITION BY j) AS pkj,
-                         max(CASE WHEN j = k THEN v END) OVER (PARTITION BY i) AS pik
-                  FROM gj WHERE k < (SELECT p FROM nfeat)) t),
+        {_gauss_jordan("gj", "aug", "(SELECT p FROM nfeat)")},
         w AS (SELECT i AS fid, v AS w FROM gj WHERE k = (SELECT p FROM nfeat) AND j = (SELECT p FROM nfeat)),
         b0 AS (SELECT max(ybar.yb) - sum(w.w * xbar.xb) AS b FROM w JOIN xbar ON w.fid = xbar.fid, ybar),
         pred AS (SELECT f.rn, max(f.y) AS y_true, max(b0.b) + sum(w.w * f.v) AS y_pred
@@ -212,7 +227,40 @@ def _ridge_report(key: str, table: str, num: list[str], cat: str, target: str, a
         UNION ALL SELECT 'r2', round(r2, 3) FROM m"""
 
 
-_TOP_MISSING_ORDERS =f"SELECT * FROM ({_missing('orders_nulls', ORDERS_COLS)}) ORDER BY n_missing DESC, position LIMIT 10"
+def _logreg_results(key: str, table: str, num: list[str], cat: str, target: str, steps: int = 12) -> str:
+    """Binary logistic regression, 0.5*|w|^2 + sum(logloss) (C = 1, free intercept), by Newton's method in SQL.
+
+    Each step forms the gradient and the Hessian over the train rows and solves for the Newton step by
+    Gauss-Jordan elimination. The result is ``(row_key, y_true, y_pred)`` for every test row."""
+    p = "(SELECT p FROM nfeat)"
+    ctes = [f"""
+        xi AS (SELECT rn, is_test, fid, v FROM feats UNION ALL SELECT rn, is_test, {p}, 1.0 FROM flag),
+        xt AS (SELECT x.rn, x.fid, x.v, f.y FROM xi x JOIN flag f ON x.rn = f.rn WHERE NOT x.is_test),
+        w0 AS (SELECT DISTINCT fid, 0.0::DOUBLE AS w FROM xi)"""]
+    for t in range(1, steps + 1):
+        ctes.append(f"""
+        e{t} AS (SELECT x.rn, 1 / (1 + exp(-sum(x.v * w.w))) AS pr FROM xt x JOIN w{t - 1} w ON x.fid = w.fid
+                 GROUP BY x.rn),
+        a{t} AS (SELECT a.fid AS i, b.fid AS j,
+                        sum(e.pr * (1 - e.pr) * a.v * b.v) + CASE WHEN a.fid = b.fid AND a.fid < {p} THEN 1.0
+                                                              ELSE 0.0 END AS v
+                 FROM xt a JOIN xt b ON a.rn = b.rn JOIN e{t} e ON e.rn = a.rn GROUP BY a.fid, b.fid
+                 UNION ALL
+                 SELECT x.fid, {p} + 1, sum((e.pr - x.y) * x.v) + CASE WHEN x.fid < {p} THEN max(w.w) ELSE 0.0 END
+                 FROM xt x JOIN e{t} e ON x.rn = e.rn JOIN w{t - 1} w ON w.fid = x.fid GROUP BY x.fid),
+        {_gauss_jordan(f"gj{t}", f"a{t}", f"{p} + 1")},
+        w{t} AS (SELECT w.fid, w.w - g.v AS w FROM w{t - 1} w JOIN gj{t} g ON g.i = w.fid
+                 WHERE g.k = {p} + 1 AND g.j = {p} + 1)""")
+    return f"""
+        WITH RECURSIVE {_design(key, table, num, cat, target)},{",".join(ctes)},
+        eta AS (SELECT x.rn, sum(x.v * w.w) AS eta FROM xi x JOIN w{steps} w ON x.fid = w.fid WHERE x.is_test
+                GROUP BY x.rn)
+        SELECT f.row_key, CASE WHEN f.y = 1 THEN 'True' ELSE 'False' END AS y_true,
+               CASE WHEN eta.eta > 0 THEN 'True' ELSE 'False' END AS y_pred
+        FROM flag f JOIN eta ON f.rn = eta.rn"""
+
+
+_TOP_MISSING_ORDERS = f"SELECT * FROM ({_missing('orders_nulls', ORDERS_COLS)}) ORDER BY n_missing DESC, position LIMIT 10"
 
 ORACLE_SQL: dict[str, str] = {
     "s2_infer_lineitem": _infer("lineitem", LINEITEM_COLS),
@@ -362,3 +410,5 @@ ORACLE_SQL["k3_model_roundtrip_part"] = ORACLE_SQL["m7_pca_scores_part"]
 ORACLE_SQL["m9_report_regression_lineitem"] = _ridge_report(
     _LINE_KEY, "lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag",
     "l_extendedprice * (1 - l_discount)")
+ORACLE_SQL["m1_logreg_lineitem"] = _logreg_results(
+    _LINE_KEY, "lineitem", ["l_extendedprice", "l_discount", "l_tax"], "l_returnflag", "l_quantity > 25")
