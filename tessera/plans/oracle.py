@@ -165,7 +165,7 @@ def _design(key: str, table: str, num: list[str], cat: str, target: str) -> str:
         f"SELECT rn, is_test, y, {i} AS fid, coalesce(x{i}, m{i}) AS v FROM flag, med" for i in range(p_num))
     return f"""
         base AS (SELECT {key} AS row_key, {xs}, CAST({cat} AS VARCHAR) AS c,
-                        CAST({target} AS DOUBLE) AS y FROM {table} WHERE {target} IS NOT NULL),
+                        CAST(({target}) AS DOUBLE) AS y FROM {table} WHERE ({target}) IS NOT NULL),
         ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', row_key, '42'))) AS rn,
                           count(*) OVER () AS n FROM base),
         flag AS (SELECT *, rn <= CEIL(0.2::DOUBLE * n) AS is_test FROM ranked),
