@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, simhash
+from tessera.llm import bpe, decontaminate, rules, simhash, suffix, urls, warc
 from tessera.llm.common import load
+from tessera.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -22,6 +23,12 @@ def op2_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(spark, load(spark, sf, "pages", "page_id", "url", "html"), path)
+    return warc.verified_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_benchmark_contamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.find(spark, load(spark, sf, "documents", "doc_id", "text"), load(spark, sf, "benchmark", "item_id", "text"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
@@ -34,8 +41,25 @@ def op5_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(spark, load(spark, sf, "documents", "doc_id", "text"), shingle=3, distance=3)
 
 
+def op6_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge(spark, load(spark, sf, "pages", "page_id", "url"))
+
+
+def op7_exact_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.repeated_bytes(spark, load(spark, sf, "documents", "doc_id", "text"), length=400)
+
+
+def op10_quality_votes(spark: SparkSession, sf: str) -> DataFrame:
+    out = rules.score(spark, load(spark, sf, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_warc_archive": op3_warc_archive,
     "op4_benchmark_contamination": op4_benchmark_contamination,
     "op5_simhash_groups": op5_simhash_groups,
+    "op6_url_rules": op6_url_rules,
+    "op7_exact_substrings": op7_exact_substrings,
+    "op10_quality_votes": op10_quality_votes,
 }
