@@ -9,13 +9,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, rules, simhash, suffix, urls, warc
+from tessera.llm import bpe, decontaminate, quality, rules, simhash, suffix, urls, warc
 from tessera.llm.common import load
 from tessera.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents", "doc_id", "text")
+    labels = load(spark, sf, "labels", "doc_id", "quality")
+    held = quality.held_out("doc_id", 5, 0)
+    model = quality.fit(spark, docs, labels.where(~held))
+    out = docs.select("doc_id", held.alias("held_out"), quality.score(spark, model, F.col("text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents", "doc_id", "text")
     out = bpe.encode_decode(docs, VOCABULARY, public_tokenizers.PATTERN)
@@ -55,6 +64,7 @@ def op10_quality_votes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_warc_archive": op3_warc_archive,
     "op4_benchmark_contamination": op4_benchmark_contamination,
