@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, quality, rules, simhash, suffix, urls, warc
+from tessera.llm import bpe, decontaminate, maxent, quality, rules, simhash, suffix, urls, warc
 from tessera.llm.common import load
 from tessera.session import scratch_path
 
@@ -58,6 +58,13 @@ def op7_exact_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return suffix.repeated_bytes(spark, load(spark, sf, "documents", "doc_id", "text"), length=400)
 
 
+def op9_maxent_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents", "doc_id", "text")
+    held = quality.held_out("doc_id", 7, 2)
+    out = maxent.score(spark, docs, ~held)
+    return out.select("doc_id", quality.held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_quality_votes(spark: SparkSession, sf: str) -> DataFrame:
     out = rules.score(spark, load(spark, sf, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -71,5 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_groups": op5_simhash_groups,
     "op6_url_rules": op6_url_rules,
     "op7_exact_substrings": op7_exact_substrings,
+    "op9_maxent_scores": op9_maxent_scores,
     "op10_quality_votes": op10_quality_votes,
 }
