@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, maxent, quality, rules, simhash, suffix, urls, warc
+from tessera.llm import bpe, decontaminate, licenses, maxent, quality, rules, simhash, suffix, urls, warc
 from tessera.llm.common import load
 from tessera.session import scratch_path
 
@@ -58,6 +58,14 @@ def op7_exact_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return suffix.repeated_bytes(spark, load(spark, sf, "documents", "doc_id", "text"), length=400)
 
 
+def op8_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.scan(spark, load(spark, sf, "documents", "doc_id", "text"))
+    names = F.array_join(F.transform("notices", lambda n: n["license"]), ", ")
+    edits = F.array_join(F.flatten(F.transform("notices", lambda n: n["differences"])), " ")
+    return found.select("doc_id", "n_blocks", F.size("notices").alias("n_notices"), names.alias("licenses"),
+                        F.array_join(F.transform("notices", lambda n: n["begin"].cast("string")), ",").alias("begins"), edits.alias("differences"))
+
+
 def op9_maxent_scores(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents", "doc_id", "text")
     held = quality.held_out("doc_id", 7, 2)
@@ -78,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_groups": op5_simhash_groups,
     "op6_url_rules": op6_url_rules,
     "op7_exact_substrings": op7_exact_substrings,
+    "op8_license_scan": op8_license_scan,
     "op9_maxent_scores": op9_maxent_scores,
     "op10_quality_votes": op10_quality_votes,
 }
