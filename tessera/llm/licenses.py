@@ -1,8 +1,8 @@
 """Licence scan by conditional compression.
 
-Words that licence notices use point at candidate blocks. Each block is compressed by zstandard alone
-and with each template as a raw dictionary; templates are ranked by how many bytes they save, and the
-ranked ones are confirmed by their exact wording differences from the block: the words of the
+Words that licence notices use point at candidate blocks. Each block is compressed by zstandard with
+each template as a raw dictionary, and with a text that is no licence; templates are ranked by how
+many bytes they save over that text, and the ranked ones are confirmed by their exact wording differences from the block: the words of the
 template that are missing, added or changed there.
 """
 
@@ -37,7 +37,8 @@ TEMPLATES = [
 CUES = [b"licens", b"copyright", b"creative commons", b"redistribut", b"all rights reserved", b"free of charge", b"free software", b"warranty"]
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: A template counts only if it saves at least so many bytes, and if at most this share of its words differs.
-LEAST_SAVED, MOST_DIFFERENT = 6, 0.15
+LEAST_SAVED, MOST_DIFFERENT = 3, 0.15
+CONTROL = b"the quick brown fox jumps over the lazy dog"
 
 
 def differences(template: list[bytes], words: list[bytes]) -> tuple[int, int, list[str]]:
@@ -74,11 +75,13 @@ class Scanner:
         self.cues = re.compile(b"|".join(map(re.escape, sorted(cues))))
         self.templates = [(name, WORD.findall(text.encode().translate(LOWER))) for name, text in templates]
         self.reach = max((len(t) for _, t in self.templates), default=0)
-        self.alone = zstandard.ZstdCompressor(level=19)
-        self.given = []
-        for _, ws in self.templates:
-            data = zstandard.ZstdCompressionDict(b" ".join(ws), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.given.append(zstandard.ZstdCompressor(level=19, dict_data=data))
+
+        def given(content: bytes) -> zstandard.ZstdCompressor:
+            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            return zstandard.ZstdCompressor(level=19, dict_data=data)
+
+        self.control = given(CONTROL)
+        self.given = [given(b" ".join(ws)) for _, ws in self.templates]
 
     def blocks(self, low: bytes) -> list[tuple[list[bytes], list[int]]]:
         """Words and their byte places of the text around cues, as far as the longest template reaches
@@ -106,7 +109,7 @@ class Scanner:
         notices = []
         for words, places in blocks:
             block = b" ".join(words)
-            size = len(self.alone.compress(block))
+            size = len(self.control.compress(block))
             saved = [size - len(z.compress(block)) for z in self.given]
             ranked = sorted((-s, k) for k, s in enumerate(saved) if s >= LEAST_SAVED)
             confirmed = []
