@@ -33,11 +33,12 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("All rights reserved", "All rights reserved."),
 ]
-#: Lower-case strings one of which every notice holds.
-CUES = [b"licens", b"copyright", b"creative commons", b"redistribut", b"all rights reserved", b"free of charge", b"free software", b"warranty"]
+#: Lower-case strings one of which every notice holds; none spans words, as notices are
+#: often wrapped or written into comments.
+CUES = [b"licens", b"copyright", b"commons", b"redistribut", b"reserved", b"granted", b"warranty"]
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: A template counts only if it saves at least so many bytes, and if at most this share of its words differs.
-LEAST_SAVED, MOST_DIFFERENT = 3, 0.15
+LEAST_SAVED, MOST_DIFFERENT = 1, 0.15
 CONTROL = b"the quick brown fox jumps over the lazy dog"
 
 
