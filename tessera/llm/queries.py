@@ -75,7 +75,7 @@ def op9_maxent_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def op10_quality_votes(spark: SparkSession, sf: str) -> DataFrame:
     out = rules.score(spark, load(spark, sf, "documents", "doc_id", "text"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
