@@ -7,7 +7,6 @@ settings that are unset, so a cluster's own configuration always wins.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -45,8 +44,9 @@ def get_spark(master: str | None = None, app: str = "tessera", shuffle_partition
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when it is unset (local tests) is a fresh folder under the system temp
-    dir taken; on a cluster the configured shared location is always used.
+    With a ``local[...]`` master, where driver and executors are one process, a
+    folder of this machine stands in when the setting is unset. On a cluster that
+    would scatter files over the executors' own disks, so it is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,13 +54,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share.")
+        conf_dir = f"{sc._jvm.System.getProperty('java.io.tmpdir')}/tessera-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique location inside the shared checkpoint folder."""
+    """A fresh, unique location inside the shared checkpoint folder; it is deleted when the
+    application ends (results that were read from it are lazy until then)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tessera-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/tessera-{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()

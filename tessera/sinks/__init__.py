@@ -18,12 +18,14 @@ from tessera.functions.columns import as_text
 
 
 def write_results_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> None:
-    """K1: header row, no index; cells in the reference's text form (True/False, plain numbers)."""
+    """K1: header row, no index; cells in the reference's text form (True/False, plain numbers). Text is
+    written as it is, outer blanks and line breaks (inside quotes) included."""
     types = {f.name: f.dataType for f in df.schema.fields}
     out = df.select(*[as_text(F.col(f"`{c}`"), types[c]).alias(c) for c in df.columns])
     if single_file:
         out = out.coalesce(1)
-    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    out.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def report_document(report: dict) -> str:

@@ -11,25 +11,28 @@ from pyspark.sql import types as T
 from tessera.functions.columns import is_categorical, is_numeric, normalize_nulls
 
 
+BALANCE_BYTES = 256 << 20  # only scans of at most so many bytes are spread
+
+
 def balance_partitions(df: DataFrame) -> DataFrame:
-    """Spread a Parquet scan over the cluster when it yields fewer partitions than cores.
+    """Spread a small Parquet scan over the cores when it has fewer splits than they are.
 
     A Parquet row group is the smallest unit a scan can split, so a small file
     written as one row group is read by one task and every expression above it
-    (hashes, regexes, casts) runs single-threaded. Large inputs have far more
-    splits than cores, and then this is a no-op. The spread hashes Parquet's
-    row index: deterministic on recomputation and, unlike a round-robin
-    repartition, it needs no sort of each input partition first. ``df`` must be
-    the scan itself (the hidden ``_metadata`` column is read from it).
+    runs single-threaded. The spread hashes Parquet's row index: deterministic on
+    recomputation and without the sort of a round-robin. It shuffles the rows, so
+    it is opt-in and bounded: a scan above ``BALANCE_BYTES`` is left as it is.
+    ``df`` must be the scan itself (the hidden ``_metadata`` column is read).
     """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if size <= BALANCE_BYTES and df.rdd.getNumPartitions() < target:
         return df.repartition(target, F.col("_metadata.row_index"))
     return df
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None,
-                 balance: bool = True, normalize_nan: bool = False) -> DataFrame:
+                 balance: bool = False, normalize_nan: bool = False) -> DataFrame:
     """Columnar scan; a column list is pruned at the reader.
 
     NaN is read as missing by the operators themselves (``num_value``), so the
@@ -45,7 +48,8 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", columns)
+    """A table of the registered queries: its small single-row-group files are spread over the cores."""
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", columns, balance=True)
 
 
 def load(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
