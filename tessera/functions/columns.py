@@ -51,6 +51,11 @@ def num_value(c: Column) -> Column:
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
+def is_missing(c: Column, dt: T.DataType) -> Column:
+    """Null, or NaN in a floating-point column."""
+    return c.isNull() | F.isnan(c) if isinstance(dt, (T.FloatType, T.DoubleType)) else c.isNull()
+
+
 def normalize_nulls(df: DataFrame) -> DataFrame:
     """One missing concept: NaN in float columns becomes NULL, once, at the scan."""
     exprs = []
@@ -73,8 +78,13 @@ def as_text(c: Column, dt: T.DataType) -> Column:
 
 
 def key_text(cols: list[str]) -> Column:
-    """Stable text of a tuple of columns, with an explicit null marker."""
-    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in cols]
+    """Text of a tuple of columns that differs wherever the tuples differ: backslashes and bars inside
+    values are escaped, parts are joined by bars, and null is the one part that reads ``\\N``."""
+    parts = []
+    for c in cols:
+        t = F.col(f"`{c}`").cast("string")
+        escaped = F.when(t.contains("\\") | t.contains("|"), F.regexp_replace(t, r"([\\|])", r"\\$1")).otherwise(t)
+        parts.append(F.coalesce(escaped, F.lit("\\N")))
     return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
 
 

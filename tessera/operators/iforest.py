@@ -8,9 +8,12 @@ score s = 2^(-E[h(x)] / c(psi)), ``anomaly_score = 0.5 - s`` (higher = more
 normal), anomaly when the score is negative.
 
 Spark plan:
-1. sample: a Bernoulli pre-sample of about 3*T*psi rows (``DataFrame.sample``,
-   a map-only filter), then per tree a hash-ordered pick of psi rows from it with
-   ``row_number`` over the (tiny) pool. Nothing here grows with n.
+1. sample: rows are counted by a 64-bit hash of key and features (8 bytes and a
+   count are shuffled, copies combined before), and the hash alone decides which
+   contents, and how many of their copies, enter a pool of about 3*T*psi rows; the
+   same data in any layout gives the same pool. Its contents are fetched by a
+   broadcast of the chosen hashes (bounded by the pool), then every tree picks psi
+   rows in hash order with ``row_number`` over the pool.
 2. grow: ``groupBy("tree").applyInPandas`` - one task per tree builds the node
    table ``(tree, node, left, right, feature, threshold, size, depth)``.
 3. score: the node table (<= T * (2 psi - 1) rows, independent of n) is
@@ -23,6 +26,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -134,17 +138,26 @@ class IsolationForest(Estimator, _HasIForestParams):
     def _fit(self, df: DataFrame) -> "IsolationForestModel":
         g = self.getOrDefault
         n_trees, seed, key = g(self.numTrees), g(self.seed), g(self.keyCol)
-        data = df.select(F.col(key).alias("_key"), vector_to_array(F.col(g(self.featuresCol))).alias("_x"))
-        n = data.count()
+        data = df.select(vector_to_array(F.col(g(self.featuresCol))).alias("_x"), F.col(key).alias("_key"))
+        data = data.select("_x", F.xxhash64("_key", "_x").alias("_id"))
+        counts = data.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
+        n = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
         if n == 0:
             raise ValueError("Dataset is empty.")
         psi = min(g(self.maxSamples), n)
         max_depth = int(math.ceil(math.log2(max(psi, 2))))
-        # 1. pool: Bernoulli pre-sample, size ~ 3*T*psi (all rows when n is small)
+        # 1. pool: of m copies of a content floor(m * frac) enter, and one more if its hash falls into the rest
         frac = min(1.0, 3.0 * n_trees * psi / n)
-        pool = data if frac >= 1.0 else data.sample(withReplacement=False, fraction=frac, seed=seed)
-        pool = pool.withColumn("_pid", F.xxhash64("_key", F.monotonically_increasing_id())).cache()
+        spread = float(1 << 30)
+        place = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(spread)
+        expected = F.col("_n") * F.lit(frac)
+        chosen = (counts.withColumn("_m", (F.floor(expected) + F.when(place < expected - F.floor(expected), 1).otherwise(0)).cast("long"))
+                  .where(F.col("_m") > 0).select("_id", "_m"))
+        contents = data.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.first("_x").alias("_x"), F.first("_m").alias("_m"))
+        pool = (contents.select("_x", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))).alias("_copy"), "_id")
+                .select("_x", F.xxhash64("_id", "_copy").alias("_pid")).persist(StorageLevel.MEMORY_AND_DISK))
         m = pool.count()
+        counts.unpersist()
         p_tree = min(1.0, 2.0 * psi / max(m, 1))
         thresh = int(p_tree * 1_000_000)
         trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
@@ -154,11 +167,11 @@ class IsolationForest(Estimator, _HasIForestParams):
         picks = (pool.select("_pid", "_x", F.explode(trees).alias("tree"))
                  .withColumn("_h", F.xxhash64("_pid", "tree", F.lit(seed + 1)))
                  .withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_h", "_pid")))
-                 .where(F.col("_r") <= psi).select("tree", "_x"))
+                 .where(F.col("_r") <= psi).select("tree", "_x", "_r"))
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             tree = int(pdf["tree"].iloc[0])
-            x = np.stack(pdf["_x"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
+            x = np.stack(pdf.sort_values("_r")["_x"].to_numpy()).astype(float)
             rng = np.random.default_rng([seed, tree])
             rows = grow_tree(x, rng, max_depth)
             out = pd.DataFrame(rows, columns=["node", "left", "right", "feature", "threshold", "size", "depth"])

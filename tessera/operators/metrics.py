@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import equal_width_bin
+from tessera.functions.columns import equal_width_bin, num_value
 
 
 def _c(name: str):
@@ -26,8 +26,8 @@ def label_order(values: list[str], numeric: bool) -> list[str]:
 
 
 def class_labels(df: DataFrame, col: str) -> DataFrame:
-    """Distinct labels, sorted (the caller decides numeric vs text order)."""
-    return df.select(_c(col).alias("label")).where(F.col("label").isNotNull()).distinct()
+    """Distinct labels in text order."""
+    return df.select(_c(col).alias("label")).where(F.col("label").isNotNull()).distinct().orderBy("label")
 
 
 def confusion_long(pred: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
@@ -36,10 +36,11 @@ def confusion_long(pred: DataFrame, y_true: str = "y_true", y_pred: str = "y_pre
 
 
 def confusion_dense(pred: DataFrame, labels: list[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """A10, dense form over a given label list (bounded by the class guard), zeros included."""
-    spark = pred.sparkSession
-    grid = spark.createDataFrame([(i, a, j, b) for i, a in enumerate(labels) for j, b in enumerate(labels)],
-                                 "i int, y_true string, j int, y_pred string")
+    """A10, dense form over a given label list, zeros included; the grid is generated by the executors."""
+    names = pred.sparkSession.createDataFrame(list(enumerate(labels)), "k int, label string")
+    grid = (names.select(F.col("k").alias("i"), F.col("label").alias("y_true"),
+                         F.explode(F.sequence(F.lit(0), F.lit(len(labels) - 1))).alias("j"))
+            .join(names.select(F.col("k").alias("j"), F.col("label").alias("y_pred")), "j"))
     return (grid.join(confusion_long(pred, y_true, y_pred), ["y_true", "y_pred"], "left")
             .select("i", "j", "y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
@@ -96,15 +97,15 @@ def regression_metrics(pred: DataFrame, y_true: str = "y_true", y_pred: str = "y
 
 def axis_range(pred: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
     """One common ``(lo, hi)`` over truth and prediction."""
-    return pred.agg(F.least(F.min(_c(y_true)), F.min(_c(y_pred))).cast("double").alias("lo"),
-                    F.greatest(F.max(_c(y_true)), F.max(_c(y_pred))).cast("double").alias("hi"))
+    y, p = num_value(_c(y_true)), num_value(_c(y_pred))
+    return pred.agg(F.least(F.min(y), F.min(p)).alias("lo"), F.greatest(F.max(y), F.max(p)).alias("hi"))
 
 
 def value_range(df: DataFrame, cols: list[str]) -> list[tuple[float | None, float | None]]:
-    """Min and max of each column (one tiny aggregate, scalars to the driver)."""
+    """Min and max of each column, NaN left out (one tiny aggregate, scalars to the driver)."""
     aggs = []
     for c in cols:
-        aggs += [F.min(_c(c).cast("double")), F.max(_c(c).cast("double"))]
+        aggs += [F.min(num_value(_c(c))), F.max(num_value(_c(c)))]
     r = df.agg(*aggs).first()
     return [(r[2 * i], r[2 * i + 1]) for i in range(len(cols))]
 
@@ -125,7 +126,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     if mn is None:
         return spark.createDataFrame([], "bin int, lo double, hi double, n long")
     lo, hi = _edges(mn, mx)
-    counts = (df.select(_c(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    counts = (df.select(num_value(_c(col)).alias("v")).where(F.col("v").isNotNull())
               .select(equal_width_bin(F.col("v"), F.lit(mn), F.lit(mx), bins).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
     width = (hi - lo) / bins
@@ -142,7 +143,7 @@ def grid_counts(df: DataFrame, x: str, y: str, group: str | None = None, bins: i
     if xmn is None or ymn is None:
         return spark.createDataFrame([], "group string, bx int, by int, n long")
     g = _c(group).cast("string") if group else F.lit(None).cast("string")
-    return (df.select(_c(x).cast("double").alias("x"), _c(y).cast("double").alias("y"), g.alias("group"))
+    return (df.select(num_value(_c(x)).alias("x"), num_value(_c(y)).alias("y"), g.alias("group"))
             .where(F.col("x").isNotNull() & F.col("y").isNotNull())
             .select("group", equal_width_bin(F.col("x"), F.lit(xmn), F.lit(xmx), bins).alias("bx"),
                     equal_width_bin(F.col("y"), F.lit(ymn), F.lit(ymx), bins).alias("by"))
@@ -151,7 +152,7 @@ def grid_counts(df: DataFrame, x: str, y: str, group: str | None = None, bins: i
 
 def cluster_sizes(df: DataFrame, col: str = "cluster") -> DataFrame:
     """``(cluster, n)`` largest first, ties by label."""
-    return df.groupBy(_c(col).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(_c(col).alias("cluster")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster")
 
 
 def anomaly_count(df: DataFrame, col: str = "is_anomaly") -> DataFrame:
@@ -159,9 +160,21 @@ def anomaly_count(df: DataFrame, col: str = "is_anomaly") -> DataFrame:
     return df.agg(F.count_if(_c(col)).alias("anomalies"))
 
 
-def metrics_long(row: dict, keys: list[str], spark) -> DataFrame:
-    """``(metric, value)`` rounded to 3 decimals as the reference prints them."""
-    data = [(k, None if row.get(k) is None else round(float(row[k]), 3)) for k in keys]
+def summary_items(report: dict) -> list[tuple[str, float | None]]:
+    """The figures of a task's report that a user reads first, as ``(metric, value)``: scores, rows of each
+    cluster (largest first), anomalies found, or explained variance of the first components."""
+    if "cluster_counts" in report:
+        return [(f"cluster {k}", float(n)) for k, n in report["cluster_counts"].items()]
+    if "explained_variance_ratio" in report:
+        return [(f"pc{j + 1}", v) for j, v in enumerate(report["explained_variance_ratio"][:2])]
+    return [(k, report[k]) for k in ("accuracy", "f1_weighted", "rmse", "r2", "anomalies") if k in report]
+
+
+def metrics_long(report: dict, keys: list[str] | None, spark) -> DataFrame:
+    """``(metric, value)`` rounded to 3 decimals; ``keys`` picks plain numbers of the report, None
+    takes what belongs to its task (``summary_items``)."""
+    items = summary_items(report) if keys is None else [(k, report.get(k)) for k in keys]
+    data = [(k, None if v is None else round(float(v), 3)) for k, v in items]
     return spark.createDataFrame(data, T.StructType([T.StructField("metric", T.StringType()),
                                                      T.StructField("value", T.DoubleType())]))
 

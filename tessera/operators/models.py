@@ -5,9 +5,11 @@
 * Ridge (alpha=1): normal-equation ``LinearRegression`` with
   ``regParam = alpha * std_pop(y_train) / n_train`` (Spark scales the penalty by
   the label's std); constant labels short-circuit to the mean.
+  Above 4,096 features the library's normal equations end, and L-BFGS takes
+  over (there the scale is the sample standard deviation of y).
 * Random forests: the reference grows unlimited-depth trees with exact splits;
-  MLlib caps depth at 30 and bins splits, so depth and bins are parameters
-  (defaults 10 and 32). Same algorithm, comparable (not equal) trees.
+  MLlib ends at depth 30, the default here, and bins splits (32 by default).
+  Same algorithm, comparable (not equal) trees.
 * K-means: k=3, k-means|| init, clusters renumbered by (size desc, centre).
 * PCA: 2 components, centred scores, sign fixed so that each component's
   largest-magnitude loading is positive.
@@ -22,7 +24,6 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,77 +48,64 @@ UNKNOWN_MODEL = {
     "Dimensionality Reduction": "Unknown reduction model",
 }
 
+# The error texts of the reference's guards.
+EMPTY, NO_TARGET, TARGET_NOT_FOUND, UNKNOWN_TASK = (
+    "Dataset is empty.", "Target column is required.", "Target column not found in dataset.", "Unknown task")
+
 # Internal column names; the double underscore keeps them clear of user columns
 # (a table may well have a column called "label", "features" or "prediction").
-FEATURES, LABEL, PREDICTION, Y = "__features", "__label", "__prediction", "__y"
+FEATURES, LABEL, PREDICTION, Y, ROW_KEY = "__features", "__label", "__prediction", "__y", "__row_key"
+NORMAL_FEATURES = 4096  # the library's limit for normal equations
 _EXTRA = {"rawPredictionCol": "__raw", "probabilityCol": "__prob"}
 
 DEFAULTS = {
     "logreg_max_iter": 2000, "logreg_tol": 1e-6,
     "ridge_alpha": 1.0,
-    "num_trees": 300, "max_depth": 10, "max_bins": 32, "forest_memory_mb": 1024,
+    "num_trees": 300, "max_depth": 30, "max_bins": 32, "forest_memory_mb": 1024,
     "k": 3, "kmeans_max_iter": 300, "kmeans_tol": 1e-4,  # relative, as in the reference's library
     "iforest_trees": 100, "iforest_max_samples": 256,
     "components": 2,
-    "fit_partitions": None,
+    "rows_per_partition": 500_000, "least_partitions": 8,
 }
 
 
 def check_model(task: str, model_name: str) -> None:
     """The reference's dispatch errors."""
     if task not in MODELS:
-        raise ValueError("Unknown task")
+        raise ValueError(UNKNOWN_TASK)
     if model_name not in MODELS[task]:
         raise ValueError(UNKNOWN_MODEL[task])
 
 
-HOT_SAMPLE_ROWS = 200_000
-
-
-def hot_keys(df: DataFrame, n_partitions: int, key: str = "row_key", rows: int | None = None) -> list:
-    """Keys holding more than a partition's share of the rows (groups of exact copies).
-
-    Found on a Bernoulli sample of the key column (about HOT_SAMPLE_ROWS rows);
-    at most ``2 * n_partitions`` keys can pass the threshold, so the result is bounded.
-    A key with a third of all rows is always caught; a key with a single row never is.
-    """
-    if rows is None:
-        rows = df.select(key).count()
-    if rows == 0:
-        return []
-    frac = min(1.0, HOT_SAMPLE_ROWS / rows)
-    threshold = max(2.0, 0.5 * frac * rows / n_partitions)
-    sample = df.select(key).sample(withReplacement=False, fraction=frac, seed=17) if frac < 1.0 else df.select(key)
-    # keys at or above half a partition's share of the sample: at most 2 * n_partitions of them exist
-    hot = (sample.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
-           .limit(2 * n_partitions).toPandas())
-    return hot[key].tolist()
-
-
-def canonical_layout(df: DataFrame, n_partitions: int, key: str = "row_key", rows: int | None = None) -> DataFrame:
-    """Partition-independent input for seeded fits: hash-partition by key, sort within.
+def canonical_layout(df: DataFrame, n_partitions: int, key: str = ROW_KEY) -> DataFrame:
+    """Layout-independent input for seeded fits: hash-partition by key, sort within.
 
     MLlib's seeded algorithms draw per partition, so the same data in another
-    layout gives another forest/clustering; this fixes the layout (one shuffle).
-    A hot group of exact copies would put all its rows in one task, so those
-    keys (and only those) are salted over all partitions; every other row keeps
-    its deterministic place.
+    layout gives another forest or clustering; this fixes the layout. A key that
+    holds more than half a partition's share of the rows would make one task hot:
+    its rows are counted by content (copies combine before the shuffle) and dealt
+    out again copy by copy, so where they lay before has no influence.
     """
-    hot = hot_keys(df, n_partitions, key, rows)
+    others = [c for c in df.columns if c != key]
+    plain = [F.unwrap_udt(F.col(c)) if c == FEATURES else F.col(c) for c in others]
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n"), F.max("n")).first()
+    share = max(2.0, 0.5 * (total[0] or 0) / n_partitions)
+    # at most 2 * n_partitions keys hold half a share each
+    hot = [] if (total[1] or 0) < share else [r[0] for r in counts.where(F.col("n") >= share).select(key).toLocalIterator()]
     if not hot:
-        return df.repartition(n_partitions, key).sortWithinPartitions(key)
-    # many more salt values than partitions, so the hashed (key, salt) pairs cover all partitions evenly
-    salt = (F.when(F.col(key).isin(hot),
-                   F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(64 * n_partitions)))
-            .otherwise(F.lit(0)))
-    return df.repartition(n_partitions, F.col(key), salt).sortWithinPartitions(key)
+        return df.repartition(n_partitions, key).sortWithinPartitions(key, F.xxhash64(*plain))
+    copies = (df.where(F.col(key).isin(hot)).withColumn("__content", F.xxhash64(*plain)).groupBy(key, "__content")
+              .agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in others]))
+    dealt = copies.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    rest = df.where(~F.col(key).isin(hot)).withColumn("__content", F.xxhash64(*plain)).withColumn("__salt", F.lit(0).cast("long"))
+    out = rest.unionByName(dealt.drop("__n"))
+    return out.repartition(n_partitions, key, "__salt").sortWithinPartitions(key, "__content").drop("__content", "__salt")
 
 
-def fit_partitions(df: DataFrame, params: dict) -> int:
-    n = params.get("fit_partitions")
-    if n:
-        return int(n)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+def fit_partitions(rows: int, params: dict) -> int:
+    """From the number of rows alone: the same data gives the same model under any cluster settings."""
+    return max(int(params["least_partitions"]), -(-rows // int(params["rows_per_partition"])))
 
 
 def fit_classifier(model_name: str, train: DataFrame, n_train: int, seed: int, params: dict):
@@ -130,10 +118,10 @@ def fit_classifier(model_name: str, train: DataFrame, n_train: int, seed: int, p
                                  numTrees=params["num_trees"], maxDepth=params["max_depth"],
                                  maxBins=params["max_bins"], featureSubsetStrategy="sqrt", impurity="gini",
                                  seed=seed, maxMemoryInMB=params["forest_memory_mb"])
-    return est.fit(canonical_layout(train, fit_partitions(train, params), rows=n_train))
+    return est.fit(canonical_layout(train, fit_partitions(n_train, params)))
 
 
-def fit_regressor(model_name: str, train: DataFrame, n_train: int, y_std: float, seed: int, params: dict):
+def fit_regressor(model_name: str, train: DataFrame, n_train: int, y_std: float, seed: int, params: dict, width: int = 1):
     if model_name == "Ridge Regression":
         alpha = params["ridge_alpha"]
         if y_std == 0.0:
@@ -142,6 +130,12 @@ def fit_regressor(model_name: str, train: DataFrame, n_train: int, y_std: float,
                                    solver="normal",
                                    standardization=False)
             return est.fit(train)
+        if width > NORMAL_FEATURES:
+            sample_std = y_std * (n_train / (n_train - 1)) ** 0.5
+            est = LinearRegression(featuresCol=FEATURES, labelCol=Y, predictionCol=PREDICTION,
+                                   regParam=alpha * sample_std / n_train, elasticNetParam=0.0, standardization=False,
+                                   solver="l-bfgs", fitIntercept=True, maxIter=2000, tol=1e-12)
+            return est.fit(train)
         est = LinearRegression(featuresCol=FEATURES, labelCol=Y, predictionCol=PREDICTION,
                                regParam=alpha * y_std / n_train, elasticNetParam=0.0, standardization=False,
                                solver="normal", fitIntercept=True)
@@ -150,11 +144,11 @@ def fit_regressor(model_name: str, train: DataFrame, n_train: int, y_std: float,
                                 numTrees=params["num_trees"], maxDepth=params["max_depth"],
                                 maxBins=params["max_bins"], featureSubsetStrategy="all", impurity="variance",
                                 seed=seed, maxMemoryInMB=params["forest_memory_mb"])
-    return est.fit(canonical_layout(train, fit_partitions(train, params), rows=n_train))
+    return est.fit(canonical_layout(train, fit_partitions(n_train, params)))
 
 
 def fit_kmeans(feats: DataFrame, seed: int, params: dict, mean_variance: float = 1.0,
-               rows: int | None = None) -> PipelineModel:
+               rows: int = 0) -> PipelineModel:
     """KMeans + deterministic renumbering (largest cluster first, then by centre).
 
     The reference's tolerance is relative: stop when the summed squared centre
@@ -164,7 +158,7 @@ def fit_kmeans(feats: DataFrame, seed: int, params: dict, mean_variance: float =
     tol = max(params["kmeans_tol"] * mean_variance, 1e-30) ** 0.5
     km = KMeans(featuresCol=FEATURES, predictionCol="__km", k=params["k"], seed=seed,
                 maxIter=params["kmeans_max_iter"], tol=tol, initMode="k-means||")
-    model = km.fit(canonical_layout(feats, fit_partitions(feats, params), rows=rows))
+    model = km.fit(canonical_layout(feats, fit_partitions(rows, params)))
     sizes = list(model.summary.clusterSizes)
     centres = [tuple(float(v) for v in c) for c in model.clusterCenters()]
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], centres[i]))
@@ -175,20 +169,23 @@ def fit_kmeans(feats: DataFrame, seed: int, params: dict, mean_variance: float =
 
 
 def fit_iforest(feats: DataFrame, seed: int, params: dict):
-    """No canonical layout here: the fit reads only a Bernoulli sample of about
-    3 * trees * psi rows, so a full shuffle of the features would cost far more
-    than the fit. The sample is deterministic for a given input layout (the
-    reference's own sampling is positional, i.e. row-order dependent, too)."""
-    est = IsolationForest(featuresCol=FEATURES, keyCol="row_key", numTrees=params["iforest_trees"],
+    """No canonical layout here: the fit reads only its sample, which goes by content."""
+    est = IsolationForest(featuresCol=FEATURES, keyCol=ROW_KEY, numTrees=params["iforest_trees"],
                           maxSamples=params["iforest_max_samples"], seed=seed)
     return est.fit(feats)
 
 
-def fit_pca(feats: DataFrame, k: int = 2) -> tuple[PipelineModel, list[float]]:
-    """Spark PCA (covariance on the driver, p x p, p guarded) + centring + sign rule."""
+PCA_FEATURES = 65_535  # the library's limit: the covariance is held on the driver
+
+
+def fit_pca(feats: DataFrame, means: list[float], k: int = 2) -> tuple[PipelineModel, list[float]]:
+    """Spark PCA (covariance on the driver) + centring + sign rule; ``means`` are the features' means,
+    known from the preprocessor."""
+    if len(means) > PCA_FEATURES:
+        raise ValueError(f"PCA holds a covariance matrix on the driver and ends at {PCA_FEATURES} features after encoding; found {len(means)}.")
     model = PCA(k=k, inputCol=FEATURES, outputCol="__pca_raw").fit(feats)
     pc = model.pc.toArray()  # p x k
-    mean = np.asarray(feats.select(Summarizer.mean(F.col(FEATURES)).alias("m")).first()["m"].toArray())
+    mean = np.asarray(means)
     signs, offsets = [], []
     for j in range(k):
         v = pc[:, j]

@@ -14,7 +14,7 @@ value encodes to all zeros. All-null columns are dropped, as in the reference.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
@@ -26,8 +26,6 @@ from tessera.functions.columns import categorical_columns, numeric_columns
 from tessera.operators import stats
 from tessera.operators.stages import ImputeScaleModel
 
-MAX_FEATURES = 4096
-
 
 @dataclass
 class PrepInfo:
@@ -42,6 +40,7 @@ class PrepInfo:
     rows: int
     feature_names: list[str]
     mean_variance: float = 1.0  # mean per-feature variance of the encoded matrix
+    feature_means: list[float] = field(default_factory=list)  # of the encoded matrix
 
 
 def split_roles(df: DataFrame, features: list[str] | None = None, exclude: tuple[str, ...] = ()) -> tuple[list, list]:
@@ -51,11 +50,11 @@ def split_roles(df: DataFrame, features: list[str] | None = None, exclude: tuple
     return numeric_columns(sub), categorical_columns(sub)
 
 
-def fit_statistics(df: DataFrame, num_cols: list[str], cat_cols: list[str], max_categories: int | None = 1000):
+def fit_statistics(df: DataFrame, num_cols: list[str], cat_cols: list[str]):
     summary = stats.numeric_summary(df, num_cols)
     medians = stats.exact_medians(df, num_cols, summary) if num_cols else {}
     means, stds = stats.imputed_moments(summary, medians)
-    cstats = stats.category_stats(df, cat_cols, max_categories=max_categories)
+    cstats = stats.category_stats(df, cat_cols)
     return summary, medians, means, stds, cstats
 
 
@@ -65,26 +64,21 @@ class TabularPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritabl
     numCols = Param(Params._dummy(), "numCols", "numeric feature columns", TypeConverters.toListString)
     catCols = Param(Params._dummy(), "catCols", "categorical feature columns", TypeConverters.toListString)
     outputCol = Param(Params._dummy(), "outputCol", "feature vector column", TypeConverters.toString)
-    maxCategories = Param(Params._dummy(), "maxCategories", "one-hot cardinality guard", TypeConverters.toInt)
 
-    def __init__(self, numCols=None, catCols=None, outputCol="features", maxCategories=1000):
+    def __init__(self, numCols=None, catCols=None, outputCol="features"):
         super().__init__()
-        self._set(numCols=list(numCols or []), catCols=list(catCols or []), outputCol=outputCol,
-                  maxCategories=maxCategories)
+        self._set(numCols=list(numCols or []), catCols=list(catCols or []), outputCol=outputCol)
         self.info: PrepInfo | None = None
 
     def _fit(self, df: DataFrame) -> PipelineModel:
         num_cols, cat_cols = self.getOrDefault(self.numCols), self.getOrDefault(self.catCols)
-        summary, medians, means, stds, cstats = fit_statistics(
-            df, num_cols, cat_cols, self.getOrDefault(self.maxCategories))
+        summary, medians, means, stds, cstats = fit_statistics(df, num_cols, cat_cols)
         keep_num = [c for c in num_cols if medians.get(c) is not None]
         keep_cat = [c for c in cat_cols if cstats.mode.get(c) is not None]
         dropped = [c for c in num_cols + cat_cols if c not in keep_num + keep_cat]
         width = len(keep_num) + sum(len(cstats.categories[c]) for c in keep_cat)
         if width == 0:
             raise ValueError("No usable feature columns (all are empty).")
-        if width > MAX_FEATURES:
-            raise ValueError(f"{width} features after one-hot encoding exceed the limit of {MAX_FEATURES}.")
         impute = ImputeScaleModel(numCols=keep_num, medians=[medians[c] for c in keep_num],
                                   means=[means[c] for c in keep_num], stds=[stds[c] for c in keep_num],
                                   catCols=keep_cat, modes=[cstats.mode[c] for c in keep_cat])
@@ -110,26 +104,19 @@ class TabularPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritabl
                                       handleInvalid="error"))
         n = max(summary.rows, 1)
         variances = [1.0 if stds[c] > 0 else 0.0 for c in keep_num]
+        shares = [0.0] * len(keep_num)
         for c in keep_cat:
             filled = dict(cstats.counts[c])
             filled[cstats.mode[c]] += n - sum(filled.values())  # nulls take the mode
-            variances += [(k / n) * (1 - k / n) for k in (filled[v] for v in cstats.categories[c])]
+            shares += [filled[v] / n for v in cstats.categories[c]]
+            variances += [(filled[v] / n) * (1 - filled[v] / n) for v in cstats.categories[c]]
         self.info = PrepInfo(keep_num, keep_cat, dropped, medians, means, stds, cstats.mode,
-                             cstats.categories, summary.rows, names, sum(variances) / len(variances))
+                             cstats.categories, summary.rows, names, sum(variances) / len(variances), shares)
         return PipelineModel(stages)
 
 
-def fit_preprocessor(df: DataFrame, num_cols: list[str], cat_cols: list[str], output_col: str = "features",
-                     max_categories: int = 1000) -> tuple[PipelineModel, PrepInfo]:
-    est = TabularPreprocessor(numCols=num_cols, catCols=cat_cols, outputCol=output_col,
-                              maxCategories=max_categories)
+def fit_preprocessor(df: DataFrame, num_cols: list[str], cat_cols: list[str],
+                     output_col: str = "features") -> tuple[PipelineModel, PrepInfo]:
+    est = TabularPreprocessor(numCols=num_cols, catCols=cat_cols, outputCol=output_col)
     model = est.fit(df)
     return model, est.info
-
-
-INTERNAL_PREFIXES = ("__num_", "__cat_", "__idx_", "__ohe_", "__features", "__prediction", "__raw", "__prob",
-                     "__km", "__pca_raw")
-
-
-def drop_internal(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith(INTERNAL_PREFIXES)])

@@ -8,12 +8,11 @@ top-k (no global sort of the data).
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import as_text
+from tessera.functions.columns import as_text, is_missing
+from tessera.sinks import report_document
 
 
 def _c(name: str):
@@ -26,10 +25,10 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
-    """A2: ``(position, column, n_missing)`` for every column, one aggregate pass."""
+    """A2: ``(position, column, n_missing)`` for every column, one aggregate pass (NaN is missing)."""
     # long form: the plan stays the same size however wide the table is
-    items = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), _c(c).isNull().alias("m"))
-             for i, c in enumerate(df.columns)]
+    items = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), is_missing(_c(f.name), f.dataType).alias("m"))
+             for i, f in enumerate(df.schema.fields)]
     return (df.select(F.explode(F.array(*items)).alias("r")).select("r.*")
             .groupBy("position", "column").agg(F.count_if("m").alias("n_missing")))
 
@@ -86,17 +85,9 @@ def profile_frame(spark: SparkSession, df: DataFrame, source: str = "(not saved)
     parts.append(head_csv(df, 12, order_by).select(F.lit("preview").alias("section"),
                                                    F.col("line_no").cast("string").alias("name"),
                                                    F.col("line").alias("value")))
-    parts.append(spark.createDataFrame([("report", "json", report_json(report or {}))],
+    parts.append(spark.createDataFrame([("report", "json", report_document(report or {}))],
                                        "section string, name string, value string"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def report_json(report: dict) -> str:
-    """F8: JSON text with a ``str`` fallback, as the reference builds its context."""
-    try:
-        return json.dumps(report, indent=2, default=str)
-    except Exception:
-        return str(report)

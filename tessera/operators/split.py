@@ -10,9 +10,9 @@ followed by a cut. The cut value is found by histograms over hash prefixes (each
 pass groups by the next three hex digits inside the boundary bucket; partial
 aggregation keeps each shuffle at <= 4,096 rows per partition), never by a sort
 of the data. Rows below the cut are test, rows above are train. If the cut falls
-inside a group of exact copies, that group alone is written once to the shared
-checkpoint folder and numbered there (per-partition offsets, no single task),
-so exactly the right number of copies goes to each side.
+inside a group of rows with one key, the group is cut again by a hash of the full
+row; rows that are equal even there are exact copies, of which the right number
+goes to either side (numbered by per-partition offsets, no single task).
 """
 
 from __future__ import annotations
@@ -30,13 +30,14 @@ EXACT_LIMIT = 100_000
 PREFIX_STEP = 3  # 4,096 buckets per histogram level
 
 
+HASH = "__split_hash"
+
+
 def with_row_key(df: DataFrame, key_cols: list[str] | None = None, name: str = "row_key") -> DataFrame:
-    """Append ``row_key``: text of the key column(s), else md5 of all columns."""
-    if name in df.columns:
-        return df
-    if key_cols:
-        return df.withColumn(name, key_text(key_cols))
-    return df.withColumn(name, F.md5(key_text(df.columns)))
+    """Append ``name``: text of the key column(s), else md5 of all columns."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"The table has a column named '{name}' already; choose another name for the row key.")
+    return df.withColumn(name, key_text(key_cols) if key_cols else F.md5(key_text(df.columns)))
 
 
 def split_hash(key: str = "row_key", seed: int = 42):
@@ -53,18 +54,20 @@ def n_test_rows(n: int, test_size: float) -> int:
 
 
 def _prefix_hist(hashed: DataFrame, prefix: str, width: int) -> list:
-    """``[(bucket, n)]`` sorted, for hashes starting with ``prefix`` (Arrow transfer)."""
-    sub = hashed if not prefix else hashed.where(F.col("_h").startswith(prefix))
-    pdf = (sub.groupBy(F.substring("_h", 1, width).alias("b"))
-           .agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("b"))
-    return list(zip(pdf["b"].tolist(), pdf["n"].astype("int64").tolist()))
+    """``[(bucket, n, least, greatest)]`` sorted, for hashes starting with ``prefix`` (Arrow transfer)."""
+    h = F.col(HASH)
+    sub = hashed if not prefix else hashed.where(h.startswith(prefix))
+    pdf = (sub.groupBy(F.substring(h, 1, width).alias("b"))
+           .agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi")).toPandas().sort_values("b"))
+    return list(zip(pdf["b"].tolist(), pdf["n"].astype("int64").tolist(), pdf["lo"].tolist(), pdf["hi"].tolist()))
 
 
 def find_cut(hashed: DataFrame, k: int, first: list | None = None) -> tuple[str, int, int]:
     """Smallest ``t`` with ``count(h <= t) >= k`` (k >= 1); returns ``(t, below, at)``.
 
     ``below`` = rows with ``h < t``, ``at`` = rows with ``h == t``. ``first`` is
-    an already computed top-level histogram.
+    an already computed top-level histogram. A bucket of a single hash, however
+    many rows share it, ends the search.
     """
     prefix, below, width = "", 0, PREFIX_STEP
     while True:
@@ -73,10 +76,10 @@ def find_cut(hashed: DataFrame, k: int, first: list | None = None) -> tuple[str,
         else:
             rows = _prefix_hist(hashed, prefix, width)
         seen = below
-        for b, n in rows:
+        for b, n, lo, hi in rows:
             if seen + n >= k:
-                if width >= 32:
-                    return b, seen, n
+                if lo == hi:
+                    return lo, seen, n
                 prefix, below = b, seen
                 width = 32 if n <= EXACT_LIMIT else min(32, width + PREFIX_STEP)
                 break
@@ -87,8 +90,9 @@ def find_cut(hashed: DataFrame, k: int, first: list | None = None) -> tuple[str,
 
 def exact_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = "row_key",
                 flag: str = "is_test") -> DataFrame:
-    """``df`` plus a boolean ``is_test``; exactly ``ceil(test_size*n)`` test rows."""
-    return _split(df.withColumn("_h", split_hash(key, seed)), test_size, flag)
+    """``df`` plus a boolean ``flag``; exactly ``ceil(test_size*n)`` test rows."""
+    _check_free(df, flag)
+    return _split(df.withColumn(HASH, split_hash(key, seed)), test_size, flag, seed)
 
 
 def exact_split_cached(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = "row_key",
@@ -100,36 +104,55 @@ def exact_split_cached(df: DataFrame, test_size: float = 0.2, seed: int = 42, ke
     once instead of once per pass, and the flag is a comparison on the cached
     hash. Returns ``(split, cached)``; unpersist ``cached`` when done.
     """
-    hashed = df.withColumn("_h", split_hash(key, seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    _check_free(df, flag)
+    hashed = df.withColumn(HASH, split_hash(key, seed)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _split(hashed, test_size, flag), hashed
+        return _split(hashed, test_size, flag, seed), hashed
     except Exception:
         hashed.unpersist()
         raise
 
 
-def _split(hashed: DataFrame, test_size: float, flag: str) -> DataFrame:
+def _check_free(df: DataFrame, flag: str) -> None:
+    taken = {c.lower() for c in df.columns} & {flag.lower(), HASH}
+    if taken:
+        raise ValueError(f"The table has a column named '{taken.pop()}' already; choose another flag column.")
+
+
+def _split(hashed: DataFrame, test_size: float, flag: str, seed: int) -> DataFrame:
     first = _prefix_hist(hashed, "", PREFIX_STEP)  # the top-level histogram also yields n
-    n = sum(c for _, c in first)
+    n = sum(r[1] for r in first)
     if n == 0:
         raise ValueError("Dataset is empty.")
     k = n_test_rows(n, test_size)
     if k >= n:
         raise ValueError(f"With n_samples={n}, test_size={test_size} the resulting train set will be empty.")
+    return _take(hashed, k, flag, seed, first, by_row=False).drop(HASH)
+
+
+def _take(hashed: DataFrame, k: int, flag: str, seed: int, first: list | None, by_row: bool) -> DataFrame:
+    """``hashed`` with ``flag`` true on exactly the ``k`` rows of the smallest hashes."""
     t, below, at = find_cut(hashed, k, first)
-    need = k - below  # copies of the cut group that go to test, 1..at
+    need = k - below  # rows of the cut hash that are taken, 1..at
+    h = F.col(HASH)
     if need >= at:
-        return hashed.withColumn(flag, F.col("_h") <= F.lit(t)).drop("_h")
-    # the cut falls inside a group of identical rows: number that group alone
+        return hashed.withColumn(flag, h <= F.lit(t))
+    rest = hashed.where(h != F.lit(t)).withColumn(flag, h < F.lit(t))
+    group = hashed.where(h == F.lit(t))
+    if not by_row:
+        # one key, several rows: the full row decides, wherever it lies
+        own = [c for c in hashed.columns if c != HASH]
+        group = _take(group.withColumn(HASH, F.md5(F.concat_ws("|", key_text(own), F.lit(str(seed))))), need, flag, seed, None, by_row=True)
+        return rest.unionByName(group)
+    # exact copies: any of them may be taken, so their number is all that counts
     ensure_checkpoint_dir(hashed.sparkSession)
-    rest = hashed.where(F.col("_h") != F.lit(t)).withColumn(flag, F.col("_h") < F.lit(t))
-    group = hashed.where(F.col("_h") == F.lit(t)).checkpoint(eager=True)
+    group = group.checkpoint(eager=True)
     pid = F.spark_partition_id()
-    counts = group.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_c"))
-    offsets = counts.select("_pid", (F.sum("_c").over(Window.orderBy("_pid")) - F.col("_c")).alias("_off"))
-    numbered = (group.withColumn("_pid", pid)
-                .withColumn("_pos", F.row_number().over(Window.partitionBy("_pid").orderBy(F.lit(0))) - 1)
-                .join(F.broadcast(offsets), "_pid")
-                .withColumn(flag, (F.col("_off") + F.col("_pos")) < F.lit(need))
-                .drop("_pid", "_pos", "_off"))
-    return rest.unionByName(numbered).drop("_h")
+    counts = group.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__c"))
+    offsets = counts.select("__pid", (F.sum("__c").over(Window.orderBy("__pid")) - F.col("__c")).alias("__off"))
+    numbered = (group.withColumn("__pid", pid)
+                .withColumn("__pos", F.row_number().over(Window.partitionBy("__pid").orderBy(F.lit(0))) - 1)
+                .join(F.broadcast(offsets), "__pid")
+                .withColumn(flag, (F.col("__off") + F.col("__pos")) < F.lit(need))
+                .drop("__pid", "__pos", "__off"))
+    return rest.unionByName(numbered)

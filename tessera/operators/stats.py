@@ -13,8 +13,7 @@
   enough, its distinct values are counted and the rank is read off exactly.
 * ``category_stats``: unpivot -> ``groupBy(column, value).count()`` (map-side
   combine, so a hot value costs one row per partition) -> mode with the
-  smallest-value tie rule and the sorted category dictionary, behind a
-  cardinality guard.
+  smallest-value tie rule and the sorted category dictionary.
 """
 
 from __future__ import annotations
@@ -28,7 +27,8 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import as_text, num_value
 
 HIST_BINS = 1024
-EXACT_LIMIT = 50_000
+EXACT_LIMIT = 50_000     # distinct values that a pass may bring to the driver, over all columns together
+BLOCK_COLUMNS = 100      # columns of one grouped sketch: the aggregate keeps to its hash map up to 128 groups
 MAX_PASSES = 64
 SKETCH_ACCURACY = 2000   # percentile_approx relative rank error 1/2000: a bounded sketch per column
 SKETCH_SLACK = 3.0       # bracket = sketch quantiles at p -/+ SKETCH_SLACK / accuracy
@@ -71,15 +71,20 @@ def numeric_summary(df: DataFrame, cols: list[str], median_bracket: bool = True)
     if median_bracket:
         aggs.append(F.percentile_approx("v", [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], SKETCH_ACCURACY)
                     .alias("q"))
-    pdf = long_numeric(df, cols).groupBy("ci").agg(*aggs).toPandas()
-    by = {int(r.ci): r for r in pdf.itertuples(index=False)}
-    out = NumericSummary(int(pdf["rows"].max()), {}, {}, {}, {}, {})
+    by: dict[int, tuple] = {}
+    for at in range(0, len(cols), BLOCK_COLUMNS):
+        part = long_numeric(df, cols[at:at + BLOCK_COLUMNS]).groupBy("ci").agg(*aggs).toPandas()
+        by.update({at + int(r.ci): r for r in part.itertuples(index=False)})
+    out = NumericSummary(max((int(r.rows) for r in by.values()), default=0), {}, {}, {}, {}, {})
 
     def val(x):
         return None if x is None or x != x else float(x)
 
     for i, c in enumerate(cols):
-        r = by[i]
+        r = by.get(i)
+        if r is None:  # no rows at all
+            out.count[c], out.min[c], out.max[c], out.mean[c], out.var_pop[c] = 0, None, None, None, None
+            continue
         out.count[c] = int(r.n)
         out.min[c], out.max[c], out.mean[c], out.var_pop[c] = val(r.lo), val(r.hi), val(r.mu), val(r.var)
         if median_bracket and r.q is not None and len(r.q) == 2 and r.n > 0:
@@ -117,6 +122,7 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, list[int]], summary: Nume
     cols = list(wanted)
     summary = summary or numeric_summary(df, cols, median_bracket=False)
     brackets = brackets or {}
+    exact_limit = max(1, exact_limit // max(1, sum(map(len, wanted.values()))))
     targets: list[_Target] = []
     for c, ranks in wanted.items():
         for k in ranks:
@@ -249,38 +255,36 @@ def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def modes_frame(vc: DataFrame) -> DataFrame:
-    """``(position, column, n_distinct, mode, mode_count)``; ties go to the smallest value."""
-    return (vc.groupBy("position", "column")
-            .agg(F.count(F.lit(1)).alias("n_distinct"),
-                 F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
-                 F.max("n").alias("mode_count")))
+    """``(position, column, n_distinct, mode, mode_count)``; ties go to the smallest value.
+
+    In two steps: the greatest count of each column (numbers only, a hash aggregate), then the smallest
+    text among the values that reach it, so no aggregate carries texts through all distinct values."""
+    top = vc.groupBy("position", "column").agg(F.count(F.lit(1)).alias("n_distinct"), F.max("n").alias("mode_count"))
+    # one row per column: broadcast
+    ties = vc.join(F.broadcast(top), ["position", "column"]).where(F.col("n") == F.col("mode_count"))
+    return ties.groupBy("position", "column", "n_distinct", "mode_count").agg(F.min("value").alias("mode")).select(
+        "position", "column", "n_distinct", "mode", "mode_count")
 
 
-def category_stats(df: DataFrame, cols: list[str], max_categories: int | None = 1000,
-                   with_categories: bool = True) -> CategoryStats:
+def category_stats(df: DataFrame, cols: list[str], with_categories: bool = True) -> CategoryStats:
+    """Modes and dictionaries. A dictionary is as large as the one-hot encoding it stands for, of which
+    every model holds a weight per level on the driver; ``with_categories=False`` leaves it distributed."""
     if not cols:
         return CategoryStats({}, {}, {})
     vc = value_counts_long(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows = modes_frame(vc).collect()
         n_distinct = {c: 0 for c in cols}
         mode: dict[str, str | None] = {c: None for c in cols}
-        for r in rows:
-            n_distinct[r["column"]] = int(r["n_distinct"])
-            mode[r["column"]] = r["mode"]
-        cats: dict[str, list[str]] = {}
-        if with_categories:
-            if max_categories is not None:
-                wide = [c for c in cols if n_distinct[c] > max_categories]
-                if wide:
-                    raise ValueError(
-                        f"Column '{wide[0]}' has {n_distinct[wide[0]]} distinct values, more than "
-                        f"max_categories={max_categories}; exclude it or raise the limit.")
-            counts: dict[str, dict[str, int]] = {c: {} for c in cols}
-            for r in vc.select("column", "value", "n").toPandas().itertuples(index=False):
-                counts[r.column][r.value] = int(r.n)
-            cats = {c: sorted(v) for c, v in counts.items()}
-            return CategoryStats(n_distinct, mode, cats, counts)
-        return CategoryStats(n_distinct, mode, cats)
+        if not with_categories:
+            for r in modes_frame(vc).collect():
+                n_distinct[r["column"]], mode[r["column"]] = int(r["n_distinct"]), r["mode"]
+            return CategoryStats(n_distinct, mode, {})
+        counts: dict[str, dict[str, int]] = {c: {} for c in cols}
+        for r in vc.select("column", "value", "n").toPandas().itertuples(index=False):
+            counts[r.column][r.value] = int(r.n)
+        for c, values in counts.items():
+            n_distinct[c] = len(values)
+            mode[c] = min(values, key=lambda v: (-values[v], v)) if values else None
+        return CategoryStats(n_distinct, mode, {c: sorted(v) for c, v in counts.items()}, counts)
     finally:
         vc.unpersist()

@@ -299,7 +299,7 @@ ORACLE_SQL: dict[str, str] = {
     "f1_f2_fill_orders_nulls": with_views(f"""
         , med AS (SELECT median(o_totalprice) AS m FROM orders_nulls),
         {_mode_cte('orders_nulls', 'o_orderpriority', 'mo')}
-        SELECT o_orderkey, coalesce(o_totalprice, med.m) AS o_totalprice, coalesce(o_orderpriority, mo.v) AS o_orderpriority
+        SELECT o_orderkey, round(coalesce(o_totalprice, med.m), 4) AS o_totalprice, coalesce(o_orderpriority, mo.v) AS o_orderpriority
         FROM orders_nulls, med, mo""", "orders_nulls"),
     "f3_zscore_orders_nulls": with_views("""
         , med AS (SELECT median(o_custkey) AS mc, median(o_totalprice) AS mt FROM orders_nulls),
@@ -412,3 +412,62 @@ ORACLE_SQL["m9_report_regression_lineitem"] = _ridge_report(
     "l_extendedprice * (1 - l_discount)")
 ORACLE_SQL["m1_logreg_lineitem"] = _logreg_results(
     _LINE_KEY, "lineitem", ["l_extendedprice", "l_discount", "l_tax"], "l_returnflag", "l_quantity > 25")
+
+#: Expected types, stated independently of the engine's rules.
+ORACLE_SQL["s2_infer_orders_text"] = """
+    SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, "column", inferred_type
+    FROM (VALUES ('whole', 'bigint'), ('whole_na', 'bigint'), ('flag', 'boolean'), ('flag_na', 'boolean'), ('nothing', 'double'),
+                 ('number', 'double'), ('nearly', 'string'), ('huge', 'double'), ('mixed', 'string'), ('price', 'double'))
+         AS t("column", inferred_type)"""
+ORACLE_SQL["k1_csv_roundtrip_documents"] = "SELECT * FROM documents"
+ORACLE_SQL["k1_csv_roundtrip_conversations"] = "SELECT * FROM conversations"
+ORACLE_SQL["f4_onehot_customer"] = "SELECT c_custkey, 'c_name_' || c_name AS feature FROM customer"
+ORACLE_SQL["r1_split_lineitem_suppkey"] = """
+    SELECT l_suppkey, count(*) AS n, count_if(rn <= CEIL(0.2::DOUBLE * total)) AS n_test
+    FROM (SELECT l_suppkey, row_number() OVER (ORDER BY md5(CAST(l_suppkey AS VARCHAR) || '|42')) AS rn, count(*) OVER () AS total
+          FROM lineitem) GROUP BY l_suppkey"""
+ORACLE_SQL["a2_missing_nan_lineitem"] = "\nUNION ALL ".join(
+    f"SELECT {i} AS position, {_q(c)} AS \"column\", {n} AS n_missing FROM lineitem" for i, (c, n) in enumerate([
+        *[(c, "count(*) - count(*)") for c in ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]],
+        ("l_quantity", "count_if(l_orderkey % 9 = 0 OR l_orderkey % 10 = 0)"), ("l_tax", "count_if(l_partkey % 4 = 0)"),
+        ("l_returnflag", "count(*) - count(*)")]))
+ORACLE_SQL["a15_histogram_nan_events"] = ORACLE_SQL["a15_histogram_events"].replace(
+    "FROM events", "FROM (SELECT * FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0) AS events")
+ORACLE_SQL["m3_ridge_clashing_names"] = ORACLE_SQL["m9_report_regression_lineitem"]
+# one categorical column: the normal equations are diagonal but for the free intercept
+ORACLE_SQL["m3_ridge_wide_orders"] = """
+    WITH ranked AS (SELECT o_totalprice AS y, 'k' || CAST(o_orderkey % 6000 AS VARCHAR) AS c,
+                           row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|42')) AS rn, count(*) OVER () AS n FROM orders),
+    flag AS (SELECT *, rn <= CEIL(0.2::DOUBLE * n) AS is_test FROM ranked),
+    level AS (SELECT c, count(*) AS k, avg(y) AS m FROM flag WHERE NOT is_test GROUP BY c),
+    base AS (SELECT sum(k * m / (k + 1)) / sum(k / (k + 1)) AS b FROM level),
+    pred AS (SELECT y, b + coalesce(k * (m - b) / (k + 1), 0) AS p FROM flag LEFT JOIN level USING (c), base WHERE is_test)
+    SELECT count(*) AS n, round(sqrt(avg((y - p) * (y - p))), 1) AS rmse,
+           round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 4) AS r2 FROM pred"""
+_STEP_TEST = f"""
+    WITH ranked AS (SELECT l_linenumber AS k, row_number() OVER (ORDER BY md5(concat_ws('|', {_LINE_KEY}, '42'))) AS rn, count(*) OVER () AS n
+                    FROM lineitem),
+    test AS (SELECT k FROM ranked WHERE rn <= CEIL(0.2::DOUBLE * n))"""
+ORACLE_SQL["m2_rf_classifier_steps"] = _STEP_TEST + """
+    SELECT c AS y_true, c AS y_pred, count(*) AS n
+    FROM (SELECT CASE WHEN k <= 2 THEN 'low' WHEN k <= 4 THEN 'middle' ELSE 'high' END AS c FROM test) GROUP BY c"""
+ORACLE_SQL["m4_rf_regressor_steps"] = _STEP_TEST + """
+    SELECT CAST(k * k AS DOUBLE) AS y_true, CAST(k * k AS DOUBLE) AS y_pred, count(*) AS n FROM test GROUP BY k"""
+_GROUPS = """
+    WITH g AS (SELECT l_linenumber % 3 AS grp, count(*) AS n FROM lineitem GROUP BY 1),
+    c AS (SELECT grp, n, CAST(row_number() OVER (ORDER BY n DESC) - 1 AS INTEGER) AS cluster FROM g)"""
+ORACLE_SQL["m5_kmeans_groups"] = _GROUPS + " SELECT grp, cluster, n FROM c"
+ORACLE_SQL["m8_cluster_view_groups"] = _GROUPS + " SELECT CAST(cluster AS VARCHAR) AS cluster, n, 1 AS clusters_in_a_cell FROM c"
+ORACLE_SQL["a18_summary_clusters"] = _GROUPS + " SELECT 'cluster ' || cluster AS metric, CAST(n AS DOUBLE) AS value FROM c"
+# every tree splits once, at depth 1: s = 2^(-(1 + c(rows on the side)) / c(all rows))
+_NATION = """
+    WITH s AS (SELECT n_nationkey, count(*) OVER (PARTITION BY n_regionkey = 0) AS side, count(*) OVER () AS n FROM nation),
+    e AS (SELECT n_nationkey, CASE WHEN side > 2 THEN 2 * (ln(side - 1) + 0.5772156649015329) - 2 * (side - 1) / side::DOUBLE
+                                   WHEN side = 2 THEN 1 ELSE 0 END AS c_side,
+                 2 * (ln(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n::DOUBLE AS c_all FROM s),
+    f AS (SELECT n_nationkey, 0.5 - power(2.0::DOUBLE, -(1 + c_side) / c_all) AS score FROM e)"""
+ORACLE_SQL["m6_iforest_nation"] = _NATION + " SELECT n_nationkey, score < 0 AS is_anomaly, round(score, 6) AS anomaly_score FROM f"
+ORACLE_SQL["a18_summary_anomalies_nation"] = _NATION + " SELECT 'anomalies' AS metric, CAST(count_if(score < 0) AS DOUBLE) AS value FROM f"
+ORACLE_SQL["a18_summary_pca_part"] = """
+    WITH s AS (SELECT corr(p_size, p_retailprice) AS r FROM part)
+    SELECT 'pc1' AS metric, round((1 + abs(r)) / 2, 3) AS value FROM s UNION ALL SELECT 'pc2', round((1 - abs(r)) / 2, 3) FROM s"""

@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import as_text, is_numeric
+from tessera.functions.columns import as_text, is_missing, is_numeric
 from tessera.operators import metrics
 from tessera.operators import models as M
-from tessera.operators.prep import drop_internal, fit_preprocessor, split_roles
+from tessera.operators.prep import fit_preprocessor, split_roles
 from tessera.operators.split import exact_split_cached, with_row_key
 
-MAX_CLASSES = 1000
+IS_TEST = "__is_test"
+#: Columns that a run adds to the user's table while it works.
+INTERNAL = {M.ROW_KEY, IS_TEST, M.FEATURES, M.LABEL, M.PREDICTION, M.Y, "__y_text", "__split_hash"}
 
 
 class _Lazy:
@@ -47,6 +49,18 @@ class Plot(dict):
     def get(self, key, default=None):
         return self[key] if key in self else default
 
+    def values(self):
+        return [self[k] for k in self]
+
+    def items(self):
+        return [(k, self[k]) for k in self]
+
+    def __or__(self, other):
+        return dict(self.items()) | dict(other)
+
+    def copy(self):
+        return dict(self.items())
+
 
 @dataclass
 class TaskResult:
@@ -68,7 +82,16 @@ def _c(name: str):
 
 def _check_input(df: DataFrame | None) -> None:
     if df is None or df.isEmpty():
-        raise ValueError("Dataset is empty.")
+        raise ValueError(M.EMPTY)
+    taken = {c.lower() for c in df.columns} & INTERNAL
+    if taken:
+        raise ValueError(f"Column '{sorted(taken)[0]}' has a name that the engine uses itself; rename it.")
+
+
+def _with_results(df: DataFrame, user_cols: list[str], results: list[str]) -> DataFrame:
+    """The user's columns and the results; a result replaces a user's column of its name."""
+    names = {r.lower() for r in results}
+    return df.select(*[_c(c) for c in user_cols if c.lower() not in names], *[_c(r) for r in results])
 
 
 def run_task(df: DataFrame, task: str, model_name: str, target: str | None = None, test_size: float = 0.2,
@@ -86,38 +109,38 @@ def run_task(df: DataFrame, task: str, model_name: str, target: str | None = Non
     _check_input(df)
     if task in ("Classification", "Regression"):
         if not target:
-            raise ValueError("Target column is required.")
+            raise ValueError(M.NO_TARGET)
         if target not in df.columns:
-            raise ValueError("Target column not found in dataset.")
+            raise ValueError(M.TARGET_NOT_FOUND)
         M.check_model(task, model_name)
         return _supervised(df, task, model_name, target, test_size, random_state, p, key_cols, exclude, report)
     M.check_model(task, model_name)
     return _unsupervised(df, task, model_name, random_state, p, key_cols, exclude, report)
 
 
+def with_target(df: DataFrame, target: str) -> DataFrame:
+    """The rows whose target is there (NaN is missing too)."""
+    return df.where(~is_missing(_c(target), df.schema[target].dataType))
+
+
 def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, exclude, report) -> TaskResult:
     target_type = df.schema[target].dataType
-    present = _c(target).isNotNull()
-    if isinstance(target_type, (T.FloatType, T.DoubleType)):
-        present = present & ~F.isnan(_c(target))  # NaN is missing too (P1)
-    df2 = with_row_key(df.where(present), key_cols)
-    skip = {target, "row_key", *exclude}
+    df2 = with_row_key(with_target(df, target), key_cols, M.ROW_KEY)
+    skip = {target, M.ROW_KEY, *exclude}
     num_cols, cat_cols = split_roles(df2, [c for c in df2.columns if c not in skip])
     # only the key, the target and the features are cached for the fit passes
-    df2 = df2.select("row_key", _c(target), *[_c(c) for c in num_cols + cat_cols])
-    split, cached = exact_split_cached(df2, test_size, seed)
-    train = split.where(~F.col("is_test"))
-    test = split.where(F.col("is_test"))
-    prep, info = fit_preprocessor(train, num_cols, cat_cols, output_col=M.FEATURES,
-                                  max_categories=p.get("max_categories", 1000))
+    df2 = df2.select(M.ROW_KEY, _c(target), *[_c(c) for c in num_cols + cat_cols])
+    split, cached = exact_split_cached(df2, test_size, seed, M.ROW_KEY, IS_TEST)
+    train = split.where(~F.col(IS_TEST))
+    test = split.where(F.col(IS_TEST))
+    prep, info = fit_preprocessor(train, num_cols, cat_cols, output_col=M.FEATURES)
     held = [cached]
     if task == "Classification":
         ytxt = as_text(_c(target), target_type)
-        # distinct train labels in one bounded job: at most MAX_CLASSES + 1 rows reach the driver
-        seen = (train.select(ytxt.alias("__y_text")).distinct().limit(MAX_CLASSES + 1)
-                .toPandas()["__y_text"].tolist())
-        if len(seen) > MAX_CLASSES:
-            raise ValueError(f"Target column has more than {MAX_CLASSES} classes; use a regression task.")
+        if isinstance(target_type, (T.FloatType, T.DoubleType)) and not train.where(_c(target) != F.floor(_c(target))).isEmpty():
+            raise ValueError("Unknown label type: continuous. The classification target holds fractional numbers.")
+        # the label list is the model's own: every classifier holds it on the driver, class by class
+        seen = train.select(ytxt.alias("__y_text")).distinct().toPandas()["__y_text"].tolist()
         labels = metrics.label_order(seen, is_numeric(target_type))
         if model_name == "Logistic Regression" and len(labels) < 2:
             raise ValueError("This solver needs samples of at least 2 classes in the data, but the data contains "
@@ -126,33 +149,34 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
         indexer = StringIndexerModel.from_labels(labels, inputCol="__y_text", outputCol=M.LABEL,
                                                  handleInvalid="error")
         train_feat = M.persist(indexer.transform(prep.transform(train.withColumn("__y_text", ytxt)))
-                               .select("row_key", M.FEATURES, M.LABEL))
+                               .select(M.ROW_KEY, M.FEATURES, M.LABEL))
         held.append(train_feat)
         fitted = M.fit_classifier(model_name, train_feat, info.rows, seed, p)
         to_text = IndexToString(inputCol=M.PREDICTION, outputCol="y_pred", labels=labels)
         model = PipelineModel([prep, fitted, to_text])
         results = (model.transform(test)
-                   .select("row_key", ytxt.alias("y_true"), F.col("y_pred")))
+                   .select(F.col(M.ROW_KEY).alias("row_key"), ytxt.alias("y_true"), F.col("y_pred")))
         conf = metrics.confusion_long(results).toPandas()
         rep = metrics.classification_report(list(conf.itertuples(index=False, name=None)), is_numeric(target_type))
         report.update(rep)
         cm, all_labels = rep["confusion_matrix"], rep["class_labels"]
-        dense = metrics.confusion_dense(results, all_labels)
-        plot = Plot(type="confusion_matrix", cm=cm, labels=all_labels, data=dense)
+        plot = Plot(type="confusion_matrix", cm=cm, labels=all_labels,
+                    data=_Lazy(lambda: metrics.confusion_dense(results, all_labels)))
     else:
         if not is_numeric(target_type):
             raise ValueError("Regression target must be numeric.")
         y = _c(target).cast("double")
         ystats = train.agg(F.stddev_pop(y).alias("sd")).first()
-        train_feat = M.persist(prep.transform(train).select("row_key", M.FEATURES, y.alias(M.Y)))
+        train_feat = M.persist(prep.transform(train).select(M.ROW_KEY, M.FEATURES, y.alias(M.Y)))
         held.append(train_feat)
-        fitted = M.fit_regressor(model_name, train_feat, info.rows, float(ystats["sd"] or 0.0), seed, p)
+        fitted = M.fit_regressor(model_name, train_feat, info.rows, float(ystats["sd"] or 0.0), seed, p,
+                                 len(info.feature_names))
         named = SQLTransformer(statement=f"SELECT *, {M.PREDICTION} AS y_pred FROM __THIS__")
         model = PipelineModel([prep, fitted, named])
-        results = model.transform(test).select("row_key", y.alias("y_true"), F.col("y_pred"))
+        results = model.transform(test).select(F.col(M.ROW_KEY).alias("row_key"), y.alias("y_true"), F.col("y_pred"))
         row = metrics.regression_metrics(results).first()
         report.update({"rmse": float(row["rmse"]), "r2": float(row["r2"])})
-        plot = Plot(type="pred_vs_actual", range=metrics.axis_range(results),
+        plot = Plot(type="pred_vs_actual", range=_Lazy(lambda: metrics.axis_range(results)),
                     data=_Lazy(lambda: metrics.grid_counts(results, "y_true", "y_pred")))
     return TaskResult(model, results, report, plot, held)
 
@@ -161,14 +185,13 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
     # the input (all columns: the results keep them) is cached once; the statistics passes read it,
     # the fits read a compact cached (row_key, features) table, and the results apply the fitted
     # pipeline to the cached input
-    keyed = M.persist(with_row_key(df, key_cols))
+    keyed = M.persist(with_row_key(df, key_cols, M.ROW_KEY))
     held = [keyed]
     user_cols = [c for c in df.columns]
-    skip = {"row_key", *exclude}
+    skip = {M.ROW_KEY, *exclude}
     num_cols, cat_cols = split_roles(keyed, [c for c in keyed.columns if c not in skip])
-    prep, info = fit_preprocessor(keyed, num_cols, cat_cols, output_col=M.FEATURES,
-                                  max_categories=p.get("max_categories", 1000))
-    feats = M.persist(prep.transform(keyed).select("row_key", M.FEATURES))
+    prep, info = fit_preprocessor(keyed, num_cols, cat_cols, output_col=M.FEATURES)
+    feats = M.persist(prep.transform(keyed).select(M.ROW_KEY, M.FEATURES))
     held.append(feats)
     width = len(info.feature_names)
     if task == "Clustering":
@@ -177,13 +200,13 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
         km = M.fit_kmeans(feats, seed, p, info.mean_variance, info.rows)
         model = PipelineModel([prep, km])
         out = model.transform(keyed)
-        results = drop_internal(out).select(*[_c(c) for c in user_cols], F.col("cluster"))
-        sizes = (metrics.cluster_sizes(results).orderBy(F.desc("n"), "cluster").collect())
+        results = _with_results(out, user_cols, ["cluster"])
+        sizes = metrics.cluster_sizes(results).collect()
         report.update({"k": int(p["k"]), "cluster_counts": {int(r["cluster"]): int(r["n"]) for r in sizes}})
-        plot = Plot(type="scatter2d", title="Clusters (PCA view)")
+        plot = Plot(type="scatter2d")
         if width >= 2 and info.rows >= 2:
             def view():
-                pca, _ = M.fit_pca(feats, 2)
+                pca, _ = M.fit_pca(feats, info.feature_means, 2)
                 return metrics.grid_counts(pca.transform(out.select(M.FEATURES, "cluster")), "pc1", "pc2",
                                            group="cluster")
             plot["data"] = _Lazy(view)
@@ -191,13 +214,11 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
     if task == "Anomaly Detection":
         forest = M.fit_iforest(feats, seed, p)
         model = PipelineModel([prep, forest])
-        results = drop_internal(model.transform(keyed)).select(*[_c(c) for c in user_cols], "is_anomaly",
-                                                               "anomaly_score")
+        results = _with_results(model.transform(keyed), user_cols, ["is_anomaly", "anomaly_score"])
         results = M.persist(results)
         held.append(results)
         report.update({"anomalies": int(metrics.anomaly_count(results).first()["anomalies"])})
-        plot = Plot(type="hist", title="Anomaly scores (higher = more normal)",
-                    data=_Lazy(lambda: metrics.histogram(results, "anomaly_score", 30)))
+        plot = Plot(type="hist", data=_Lazy(lambda: metrics.histogram(results, "anomaly_score", 30)))
         return TaskResult(model, results, report, plot, held)
     # Dimensionality Reduction
     k = int(p["components"])
@@ -206,11 +227,9 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
     if info.rows < k:
         raise ValueError(f"n_components={k} must be between 0 and min(n_samples, n_features)="
                          f"{min(info.rows, width)}")
-    pca, evr = M.fit_pca(feats, k)
+    pca, evr = M.fit_pca(feats, info.feature_means, k)
     model = PipelineModel([prep, pca])
-    results = drop_internal(model.transform(keyed)).select(*[_c(c) for c in user_cols],
-                                                           *[f"pc{j + 1}" for j in range(k)])
+    results = _with_results(model.transform(keyed), user_cols, [f"pc{j + 1}" for j in range(k)])
     report.update({"components": k, "explained_variance_ratio": evr})
-    plot = Plot(type="scatter2d", title="PCA (PC1 vs PC2)",
-                data=_Lazy(lambda: metrics.grid_counts(results, "pc1", "pc2")))
+    plot = Plot(type="scatter2d", data=_Lazy(lambda: metrics.grid_counts(results, "pc1", "pc2")))
     return TaskResult(model, results, report, plot, held)

@@ -74,6 +74,61 @@ def embeddings_cols(spark: SparkSession, sf: str) -> DataFrame:
                     "label")
 
 
+def lineitem_nan(spark: SparkSession, sf: str) -> DataFrame:
+    """NaN and null side by side in two columns."""
+    li, nan = read_table(spark, sf, "lineitem"), F.lit(float("nan"))
+    return li.select(*LINEITEM_KEY, F.when(F.col("l_orderkey") % 9 == 0, nan).when(F.col("l_orderkey") % 10 == 0, None)
+                     .otherwise(F.col("l_quantity")).alias("l_quantity"),
+                     F.when(F.col("l_partkey") % 4 == 0, nan).otherwise(F.col("l_tax")).alias("l_tax"), "l_returnflag")
+
+
+def events_nan(spark: SparkSession, sf: str) -> DataFrame:
+    ev = read_table(spark, sf, "events", ["event_id", "value"])
+    return ev.select("event_id", F.when(F.col("event_id") % 7 == 0, float("nan")).when(F.col("event_id") % 11 == 0, None)
+                     .otherwise(F.col("value")).alias("value"))
+
+
+def lineitem_clash(spark: SparkSession, sf: str) -> DataFrame:
+    """``lineitem_reg`` with features named like columns an engine might add."""
+    return (lineitem_reg(spark, sf).withColumnRenamed("l_quantity", "is_test").withColumnRenamed("l_extendedprice", "_h")
+            .withColumnRenamed("l_discount", "row_key").withColumnRenamed("l_tax", "features"))
+
+
+def orders_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """One text feature with up to 6,000 levels."""
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_totalprice"])
+    return o.select("o_orderkey", "o_totalprice", F.concat(F.lit("k"), (F.col("o_orderkey") % 6000).cast("string")).alias("level"))
+
+
+def orders_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of every kind that type inference tells apart."""
+    o, k = read_table(spark, sf, "orders", ["o_orderkey", "o_totalprice"]), F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    return o.select(k.cast("string").alias("whole"), F.when(k % 3 == 0, none).otherwise(k.cast("string")).alias("whole_na"),
+                    F.when(k % 2 == 0, "True").otherwise("false").alias("flag"), F.when(k % 5 == 0, none).otherwise(F.lit("TRUE")).alias("flag_na"),
+                    none.alias("nothing"), F.when(k % 4 == 0, "1e5").when(k % 4 == 1, "-.5").when(k % 4 == 2, "inf").otherwise("7").alias("number"),
+                    F.when(k % 10 == 0, "x").otherwise("1").alias("nearly"), F.lit("99999999999999999999").alias("huge"),
+                    F.when(k % 2 == 0, "True").otherwise("1").alias("mixed"), F.col("o_totalprice").cast("string").alias("price"))
+
+
+def lineitem_steps(spark: SparkSession, sf: str) -> DataFrame:
+    li, n = read_table(spark, sf, "lineitem", LINEITEM_KEY), F.col("l_linenumber")
+    return li.select(*LINEITEM_KEY, n.cast("double").alias("number"), (n * n).cast("double").alias("step"),
+                     F.when(n <= 2, "low").when(n <= 4, "middle").otherwise("high").alias("size_class"))
+
+
+def lineitem_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Three groups of unequal size, far apart in both features."""
+    li, g = read_table(spark, sf, "lineitem", [*LINEITEM_KEY, "l_quantity"]), F.col("l_linenumber") % 3
+    return li.select(*LINEITEM_KEY, g.alias("grp"), (g * 10000 + F.col("l_quantity")).cast("double").alias("x"),
+                     (F.when(g == 1, 10000).otherwise(0) + F.col("l_partkey") % 10).cast("double").alias("y"))
+
+
+def nation_flag(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "nation", ["n_nationkey", "n_regionkey"]).select(
+        "n_nationkey", F.when(F.col("n_regionkey") == 0, 1).otherwise(0).alias("first_region"))
+
+
 SQL_VIEWS = {
     "orders_nulls": """
         SELECT o_orderkey, o_custkey, o_orderstatus,

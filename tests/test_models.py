@@ -141,10 +141,10 @@ def test_canonical_layout_spreads_copies(spark):
     hot = spark.range(30000).select(F.lit(1.0).alias("a"))
     rest = spark.range(60000).select(F.col("id").cast("double").alias("a"))
     df = with_row_key(hot.union(rest))
-    sizes = [r["n"] for r in canonical_layout(df, 8).groupBy(F.spark_partition_id().alias("p"))
+    sizes = [r["n"] for r in canonical_layout(df, 8, "row_key").groupBy(F.spark_partition_id().alias("p"))
              .agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == 90000 and max(sizes) < 1.3 * 90000 / 8
     # rows without copies keep a layout-independent place
-    a = canonical_layout(with_row_key(rest), 8).select(F.spark_partition_id().alias("p"), "a")
-    b = canonical_layout(with_row_key(rest.repartition(5)), 8).select(F.spark_partition_id().alias("p"), "a")
+    a = canonical_layout(with_row_key(rest), 8, "row_key").select(F.spark_partition_id().alias("p"), "a")
+    b = canonical_layout(with_row_key(rest.repartition(5)), 8, "row_key").select(F.spark_partition_id().alias("p"), "a")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

@@ -51,15 +51,14 @@ def test_mode_tie_goes_to_smallest(spark):
     assert cs.mode == {"c": "a"} and cs.categories == {"c": ["a", "b"]} and cs.n_distinct == {"c": 2}
 
 
-def test_cardinality_guard(spark):
-    df = spark.range(50).selectExpr("cast(id as string) as c")
-    with pytest.raises(ValueError, match="max_categories"):
-        stats.category_stats(df, ["c"], max_categories=10)
+def test_dictionaries_have_no_limit(spark):
+    cs = stats.category_stats(spark.range(3000).selectExpr("cast(id as string) as c"), ["c"])
+    assert cs.n_distinct == {"c": 3000} and cs.categories["c"] == sorted(map(str, range(3000)))
 
 
 def test_mode_hot_value_spread_over_partitions(spark):
     df = spark.range(30000).selectExpr("case when id % 3 = 0 then 'hot' else cast(id as string) end as c")
-    cs = stats.category_stats(df.repartition(7), ["c"], max_categories=None, with_categories=False)
+    cs = stats.category_stats(df.repartition(7), ["c"], with_categories=False)
     assert cs.mode == {"c": "hot"} and cs.n_distinct == {"c": 20001}
 
 
