@@ -139,7 +139,9 @@ class IsolationForest(Estimator, _HasIForestParams):
         g = self.getOrDefault
         n_trees, seed, key = g(self.numTrees), g(self.seed), g(self.keyCol)
         data = df.select(vector_to_array(F.col(g(self.featuresCol))).alias("_x"), F.col(key).alias("_key"))
-        data = data.select("_x", F.xxhash64("_key", "_x").alias("_id"))
+        # rounded: sums over another layout may move a scaled feature by its last bits
+        rounded = F.transform("_x", lambda v: F.round(v, 6))
+        data = data.select("_x", F.xxhash64("_key", rounded).alias("_id"))
         counts = data.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
         n = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
         if n == 0:

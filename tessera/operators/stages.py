@@ -57,6 +57,20 @@ class ImputeScaleModel(Transformer, DefaultParamsReadable, DefaultParamsWritable
         return df.withColumns(out) if out else df
 
 
+class CopyColumn(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """``outputCol = inputCol``; a column of the output's name is replaced."""
+
+    inputCol = Param(Params._dummy(), "inputCol", "column to copy", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "its new name", TypeConverters.toString)
+
+    def __init__(self, inputCol="__prediction", outputCol="y_pred"):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.getOrDefault(self.outputCol), _c(self.getOrDefault(self.inputCol)))
+
+
 class IndexMap(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """``outputCol = mapping[int(inputCol)]`` (e.g. deterministic cluster numbering)."""
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexerModel
+from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +24,11 @@ from tessera.operators import metrics
 from tessera.operators import models as M
 from tessera.operators.prep import fit_preprocessor, split_roles
 from tessera.operators.split import exact_split_cached, with_row_key
+from tessera.operators.stages import CopyColumn
 
 IS_TEST = "__is_test"
 #: Columns that a run adds to the user's table while it works.
-INTERNAL = {M.ROW_KEY, IS_TEST, M.FEATURES, M.LABEL, M.PREDICTION, M.Y, "__y_text", "__split_hash"}
+INTERNAL = {M.ROW_KEY, IS_TEST, M.FEATURES, M.LABEL, M.PREDICTION, M.Y, "__y_text", "__y_pred", "__split_hash"}
 
 
 class _Lazy:
@@ -137,7 +138,7 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
     held = [cached]
     if task == "Classification":
         ytxt = as_text(_c(target), target_type)
-        if isinstance(target_type, (T.FloatType, T.DoubleType)) and not train.where(_c(target) != F.floor(_c(target))).isEmpty():
+        if isinstance(target_type, (T.FloatType, T.DoubleType, T.DecimalType)) and not train.where(_c(target) != F.floor(_c(target))).isEmpty():
             raise ValueError("Unknown label type: continuous. The classification target holds fractional numbers.")
         # the label list is the model's own: every classifier holds it on the driver, class by class
         seen = train.select(ytxt.alias("__y_text")).distinct().toPandas()["__y_text"].tolist()
@@ -152,8 +153,8 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
                                .select(M.ROW_KEY, M.FEATURES, M.LABEL))
         held.append(train_feat)
         fitted = M.fit_classifier(model_name, train_feat, info.rows, seed, p)
-        to_text = IndexToString(inputCol=M.PREDICTION, outputCol="y_pred", labels=labels)
-        model = PipelineModel([prep, fitted, to_text])
+        to_text = IndexToString(inputCol=M.PREDICTION, outputCol="__y_pred", labels=labels)
+        model = PipelineModel([prep, fitted, to_text, CopyColumn(inputCol="__y_pred")])
         results = (model.transform(test)
                    .select(F.col(M.ROW_KEY).alias("row_key"), ytxt.alias("y_true"), F.col("y_pred")))
         conf = metrics.confusion_long(results).toPandas()
@@ -171,8 +172,7 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
         held.append(train_feat)
         fitted = M.fit_regressor(model_name, train_feat, info.rows, float(ystats["sd"] or 0.0), seed, p,
                                  len(info.feature_names))
-        named = SQLTransformer(statement=f"SELECT *, {M.PREDICTION} AS y_pred FROM __THIS__")
-        model = PipelineModel([prep, fitted, named])
+        model = PipelineModel([prep, fitted, CopyColumn(inputCol=M.PREDICTION)])
         results = model.transform(test).select(F.col(M.ROW_KEY).alias("row_key"), y.alias("y_true"), F.col("y_pred"))
         row = metrics.regression_metrics(results).first()
         report.update({"rmse": float(row["rmse"]), "r2": float(row["r2"])})
