@@ -29,6 +29,7 @@ from tessera.functions.columns import as_text, num_value
 HIST_BINS = 1024
 EXACT_LIMIT = 50_000     # distinct values that a pass may bring to the driver, over all columns together
 BLOCK_COLUMNS = 100      # columns of one grouped sketch: the aggregate keeps to its hash map up to 128 groups
+WIDTH_PASSES = 3         # passes with equal-width bins before brackets are cut by rank
 MAX_PASSES = 64
 SKETCH_ACCURACY = 2000   # percentile_approx relative rank error 1/2000: a bounded sketch per column
 SKETCH_SLACK = 3.0       # bracket = sketch quantiles at p -/+ SKETCH_SLACK / accuracy
@@ -100,6 +101,7 @@ class _Target:
     hi: float
     below: int | None = 0  # number of values < lo (None: count it in the next pass)
     exact: bool = False    # next pass counts distinct values instead of bins
+    inside: int = 0        # number of values in lo..hi, where known
     value: float | None = None
     done: bool = False
 
@@ -139,10 +141,12 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, list[int]], summary: Nume
                 t.exact = True
             targets.append(t)
 
-    for _ in range(MAX_PASSES):
+    for n_pass in range(MAX_PASSES):
         active = [t for t in targets if not t.done]
         if not active:
             break
+        if n_pass >= WIDTH_PASSES:
+            _cut_by_rank(df, cols, [t for t in active if not t.exact and t.inside])
         probes: dict[tuple, int] = {}
         for t in active:
             probes.setdefault((t.col, t.lo, t.hi, t.exact, t.below is None), len(probes))
@@ -176,7 +180,7 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, list[int]], summary: Nume
                 inside = sum(r.n for r in rows)
                 if not (t.below <= t.rank < t.below + inside):
                     # the sketch bracket missed: fall back to the full range
-                    t.lo, t.hi, t.below = float(summary.min[t.col]), float(summary.max[t.col]), 0
+                    t.lo, t.hi, t.below, t.inside = float(summary.min[t.col]), float(summary.max[t.col]), 0, summary.count[t.col]
                     t.exact = summary.count[t.col] <= exact_limit
                     continue
             seen = t.below
@@ -185,7 +189,7 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, list[int]], summary: Nume
                     if t.exact or r.mn == r.mx:
                         t.value, t.done = float(r.mn), True
                     else:
-                        t.lo, t.hi, t.below = float(r.mn), float(r.mx), seen
+                        t.lo, t.hi, t.below, t.inside = float(r.mn), float(r.mx), seen, int(r.n)
                         t.exact = r.n <= exact_limit
                     break
                 seen += int(r.n)
@@ -196,6 +200,26 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, list[int]], summary: Nume
     return {(t.col, t.rank): t.value for t in targets}
 
 
+def _cut_by_rank(df: DataFrame, cols: list[str], targets: list[_Target]) -> None:
+    """Narrow each target's bracket to a few of 256 sketched quantiles of the values inside it.
+
+    Equal-width bins gain little where values spread over many exponents; quantiles cut the number of
+    values whatever their spread. The next pass counts below the new bracket, so the sketch need not be right."""
+    if not targets:
+        return
+    ci = {c: i for i, c in enumerate(cols)}
+    probes = df.sparkSession.createDataFrame([(ci[t.col], k, t.lo, t.hi) for k, t in enumerate(targets)], "ci int, p int, lo double, hi double")
+    grid = [i / 256 for i in range(257)]
+    rows = (long_numeric(df, cols).join(F.broadcast(probes), "ci").where(F.col("v").between(F.col("lo"), F.col("hi")))
+            .groupBy("p").agg(F.percentile_approx("v", grid, SKETCH_ACCURACY).alias("q")).collect())
+    for r in rows:
+        t = targets[r["p"]]
+        at = int((t.rank - t.below) / t.inside * 256)
+        lo, hi = r["q"][max(0, at - 1)], r["q"][min(256, at + 2)]
+        if (lo, hi) != (t.lo, t.hi):
+            t.lo, t.hi, t.below = lo, hi, None
+
+
 def exact_medians(df: DataFrame, cols: list[str], summary: NumericSummary | None = None) -> dict[str, float | None]:
     """Exact interpolated median (mean of the two middle values) per column."""
     summary = summary or numeric_summary(df, cols)

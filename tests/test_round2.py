@@ -199,6 +199,15 @@ def test_statistics_of_many_columns(spark):
     assert "Sort" not in below
 
 
+def test_order_statistics_over_many_exponents(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([10.0 ** rng.uniform(-300, 300, 4000), -(10.0 ** rng.uniform(-300, 300, 1000)), np.full(50, 7.0)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    ranks = [0, 700, 2500, 3333, 5049]
+    got = stats.exact_order_stats(df, {"x": ranks}, bins=16, exact_limit=50)
+    assert [got[("x", k)] for k in ranks] == np.sort(x)[ranks].tolist()
+
+
 def test_plot_entries_are_computed_on_access(spark):
     res = run_task(_reg(spark, "x"), "Regression", "Ridge Regression", "y", key_cols=["id"], exclude=["id"])
     assert {type(v).__name__ for v in res.plot.values()} == {"str", "DataFrame"}
