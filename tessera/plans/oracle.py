@@ -9,8 +9,11 @@ entry: the driver then checks rows only, and pytest checks their properties.
 from __future__ import annotations
 
 from tessera.plans.views import with_views
-from tessera.sources.csv import _FLOAT_RE, _INT_RE
-from tessera.functions.columns import FALSE_STRINGS, TRUE_STRINGS
+
+#: The oracle's own reading of whole numbers, numbers and booleans (not the engine's patterns).
+_WHOLE = "^[ \\t]*[-+]?[0-9]{1,}[ \\t]*$"
+_NUMBER = "(?i)^[ \\t]*[-+]?(([0-9]{1,}[.]?[0-9]*|[.][0-9]{1,})(e[-+]?[0-9]{1,})?|inf|infinity)[ \\t]*$"
+_BOOLEAN = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
 LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -32,10 +35,10 @@ def _infer(table: str, cols: list[str]) -> str:
         parts.append(f"""
         SELECT {i} AS position, {_q(c)} AS "column",
                CASE WHEN count({v}) = 0 THEN 'double'
-                    WHEN count_if(regexp_matches({v}, {_q(_INT_RE)}) AND TRY_CAST(trim({v}) AS BIGINT) IS NOT NULL)
+                    WHEN count_if(regexp_matches({v}, {_q(_WHOLE)}) AND TRY_CAST(trim({v}) AS BIGINT) IS NOT NULL)
                          = count({v}) THEN 'bigint'
-                    WHEN count_if(regexp_matches({v}, {_q(_FLOAT_RE)})) = count({v}) THEN 'double'
-                    WHEN count_if({v} IN {_in_list(TRUE_STRINGS + FALSE_STRINGS)}) = count({v}) THEN 'boolean'
+                    WHEN count_if(regexp_matches({v}, {_q(_NUMBER)})) = count({v}) THEN 'double'
+                    WHEN count_if({v} IN {_in_list(_BOOLEAN)}) = count({v}) THEN 'boolean'
                     ELSE 'string' END AS inferred_type
         FROM {table}""")
     return "\nUNION ALL".join(parts)

@@ -208,6 +208,17 @@ def test_order_statistics_over_many_exponents(spark):
     assert [got[("x", k)] for k in ranks] == np.sort(x)[ranks].tolist()
 
 
+def test_scans_are_not_shuffled_by_default(spark, monkeypatch):
+    from tessera.sources import parquet
+
+    path = "/root/testdata/sf0.001/lineitem.parquet"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(parquet.read_parquet(spark, path))
+    assert "Exchange" in plan(parquet.read_parquet(spark, path, balance=True))
+    monkeypatch.setattr(parquet, "BALANCE_BYTES", 10)
+    assert "Exchange" not in plan(parquet.read_parquet(spark, path, balance=True))
+
+
 def test_plot_entries_are_computed_on_access(spark):
     res = run_task(_reg(spark, "x"), "Regression", "Ridge Regression", "y", key_cols=["id"], exclude=["id"])
     assert {type(v).__name__ for v in res.plot.values()} == {"str", "DataFrame"}
