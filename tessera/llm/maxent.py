@@ -4,7 +4,7 @@ A word's probability is that of its bucket given the words before it, times its
 the bucket. Buckets are the most frequent words, one each, and for the others a hash of the word's
 ending, which tells languages apart. The bucket is predicted in two softmax steps, first its class,
 then the bucket within the class, from hashed features: the last word, the last two words, the word
-two and the word three places back (skips), and a constant.
+two places back (a skip; for the class only) and a constant.
 
 Word counts are summed by Spark over all training texts. The weights are trained by rounds of
 distributed updates: in each round every task takes AdaGrad steps in sparse numpy batches over its
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, words_of
+from tessera.llm.common import LOWER, materialize
 
 #: Words whose counts are broadcast (16 bytes each).
 FREQUENT = 131_072
@@ -34,163 +34,261 @@ BUCKETS = CLASSES * MEMBERS
 OWN = 192
 ENDINGS = BUCKETS - OWN
 FEATURES = 4096
-USED = 5  # features of a token
-BATCH = 8192
+#: Hashed features of a token (last word, last two, skip), and how many of them the second step uses.
+USED, SECOND = 3, 2
+BATCH = 32_768
 ROUNDS = 2
 RATE = 0.3
-#: Words that a task remembers; when there are more it forgets them all.
-REMEMBERED = 400_000
-#: The end of a text as a token: no word holds a line break.
-END = b"\n"
-
-
-def _hash(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
-
-
-class Words:
-    """Words of a task as rows of arrays: hash, ending's bucket, and what ``lookup`` tells of them."""
-
-    def __init__(self, frequent: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
-        self.frequent = frequent
-        self.clear()
-
-    def clear(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.key: list[int] = []
-        self.ending: list[int] = []
-        self.known = 0
-        self.arrays = tuple(np.zeros(0, np.int64) for _ in range(3))
-
-    def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of all tokens of the texts, one end each, and the number of tokens of each text."""
-        if len(self.key) > REMEMBERED:
-            self.clear()
-        row, tokens, sizes = self.row, [], []
-        for t in texts:
-            ws = words_of(t)
-            ws.append(END)
-            tokens += ws
-            sizes.append(len(ws))
-        for w in set(tokens).difference(row):
-            row[w] = len(self.key)
-            self.key.append(_hash(w))
-            self.ending.append(int.from_bytes(w[-2:], "big") * 40503 % 65_521 % ENDINGS)
-        return np.fromiter(map(row.__getitem__, tokens), np.int64, len(tokens)), np.array(sizes)
-
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, bucket and count (zero: not among the frequent) of each row."""
-        if self.known < len(self.key):
-            key = np.array(self.key, np.int64)
-            bucket = OWN + np.array(self.ending, np.int64)
-            count = np.zeros(len(key), np.int64)
-            if self.frequent is not None and len(self.frequent[0]):
-                keys, counts, buckets = self.frequent
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = keys[at] == key
-                count[hit] = counts[at[hit]]
-                bucket[hit] = buckets[at[hit]]
-            self.arrays, self.known = (key, bucket, count), len(key)
-        return self.arrays
+#: Different words that a task adds up before it hands the counts on.
+REMEMBERED = 1_000_000
+#: The end of a text as a token, a fixed hash.
+END_KEY = np.uint64(0x2545F4914F6CDD1D)
+
+
+#: Words are hashed as polynomials in BASE modulo 2^64, then mixed.
+BASE = 0x9E3779B97F4A7C15
+#: Texts are hashed together up to so many bytes; longer ones are cut between words.
+STEP_BYTES = 1 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+class Hasher:
+    """Hash and ending of every token of some texts, in numpy; the powers of the base are kept."""
+
+    def __init__(self) -> None:
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) < n:
+            for name, base in (("power", BASE), ("inverse", pow(BASE, -1, 1 << 64))):
+                steps = np.full(2 * n, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, ending and begin of each word of ``data``."""
+        x = np.frombuffer(data, np.uint8)
+        self._grow(len(x) + 1)
+        space = np.concatenate(([True], _SPACE[x], [True]))
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        begin, end = edge[::2], edge[1::2]
+        terms = x.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= self.power[:len(x)]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms)))
+        h = (sums[end] - sums[begin]) * self.inverse[begin]
+        last = x[end - 1].astype(np.int64)
+        before = np.where(end - begin > 1, x[np.maximum(end, 2) - 2], 0).astype(np.int64)
+        return _mixed(h), ((before * 256 + last) * 40503 % 65_521 % ENDINGS).astype(np.int32), begin
+
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and ending of all tokens of the texts, one end each, and the number of tokens of each."""
+        parts: list[tuple[int, bytes]] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            starts = np.cumsum([0] + [len(p) + 1 for _, p in parts[:-1]])
+            h, ending, begin = self.words(b" ".join(p for _, p in parts))
+            out.append((h, ending, np.array([i for i, _ in parts])[np.searchsorted(starts, begin, side="right") - 1]))
+            parts.clear()
+
+        size = 0
+        for i, t in enumerate(texts):
+            low = t.encode().translate(LOWER) if t else b""
+            while low:
+                cut = len(low)
+                if cut > STEP_BYTES:
+                    cut = max(low.rfind(b" ", 0, STEP_BYTES), low.rfind(b"\n", 0, STEP_BYTES))
+                    cut = len(low) if cut <= 0 else cut  # a word that long is hashed whole
+                parts.append((i, low[:cut]))
+                size += cut
+                low = low[cut:]
+                if size >= STEP_BYTES:
+                    flush()
+                    size = 0
+        if parts:
+            flush()
+        text = np.concatenate([o[2] for o in out]) if out else np.zeros(0, np.int64)
+        sizes = np.bincount(text, minlength=len(texts)) + 1
+        n = len(text) + len(texts)
+        key, ending = np.full(n, END_KEY, np.uint64), np.zeros(n, np.int32)
+        at = np.arange(len(text)) + text  # each text's end stands behind its words
+        if out:
+            key[at] = np.concatenate([o[0] for o in out])
+            ending[at] = np.concatenate([o[1] for o in out])
+        return key.view(np.int64), ending, sizes
+
+
+class Frequent:
+    """Counts and buckets of the frequent words in an open-addressing table that numpy probes."""
+
+    BITS = 20
+
+    def __init__(self, key: np.ndarray, count: np.ndarray, bucket: np.ndarray):
+        key = key.view(np.uint64)
+        size = (1 << self.BITS) + 64
+        self.at = np.full(size, -1, np.int32)
+        self.key, self.count, self.bucket = key, count, bucket
+        self.probes = 0
+        rest = np.arange(len(key))
+        while len(rest):
+            slot = (key[rest] >> np.uint64(64 - self.BITS)).astype(np.int64) + self.probes
+            if slot.max() >= len(self.at):
+                self.at = np.concatenate((self.at, np.full(64, -1, np.int32)))
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.at[slot[first]] < 0]
+            self.at[slot[first]] = rest[first]
+            rest = np.delete(rest, first)
+            self.probes += 1
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where it is not there."""
+        h = key.view(np.uint64)
+        out = np.full(len(h), -1, np.int32)
+        if not len(self.key):
+            return out
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        rest = None
+        for k in range(self.probes):
+            row = self.at[slot + k]
+            hit = (row >= 0) & (self.key[np.maximum(row, 0)] == (h if rest is None else h[rest]))
+            if rest is None:
+                out[hit] = row[hit]
+                rest = np.flatnonzero((row >= 0) & ~hit)  # a free slot ends the search
+            else:
+                out[rest[hit]] = row[hit]
+                rest = rest[(row >= 0) & ~hit]
+            if not len(rest):
+                break
+            slot = (h[rest] >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return out
+
+    def look_up(self, key: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and count (zero: not among the frequent) of each token."""
+        row = self.find(key)
+        there = row >= 0
+        if not len(self.key):
+            return OWN + ending, np.zeros(len(key), np.int64)
+        row = np.maximum(row, 0)
+        return np.where(there, self.bucket[row], OWN + ending), np.where(there, self.count[row], 0)
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
-    """``(w, ending, c)``: hash, ending and occurrences of every token of the texts."""
+    """``(w, ending, c)``: hash, ending and occurrences of every token of the texts. A task adds up what
+    it has seen and hands it on when it holds ``REMEMBERED`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n = Words(), np.zeros(0, np.int64)
-
-        def out() -> pa.RecordBatch:
-            used = np.flatnonzero(n)
-            return pa.RecordBatch.from_arrays([pa.array(np.array(words.key, np.int64)[used]), pa.array(np.array(words.ending, np.int32)[used]), pa.array(n[used])], names=["w", "ending", "c"])
-
+        hasher = Hasher()
+        key, ending, n = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                if len(words.key) > REMEMBERED:
-                    yield out()
-                    words.clear()
-                    n = np.zeros(0, np.int64)
-                rows, _ = words.rows(batch.slice(at, 512)[0].to_pylist())
-                more = np.bincount(rows, minlength=len(words.key))
-                more[:len(n)] += n
-                n = more
-        if len(n):
-            yield out()
+                k, e, _ = hasher.tokens(batch.slice(at, 512)[0].to_pylist())
+                k, own, c = np.unique(k, return_index=True, return_counts=True)
+                key, first, back = np.unique(np.concatenate((key, k)), return_index=True, return_inverse=True)
+                ending = np.concatenate((ending, e[own]))[first]
+                n = np.bincount(back, np.concatenate((n, c)), len(key)).astype(np.int64)
+                if len(key) > REMEMBERED:
+                    yield _counts(key, ending, n)
+                    key, ending, n = key[:0], ending[:0], n[:0]
+        if len(key):
+            yield _counts(key, ending, n)
 
     return docs.select(text).mapInArrow(run, "w bigint, ending int, c bigint").groupBy("w", "ending").agg(F.sum("c").alias("c"))
 
 
+def _counts(key: np.ndarray, ending: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ending), pa.array(n)], names=["w", "ending", "c"])
+
+
 @dataclass
 class Model:
-    first: np.ndarray  # FEATURES x CLASSES
-    second: np.ndarray  # FEATURES * CLASSES x MEMBERS
+    """Weights with the outputs as rows: numpy gathers and sums them fastest this way."""
+
+    first: np.ndarray  # CLASSES x FEATURES
+    second: np.ndarray  # MEMBERS x (FEATURES * CLASSES)
 
     @classmethod
     def empty(cls) -> Model:
-        return cls(np.zeros((FEATURES, CLASSES), np.float32), np.zeros((FEATURES * CLASSES, MEMBERS), np.float32))
+        return cls(np.zeros((CLASSES, FEATURES), np.float32), np.zeros((MEMBERS, FEATURES * CLASSES), np.float32))
 
 
 def features(key: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Hashed features, tokens x ``USED``, of tokens of texts that stand one after the other."""
+    """Hashed features, ``USED`` x tokens, of tokens of texts that stand one after the other; feature 0
+    is kept for the constant."""
     h = key.view(np.uint64) ^ (key.view(np.uint64) >> np.uint64(29))
     n = len(h)
     place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    back = []
-    for k in (1, 2, 3):
-        b = np.full(n, 7, np.uint64)
-        b[k:] = h[:n - k]
-        b[place < k] = 7  # before the text's first word
-        back.append(b)
-    out = np.empty((n, USED), np.int64)
-    for i, (x, salt) in enumerate(((back[0], 1), (back[1], 2), (back[2], 3), (back[0] * np.uint64(0x9E3779B97F4A7C15) + back[1], 4))):
-        out[:, i] = ((x ^ np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(52)
-    out[:, USED - 1] = 0
+    last, skip = np.full(n, 7, np.uint64), np.full(n, 7, np.uint64)  # 7: before the text's first word
+    last[1:], skip[2:] = h[:n - 1], h[:max(0, n - 2)]
+    last[place < 1] = 7
+    skip[place < 2] = 7
+    out = np.empty((USED, n), np.uint16)
+    for i, x in enumerate((last, last * np.uint64(0x9E3779B97F4A7C15) + skip, skip)):
+        mixed = (x ^ np.uint64(i + 1)) * np.uint64(0xD6E8FEB86659FD93)
+        out[i] = (mixed >> np.uint64(40)) % np.uint64(FEATURES - 1) + np.uint64(1)
     return out
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
 
 
 def _probabilities(model: Model, f: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    c = bucket // MEMBERS
-    p = _softmax(sum(model.first[f[:, i]] for i in range(f.shape[1])))
-    q = _softmax(sum(model.second[f[:, i] * CLASSES + c] for i in range(f.shape[1])))
-    return c, p, q
+    """Class of each token's bucket, class probabilities and bucket probabilities within that class."""
+    c = (bucket // MEMBERS).astype(np.uint16)
+    x = model.first.take(f[0], axis=1)
+    for i in range(1, USED):
+        x += model.first.take(f[i], axis=1)
+    x += model.first[:, :1]
+    y = model.second.take(f[0] * np.uint16(CLASSES) + c, axis=1)
+    for i in range(1, SECOND):
+        y += model.second.take(f[i] * np.uint16(CLASSES) + c, axis=1)
+    y += model.second.take(c, axis=1)
+    return c, _softmax(x), _softmax(y)
 
 
 def log_probability(model: Model, f: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """Log10 probability of each token's bucket."""
-    out = np.empty(len(f))
-    for at in range(0, len(f), BATCH):
+    out = np.empty(len(bucket))
+    for at in range(0, len(bucket), BATCH):
         part = slice(at, at + BATCH)
-        c, p, q = _probabilities(model, f[part], bucket[part])
+        c, p, q = _probabilities(model, f[:, part], bucket[part])
         n = np.arange(len(c))
-        out[part] = np.log10(p[n, c]) + np.log10(q[n, bucket[part] % MEMBERS])
+        out[part] = np.log10(p[c, n] * q[bucket[part] % MEMBERS, n])
     return out
 
 
-def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-    """AdaGrad step on the rows that the batch touches; ``squares`` has one sum for each row."""
-    order = np.argsort(rows, kind="stable")
-    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    g = np.add.reduceat(gradient[order], first, axis=0)
-    at = rows[order[first]]
-    squares[at] += (g * g).mean(axis=1)
-    weights[at] -= RATE * g / (np.sqrt(squares[at]) + 1e-3)[:, None]
+def _step(weights: np.ndarray, squares: np.ndarray, cols: np.ndarray, gradient: np.ndarray) -> None:
+    """AdaGrad step on the columns that the batch touches; ``squares`` has one sum for each column."""
+    order = np.argsort(cols, kind="stable")  # 16-bit numbers: a radix sort
+    ordered = cols[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    g = np.add.reduceat(gradient.take(order, axis=1), first, axis=1)
+    at = ordered[first]
+    squares[at] += (g * g).mean(axis=0)
+    weights[:, at] -= g * (RATE / (np.sqrt(squares[at]) + 1e-3))
 
 
 def train_batch(model: Model, squares: tuple[np.ndarray, np.ndarray], f: np.ndarray, bucket: np.ndarray) -> None:
     c, p, q = _probabilities(model, f, bucket)
     n = np.arange(len(c))
-    p[n, c] -= 1
-    q[n, bucket % MEMBERS] -= 1
-    for i in range(f.shape[1]):
-        _step(model.first, squares[0], f[:, i], p)
-        _step(model.second, squares[1], f[:, i] * CLASSES + c, q)
+    p[c, n] -= 1
+    q[bucket % MEMBERS, n] -= 1
+    for i in range(USED):
+        _step(model.first, squares[0], f[i], p)
+    _step(model.first, squares[0], np.zeros(1, np.uint16), p.sum(axis=1, keepdims=True))
+    for i in range(SECOND):
+        _step(model.second, squares[1], f[i] * np.uint16(CLASSES) + c, q)
+    _step(model.second, squares[1], c, q)
 
 
 _FLOATS = pa.list_(pa.float32())
@@ -204,28 +302,31 @@ def train_round(spark: SparkSession, docs: DataFrame, text: str, model: Model, f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value
         own = Model(start.first.copy(), start.second.copy())
-        squares = np.zeros(len(own.first), np.float32), np.zeros(len(own.second), np.float32)
-        hits = np.zeros(len(own.first), np.int64), np.zeros(len(own.second), np.int64)
-        words = Words(frequent.value)
+        squares = np.zeros(own.first.shape[1], np.float32), np.zeros(own.second.shape[1], np.float32)
+        hits = np.zeros(own.first.shape[1], np.int64), np.zeros(own.second.shape[1], np.int64)
+        hasher = Hasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows, sizes = words.rows(batch.slice(at, 256)[0].to_pylist())
-                key, bucket, _ = words.table()
-                f, b = features(key[rows], sizes), bucket[rows]
+                key, ending, sizes = hasher.tokens(batch.slice(at, 256)[0].to_pylist())
+                f, b = features(key, sizes), frequent.value.look_up(key, ending)[0]
                 # neighbours are alike: a step takes tokens from all over the batch
-                mixed = np.random.default_rng(len(rows)).permutation(len(rows))
-                for k in range(0, len(rows), BATCH):
+                mixed = np.random.default_rng(len(key)).permutation(len(key))
+                for k in range(0, len(key), BATCH):
                     part = mixed[k:k + BATCH]
-                    train_batch(own, squares, f[part], b[part])
+                    train_batch(own, squares, f[:, part], b[part])
+                c = (b // MEMBERS).astype(np.uint16)
                 for i in range(USED):
-                    hits[0][:] += np.bincount(f[:, i], minlength=FEATURES)
-                    hits[1][:] += np.bincount(f[:, i] * CLASSES + b // MEMBERS, minlength=FEATURES * CLASSES)
+                    hits[0][:] += np.bincount(f[i], minlength=FEATURES)
+                for i in range(SECOND):
+                    hits[1][:] += np.bincount(f[i] * np.uint16(CLASSES) + c, minlength=FEATURES * CLASSES)
+                hits[0][0] += len(b)
+                hits[1][:CLASSES] += np.bincount(c, minlength=CLASSES)
         for layer, (w, n) in enumerate(zip((own.first, own.second), hits)):
             used = np.flatnonzero(n)
             for at in range(0, len(used), 8192):
                 r = used[at:at + 8192]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), layer, np.int32)), pa.array(r), pa.array(n[r].astype(np.float64)),
-                                                  pa.array(list(w[r]), _FLOATS)], names=["layer", "r", "n", "w"])
+                                                  pa.array(list(w[:, r].T), _FLOATS)], names=["layer", "r", "n", "w"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of a partition, in any order: sums by (layer, row)
@@ -245,7 +346,7 @@ def train_round(spark: SparkSession, docs: DataFrame, text: str, model: Model, f
     averaged = updates.repartition("layer", "r").mapInArrow(average, "layer int, r bigint, w array<float>")
     out = Model(model.first.copy(), model.second.copy())
     for r in averaged.toLocalIterator():
-        (out.second if r["layer"] else out.first)[r["r"]] = r["w"]
+        (out.second if r["layer"] else out.first)[:, r["r"]] = r["w"]
     return out
 
 
@@ -270,8 +371,7 @@ def _frequent(spark: SparkSession, counts: DataFrame) -> tuple:
     sizes = counts.groupBy(F.coalesce(F.try_element_at(own, F.col("w")), F.col("ending") + OWN).alias("b")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
     for r in sizes.toLocalIterator():
         mass[r["b"]] += r["n"] + r["v"]
-    order = np.argsort(w, kind="stable")
-    return spark.sparkContext.broadcast((w[order], c[order], bucket[order])), mass
+    return spark.sparkContext.broadcast(Frequent(w, c, bucket)), mass
 
 
 def score(spark: SparkSession, docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -296,12 +396,12 @@ def score(spark: SparkSession, docs: DataFrame, train: Column, doc_id: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, log_mass = shared.value
-        words = Words(frequent.value)
+        hasher = Hasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows, sizes = words.rows(part["t"].to_pylist())
-                key, bucket, count = (a[rows] for a in words.table())
+                key, ending, sizes = hasher.tokens(part["t"].to_pylist())
+                bucket, count = frequent.value.look_up(key, ending)
                 end = np.cumsum(sizes)
                 begin = end - sizes
                 model_part = np.add.reduceat(log_probability(m, features(key, sizes), bucket) - log_mass[bucket], begin)

@@ -27,35 +27,58 @@ def test_base_score_against_brute_force(spark, odd_docs, odd_rows, frequent, mon
 
 def test_probabilities_sum_to_one():
     random = np.random.default_rng(0)
-    model = M.Model(random.normal(size=(M.FEATURES, M.CLASSES)).astype(np.float32), random.normal(size=(M.FEATURES * M.CLASSES, M.MEMBERS)).astype(np.float32))
-    f = np.repeat(random.integers(0, M.FEATURES, (1, M.USED)), M.BUCKETS, axis=0)
+    model = M.Model(random.normal(size=(M.CLASSES, M.FEATURES)).astype(np.float32), random.normal(size=(M.MEMBERS, M.FEATURES * M.CLASSES)).astype(np.float32))
+    f = np.repeat(random.integers(1, M.FEATURES, (M.USED, 1)), M.BUCKETS, axis=1).astype(np.uint16)
     assert abs((10 ** M.log_probability(model, f, np.arange(M.BUCKETS))).sum() - 1) < 1e-4
 
 
 def test_training_lowers_the_loss():
     random = np.random.default_rng(0)
-    f = random.integers(0, 50, (20_000, M.USED))
-    bucket = (f[:, 0] * 5) % M.BUCKETS
+    f = random.integers(1, 50, (M.USED, 20_000)).astype(np.uint16)
+    bucket = (f[0].astype(np.int64) * 5) % M.BUCKETS
     model = M.Model.empty()
-    squares = np.zeros(len(model.first), np.float32), np.zeros(len(model.second), np.float32)
+    squares = np.zeros(model.first.shape[1], np.float32), np.zeros(model.second.shape[1], np.float32)
     before = M.log_probability(model, f, bucket).mean()
-    for at in range(0, len(f), 500):
-        M.train_batch(model, squares, f[at:at + 500], bucket[at:at + 500])
+    for at in range(0, len(bucket), 500):
+        M.train_batch(model, squares, f[:, at:at + 500], bucket[at:at + 500])
     assert M.log_probability(model, f, bucket).mean() > before / 2
 
 
 def test_contexts_do_not_cross_texts():
     key = np.arange(100, 108)
     f = M.features(key, np.array([4, 4]))
-    assert np.array_equal(f[0], M.features(key[:1], np.array([1]))[0])
-    assert np.array_equal(f[4], M.features(key[4:5], np.array([1]))[0])
+    assert np.array_equal(f[:, :4], M.features(key[:4], np.array([4])))
+    assert np.array_equal(f[:, 4:], M.features(key[4:], np.array([4])))
+
+
+def test_hashes_name_the_words(odd_rows, monkeypatch):
+    texts = [t for _, t in odd_rows]
+    for step in (1 << 20, 64):
+        monkeypatch.setattr(M, "STEP_BYTES", step)
+        key, ending, sizes = M.Hasher().tokens(texts)
+        words = [w for t in texts for w in tokens(t)]
+        assert sizes.tolist() == [len(tokens(t)) for t in texts] and len(key) == len(words)
+        of = {}
+        for w, k, e in zip(words, key.tolist(), ending.tolist()):
+            assert of.setdefault(w, (k, e)) == (k, e)
+        assert len({k for k, _ in of.values()}) == len(of)
+
+
+def test_frequent_table_finds_all_and_nothing_else():
+    random = np.random.default_rng(1)
+    key = random.integers(-(1 << 63), 1 << 63, 50_000)
+    key[:3000] = (key[:3000] & ((1 << 40) - 1)) | (7 << 45)  # a crowd in one place
+    key = np.unique(key)
+    table = M.Frequent(key, np.arange(len(key)), np.arange(len(key)))
+    assert np.array_equal(table.find(key), np.arange(len(key)))
+    other = np.setdiff1d(random.integers(-(1 << 63), 1 << 63, 50_000), key)
+    assert (table.find(other) == -1).all()
 
 
 def test_bounded_memory_of_words(spark, odd_docs, odd_rows, monkeypatch):
     monkeypatch.setattr(M, "REMEMBERED", 10)
-    counts = {(r.w): r.c for r in M.count_words(odd_docs, "text").collect()}
-    want = Counter(M._hash(w) for _, t in odd_rows for w in tokens(t))
-    assert counts == dict(want)
+    counts = Counter(r.c for r in M.count_words(odd_docs, "text").collect())
+    assert counts == Counter(Counter(w for _, t in odd_rows for w in tokens(t)).values())
 
 
 def test_model_beats_the_base_on_held_out_texts(spark):
