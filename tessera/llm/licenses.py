@@ -2,8 +2,8 @@
 
 Words that licence notices use point at candidate blocks. Each block is compressed by zstandard with
 each template as a raw dictionary, and with a text that is no licence; templates are ranked by how
-many bytes they save over that text, and the ranked ones are confirmed by their exact wording differences from the block: the words of the
-template that are missing, added or changed there.
+many bytes they save over that text, and the ranked ones are confirmed by their exact wording
+differences from the block: the words of the template that are missing, added or changed there.
 """
 
 from __future__ import annotations
