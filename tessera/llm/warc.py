@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
+
 #: Payloads of fewer bytes are always written as responses.
 REVISIT_BYTES = 100
 END = "\r\n\r\n"
@@ -52,13 +54,25 @@ def write_archive(spark: SparkSession, pages: DataFrame, path: str, page_id: str
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.min("size").alias("low"), F.max("size").alias("high"))
-    first = first.select("digest", F.when(F.col("low") == F.col("high"), F.col("first")).otherwise(F.raise_error(F.lit("payloads of one digest differ"))).alias("first"))
-    # each payload once: the payload bytes are shuffled once, by page, which no payload makes hot
-    store = rows.join(first.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("first")))
-    store.dropDuplicates(["page_id", "digest"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    small = materialize(spark, rows.drop("payload"), "warc-digests")
+    holders = small.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("low"), F.max("size").alias("high"))
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n")).alias("f")
+    first = holders.groupBy("digest").agg(least, F.min("low").alias("low"), F.max("high").alias("high"))
+    differ = F.raise_error(F.lit("payloads of one digest differ"))
+    first = materialize(spark, first.select("digest", F.when(F.col("low") == F.col("high"), F.col("f.page_id")).otherwise(differ.cast("long")).alias("first"),
+                                            (F.col("f.n") > 1).alias("twice")), "warc-first")
+    # each payload once. What is left out is written beforehand, so Spark knows its size: while it is small the
+    # payloads are not shuffled, else they are, by page, which no payload makes hot
+    others = holders.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    others = materialize(spark, others.select(F.col("digest").alias("d"), F.col("page_id").alias("p")), "warc-others")
+    twice = materialize(spark, first.where("twice").select(F.col("digest").alias("d")), "warc-twice")
+    alone = rows.join(others, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left_anti")
+    store = alone.join(twice, F.col("digest") == F.col("d"), "left_anti").select("digest", "payload")
+    if not twice.isEmpty():  # the page that holds the payload has repeated rows
+        store = store.unionByName(alone.join(twice, F.col("digest") == F.col("d"), "left_semi").select("digest", "payload").dropDuplicates(["digest"]))
+    store.write.parquet(f"{path}/payloads")
     revisit = (F.col("size") >= REVISIT_BYTES) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    records = rows.drop("payload").join(first, "digest").select("*", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    records = small.join(first.drop("twice"), "digest").select("*", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
     records.select(_header(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(f"{path}/headers")
 
 
@@ -100,3 +114,11 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     end = F.lit(END.encode())
     return out.select("page_id", "record_type", "header", "payload", F.concat(F.encode("header", "UTF-8"), end, block, end).alias("record"))
+
+
+def export(spark: SparkSession, path: str, target: str) -> None:
+    """Write the archive's records as plain WARC files under ``target``: header, empty line, block and
+    two line breaks for each record, in the order of the join."""
+    records = reconstruct(spark, path)
+    block = F.when(F.col("record_type") == "response", F.decode("payload", "UTF-8")).otherwise(F.lit(""))
+    records.select(F.concat("header", F.lit(END), block).alias("value")).write.option("lineSep", END).text(target)

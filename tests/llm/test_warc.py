@@ -51,6 +51,22 @@ def test_reconstructed_records_are_exact(spark, archive):
         assert rest == (bytes(r.payload) if r.record_type == "response" else b"") + b"\r\n\r\n" and len(rest) == size + 4
 
 
+def test_exported_files_are_warc(spark, archive):
+    target = scratch_path(spark, "warc-export")
+    warc.export(spark, archive, target)
+    found = []
+    for r in spark.read.format("binaryFile").load(target).collect():
+        rest = bytes(r.content)
+        while rest:
+            head, _, rest = rest.partition(b"\r\n\r\n")
+            size = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
+            assert rest[size:size + 4] == b"\r\n\r\n"
+            found.append((head, rest[:size]))
+            rest = rest[size + 4:]
+    want = [tuple(bytes(r.record)[:-4].split(b"\r\n\r\n", 1)) for r in warc.reconstruct(spark, archive).collect()]
+    assert sorted(found) == sorted(want)
+
+
 def test_urls_cannot_break_headers(spark, archive):
     urls = {r.page_id: r.url for r in warc.read_headers(spark, archive).collect()}
     assert urls[1] == "http://b/%0D%0A%0D%0AWARC/1.1" and urls[9] is None
