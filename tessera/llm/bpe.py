@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a segment tree over byte positions.
 
-A pre-token's adjacent pairs are the leaves of a segment tree that stores the leftmost minimum
-rank. Each merge takes the root, joins two live neighbours and updates the at most three leaves it
+A pre-token's adjacent pairs are the leaves of a segment tree (16 children a node) that stores the
+leftmost minimum rank. Each merge takes the root, joins two live neighbours and updates the at most three leaves it
 touches, so a pre-token of n bytes costs O(n log n) however long it is. Pre-tokens repeat, hence
 every task keeps a bounded cache of the ones it has merged.
 """
@@ -9,13 +9,16 @@ every task keeps a bounded cache of the ones it has merged.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import row_udf
+
+#: Children of a node of the segment tree: the minimum of so few is one call.
+FAN = 16
 #: Entries of a task's pre-token cache; it is emptied when full.
 CACHE_ENTRIES = 400_000
 
@@ -32,48 +35,42 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
-    none = len(ranks) * n + n  # above any key rank * n + position
     get = ranks.get
-    size = 1
-    while size < n - 1:
-        size *= 2
-    tree = [none] * (2 * size)
+    none = (len(ranks) + 1) * n  # above any key rank * n + position
+    leaves = [none] * (n - 1)
     for i in range(n - 1):
         r = get(piece[i:i + 2])
         if r is not None:
-            tree[size + i] = r * n + i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
+            leaves[i] = r * n + i
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        low = levels[-1]
+        levels.append([min(low[a:a + FAN]) for a in range(0, len(low), FAN)])
+    top = levels[-1]
     end = list(range(1, n + 1))  # end[i]: where the live part that starts at i ends
     before = list(range(-1, n))  # before[i]: start of the live part that ends at i
-
-    def put(i: int, key: int) -> None:
-        i += size
-        tree[i] = key
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            least = a if a < b else b
-            if tree[i] == least:
-                return
-            tree[i] = least
-            i >>= 1
-
-    while tree[1] < none:
-        i = tree[1] % n
+    while top and (key := min(top)) < none:
+        i = key % n
         j = end[i]
         k = end[j]
         end[i] = k
         before[k] = i
         if j < n - 1:
-            put(j, none)
+            leaves[j] = none
         r = get(piece[i:end[k]]) if k < n else None
-        put(i, none if r is None else r * n + i)
+        leaves[i] = none if r is None else r * n + i
+        h = before[i] if i else 0
         if i:
-            h = before[i]
             r = get(piece[h:k])
-            put(h, none if r is None else r * n + h)
+            leaves[h] = none if r is None else r * n + h
+        if top is not leaves:
+            for x in {h, i, min(j, n - 2)}:
+                for low, high in zip(levels, levels[1:]):
+                    x //= FAN
+                    least = min(low[x * FAN:x * FAN + FAN])
+                    if high[x] == least:
+                        break
+                    high[x] = least
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:end[i]]])
@@ -87,9 +84,10 @@ class _Pieces(dict):
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.code = {r: r.to_bytes(4, "little") for r in ranks.values()}.__getitem__
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        ids = b"".join(map(self.code, merge(piece.encode(), self.ranks)))
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         self[piece] = ids
@@ -107,29 +105,25 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") ->
     empty binaries. Every match of ``pattern`` is encoded on its own, without special tokens."""
     ranks = _vocabulary(df.sparkSession, vocabulary)
 
-    @F.pandas_udf("binary")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start() -> Callable[[str | None], bytes]:
         import regex
 
         find = regex.compile(pattern).findall
         of = _Pieces(ranks.value).__getitem__
-        for s in batches:
-            yield pd.Series([b"".join(map(of, find(t))) if t else b"" for t in s], dtype=object)
+        return lambda t: b"".join(map(of, find(t))) if t else b""
 
-    return ids(F.col(text))
+    return row_udf("binary", start)(F.col(text))
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> Column:
     """Column of the bytes that ``ids`` (see ``encode``) stand for; null gives an empty binary."""
     ranks = _vocabulary(df.sparkSession, vocabulary)
 
-    @F.pandas_udf("binary")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start() -> Callable[[bytes | None], bytes]:
         token = {r: b for b, r in ranks.value.items()}.__getitem__
-        for s in batches:
-            yield pd.Series([b"".join(map(token, np.frombuffer(t, "<u4").tolist())) if t else b"" for t in s], dtype=object)
+        return lambda t: b"".join(map(token, np.frombuffer(t, "<u4").tolist())) if t else b""
 
-    return text(F.col(ids))
+    return row_udf("binary", start)(F.col(ids))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
