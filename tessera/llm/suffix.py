@@ -367,7 +367,8 @@ def _tables(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, length
     kind = docs.schema[doc_id].dataType.simpleString()
     anchored = materialize(spark, _anchored(rows, length), "suffix-anchors")
     runs = anchored.select("d", "h", F.inline("runs"))
-    again = runs.groupBy("key").count().where("count > 1").select("key")
+    # written, so that the join below has a plain exchange on either side and hot keys can be split
+    again = materialize(spark, runs.groupBy("key").count().where("count > 1").select("key"), "suffix-again")
     flagged = runs.join(again, "key").groupBy("d", "h").agg(F.collect_list(F.struct("p", "lo", "hi", "key")).alias("runs"))
     # a text may have a repeated row: the runs of the group are those of each row, as often as there are rows
     flagged = flagged.select(F.col("d").alias("fd"), F.col("h").alias("fh"), F.array_distinct("runs").alias("runs"))
