@@ -25,7 +25,7 @@ from tessera.llm.common import components, fresh, materialize, words_of
 
 SEED = 42
 #: Distinct fingerprints that a shard indexes on average.
-SHARD_ROWS = 16_384
+SHARD_ROWS = 4096
 #: The tree of shards is fitted on one of SAMPLE_RATE fingerprints, at most SAMPLE_ROWS.
 SAMPLE_RATE, SAMPLE_ROWS = 64, 1 << 20
 LEAF_ROWS = 64

@@ -54,7 +54,7 @@ def test_shard_links_against_brute_force(spread, monkeypatch):
     assert links.up.tolist() == brute_roots(prints)
 
 
-@pytest.mark.parametrize("shard_rows", [16_384, 3])
+@pytest.mark.parametrize("shard_rows", [4096, 3])
 def test_components_against_brute_force(spark, odd_docs, odd_rows, shard_rows, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
     monkeypatch.setattr(simhash, "SAMPLE_RATE", 1)
