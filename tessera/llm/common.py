@@ -15,6 +15,9 @@ from tessera.session import scratch_path
 #: A-Z to a-z on bytes; every other byte stays (contract: only A-Z are lowered).
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+#: Results that a task holds as Python objects at once.
+ROWS_AT_ONCE = 1024
+
 
 def load(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
@@ -43,7 +46,8 @@ def row_udf(kind: str, start: Callable[[], Callable]) -> Callable[..., Column]:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f = start()
         for batch in batches:
-            yield pa.array([f(x.as_py()) for x in batch], type=arrow)
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                yield pa.array([f(x.as_py()) for x in batch.slice(at, ROWS_AT_ONCE)], type=arrow)
 
     return run
 

@@ -1,9 +1,9 @@
 """Quality classifier: naive Bayes support vectors.
 
 A text is the set of its hashed byte four-grams (A-Z lowered) and two more indicators for its variety,
-the shares of different four-grams and of different words at its length. Indicators are scaled by the log ratio of their
-smoothed counts in the two classes, counted over all labelled training rows; the scaled vector has
-length one. A linear hinge-loss model is then fitted by dual coordinate descent on a bounded sample,
+the shares of different four-grams and of different words at its length. Indicators are scaled by
+the log ratio of their smoothed counts in the two classes, counted over all labelled training rows;
+the scaled vector has length one. A linear hinge-loss model is then fitted by dual coordinate descent on a bounded sample,
 and its margin becomes a probability by a logistic curve fitted on the sample's other part.
 """
 
@@ -25,8 +25,8 @@ GRAMS = 1 << BITS
 FEATURES = GRAMS + 2 * 11 * 32
 #: Labelled rows of each class that the linear model is fitted on, about; counts cover all rows.
 SAMPLE_PER_CLASS = 4096
-#: Up to so many labels are broadcast to the documents (16 bytes each); more are joined by a shuffle.
-BROADCAST_LABELS = 2_000_000
+#: Up to so many labels are broadcast to the documents (about 60 bytes each); more are joined by a shuffle.
+BROADCAST_LABELS = 500_000
 EPOCHS, COST = 12, 1.0
 
 
@@ -147,17 +147,17 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc_id: str = "
         bias = 0.0 if not any(sizes) else 20.0 if sizes[1] else -20.0
         return QualityModel(ratio, np.zeros(FEATURES), bias, 1.0, 0.0)
 
-    def start() -> Callable[[str | None], list[int]]:
+    def start() -> Callable[[str | None], bytes]:
         grams = Grams()
-        return lambda t: grams(t).tolist()
+        return lambda t: grams(t).tobytes()
 
     share = F.when(F.col("__y") == 1, sample_per_class / sizes[1]).otherwise(sample_per_class / sizes[0])
     place = F.pmod(F.xxhash64(F.col("__i"), F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(place < share).select("__i", "__y", row_udf("array<int>", start)(F.col("__t")).alias("f"))
-    got = sorted((r["__i"], r["__y"], r["f"]) for r in sample.toLocalIterator())
+    sample = rows.where(place < share).select("__i", "__y", row_udf("binary", start)(F.col("__t")).alias("f"))
+    got = sorted((r["__i"], r["__y"], bytes(r["f"])) for r in sample.toLocalIterator())
     x: list[tuple[np.ndarray, np.ndarray]] = []
     for _, _, f in got:
-        f = np.array(f, np.int64)
+        f = np.frombuffer(f, np.int32)
         r = ratio[f]
         x.append((np.append(f, FEATURES), np.append(r / max(np.sqrt(r @ r), 1e-9), 1.0)))  # the last one is the bias
     y = np.array([label for _, label, _ in got])

@@ -57,7 +57,7 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == r.quality for r in held) / len(held) >= 0.95
 
 
-@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+@pytest.mark.parametrize("broadcast", [500_000, 0])
 def test_odd_inputs(spark, odd_docs, broadcast, monkeypatch):
     monkeypatch.setattr(Q, "BROADCAST_LABELS", broadcast)
     labels = spark.createDataFrame([(k, k % 2) for k in range(1, 240)] + [(None, 1), (7, None), (8, 5)], "doc_id bigint, quality int")
