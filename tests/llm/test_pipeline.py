@@ -7,6 +7,7 @@ import numpy as np
 
 import corpus_pipeline as C
 from tessera.llm import bpe, common, decontaminate, quality, simhash
+from odd_inputs import odd_docs, odd_rows  # noqa: F401
 from test_simhash import brute_print, brute_roots
 from test_suffix import brute as brute_repeats
 
@@ -72,6 +73,18 @@ def test_run_is_the_stages(spark, stages):
     assert key(C.run(spark, SF)) == key(stages[5])
 
 
+def test_stages_on_odd_documents(spark, odd_docs, odd_rows):
+    docs = odd_docs.selectExpr("*", "cast(null as string) as lang", "if(doc_id % 2 = 0, 'a', null) as source", "cast(null as bigint) as n_chars")
+    columns, rows = docs.columns, docs.count()
+    for name, stage in C.STAGES[:-1]:
+        docs = common.materialize(spark, stage(spark, docs, SF), "pipeline-odd")
+        assert docs.columns == columns and docs.count() <= rows
+        rows = docs.count()
+    out = C.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(out) == rows and all(r.round_trip for r in out)
+    assert all(r.n_tokens == 0 for r in out if not r.text)
+
+
 def test_empty_documents(spark):
     docs = common.load(spark, SF, "documents").where("false")
     for _, stage in C.STAGES:
