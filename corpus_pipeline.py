@@ -3,6 +3,10 @@
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes each result as Parquet
 to the cluster's shared scratch folder and reads it again as the next stage's documents. All stages
 but the last return the columns of ``documents``; where a text was cut, ``n_chars`` is counted anew.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, extra columns and empty
+tables as its operator says: null and empty texts are scored like a text without content, share a
+fingerprint, lose nothing and have no tokens; rows with a null id are kept by the second stage.
 """
 
 from __future__ import annotations
@@ -42,7 +46,8 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, checked by decoding them again."""
     out = bpe.encode_decode(docs, VOCABULARY, public_tokenizers.PATTERN)
     same = F.coalesce(F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.lit(False))
-    return out.select("doc_id", "lang", "source", "text", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", same.alias("round_trip"))
+    own = [c for c in ("doc_id", "lang", "source", "text") if c in docs.columns]
+    return out.select(*own, F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
 def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
