@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import row_udf
 
+#: Above every rank.
+NO_RANK = 1 << 32
 #: Children of a node of the segment tree: the minimum of so few is one call.
 FAN = 16
 #: Entries of a task's pre-token cache; it is emptied when full.
@@ -34,14 +36,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
+    n, no_rank = len(piece), NO_RANK
     get = ranks.get
-    none = (len(ranks) + 1) * n  # above any key rank * n + position
-    leaves = [none] * (n - 1)
-    for i in range(n - 1):
-        r = get(piece[i:i + 2])
-        if r is not None:
-            leaves[i] = r * n + i
+    none = no_rank * n  # keys are rank * n + position; those of pairs without a rank are not below
+    leaves = [get(piece[i:i + 2], no_rank) * n + i for i in range(n - 1)]
     levels = [leaves]
     while len(levels[-1]) > FAN:
         low = levels[-1]
@@ -57,12 +55,11 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         before[k] = i
         if j < n - 1:
             leaves[j] = none
-        r = get(piece[i:end[k]]) if k < n else None
-        leaves[i] = none if r is None else r * n + i
+        leaves[i] = get(piece[i:end[k]], no_rank) * n if k < n else none
+        leaves[i] += i
         h = before[i] if i else 0
         if i:
-            r = get(piece[h:k])
-            leaves[h] = none if r is None else r * n + h
+            leaves[h] = get(piece[h:k], no_rank) * n + h
         if top is not leaves:
             for x in {h, i, min(j, n - 2)}:
                 for low, high in zip(levels, levels[1:]):
