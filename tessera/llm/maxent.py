@@ -4,7 +4,7 @@ A word's probability is that of its bucket given the words before it, times its
 the bucket. Buckets are the most frequent words, one each, and for the others a hash of the word's
 ending, which tells languages apart. The bucket is predicted in two softmax steps, first its class,
 then the bucket within the class, from hashed features: the last word, the last two words, the word
-two places back (a skip; for the class only) and a constant.
+two and the word three places back (skips), and a constant.
 
 Word counts are summed by Spark over all training texts. The weights are trained by rounds of
 distributed updates: in each round every task takes AdaGrad steps in sparse numpy batches over its
@@ -34,9 +34,9 @@ BUCKETS = CLASSES * MEMBERS
 OWN = 192
 ENDINGS = BUCKETS - OWN
 FEATURES = 4096
-#: Hashed features of a token (last word, last two, skip), and how many of them the second step uses.
-USED, SECOND = 3, 2
-BATCH = 32_768
+#: Hashed features of a token (last word, last two, two skips); both steps use all of them.
+USED = 4
+BATCH = 8192
 ROUNDS = 2
 RATE = 0.3
 #: Different words that a task adds up before it hands the counts on.
@@ -224,12 +224,15 @@ def features(key: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     h = key.view(np.uint64) ^ (key.view(np.uint64) >> np.uint64(29))
     n = len(h)
     place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    last, skip = np.full(n, 7, np.uint64), np.full(n, 7, np.uint64)  # 7: before the text's first word
-    last[1:], skip[2:] = h[:n - 1], h[:max(0, n - 2)]
-    last[place < 1] = 7
-    skip[place < 2] = 7
+    back = []
+    for k in (1, 2, 3):
+        b = np.full(n, 7, np.uint64)
+        b[k:] = h[:max(0, n - k)]
+        b[place < k] = 7  # before the text's first word
+        back.append(b)
+    last, skip, far = back
     out = np.empty((USED, n), np.uint16)
-    for i, x in enumerate((last, last * np.uint64(0x9E3779B97F4A7C15) + skip, skip)):
+    for i, x in enumerate((last, last * np.uint64(0x9E3779B97F4A7C15) + skip, skip, far)):
         mixed = (x ^ np.uint64(i + 1)) * np.uint64(0xD6E8FEB86659FD93)
         out[i] = (mixed >> np.uint64(40)) % np.uint64(FEATURES - 1) + np.uint64(1)
     return out
@@ -250,7 +253,7 @@ def _probabilities(model: Model, f: np.ndarray, bucket: np.ndarray) -> tuple[np.
         x += model.first.take(f[i], axis=1)
     x += model.first[:, :1]
     y = model.second.take(f[0] * np.uint16(CLASSES) + c, axis=1)
-    for i in range(1, SECOND):
+    for i in range(1, USED):
         y += model.second.take(f[i] * np.uint16(CLASSES) + c, axis=1)
     y += model.second.take(c, axis=1)
     return c, _softmax(x), _softmax(y)
@@ -286,7 +289,7 @@ def train_batch(model: Model, squares: tuple[np.ndarray, np.ndarray], f: np.ndar
     for i in range(USED):
         _step(model.first, squares[0], f[i], p)
     _step(model.first, squares[0], np.zeros(1, np.uint16), p.sum(axis=1, keepdims=True))
-    for i in range(SECOND):
+    for i in range(USED):
         _step(model.second, squares[1], f[i] * np.uint16(CLASSES) + c, q)
     _step(model.second, squares[1], c, q)
 
@@ -317,7 +320,7 @@ def train_round(spark: SparkSession, docs: DataFrame, text: str, model: Model, f
                 c = (b // MEMBERS).astype(np.uint16)
                 for i in range(USED):
                     hits[0][:] += np.bincount(f[i], minlength=FEATURES)
-                for i in range(SECOND):
+                for i in range(USED):
                     hits[1][:] += np.bincount(f[i] * np.uint16(CLASSES) + c, minlength=FEATURES * CLASSES)
                 hits[0][0] += len(b)
                 hits[1][:CLASSES] += np.bincount(c, minlength=CLASSES)

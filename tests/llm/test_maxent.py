@@ -44,6 +44,25 @@ def test_training_lowers_the_loss():
     assert M.log_probability(model, f, bucket).mean() > before / 2
 
 
+@pytest.mark.parametrize("back", [2, 3])
+def test_both_steps_learn_from_either_skip(back):
+    random = np.random.default_rng(0)
+    n = 20_000
+    key = random.integers(0, 1 << 62, 1000)[random.integers(0, 1000, (n, back + 1))]  # texts of back + 1 words
+    told = random.integers(0, 200, n)
+    key[:, 0] = np.arange(200)[told] + (1 << 40)  # the first word alone tells the last one's bucket
+    f = M.features(key.ravel(), np.full(n, back + 1))[:, back::back + 1]
+    bucket = told * 37 % M.BUCKETS
+    model = M.Model.empty()
+    squares = np.zeros(model.first.shape[1], np.float32), np.zeros(model.second.shape[1], np.float32)
+    for at in range(0, n // 2, 500):
+        M.train_batch(model, squares, f[:, at:at + 500], bucket[at:at + 500])
+    bucket = bucket[n // 2:]  # texts that were not trained on
+    _, p, q = M._probabilities(model, f[:, n // 2:], bucket)
+    at = np.arange(len(bucket))
+    assert np.log10(p[bucket // M.MEMBERS, at]).mean() > -0.5 and np.log10(q[bucket % M.MEMBERS, at]).mean() > -0.5
+
+
 def test_contexts_do_not_cross_texts():
     key = np.arange(100, 108)
     f = M.features(key, np.array([4, 4]))
