@@ -220,35 +220,95 @@ def remove(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "
     between them), a line break takes their place, and a text of which windows cover ``max_coverage``
     or more is dropped. Cutting can bring words together that form a window again; the text is
     searched until none is left. Other columns and rows pass through; null texts stay."""
-    cols = docs.columns
     cut = fresh(docs, "__cut")
     automata = _automata(spark, items, item_id, item_text, window)
-    for n, automaton in enumerate(automata):
+    if len(automata) > 1:
+        return _remove_by_parts(spark, docs, automata, text, max_coverage, cut)
 
-        def start(automaton=automaton) -> Callable[[str | None], str | None]:
-            a = automaton.value
-            word = re.compile(WORD)
+    def start(automaton=automata[0]) -> Callable[[str | None], dict]:
+        a = automaton.value
+        step = _cutter(max_coverage)
 
-            def one(t: str | None) -> dict:
-                first = gone = 0
-                while t:
-                    ws = words(t)
-                    spans, _ = a.search(ws)
-                    if not spans:
-                        break
-                    first = first or len(ws)
-                    gone += sum(y - x for x, y in spans)
-                    if gone >= max_coverage * first:
-                        return {"drop": True, "text": None}
-                    at = [m.span() for m in word.finditer(t.translate(_ASCII_LOWER))]
-                    for x, y in reversed(spans):
-                        t = t[:at[x][0]] + "\n" + t[at[y - 1][1]:]
-                return {"drop": False, "text": t}
+        def one(t: str | None) -> dict:
+            state = {"drop": False, "cut": True, "first": 0, "gone": 0, "text": t}
+            while state["cut"]:
+                t = state["text"]
+                ws = words(t)
+                state = step(t, len(ws), a.search(ws)[0], state["first"], state["gone"])
+            return state
 
-            return one
+        return one
+
+    out = docs.withColumn(cut, row_udf(_CUT, start)(F.col(text))).where(~F.col(f"{cut}.drop"))
+    return out.select(*[F.col(f"{cut}.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+
+
+_SPANS = "array<struct<begin:bigint,end:bigint>>"
+_CUT = "struct<drop:boolean,cut:boolean,first:bigint,gone:bigint,text:string>"
 
-        docs = docs.withColumn(cut, row_udf("struct<drop:boolean,text:string>", start)(F.col(text)))
-        docs = docs.where(~F.col(f"{cut}.drop")).select(*[F.col(f"{cut}.text").alias(c) if c == text else F.col(f"`{c}`") for c in cols])
-        if n < len(automata) - 1:
-            docs = materialize(spark, docs, "decontaminate")
-    return docs
+
+def _cutter(max_coverage: float) -> Callable[..., dict]:
+    """A round of cutting: the text without its spans, its first number of words, the words gone so far."""
+    word = re.compile(WORD)
+
+    def step(t: str | None, n_words: int, spans: list[tuple[int, int]], first: int, gone: int) -> dict:
+        if not spans:
+            return {"drop": False, "cut": False, "first": first, "gone": gone, "text": t}
+        first = first or n_words
+        gone += sum(y - x for x, y in spans)
+        if gone >= max_coverage * first:
+            return {"drop": True, "cut": False, "first": first, "gone": gone, "text": None}
+        at = [m.span() for m in word.finditer(t.translate(_ASCII_LOWER))]
+        for x, y in reversed(spans):
+            t = t[:at[x][0]] + "\n" + t[at[y - 1][1]:]
+        return {"drop": False, "cut": True, "first": first, "gone": gone, "text": t}
+
+    return step
+
+
+def _remove_by_parts(spark: SparkSession, docs: DataFrame, automata: list, text: str, max_coverage: float, cut: str) -> DataFrame:
+    """``remove`` with a benchmark of several automata, with the rows of a single one: in each round all
+    parts search the same text, then their spans together are cut; texts that were cut are searched
+    again, with the words of the first text and those gone carried along."""
+    cols = docs.columns
+
+    def search(automaton) -> Callable[[], Callable]:
+        def start() -> Callable[[str | None], list]:
+            a = automaton.value
+            return lambda t: [{"begin": x, "end": y} for x, y in a.search(words(t))[0]]
+
+        return start
+
+    def cutting() -> Callable[[dict], dict]:
+        step = _cutter(max_coverage)
+
+        def one(row: dict) -> dict:
+            spans: list[tuple[int, int]] = []
+            for a, b in sorted((s["begin"], s["end"]) for s in row["spans"]):
+                if spans and a <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+                else:
+                    spans.append((a, b))
+            return step(row["text"], len(words(row["text"])) if spans else 0, spans, row["first"], row["gone"])
+
+        return one
+
+    none = F.expr(f"cast(array() as {_SPANS})")
+    zero = F.lit(0).cast("long")
+    todo = docs.withColumn(cut, F.struct(zero.alias("first"), zero.alias("gone"), none.alias("spans")))
+    settled = None
+    while True:
+        for automaton in automata:  # one automaton at a time in a task's memory
+            spans = F.concat(F.col(f"{cut}.spans"), row_udf(_SPANS, search(automaton))(F.col(text)))
+            todo = todo.withColumn(cut, F.struct(F.col(f"{cut}.first").alias("first"), F.col(f"{cut}.gone").alias("gone"), spans.alias("spans")))
+            todo = materialize(spark, todo, "decontaminate")
+        state = F.struct(F.col(text).alias("text"), *[F.col(f"{cut}.{c}").alias(c) for c in ("first", "gone", "spans")])
+        done = materialize(spark, todo.withColumn(cut, row_udf(_CUT, cutting)(state)), "decontaminate")
+        done = done.where(~F.col(f"{cut}.drop"))
+        rest = done.where(~F.col(f"{cut}.cut")).select(*[F.col(f"`{c}`") for c in cols])
+        settled = rest if settled is None else settled.unionByName(rest)
+        todo = done.where(F.col(f"{cut}.cut"))
+        if todo.isEmpty():
+            return settled
+        todo = todo.select(*[F.col(f"{cut}.text").alias(c) if c == text else F.col(f"`{c}`") for c in cols],
+                           F.struct(F.col(f"{cut}.first").alias("first"), F.col(f"{cut}.gone").alias("gone"), none.alias("spans")).alias(cut))

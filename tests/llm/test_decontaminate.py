@@ -79,6 +79,23 @@ def test_remove_leaves_no_window(spark, odd_docs, odd_rows, items, bound, monkey
         assert not any(brute(r.text, items, 10)[1] for r in rows)
 
 
+def test_remove_gives_the_same_rows_for_every_bound(spark, odd_docs, odd_rows, items, monkeypatch):
+    a, b, filler = ([f"{x}{k}" for k in range(60)] for x in "pqz")
+    items = items + [(20, " ".join(a[:20])), (21, " ".join(b[:20]))]
+    rows = [(900, " ".join(a[:20] + filler[:6] + b[:14])),  # half by one item, 35 % by another
+            (901, " ".join(filler + a[:5] + b[:12] + a[5:12])),  # a cut joins words of the other item
+            (902, " ".join(filler + a[:5] + b[:6] + a[6:18] + b[6:12] + a[5:12]))]
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = []
+    for bound in (10 ** 6, 60, 30):
+        monkeypatch.setattr(D, "WORDS_PER_AUTOMATON", bound)
+        got.append(Counter((r.doc_id, r.text) for r in D.remove(spark, docs, table).collect()))
+        assert not any(brute(t, items, 10)[1] for _, t in got[-1])
+    assert got[0] == got[1] == got[2]
+    assert 900 not in {d for d, _ in got[0]}
+
+
 def test_empty_tables(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.find(spark, no_docs, none).count() == 0
