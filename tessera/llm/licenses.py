@@ -1,14 +1,16 @@
 """Licence scan by conditional compression.
 
-Words that licence notices use point at candidate blocks. Each block is compressed by zstandard with
-each template as a raw dictionary, and with a text that is no licence; templates are ranked by how
-many bytes they save over that text, and the ranked ones are confirmed by their exact wording
-differences from the block: the words of the template that are missing, added or changed there.
+Words that licence notices use point at candidate blocks. Blocks are taken in stretches of bounded
+length that overlap by the longest notice. Each stretch is compressed by zstandard with each template
+as a raw dictionary, and with a text that is no licence; the bytes that a template saves over that
+text only order the templates. Each template of which a stretch has enough words is confirmed by its
+exact wording differences: the words of the template that are missing, added or changed there.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +39,10 @@ TEMPLATES = [
 #: often wrapped or written into comments.
 CUES = [b"licens", b"copyright", b"commons", b"redistribut", b"reserved", b"granted", b"warranty"]
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: A template counts only if it saves at least so many bytes, and if at most this share of its words differs.
-LEAST_SAVED, MOST_DIFFERENT = 1, 0.15
+#: A template counts only if at most this share of its words differs.
+MOST_DIFFERENT = 0.15
+#: A stretch is so many times as long as the longest notice.
+STRETCH = 4
 CONTROL = b"the quick brown fox jumps over the lazy dog"
 
 
@@ -76,6 +80,9 @@ class Scanner:
         self.cues = re.compile(b"|".join(map(re.escape, sorted(cues))))
         self.templates = [(name, WORD.findall(text.encode().translate(LOWER))) for name, text in templates]
         self.reach = max((len(t) for _, t in self.templates), default=0)
+        self.counts = [Counter(t) for _, t in self.templates]
+        #: Words of the longest notice that may be confirmed: all its differences are added words.
+        self.longest = max(1, self.reach + int(MOST_DIFFERENT * self.reach))
 
         def given(content: bytes) -> zstandard.ZstdCompressor:
             data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -104,26 +111,41 @@ class Scanner:
                 ranges.append([a, b])
         return [([low[x:y] for x, y in found[a:b]], [x for x, _ in found[a:b]] + [found[b - 1][1]]) for a, b in ranges if b > a]
 
+    def possible(self, k: int, words: list[bytes]) -> bool:
+        """Whether ``words`` have enough words of template ``k``: a word that is missing or changed is
+        one difference, so a stretch with fewer of them cannot be confirmed."""
+        wanted = self.counts[k]
+        there = Counter(w for w in words if w in wanted)
+        shared = sum(min(n, there[w]) for w, n in wanted.items())
+        size = len(self.templates[k][1])
+        return shared > 0 and size - shared <= MOST_DIFFERENT * size
+
+    def confirm(self, k: int, words: list[bytes]) -> list[tuple[int, int, list[str]]]:
+        """The places of template ``k`` in ``words``: begin, end and differences."""
+        template = self.templates[k][1]
+        found = []
+        rest, offset = words, 0
+        while self.possible(k, rest):  # a template may occur again further on
+            a, b, edits = differences(template, rest)
+            if b <= a or len(edits) > MOST_DIFFERENT * len(template):
+                break
+            found.append((offset + a, offset + b, edits))
+            offset, rest = offset + b, rest[b:]
+        return found
+
     def __call__(self, text: str | None) -> dict:
         low = text.encode().translate(LOWER) if text else b""
         blocks = self.blocks(low)
         notices = []
         for words, places in blocks:
-            block = b" ".join(words)
-            size = len(self.control.compress(block))
-            saved = [size - len(z.compress(block)) for z in self.given]
-            ranked = sorted((-s, k) for k, s in enumerate(saved) if s >= LEAST_SAVED)
             confirmed = []
-            for s, k in ranked:
-                name, template = self.templates[k]
-                rest = words
-                offset = 0
-                while True:  # a template may occur again further on
-                    a, b, edits = differences(template, rest)
-                    if b <= a or len(edits) > MOST_DIFFERENT * len(template):
-                        break
-                    confirmed.append((len(edits), -(b - a), s, offset + a, offset + b, name, edits))
-                    offset, rest = offset + b, rest[b:]
+            for at in range(0, max(1, len(words) - self.longest), (STRETCH - 1) * self.longest):
+                stretch = words[at:at + STRETCH * self.longest]
+                content = b" ".join(stretch)
+                size = len(self.control.compress(content))
+                for s, k in sorted((len(z.compress(content)) - size, k) for k, z in enumerate(self.given)):
+                    for a, b, edits in self.confirm(k, stretch):
+                        confirmed.append((len(edits), a - b, s, at + a, at + b, self.templates[k][0], edits))
             taken: list[tuple[int, int]] = []
             for n, _, s, a, b, name, edits in sorted(confirmed, key=lambda c: (c[0] / -c[1], c[1], c[2], c[3])):
                 if all(b <= x or a >= y for x, y in taken):  # the nearest wording keeps a stretch

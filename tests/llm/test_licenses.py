@@ -1,3 +1,5 @@
+import random
+
 from odd_inputs import no_docs, odd_docs, odd_rows  # noqa: F401
 
 from tessera.llm import licenses as L
@@ -35,6 +37,19 @@ def test_no_notice():
         assert scan(text)["notices"] == []
 
 
+def test_notices_in_long_licence_like_blocks():
+    vocabulary = sorted({w.decode() for _, t in L.TEMPLATES for w in L.WORD.findall(t.lower().encode())})
+    for seed in range(10):
+        draw = random.Random(seed)
+        words = [draw.choice(vocabulary) for _ in range(4000)]
+        for name, notice in (("All rights reserved", "All rights reserved."), ("MIT", "Released under the MIT License.")):
+            at = draw.randrange(len(words))
+            before = " ".join(words[:at]) + " x x x. "
+            text = before + notice + " x x x " + " ".join(words[at:])
+            found = scan(text)
+            assert [(n["license"], n["differences"]) for n in found["notices"] if n["begin"] == len(before)] == [(name, [])], (seed, notice)
+
+
 def test_very_long_text_and_places():
     text = NOISE * 400 + "All rights reserved." + NOISE * 400
     (n,) = scan(text)["notices"]
