@@ -124,13 +124,16 @@ class Scanner:
         """The places of template ``k`` in ``words``: begin, end and differences."""
         template = self.templates[k][1]
         found = []
-        rest, offset = words, 0
-        while self.possible(k, rest):  # a template may occur again further on
+        rests = [(0, words)]
+        while rests:  # a template may occur again on either side
+            offset, rest = rests.pop()
+            if not self.possible(k, rest):
+                continue
             a, b, edits = differences(template, rest)
             if b <= a or len(edits) > MOST_DIFFERENT * len(template):
-                break
+                continue
             found.append((offset + a, offset + b, edits))
-            offset, rest = offset + b, rest[b:]
+            rests += [(offset, rest[:a]), (offset + b, rest[b:])]
         return found
 
     def __call__(self, text: str | None) -> dict:

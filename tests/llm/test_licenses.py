@@ -50,6 +50,16 @@ def test_notices_in_long_licence_like_blocks():
             assert [(n["license"], n["differences"]) for n in found["notices"] if n["begin"] == len(before)] == [(name, [])], (seed, notice)
 
 
+def test_altered_and_exact_notice_in_either_order():
+    exact = "This work is licensed under the GNU General Public License, version 3."
+    altered = exact.replace("licensed", "licenced")
+    for texts in ((altered, exact), (exact, altered), (altered, exact, altered), (altered, altered, exact)):
+        text = "\n".join(texts)
+        want = [(text.index(t, sum(len(x) + 1 for x in texts[:i])), ["licensed>licenced"] if t == altered else []) for i, t in enumerate(texts)]
+        assert [(n["begin"], n["differences"]) for n in scan(text)["notices"]] == want
+        assert {n["license"] for n in scan(text)["notices"]} == {"GPL-3.0"}
+
+
 def test_very_long_text_and_places():
     text = NOISE * 400 + "All rights reserved." + NOISE * 400
     (n,) = scan(text)["notices"]
