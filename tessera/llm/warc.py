@@ -108,12 +108,16 @@ def verified_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """``(page_id, record_type, header, payload, record)``: the original payload of every record,
-    revisits included, and ``record``, the exact bytes of the WARC record (a revisit has no block)."""
+    """``(page_id, record_type, header, payload, record, refers_to)``: the original payload of every
+    record, revisits included, and ``record``, the exact bytes of the WARC record (a revisit has no
+    block). A record without its payload, or with one of another length, is an error."""
     out = read_headers(spark, path).join(read_payloads(spark, path), "digest", "left")
+    lost = F.raise_error(F.concat(F.lit("no payload for "), F.coalesce("digest", F.lit("a record without digest"))))
+    short = (F.col("record_type") == "response") & (F.col("size") != F.octet_length("payload"))
+    out = out.withColumn("payload", F.when(F.col("payload").isNull() | short, lost.cast("binary")).otherwise(F.col("payload")))
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     end = F.lit(END.encode())
-    return out.select("page_id", "record_type", "header", "payload", F.concat(F.encode("header", "UTF-8"), end, block, end).alias("record"))
+    return out.select("page_id", "record_type", "header", "payload", F.concat(F.encode("header", "UTF-8"), end, block, end).alias("record"), "refers_to")
 
 
 def export(spark: SparkSession, path: str, target: str) -> None:

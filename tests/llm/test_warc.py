@@ -67,6 +67,17 @@ def test_exported_files_are_warc(spark, archive):
     assert sorted(found) == sorted(want)
 
 
+def test_query_measures_the_rebuilt_payloads(spark, monkeypatch):
+    from tessera.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    want = {r.page_id: r.payload_bytes for r in QUERIES["op3_warc_archive"](spark, sf).collect()}
+    rebuilt = warc.reconstruct
+    monkeypatch.setattr(warc, "reconstruct", lambda *a: rebuilt(*a).selectExpr("*  except (payload)", "concat(payload, X'00') as payload"))
+    got = {r.page_id: r.payload_bytes for r in QUERIES["op3_warc_archive"](spark, sf).collect()}
+    assert got == {k: n + 1 for k, n in want.items()}
+
+
 def test_urls_cannot_break_headers(spark, archive):
     urls = {r.page_id: r.url for r in warc.read_headers(spark, archive).collect()}
     assert urls[1] == "http://b/%0D%0A%0D%0AWARC/1.1" and urls[9] is None
