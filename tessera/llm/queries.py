@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, licenses, maxent, quality, rules, simhash, suffix, urls, warc
+from tessera.llm import bpe, decontaminate, fim, licenses, maxent, quality, rules, simhash, suffix, urls, warc, whitening
 from tessera.llm.common import load
 from tessera.session import scratch_path
 
@@ -79,6 +79,17 @@ def op10_quality_votes(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_whitened_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    out = whitening.whiten(spark, load(spark, sf, "embeddings", "vec_id", "embedding"), components=8)
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    out = fim.with_restored(fim.transform(load(spark, sf, "documents", "doc_id", "text")))
+    return out.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
+                      F.sha2("fim.output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_byte_bpe": op2_byte_bpe,
@@ -90,4 +101,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_maxent_scores": op9_maxent_scores,
     "op10_quality_votes": op10_quality_votes,
+    "op11_whitened_embeddings": op11_whitened_embeddings,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
