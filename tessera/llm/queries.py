@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, fim, licenses, maxent, quality, rules, simhash, suffix, urls, warc, whitening
+from tessera.llm import bpe, decontaminate, fim, jaccard, licenses, maxent, quality, rules, simhash, suffix, urls, warc, whitening
 from tessera.llm.common import load
 from tessera.session import scratch_path
 
@@ -90,6 +90,10 @@ def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
                       F.sha2("fim.output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_jaccard_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.similar_documents(spark, load(spark, sf, "documents", "doc_id", "text"), shingle=4, at=85, of=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_byte_bpe": op2_byte_bpe,
@@ -103,4 +107,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_votes": op10_quality_votes,
     "op11_whitened_embeddings": op11_whitened_embeddings,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_jaccard_groups": op13_jaccard_groups,
 }
