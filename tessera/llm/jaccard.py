@@ -14,7 +14,8 @@ keeps the pairs proportional to the set.
 
 Candidates that share an entry are verified on their whole token sets, in rounds: each entry picks pivots
 (one, then eight times as many in each round), members are compared with the pivots unless both are
-known to be connected, pivots leave the entry, and entries whose members are all connected are done. A
+known to be connected, pivots leave the entry, and entries whose members are all connected are done. Before
+whole sets are fetched, a parity sketch of one to two bits a token bounds the difference of two sets from below. A
 large group of near copies is thus settled by about one comparison a member, and no case is left out:
 rounds go on until no entry holds two unconnected members that were not compared.
 """
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import components, materialize, words_of
 
 #: Share of all hashes in the band; tokens in more than FEW sets are frequent; frequent tokens of a set in a class, on average.
-BAND, FEW, PER_CLASS = 0.25, 8, 3
+BAND, FEW, PER_CLASS = 0.2, 8, 4
 #: Tokens that a task sorts at once.
 CHUNK = 1 << 20
 #: Words whose hash a task remembers, candidate sets that are broadcast to find their texts, growth of the number of pivots.
@@ -102,6 +103,10 @@ class Rule:
     def links(self, n: int, m: int, both: int) -> bool:
         return self.of * both >= self.at * (n + m - both)
 
+    def may_differ(self, n: int, m: int, by: int) -> bool:
+        """Whether sets of ``n`` and ``m`` tokens can be linked when at least ``by`` tokens are in one of them only."""
+        return (self.of + self.at) * by <= (self.of - self.at) * (n + m)
+
     def base(self, tokens: np.ndarray) -> tuple[int, int]:
         """How many of the sorted ``tokens`` lie in the band, and how many behind it complete the prefix if all of those are frequent."""
         inside = int(np.searchsorted(tokens, _END))
@@ -125,19 +130,33 @@ class Rule:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Bits (at least as many as tokens, a power of two) that tell whether an odd number of tokens end in that value."""
+    size = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def differ_at_least(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound, from their sketches, on the tokens that are in one of two sets only."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _batch(names: str, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names.split())
 
 
 def prints(docs: DataFrame, doc_id: str, text: str, shingle: int, rule: Rule) -> DataFrame:
-    """``(doc_id, place, digest, n, inside, base)``: digest of the token set (null if empty), its size, and
-    the tokens of the longest prefix it may need, of which the first ``inside`` lie in the band."""
+    """``(doc_id, place, digest, n, inside, base, bits)``: digest of the token set (null if empty), its size, the
+    tokens of the longest prefix it may need, of which the first ``inside`` lie in the band, and its sketch."""
 
-    @F.arrow_udf("struct<digest: binary, n: bigint, inside: int, base: binary>")
+    @F.arrow_udf("struct<digest: binary, n: bigint, inside: int, base: binary, bits: binary>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingles = Shingles(shingle)
         for batch in batches:
-            digest, n, inside, base = [], [], [], []
+            digest, n, inside, base, bits = [], [], [], [], []
             for t in batch:
                 tokens = shingles.tokens(words_of(t.as_py()))
                 a, b = rule.base(tokens) if rule.may_link(len(tokens)) else (0, 0)
@@ -145,8 +164,9 @@ def prints(docs: DataFrame, doc_id: str, text: str, shingle: int, rule: Rule) ->
                 n.append(len(tokens))
                 inside.append(a)
                 base.append(tokens[:a + b].tobytes())
-            yield pa.StructArray.from_arrays([pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(inside, pa.int32()), pa.array(base, pa.binary())],
-                                             names=["digest", "n", "inside", "base"])
+                bits.append(sketch(tokens).tobytes())
+            columns = (digest, pa.binary()), (n, pa.int64()), (inside, pa.int32()), (base, pa.binary()), (bits, pa.binary())
+            yield pa.StructArray.from_arrays([pa.array(*c) for c in columns], names=["digest", "n", "inside", "base", "bits"])
 
     c = F.col(f"`{text}`")
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(c).alias("place"), run(c).alias("s")).select("doc_id", "place", "s.*")
@@ -220,7 +240,7 @@ def shared_tokens(dealt: DataFrame) -> DataFrame:
 
 
 def combined_tokens(shared: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """``(entry, node)`` for pairs of frequent tokens, for sets whose rare ones do not make up the prefix."""
+    """``(entry, node, n)`` for pairs of frequent tokens, for sets whose rare ones do not make up the prefix."""
     frequent = shared.where("frequent").groupBy("node").agg(F.collect_list("entry").alias("tokens"))
     rows = frequent.join(sets.select("node", "n", "inside"), "node")
 
@@ -229,14 +249,23 @@ def combined_tokens(shared: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
             for node, tokens, n, inside in zip(*(b[k].to_pylist() for k in ("node", "tokens", "n", "inside"))):
                 if inside - len(tokens) <= rule.lacking(n):
                     entries = rule.pairs(n, np.array(tokens, np.int64).view(np.uint64))
-                    yield _batch("entry node", entries.view(np.int64), np.full(len(entries), node))
+                    yield _batch("entry node n", entries.view(np.int64), np.full(len(entries), node), np.full(len(entries), n))
+
+    return rows.select("node", "tokens", "n", "inside").mapInArrow(run, "entry bigint, node bigint, n bigint")
+
 
-    return rows.select("node", "tokens", "n", "inside").mapInArrow(run, "entry bigint, node bigint")
+def single_tokens(shared: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """``(entry, node, n)`` for rare tokens, at both levels of a set, so that sets of sizes far apart do not meet."""
+    rows = shared.where("not frequent").join(sets.select("node", "n"), "node")
+    level = F.floor(F.log("n") / F.lit(rule.step))
+    rows = rows.select("entry", "node", "n", F.explode(F.array(level, level + 1)).alias("level"))
+    return rows.select(F.xxhash64("entry", "level").alias("entry"), "node", "n")
 
 
 def whole_sets(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
     """``(node, tokens)`` of the sets in ``wanted(node, doc_id, place)``, computed again from their texts."""
-    if wanted.count() <= BROADCAST_ROWS:
+    n = wanted.count()
+    if n <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     w = wanted.toDF("node", "__id", "__place")
     c = F.col(f"`{text}`")
@@ -249,11 +278,28 @@ def whole_sets(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, shi
         for batch in batches:
             yield pa.array([shingles.tokens(words_of(t.as_py())).tobytes() for t in batch], pa.binary())
 
-    return materialize(spark, found.select("node", "t").dropDuplicates(["node"]).select("node", tokens("t").alias("tokens")), "jaccard-sets")
+    sets = materialize(spark, found.select("node", tokens("t").alias("tokens")), "jaccard-sets")
+    if sets.count() > n:  # rows that repeat id and text
+        sets = materialize(spark, sets.dropDuplicates(["node"]), "jaccard-sets")
+    return sets
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The ``pairs(a, b)`` that are linked."""
+def possible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The ``pairs(a, b)`` whose sketches leave a link possible."""
+
+    @F.arrow_udf("boolean")
+    def may(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for n, left, m, right in batches:
+            rows = zip(n.to_pylist(), left, m.to_pylist(), right)
+            yield pa.array([rule.may_differ(i, j, differ_at_least(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)))
+                            for i, x, j, y in rows], pa.bool_())
+
+    rows = pairs.join(sets.select("node", "n", "bits").toDF("a", "n", "left"), "a").join(sets.select("node", "n", "bits").toDF("b", "m", "right"), "b")
+    return rows.where(may("n", "left", "m", "right")).select("a", "b")
+
+
+def verified(pairs: DataFrame, whole: DataFrame, rule: Rule) -> DataFrame:
+    """The ``pairs(a, b)`` that are linked, by their whole sets."""
 
     @F.arrow_udf("boolean")
     def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -262,25 +308,23 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             for x, y in zip(left, right):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
-                if rule.links(len(x), len(y), len(x)):
-                    at = np.searchsorted(y, x)
-                    out.append(rule.links(len(x), len(y), int((y[np.minimum(at, len(y) - 1)] == x).sum())))
-                else:
-                    out.append(False)
+                at = np.searchsorted(y, x)
+                out.append(rule.links(len(x), len(y), int((y[np.minimum(at, len(y) - 1)] == x).sum())))
             yield pa.array(out, pa.bool_())
 
-    rows = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    rows = pairs.join(whole.toDF("a", "left"), "a").join(whole.toDF("b", "right"), "b")
     return rows.where(linked("left", "right")).select("a", "b")
 
 
-def connect(spark: SparkSession, entries: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """``(node, root)`` of the sets linked to another one, from ``entries(entry, node)`` and whole ``sets``."""
-    links, tried, roots = [], [], None
+def connect(spark: SparkSession, entries: DataFrame, sets: DataFrame, rule: Rule, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(node, root)`` of the sets linked to another one, from ``entries(entry, node, n)``. ``fetch`` gives the
+    whole sets of nodes; those of earlier rounds are kept in files."""
+    links, tried, whole, roots = [], [], [], None
     pivots = 1
     while True:
         named = entries
         if roots is not None:
-            named = entries.join(roots, "node", "left").select("entry", "node", F.coalesce("root", "node").alias("root"))
+            named = entries.join(roots, "node", "left").select("entry", "node", "n", F.coalesce("root", "node").alias("root"))
         else:
             named = entries.withColumn("root", F.col("node"))
         open_ = named.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("entry")
@@ -288,16 +332,24 @@ def connect(spark: SparkSession, entries: DataFrame, sets: DataFrame, rule: Rule
         if live.isEmpty():
             break
         order = F.xxhash64(F.col("node"), F.lit(pivots))
-        chosen = live.groupBy("entry", F.pmod(order, F.lit(pivots)).alias("part")).agg(F.min_by(F.struct("node", "root"), F.struct(order, "node")).alias("p"))
-        chosen = materialize(spark, chosen.select("entry", F.col("p.node").alias("pivot"), F.col("p.root").alias("with")), "jaccard-pivots")
-        pairs = live.join(chosen, "entry").where("root <> with").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        chosen = live.groupBy("entry", F.pmod(order, F.lit(pivots)).alias("part")).agg(F.min_by(F.struct("node", "root", "n"), F.struct(order, "node")).alias("p"))
+        chosen = materialize(spark, chosen.select("entry", F.col("p.node").alias("pivot"), F.col("p.root").alias("with"), F.col("p.n").alias("m")), "jaccard-pivots")
+        near = F.lit(rule.of) * F.least("n", "m") >= F.lit(rule.at) * F.greatest("n", "m")
+        pairs = live.join(chosen, "entry").where("root <> with").where(near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         for t in tried:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = materialize(spark, pairs, "jaccard-pairs")
         tried.append(pairs)
-        links.append(materialize(spark, verified(pairs, sets, rule), "jaccard-links"))
-        roots = components(spark, reduce(DataFrame.union, links), "jaccard")
-        entries = live.join(chosen.select("entry", F.col("pivot").alias("node")), ["entry", "node"], "left_anti").select("entry", "node")
+        pairs = materialize(spark, possible(pairs, sets, rule), "jaccard-possible")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        for w in whole:
+            wanted = wanted.join(w, "node", "left_anti")
+        if not wanted.isEmpty():
+            whole.append(fetch(wanted))
+        if not pairs.isEmpty():
+            links.append(materialize(spark, verified(pairs, reduce(DataFrame.union, whole), rule), "jaccard-links"))
+            roots = components(spark, reduce(DataFrame.union, links), "jaccard")
+        entries = live.join(chosen.select("entry", F.col("pivot").alias("node")), ["entry", "node"], "left_anti").select("entry", "node", "n")
         pivots *= MORE_PIVOTS
     if roots is None:
         return entries.select("node", F.col("node").alias("root")).limit(0)
@@ -318,15 +370,17 @@ def similar_documents(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_i
     rule = Rule(at, of)
     found = materialize(spark, prints(docs, doc_id, text, shingle, rule), "jaccard-prints")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("f")
-    same = found.where("n > 0").groupBy("digest").agg(first, F.first("n").alias("n"), F.first("inside").alias("inside"), F.first("base").alias("base"))
-    sets = materialize(spark, same.select(F.monotonically_increasing_id().alias("node"), "digest", "f.doc_id", "f.place", "n", "inside", "base"), "jaccard-distinct")
+    same = found.where("n > 0").groupBy("digest").agg(first, F.first("n").alias("n"), F.first("inside").alias("inside"), F.first("base").alias("base"), F.first("bits").alias("bits"))
+    sets = materialize(spark, same.select(F.monotonically_increasing_id().alias("node"), "digest", "f.doc_id", "f.place", "n", "inside", "base", "bits"), "jaccard-distinct")
     shared = materialize(spark, shared_tokens(dealt_tokens(sets.where(F.octet_length("base") > 0))), "jaccard-shared")
-    entries = shared.where("not frequent").select("entry", "node").union(combined_tokens(shared, sets, rule))
+    entries = single_tokens(shared, sets, rule).union(combined_tokens(shared, sets, rule))
     several = entries.groupBy("entry").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("entry")
     entries = materialize(spark, entries.join(several, "entry"), "jaccard-entries")
-    wanted = sets.join(entries.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "place")
-    whole = whole_sets(spark, docs, doc_id, text, shingle, wanted)
-    roots = connect(spark, entries, whole, rule).toDF("node", "root")
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        return whole_sets(spark, docs, doc_id, text, shingle, sets.join(nodes, "node", "left_semi").select("node", "doc_id", "place"))
+
+    roots = connect(spark, entries, sets, rule, fetch).toDF("node", "root")
     named = sets.join(roots, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = named.join(least, "root").select("digest", "component_id")

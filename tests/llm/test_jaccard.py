@@ -103,6 +103,20 @@ def test_linked_sets_share_an_entry_whatever_is_frequent(at):
         assert entries[0] & entries[1]
 
 
+def test_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        n = int(rng.integers(1, 3000))
+        x = rng.integers(0, 2**64, n, dtype=np.uint64)
+        gone, new = (int(v) for v in rng.integers(0, n // int(rng.choice([1, 20])) + 1, 2))
+        y = np.r_[x[gone:], rng.integers(0, 2**64, new + (gone == n), dtype=np.uint64)]
+        by = jaccard.differ_at_least(jaccard.sketch(x), jaccard.sketch(y))
+        assert by <= len(set(x.tolist()) ^ set(y.tolist()))
+        rule = jaccard.Rule(85, 100)
+        if rule.links(len(x), len(y), n - gone):
+            assert rule.may_differ(len(x), len(y), by)
+
+
 @pytest.mark.parametrize("few, chunk", [(8, 1 << 20), (1, 200)])
 def test_odd_documents_against_all_pairs(spark, odd_docs, odd_rows, few, chunk, monkeypatch):
     monkeypatch.setattr(jaccard, "FEW", few)
