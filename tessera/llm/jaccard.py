@@ -1,23 +1,29 @@
 """Set-similarity join of documents on word shingles, by prefixes of token combinations.
 
-Equal sets collapse first. All shingles ("tokens") have one global order: those whose hash lies in a
-band of a fixed width come first, in it the rare ones (in ``FEW`` sets or fewer, counted over all sets)
-before the frequent ones, each by hash. A set of n tokens whose partner may lack t of them (all that
-the threshold leaves) files itself under the tokens of its prefix: every rare token alone, and frequent
-tokens in pairs. For pairs, frequent tokens are dealt into classes by a hash; a class with m tokens of the
-set yields its m(m-1)/2 pairs and stands for m-1 tokens of the prefix, so the prefix is extended until the
-rare tokens, the classes and, in the last resort, tokens behind the band make up t+1. If two linked sets
-shared neither a rare prefix token nor a pair of any class, the one whose prefix ends first would lack
-t+1 tokens of the other, which is too many; so no link is lost. The number of classes follows from the
-size of the set by levels (a partner is at most one level away, hence each set files under two), which
-keeps the pairs proportional to the set.
-
-Candidates that share an entry are verified on their whole token sets, in rounds: each entry picks pivots
-(one, then eight times as many in each round), members are compared with the pivots unless both are
-known to be connected, pivots leave the entry, and entries whose members are all connected are done. Before
-whole sets are fetched, a parity sketch of one to two bits a token bounds the difference of two sets from below. A
-large group of near copies is thus settled by about one comparison a member, and no case is left out:
-rounds go on until no entry holds two unconnected members that were not compared.
+Equal sets collapse first. All shingles ("tokens") have one global order: rare ones (in ``FEW`` sets or
+fewer, counted over all sets) come before frequent ones; rare ones whose hash lies in a band of a fixed
+width come before the others; the hash decides the rest. A set of n tokens whose partner may lack t of
+them (all that the threshold leaves) files itself under the tokens of its prefix: every rare token
+alone, and frequent tokens in pairs. For pairs, frequent tokens are dealt into classes by a hash; a class with m
+tokens of the prefix yields m(m-1)/2 pairs and stands for m-1 tokens, and the prefix is extended until rare
+tokens and classes make up t+1. If two linked sets shared neither a rare prefix token nor a pair of any
+class, the one whose prefix ends first would lack t+1 tokens of the other, which is too many; so no link
+is lost. Entries are split by the size of the set in levels (a partner is at most one level away, hence each
+set files under two); the number of classes follows from the level, which keeps the pairs proportional
+to the set.
+
+Most sets have t+1 rare tokens inside the band, so only the band's tokens are counted for all sets. Where
+they do not suffice, the set is read whole and its other tokens are counted among such sets. Pairs of
+frequent tokens are left for sets that consist of frequent tokens almost entirely.
+
+Candidates that share an entry are verified in two steps: a parity sketch of one to two bits a token bounds
+the difference of two sets from below, then whole sets are compared. It goes in rounds. First each entry
+compares its members with one pivot. Then entries of few members compare the rest with each other, and
+larger ones join in cells, all entries of one pivot together, so that members they have in common meet
+once; a cell picks eight times as many pivots in each round. Members known to be connected are not
+compared, pivots leave their cell, and entries and cells whose members are all connected are done. A large
+group of near copies is thus settled by about one comparison a member, and no case is left out: rounds go
+on until no cell holds two unconnected members that were not compared.
 """
 
 from __future__ import annotations
@@ -34,8 +40,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import components, materialize, words_of
 
-#: Share of all hashes in the band; tokens in more than FEW sets are frequent; frequent tokens of a set in a class, on average.
-BAND, FEW, PER_CLASS = 0.2, 8, 4
+#: Share of all hashes in the band; tokens in more than FEW sets are frequent; tokens of a set to a class; sets up to SHORT are kept whole.
+BAND, FEW, PER_CLASS, SHORT = 0.2, 8, 4, 128
 #: Tokens that a task sorts at once.
 CHUNK = 1 << 20
 #: Words whose hash a task remembers, candidate sets that are broadcast to find their texts, growth of the number of pivots.
@@ -98,7 +104,7 @@ class Rule:
         return int(math.log(n) / self.step)
 
     def classes(self, level: int) -> int:
-        return max(1, round(BAND * math.exp(level * self.step) / PER_CLASS))
+        return max(1, round(math.exp(level * self.step) / PER_CLASS))
 
     def links(self, n: int, m: int, both: int) -> bool:
         return self.of * both >= self.at * (n + m - both)
@@ -107,20 +113,19 @@ class Rule:
         """Whether sets of ``n`` and ``m`` tokens can be linked when at least ``by`` tokens are in one of them only."""
         return (self.of + self.at) * by <= (self.of - self.at) * (n + m)
 
-    def base(self, tokens: np.ndarray) -> tuple[int, int]:
-        """How many of the sorted ``tokens`` lie in the band, and how many behind it complete the prefix if all of those are frequent."""
-        inside = int(np.searchsorted(tokens, _END))
-        level = self.level(len(tokens))
-        lost = min(inside, max(self.classes(level), self.classes(level + 1)))
-        return inside, max(0, self.lacking(len(tokens)) + 1 - (inside - lost))
-
     def pairs(self, n: int, frequent: np.ndarray) -> np.ndarray:
-        """Entries for pairs of ``frequent`` tokens within classes, at both levels of a set of ``n``."""
+        """Entries for pairs of ``frequent`` tokens of a set of ``n`` (its other tokens are rare) at both levels."""
         out = []
+        missing = self.lacking(n) + 1 - (n - len(frequent))
+        frequent = np.sort(frequent)
         for level in (self.level(n), self.level(n) + 1):
             seed = _mix(np.array([level], np.uint64))
             cls = _mix(frequent ^ seed) % np.uint64(self.classes(level))
-            order = np.lexsort((frequent, cls))
+            order = np.argsort(cls, kind="stable")
+            again = np.zeros(len(cls), np.int64)  # whether the token's class has an earlier one
+            again[order[1:]] = cls[order[1:]] == cls[order[:-1]]
+            end = int(np.searchsorted(np.cumsum(again), missing)) + 1  # of the prefix
+            order = order[order < end]
             cls, own = cls[order], frequent[order]
             for k in range(1, len(own)):
                 same = cls[k:] == cls[:-k]
@@ -149,8 +154,8 @@ def _batch(names: str, *arrays) -> pa.RecordBatch:
 
 
 def prints(docs: DataFrame, doc_id: str, text: str, shingle: int, rule: Rule) -> DataFrame:
-    """``(doc_id, place, digest, n, inside, base, bits)``: digest of the token set (null if empty), its size, the
-    tokens of the longest prefix it may need, of which the first ``inside`` lie in the band, and its sketch."""
+    """``(doc_id, place, digest, n, inside, base, bits)``: digest of the token set (null if empty), its size, its
+    ``inside`` tokens in the band (a short set: and then the others), and its sketch."""
 
     @F.arrow_udf("struct<digest: binary, n: bigint, inside: int, base: binary, bits: binary>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -159,11 +164,12 @@ def prints(docs: DataFrame, doc_id: str, text: str, shingle: int, rule: Rule) ->
             digest, n, inside, base, bits = [], [], [], [], []
             for t in batch:
                 tokens = shingles.tokens(words_of(t.as_py()))
-                a, b = rule.base(tokens) if rule.may_link(len(tokens)) else (0, 0)
+                own = tokens if rule.may_link(len(tokens)) else tokens[:0]
+                a = int(np.searchsorted(own, _END))
                 digest.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
                 n.append(len(tokens))
                 inside.append(a)
-                base.append(tokens[:a + b].tobytes())
+                base.append((own if len(own) <= SHORT else own[:a]).tobytes())
                 bits.append(sketch(tokens).tobytes())
             columns = (digest, pa.binary()), (n, pa.int64()), (inside, pa.int32()), (base, pa.binary()), (bits, pa.binary())
             yield pa.StructArray.from_arrays([pa.array(*c) for c in columns], names=["digest", "n", "inside", "base", "bits"])
@@ -178,8 +184,8 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.r_[begin, len(key)])
 
 
-def dealt_tokens(sets: DataFrame) -> DataFrame:
-    """``(token, node)`` of all base tokens. A token that one task meets in more than FEW sets is known to be
+def dealt_tokens(sets: DataFrame, band: bool) -> DataFrame:
+    """``(token, node)`` of the tokens in the band, or of those outside, from ``sets(node, base)``. A token that one task meets in more than FEW sets is known to be
     frequent: its rows carry the node as ``-2 - node`` (they need not meet), and one row with node -1 tells the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +205,9 @@ def dealt_tokens(sets: DataFrame) -> DataFrame:
 
         for b in batches:
             for node, base in zip(b["node"].to_numpy(), b["base"]):
-                own = np.frombuffer(base.as_py(), np.uint64)
+                own = np.frombuffer(base.as_buffer(), np.uint64)
+                inside = int(np.searchsorted(own, _END))
+                own = own[:inside] if band else own[inside:]
                 held.append((own, np.full(len(own), node)))
                 size += len(own)
                 if size >= CHUNK:
@@ -222,8 +230,7 @@ def shared_tokens(dealt: DataFrame) -> DataFrame:
             here = np.add.reduceat((nodes >= 0).astype(np.int64), begin)
             often = (here > FEW) | (nodes[begin] < 0)  # nodes below zero come first
             keep = np.repeat(often | (here > 1), length) & (nodes != -1)
-            often = np.repeat(often, length)[keep] & (tokens[keep].view(np.uint64) < _END)
-            return _batch("entry node frequent", tokens[keep], np.where(nodes < 0, -2 - nodes, nodes)[keep], often)
+            return _batch("entry node frequent", tokens[keep], np.where(nodes < 0, -2 - nodes, nodes)[keep], np.repeat(often, length)[keep])
 
         left = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for b in batches:
@@ -239,19 +246,24 @@ def shared_tokens(dealt: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "entry bigint, node bigint, frequent boolean")
 
 
-def combined_tokens(shared: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """``(entry, node, n)`` for pairs of frequent tokens, for sets whose rare ones do not make up the prefix."""
-    frequent = shared.where("frequent").groupBy("node").agg(F.collect_list("entry").alias("tokens"))
-    rows = frequent.join(sets.select("node", "n", "inside"), "node")
+def short_of_rare(shared: DataFrame, sets: DataFrame, rule: Rule, counted: str) -> DataFrame:
+    """``sets(node, n, ...)`` whose rare tokens do not make up the prefix, with their ``frequent`` ones; ``counted`` is the
+    number of a set's tokens that were counted."""
+    frequent = shared.where("frequent").groupBy("node").agg(F.collect_list("entry").alias("frequent"))
+    rare = F.expr(f"{counted} - coalesce(size(frequent), 0)")
+    return sets.where(f"n * {rule.of - rule.at} >= {rule.at}").join(frequent, "node", "left").where(rare <= F.expr(f"n - ({rule.at} * n + {rule.of - 1}) div {rule.of}"))
+
+
+def combined_tokens(rows: DataFrame, rule: Rule) -> DataFrame:
+    """``(entry, node, n)`` for pairs of the frequent tokens of ``rows(node, n, frequent)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for node, tokens, n, inside in zip(*(b[k].to_pylist() for k in ("node", "tokens", "n", "inside"))):
-                if inside - len(tokens) <= rule.lacking(n):
-                    entries = rule.pairs(n, np.array(tokens, np.int64).view(np.uint64))
-                    yield _batch("entry node n", entries.view(np.int64), np.full(len(entries), node), np.full(len(entries), n))
+            for node, n, tokens in zip(*(b[k].to_pylist() for k in ("node", "n", "frequent"))):
+                entries = rule.pairs(n, np.array(tokens, np.int64).view(np.uint64))
+                yield _batch("entry node n", entries.view(np.int64), np.full(len(entries), node), np.full(len(entries), n))
 
-    return rows.select("node", "tokens", "n", "inside").mapInArrow(run, "entry bigint, node bigint, n bigint")
+    return rows.select("node", "n", "frequent").mapInArrow(run, "entry bigint, node bigint, n bigint")
 
 
 def single_tokens(shared: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -316,44 +328,82 @@ def verified(pairs: DataFrame, whole: DataFrame, rule: Rule) -> DataFrame:
     return rows.where(linked("left", "right")).select("a", "b")
 
 
-def connect(spark: SparkSession, entries: DataFrame, sets: DataFrame, rule: Rule, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``(node, root)`` of the sets linked to another one, from ``entries(entry, node, n)``. ``fetch`` gives the
-    whole sets of nodes; those of earlier rounds are kept in files."""
-    links, tried, whole, roots = [], [], [], None
-    pivots = 1
-    while True:
-        named = entries
-        if roots is not None:
-            named = entries.join(roots, "node", "left").select("entry", "node", "n", F.coalesce("root", "node").alias("root"))
-        else:
-            named = entries.withColumn("root", F.col("node"))
-        open_ = named.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("entry")
-        live = materialize(spark, named.join(open_, "entry"), "jaccard-live")
-        if live.isEmpty():
-            break
-        order = F.xxhash64(F.col("node"), F.lit(pivots))
-        chosen = live.groupBy("entry", F.pmod(order, F.lit(pivots)).alias("part")).agg(F.min_by(F.struct("node", "root", "n"), F.struct(order, "node")).alias("p"))
-        chosen = materialize(spark, chosen.select("entry", F.col("p.node").alias("pivot"), F.col("p.root").alias("with"), F.col("p.n").alias("m")), "jaccard-pivots")
-        near = F.lit(rule.of) * F.least("n", "m") >= F.lit(rule.at) * F.greatest("n", "m")
-        pairs = live.join(chosen, "entry").where("root <> with").where(near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        for t in tried:
+class _Connecting:
+    """Links and components found so far; whole sets are fetched when a pair first needs them and kept in files."""
+
+    def __init__(self, spark: SparkSession, sets: DataFrame, rule: Rule, fetch: Callable[[DataFrame], DataFrame], whole: list[DataFrame]):
+        self.spark, self.sets, self.rule, self.fetch, self.whole = spark, sets, rule, fetch, whole
+        self.tried, self.roots = [], None
+
+    def open(self, rows: DataFrame, group: str) -> DataFrame:
+        """``rows(group, node, n)`` with their ``root``, without groups whose members are all connected."""
+        root = F.col("node")
+        if self.roots is not None:
+            rows, root = rows.join(self.roots, "node", "left"), F.coalesce("root", "node")
+        rows = rows.select(group, "node", "n", root.alias("root"))
+        several = rows.groupBy(group).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(group)
+        return materialize(self.spark, rows.join(several, group), "jaccard-open")
+
+    def near(self) -> F.Column:
+        return F.lit(self.rule.of) * F.least("n", "m") >= F.lit(self.rule.at) * F.greatest("n", "m")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Verify ``pairs(a, b)`` that were not compared before, and join the components of the linked ones."""
+        for t in self.tried:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = materialize(spark, pairs, "jaccard-pairs")
-        tried.append(pairs)
-        pairs = materialize(spark, possible(pairs, sets, rule), "jaccard-possible")
+        pairs = materialize(self.spark, pairs, "jaccard-pairs")
+        self.tried.append(pairs)
+        pairs = materialize(self.spark, possible(pairs, self.sets, self.rule), "jaccard-possible")
+        if pairs.isEmpty():
+            return
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        for w in whole:
+        for w in self.whole:
             wanted = wanted.join(w, "node", "left_anti")
-        if not wanted.isEmpty():
-            whole.append(fetch(wanted))
-        if not pairs.isEmpty():
-            links.append(materialize(spark, verified(pairs, reduce(DataFrame.union, whole), rule), "jaccard-links"))
-            roots = components(spark, reduce(DataFrame.union, links), "jaccard")
-        entries = live.join(chosen.select("entry", F.col("pivot").alias("node")), ["entry", "node"], "left_anti").select("entry", "node", "n")
-        pivots *= MORE_PIVOTS
-    if roots is None:
-        return entries.select("node", F.col("node").alias("root")).limit(0)
-    return roots
+        self.whole.append(self.fetch(materialize(self.spark, wanted, "jaccard-wanted")))
+        links = verified(pairs, reduce(DataFrame.union, self.whole), self.rule)
+        old = self.roots
+        if old is not None:
+            for c in ("a", "b"):
+                links = links.join(old.toDF(c, "r"), c, "left").withColumn(c, F.coalesce("r", c)).drop("r")
+        new = components(self.spark, links, "jaccard")
+        if old is not None:
+            moved = old.join(new.toDF("root", "r"), "root", "left").select("node", F.coalesce("r", "root").alias("root"))
+            new = materialize(self.spark, moved.union(new.join(old, "node", "left_anti")), "jaccard-roots")
+        self.roots = new
+
+
+def connect(c: _Connecting, entries: DataFrame) -> DataFrame | None:
+    """``(node, root)`` of the sets linked to another one, from ``entries(entry, node, n)``; None if there are none."""
+
+    def pair(x: str, y: str):
+        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+    def pivots(live: DataFrame, group: str, parts: int) -> DataFrame:
+        order = F.xxhash64(F.col("node"), F.lit(parts))
+        p = live.groupBy(group, F.pmod(order, F.lit(parts)).alias("part")).agg(F.min_by(F.struct("node", "root", "n"), F.struct(order, "node")).alias("p"))
+        return materialize(c.spark, p.select(group, F.col("p.node").alias("pivot"), F.col("p.root").alias("with"), F.col("p.n").alias("m")), "jaccard-pivots")
+
+    live = c.open(entries, "entry")
+    chosen = pivots(live, "entry", 1)
+    c.compare(live.join(chosen, "entry").where("root <> with").where(c.near()).select(*pair("node", "pivot")).distinct())
+    rest = live.join(chosen.select("entry", "pivot"), "entry").where("node <> pivot").select(F.struct("entry", "pivot").alias("entry"), "node", "n")
+    live = c.open(rest, "entry")
+    many = live.groupBy("entry").agg(F.count(F.lit(1)).alias("k"))
+    small = live.join(many.where(F.col("k") < FEW).select("entry"), "entry")
+    other = small.select("entry", F.col("node").alias("pivot"), F.col("root").alias("with"), F.col("n").alias("m"))
+    pairs = small.join(other, "entry").where("node < pivot and root <> with").where(c.near()).select(*pair("node", "pivot"))
+    cells = live.join(many.where(F.col("k") >= FEW).select("entry"), "entry").select(F.col("entry.pivot").alias("cell"), "node", "n").distinct()
+    cells = materialize(c.spark, cells, "jaccard-cells")
+    parts = MORE_PIVOTS
+    while True:
+        live = c.open(cells, "cell")
+        chosen = pivots(live, "cell", parts)
+        more = live.join(chosen, "cell").where("root <> with").where(c.near()).select(*pair("node", "pivot"))
+        c.compare((pairs.union(more) if parts == MORE_PIVOTS else more).distinct())
+        if live.isEmpty():
+            return c.roots
+        cells = live.join(chosen.select("cell", F.col("pivot").alias("node")), ["cell", "node"], "left_anti").select("cell", "node", "n")
+        parts *= MORE_PIVOTS
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -372,15 +422,20 @@ def similar_documents(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_i
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("f")
     same = found.where("n > 0").groupBy("digest").agg(first, F.first("n").alias("n"), F.first("inside").alias("inside"), F.first("base").alias("base"), F.first("bits").alias("bits"))
     sets = materialize(spark, same.select(F.monotonically_increasing_id().alias("node"), "digest", "f.doc_id", "f.place", "n", "inside", "base", "bits"), "jaccard-distinct")
-    shared = materialize(spark, shared_tokens(dealt_tokens(sets.where(F.octet_length("base") > 0))), "jaccard-shared")
-    entries = single_tokens(shared, sets, rule).union(combined_tokens(shared, sets, rule))
-    several = entries.groupBy("entry").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("entry")
-    entries = materialize(spark, entries.join(several, "entry"), "jaccard-entries")
 
     def fetch(nodes: DataFrame) -> DataFrame:
         return whole_sets(spark, docs, doc_id, text, shingle, sets.join(nodes, "node", "left_semi").select("node", "doc_id", "place"))
 
-    roots = connect(spark, entries, sets, rule, fetch).toDF("node", "root")
+    shared = materialize(spark, shared_tokens(dealt_tokens(sets, band=True)), "jaccard-band")
+    poor = materialize(spark, short_of_rare(shared, sets.select("node", "n", "inside"), rule, "inside"), "jaccard-poor")
+    whole = [sets.where(F.col("n") <= SHORT).select("node", F.col("base").alias("tokens")), fetch(poor.where(F.col("n") > SHORT).select("node"))]
+    others = reduce(DataFrame.union, whole).toDF("node", "base").join(poor.select("node"), "node", "left_semi")
+    outside = materialize(spark, shared_tokens(dealt_tokens(others, band=False)), "jaccard-outside")
+    both = shared.union(outside)
+    poorest = short_of_rare(both.join(poor.select("node"), "node", "left_semi"), poor.select("node", "n"), rule, "n")
+    entries = single_tokens(both, sets, rule).union(combined_tokens(poorest.where("frequent is not null"), rule))
+    roots = connect(_Connecting(spark, sets, rule, fetch, whole), entries)
+    roots = sets.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots.toDF("node", "root")
     named = sets.join(roots, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = named.join(least, "root").select("digest", "component_id")

@@ -91,14 +91,16 @@ def test_linked_sets_share_an_entry_whatever_is_frequent(at):
         y = np.r_[x[gone:], rng.integers(0, 2**64, new, dtype=np.uint64)]
         if not rule.links(len(x), len(y), n - gone):
             continue
-        share = rng.choice([0, 0.2, 0.6, 1.0])
+        share = rng.choice([0, 0.2, 0.6, 0.9, 1.0])
         entries = []
         for t in (np.unique(x), np.unique(y)):
-            inside, more = rule.base(t)
-            frequent = (jaccard._mix(t[:inside]) % np.uint64(1000)) < share * 1000
-            own = set(t[:inside][~frequent].tolist()) | set(t[inside:inside + more].tolist())
+            frequent = (jaccard._mix(t) % np.uint64(1000)) < share * 1000
+            band = t < jaccard._END
+            own = set(t[band & ~frequent].tolist())
+            if len(own) <= rule.lacking(len(t)):
+                own |= set(t[~frequent].tolist())
             if (~frequent).sum() <= rule.lacking(len(t)):
-                own |= set(rule.pairs(len(t), t[:inside][frequent]).tolist())
+                own |= set(rule.pairs(len(t), t[frequent]).tolist())
             entries.append(own)
         assert entries[0] & entries[1]
 
@@ -117,8 +119,9 @@ def test_sketches_bound_the_difference_from_below():
             assert rule.may_differ(len(x), len(y), by)
 
 
-@pytest.mark.parametrize("few, chunk", [(8, 1 << 20), (1, 200)])
-def test_odd_documents_against_all_pairs(spark, odd_docs, odd_rows, few, chunk, monkeypatch):
+@pytest.mark.parametrize("few, chunk, short", [(8, 1 << 20, 128), (1, 200, 0)])
+def test_odd_documents_against_all_pairs(spark, odd_docs, odd_rows, few, chunk, short, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHORT", short)
     monkeypatch.setattr(jaccard, "FEW", few)
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
     assert found(jaccard.similar_documents(spark, odd_docs)) == brute(odd_rows)
