@@ -56,13 +56,13 @@ def fingerprint(words: list[bytes], shingle: int = 3) -> int:
 
 
 def with_fingerprint(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint as a signed 64-bit integer."""
+    """``(doc_id, h, fp)``: a hash of the text and the fingerprint, as signed 64-bit integers."""
 
     @F.pandas_udf("bigint")
     def fp(s: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(words_of(t), shingle) for t in s], np.uint64).view(np.int64))
 
-    return docs.select(F.col(doc_id).alias("doc_id"), fp(F.col(text)).alias("fp"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), fp(F.col(text)).alias("fp"))
 
 
 def _halves(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,21 +222,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id"
     wordless texts have fingerprint zero and are linked like any other; repeated rows are kept, each
     with its component; other columns are not read; an empty table gives an empty result.
     """
+    found = _labelled(spark, docs, doc_id, text, shingle, distance)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _labelled(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, shingle: int, distance: int) -> DataFrame:
+    """``(doc_id, h, fp, root, component_id)`` for each row; ``root`` names the component."""
     prints = materialize(spark, with_fingerprint(docs, doc_id, text, shingle), "simhash-fp")
     distinct = materialize(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = link_fingerprints(spark, distinct, distance)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = named.join(least, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labels = named.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(labels, "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                          shingle: int = 3, distance: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id; of repeated rows one
-    stays. Rows without an id cannot be named as representatives and all stay."""
-    found = near_duplicates(spark, docs, doc_id, text, shingle, distance)
-    key = fresh(docs, "__keep")
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(keep, F.col(f"`{doc_id}`") == F.col(key)).dropDuplicates([key]).drop(key)
+    """``docs`` with one document of each component: that of the smallest id (of different texts under that
+    id the one whose fingerprint and hash are smallest); of repeated rows one stays. Texts that share an id but no
+    component are documents of their own. Rows without an id cannot be named as representatives and all stay."""
+    found = _labelled(spark, docs, doc_id, text, shingle, distance)
+    names = [fresh(docs, f"__keep_{c}") for c in ("id", "h")]
+    keep = found.where(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.min(F.struct("doc_id", "fp", "h")).alias("k"))
+    keep = keep.select(F.col("k.doc_id").alias(names[0]), F.col("k.h").alias(names[1])).distinct()
+    same = (F.col(f"`{doc_id}`") == F.col(names[0])) & (F.xxhash64(F.col(f"`{text}`")) == F.col(names[1]))
+    kept = docs.join(keep, same).dropDuplicates(names).drop(*names)
     return kept.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))

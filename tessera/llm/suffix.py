@@ -32,6 +32,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes hashed in one numpy step; longer texts overlap from step to step.
 STEP_BYTES = 1 << 21
 GROUP_CONTEXTS = 20_000
+#: Keys that occur again are broadcast up to this number (8 MB), beyond it shuffled.
+BROADCAST_KEYS = 1 << 20
 SHALLOW = 64
 
 
@@ -369,6 +371,8 @@ def _tables(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, length
     runs = anchored.select("d", "h", F.inline("runs"))
     # written, so that the join below has a plain exchange on either side and hot keys can be split
     again = materialize(spark, runs.groupBy("key").count().where("count > 1").select("key"), "suffix-again")
+    if again.count() <= BROADCAST_KEYS:
+        again = F.broadcast(again)
     flagged = runs.join(again, "key").groupBy("d", "h").agg(F.collect_list(F.struct("p", "lo", "hi", "key")).alias("runs"))
     # a text may have a repeated row: the runs of the group are those of each row, as often as there are rows
     flagged = flagged.select(F.col("d").alias("fd"), F.col("h").alias("fh"), F.array_distinct("runs").alias("runs"))

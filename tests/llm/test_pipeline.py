@@ -45,7 +45,7 @@ def test_one_of_each_group_stays(stages):
 def test_repeats_are_cut(stages):
     rows = [(r.doc_id, r.text) for r in stages[2].collect()]
     texts = [(t or "").encode() for _, t in rows]
-    want = {d: bytes(b for b, g in zip(x, gone) if not g).decode("utf-8", "ignore") for (d, _), x, gone in zip(rows, texts, brute_repeats(texts, 400))}
+    want = {d: bytes(b for b, g in zip(x, gone) if not g).decode("utf-8", "ignore") for (d, _), x, gone in zip(rows, texts, brute_repeats(texts, 240))}
     got = stages[3].collect()
     assert {r.doc_id: r.text or "" for r in got} == want and all(r.n_chars == len(r.text) for r in got)
 
