@@ -4,9 +4,9 @@ The file is scanned once as all-string columns; one aggregate pass then decides
 each column's type (S2) with the reference reader's rules, and a projection casts
 the columns. Nothing but the header row and the columns' types reaches the driver.
 
-Quoted fields may hold line breaks. A first pass over the lines tells whether any
-does (a line with an odd number of quotes); only then are files read whole, one
-task each, instead of in splits. Rows with more fields than the header are an error.
+Quoted fields may hold line breaks. A first pass over the lines (only if any has a quote) tells
+whether one does and where the splits' records begin; then records are cut in splits too (``records``),
+no file is read whole. Rows with more fields than the header are an error.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import FALSE_STRINGS, NA_STRINGS, TRUE_STRINGS
+from tessera.sources.records import Records, find_records
 
 _INT_RE = r"^\s*[+-]?[0-9]+\s*$"
 _FLOAT_RE = r"(?i)^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|[+-]?inf(inity)?)\s*$"
@@ -41,10 +42,12 @@ def dedupe_names(names: list[str]) -> list[str]:
     return out
 
 
-def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted field goes on in the next line: some line then has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+def quoted_breaks(spark: SparkSession, path: str) -> Records | None:
+    """The records of the file, if quoted fields hold line breaks; None if every line is a record."""
+    if spark.read.text(path).where(F.contains("value", F.lit('"'))).isEmpty():
+        return None
+    found = find_records(spark, path)
+    return found if found.breaks else None
 
 
 def _reader(spark: SparkSession, multi_line: bool):
@@ -56,18 +59,22 @@ def read_header(spark: SparkSession, path: str, multi_line: bool = False) -> lis
     if spark.read.text(path).where(F.trim("value") != "").isEmpty():
         raise ValueError("No columns to parse from file")
     first = _reader(spark, multi_line).option("header", False).csv(path).first()
-    return dedupe_names([(c or "").lstrip("\ufeff") for c in first])
+    return dedupe_names([(c or "").lstrip("\ufeff").rstrip("\r") for c in first])
 
 
 def scan_strings(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """Every column as a string, NA markers already NULL. ``multi_line`` tells whether quoted fields
-    hold line breaks; None looks."""
-    if multi_line is None:
-        multi_line = has_quoted_breaks(spark, path)
-    names = read_header(spark, path, multi_line)
+    """Every column as a string, NA markers already NULL. ``multi_line`` False promises that no quoted field
+    holds a line break; None and True look."""
+    records = None if multi_line is False else quoted_breaks(spark, path)
+    names = read_header(spark, path, records is not None)
     extra = "__extra_field"
-    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in [*names, extra]])
-    raw = _reader(spark, multi_line).option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    if records is None:
+        schema = T.StructType([T.StructField(n, T.StringType(), True) for n in [*names, extra]])
+        raw = _reader(spark, False).option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    else:
+        kinds = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+        parsed = F.from_csv("record", kinds, {"escape": '"', "mode": "PERMISSIVE", "multiLine": "true"})
+        raw = records.frame().select(parsed.alias("r")).select("r.*").toDF(*names, extra)
     # a field beyond the header is an error, whichever columns are read later
     too_long = F.raise_error(F.lit(f"Error tokenizing data: a row has more than {len(names)} fields."))
     raw = raw.where(F.when(F.col(extra).isNull(), F.lit(True)).otherwise(too_long.cast("boolean")))
