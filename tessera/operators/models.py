@@ -24,11 +24,13 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.iforest import IsolationForest
 from tessera.operators.stages import IndexMap, PCScores
+from tessera.operators.stats import DRIVER_LEVELS
 
 # The reference's task names and the model names offered per task.
 TASKS = ["Classification", "Regression", "Clustering", "Anomaly Detection", "Dimensionality Reduction"]
@@ -66,6 +68,7 @@ DEFAULTS = {
     "iforest_trees": 100, "iforest_max_samples": 256,
     "components": 2,
     "rows_per_partition": 500_000, "least_partitions": 8,
+    "driver_levels": DRIVER_LEVELS,
 }
 
 
@@ -178,9 +181,11 @@ def fit_iforest(feats: DataFrame, seed: int, params: dict):
 PCA_FEATURES = 65_535  # the library's limit: the covariance is held on the driver
 
 
-def fit_pca(feats: DataFrame, means: list[float], k: int = 2) -> tuple[PipelineModel, list[float]]:
+def fit_pca(feats: DataFrame, means: list[float] | None, k: int = 2) -> tuple[PipelineModel, list[float]]:
     """Spark PCA (covariance on the driver) + centring + sign rule; ``means`` are the features' means,
-    known from the preprocessor."""
+    known from the preprocessor (None: summed up here)."""
+    if means is None:
+        means = feats.select(Summarizer.mean(F.col(FEATURES)).alias("m")).first()["m"].toArray().tolist()
     if len(means) > PCA_FEATURES:
         raise ValueError(f"PCA holds a covariance matrix on the driver and ends at {PCA_FEATURES} features after encoding; found {len(means)}.")
     model = PCA(k=k, inputCol=FEATURES, outputCol="__pca_raw").fit(feats)

@@ -13,7 +13,8 @@
   enough, its distinct values are counted and the rank is read off exactly.
 * ``category_stats``: unpivot -> ``groupBy(column, value).count()`` (map-side
   combine, so a hot value costs one row per partition) -> mode with the
-  smallest-value tie rule and the sorted category dictionary.
+  smallest-value tie rule and the sorted category dictionary, on the driver up to
+  ``DRIVER_LEVELS`` levels and as a DataFrame beyond.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import as_text, num_value
+from tessera.operators.dictionary import ranked
 
 HIST_BINS = 1024
 EXACT_LIMIT = 50_000     # distinct values that a pass may bring to the driver, over all columns together
 BLOCK_COLUMNS = 100      # columns of one grouped sketch: the aggregate keeps to its hash map up to 128 groups
 WIDTH_PASSES = 3         # passes with equal-width bins before brackets are cut by rank
 MAX_PASSES = 64
+DRIVER_LEVELS = 100_000  # levels of all category dictionaries together that are held on the driver
 SKETCH_ACCURACY = 2000   # percentile_approx relative rank error 1/2000: a bounded sketch per column
 SKETCH_SLACK = 3.0       # bracket = sketch quantiles at p -/+ SKETCH_SLACK / accuracy
 
@@ -264,8 +267,11 @@ def imputed_moments(summary: NumericSummary, medians: dict[str, float | None]) -
 class CategoryStats:
     n_distinct: dict[str, int]
     mode: dict[str, str | None]
-    categories: dict[str, list[str]] = field(default_factory=dict)
+    categories: dict[str, list[str]] = field(default_factory=dict)       # of the columns held on the driver
     counts: dict[str, dict[str, int]] = field(default_factory=dict)
+    dictionary: DataFrame | None = None                                  # (position, column, value, idx) of the other ones
+    positions: dict[str, int] = field(default_factory=dict)              # their numbers in it
+    filled: dict[str, tuple[int, int, int]] = field(default_factory=dict)  # their (values, mode's count, sum of squared counts)
 
 
 def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -290,25 +296,43 @@ def modes_frame(vc: DataFrame) -> DataFrame:
         "position", "column", "n_distinct", "mode", "mode_count")
 
 
-def category_stats(df: DataFrame, cols: list[str], with_categories: bool = True) -> CategoryStats:
-    """Modes and dictionaries. A dictionary is as large as the one-hot encoding it stands for, of which
-    every model holds a weight per level on the driver; ``with_categories=False`` leaves it distributed."""
+def category_stats(df: DataFrame, cols: list[str], with_categories: bool = True, driver_levels: int | None = None) -> CategoryStats:
+    """Modes and dictionaries. Dictionaries are held on the driver as long as all of them together have at most
+    ``driver_levels`` levels; beyond that, smallest columns first, the other columns' stay a DataFrame
+    (``dictionary``). ``with_categories=False`` wants none."""
+    limit = DRIVER_LEVELS if driver_levels is None else driver_levels
     if not cols:
         return CategoryStats({}, {}, {})
     vc = value_counts_long(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n_distinct = {c: 0 for c in cols}
         mode: dict[str, str | None] = {c: None for c in cols}
-        if not with_categories:
+        held = list(cols)
+        out = CategoryStats(n_distinct, mode)
+        if not with_categories or vc.count() > limit:
             for r in modes_frame(vc).collect():
                 n_distinct[r["column"]], mode[r["column"]] = int(r["n_distinct"]), r["mode"]
-            return CategoryStats(n_distinct, mode, {})
-        counts: dict[str, dict[str, int]] = {c: {} for c in cols}
-        for r in vc.select("column", "value", "n").toPandas().itertuples(index=False):
-            counts[r.column][r.value] = int(r.n)
-        for c, values in counts.items():
-            n_distinct[c] = len(values)
-            mode[c] = min(values, key=lambda v: (-values[v], v)) if values else None
-        return CategoryStats(n_distinct, mode, {c: sorted(v) for c, v in counts.items()}, counts)
+            if not with_categories:
+                return out
+            held = []
+            for c in sorted(cols, key=n_distinct.get):
+                if sum(n_distinct[h] for h in held) + n_distinct[c] <= limit:
+                    held.append(c)
+            joined = [c for c in cols if c not in held]
+            wide = vc.where(F.col("column").isin(joined))
+            squares = wide.groupBy("column").agg(F.sum("n").alias("s"), F.max("n").alias("m"), F.sum(F.col("n").cast("decimal(38,0)") * F.col("n")).alias("q"))
+            out.filled = {r["column"]: (int(r["s"]), int(r["m"]), int(r["q"])) for r in squares.collect()}
+            out.dictionary = ranked(wide)
+            out.positions = {c: cols.index(c) for c in joined}
+        if held:
+            out.counts = {c: {} for c in held}
+            own = vc if len(held) == len(cols) else vc.where(F.col("column").isin(held))
+            for r in own.select("column", "value", "n").toPandas().itertuples(index=False):
+                out.counts[r.column][r.value] = int(r.n)
+            for c, values in out.counts.items():
+                n_distinct[c] = len(values)
+                mode[c] = min(values, key=lambda v: (-values[v], v)) if values else None
+            out.categories = {c: sorted(v) for c, v in out.counts.items()}
+        return out
     finally:
         vc.unpersist()

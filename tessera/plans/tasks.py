@@ -134,7 +134,7 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
     split, cached = exact_split_cached(df2, test_size, seed, M.ROW_KEY, IS_TEST)
     train = split.where(~F.col(IS_TEST))
     test = split.where(F.col(IS_TEST))
-    prep, info = fit_preprocessor(train, num_cols, cat_cols, output_col=M.FEATURES)
+    prep, info = fit_preprocessor(train, num_cols, cat_cols, M.FEATURES, p["driver_levels"])
     held = [cached]
     if task == "Classification":
         ytxt = as_text(_c(target), target_type)
@@ -171,7 +171,7 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
         train_feat = M.persist(prep.transform(train).select(M.ROW_KEY, M.FEATURES, y.alias(M.Y)))
         held.append(train_feat)
         fitted = M.fit_regressor(model_name, train_feat, info.rows, float(ystats["sd"] or 0.0), seed, p,
-                                 len(info.feature_names))
+                                 info.width)
         model = PipelineModel([prep, fitted, CopyColumn(inputCol=M.PREDICTION)])
         results = model.transform(test).select(F.col(M.ROW_KEY).alias("row_key"), y.alias("y_true"), F.col("y_pred"))
         row = metrics.regression_metrics(results).first()
@@ -190,10 +190,10 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
     user_cols = [c for c in df.columns]
     skip = {M.ROW_KEY, *exclude}
     num_cols, cat_cols = split_roles(keyed, [c for c in keyed.columns if c not in skip])
-    prep, info = fit_preprocessor(keyed, num_cols, cat_cols, output_col=M.FEATURES)
+    prep, info = fit_preprocessor(keyed, num_cols, cat_cols, M.FEATURES, p["driver_levels"])
     feats = M.persist(prep.transform(keyed).select(M.ROW_KEY, M.FEATURES))
     held.append(feats)
-    width = len(info.feature_names)
+    width = info.width
     if task == "Clustering":
         if info.rows < int(p["k"]):
             raise ValueError(f"n_samples={info.rows} should be >= n_clusters={int(p['k'])}.")
