@@ -20,7 +20,8 @@ Candidates that share an entry are verified in two steps: a parity sketch of one
 the difference of two sets from below, then whole sets are compared. It goes in rounds. First each entry
 compares its members with one pivot. Then entries of few members compare the rest with each other, and
 larger ones join in cells, all entries of one pivot together, so that members they have in common meet
-once; a cell picks eight times as many pivots in each round. Members known to be connected are not
+once; a cell picks pivots anew in each round (8, then 64, then 256), whose sketches go to its members as one
+list, and only pairs that may be linked come back. Members known to be connected are not
 compared, pivots leave their cell, and entries and cells whose members are all connected are done. A large
 group of near copies is thus settled by about one comparison a member, and no case is left out: rounds go
 on until no cell holds two unconnected members that were not compared.
@@ -44,8 +45,8 @@ from tessera.llm.common import components, materialize, words_of
 BAND, FEW, PER_CLASS, SHORT = 0.2, 8, 4, 128
 #: Tokens that a task sorts at once.
 CHUNK = 1 << 20
-#: Words whose hash a task remembers, candidate sets that are broadcast to find their texts, growth of the number of pivots.
-KNOWN_WORDS, BROADCAST_ROWS, MORE_PIVOTS = 1 << 20, 1 << 19, 8
+#: Words whose hash a task remembers, candidate sets that are broadcast to find their texts, pivots of a cell in each round (the last number goes on).
+KNOWN_WORDS, BROADCAST_ROWS, PIVOTS = 1 << 20, 1 << 19, (8, 64, 256)
 
 _END = np.uint64(int(BAND * 2**64))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -109,6 +110,10 @@ class Rule:
     def links(self, n: int, m: int, both: int) -> bool:
         return self.of * both >= self.at * (n + m - both)
 
+    def near(self, n: int, m: int) -> bool:
+        """Whether sets of ``n`` and ``m`` tokens can be linked at all."""
+        return self.of * min(n, m) >= self.at * max(n, m)
+
     def may_differ(self, n: int, m: int, by: int) -> bool:
         """Whether sets of ``n`` and ``m`` tokens can be linked when at least ``by`` tokens are in one of them only."""
         return (self.of + self.at) * by <= (self.of - self.at) * (n + m)
@@ -310,6 +315,30 @@ def possible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return rows.where(may("n", "left", "m", "right")).select("a", "b")
 
 
+def possible_in_cells(live: DataFrame, chosen: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """``(a, b)`` for members of ``live(cell, node, n, root)`` and unconnected pivots of ``chosen(cell, pivot, with, m)`` whose
+    sizes and sketches leave a link possible. A member is one row, whatever the number of its cell's pivots."""
+    bits = sets.select("node", "bits")
+    each = chosen.join(bits.withColumnRenamed("node", "pivot"), "pivot")
+    lists = each.groupBy("cell").agg(F.collect_list(F.struct("pivot", "with", "m", "bits")).alias("pivots"))
+    rows = live.join(bits, "node").join(lists, "cell")
+
+    @F.arrow_udf("array<bigint>")
+    def may(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        last, pivots = None, []
+        for cells, nodes, ns, roots, own, lists in batches:
+            out = []
+            for k, (cell, node, n, root) in enumerate(zip(*(c.to_pylist() for c in (cells, nodes, ns, roots)))):
+                if cell != last:
+                    last, pivots = cell, [(p["pivot"], p["with"], p["m"], np.frombuffer(p["bits"], np.uint8)) for p in lists[k].as_py()]
+                x = np.frombuffer(own[k].as_buffer(), np.uint8)
+                out.append([p for p, r, m, y in pivots if r != root and rule.near(n, m) and rule.may_differ(n, m, differ_at_least(x, y))])
+            yield pa.array(out, pa.list_(pa.int64()))
+
+    pairs = rows.select("node", F.explode(may("cell", "node", "n", "root", "bits", "pivots")).alias("pivot"))
+    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, whole: DataFrame, rule: Rule) -> DataFrame:
     """The ``pairs(a, b)`` that are linked, by their whole sets."""
 
@@ -348,14 +377,13 @@ class _Connecting:
         return F.lit(self.rule.of) * F.least("n", "m") >= F.lit(self.rule.at) * F.greatest("n", "m")
 
     def compare(self, pairs: DataFrame) -> None:
-        """Verify ``pairs(a, b)`` that were not compared before, and join the components of the linked ones."""
+        """Verify ``pairs(a, b)`` that may be linked and were not compared before, and join the components of the linked ones."""
         for t in self.tried:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = materialize(self.spark, pairs, "jaccard-pairs")
-        self.tried.append(pairs)
-        pairs = materialize(self.spark, possible(pairs, self.sets, self.rule), "jaccard-possible")
+        pairs = materialize(self.spark, pairs, "jaccard-possible")
         if pairs.isEmpty():
             return
+        self.tried.append(pairs)
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         for w in self.whole:
             wanted = wanted.join(w, "node", "left_anti")
@@ -385,25 +413,27 @@ def connect(c: _Connecting, entries: DataFrame) -> DataFrame | None:
 
     live = c.open(entries, "entry")
     chosen = pivots(live, "entry", 1)
-    c.compare(live.join(chosen, "entry").where("root <> with").where(c.near()).select(*pair("node", "pivot")).distinct())
+    pairs = live.join(chosen, "entry").where("root <> with").where(c.near()).select(*pair("node", "pivot")).distinct()
+    c.compare(possible(pairs, c.sets, c.rule))
     rest = live.join(chosen.select("entry", "pivot"), "entry").where("node <> pivot").select(F.struct("entry", "pivot").alias("entry"), "node", "n")
     live = c.open(rest, "entry")
     many = live.groupBy("entry").agg(F.count(F.lit(1)).alias("k"))
     small = live.join(many.where(F.col("k") < FEW).select("entry"), "entry")
     other = small.select("entry", F.col("node").alias("pivot"), F.col("root").alias("with"), F.col("n").alias("m"))
-    pairs = small.join(other, "entry").where("node < pivot and root <> with").where(c.near()).select(*pair("node", "pivot"))
+    pairs = small.join(other, "entry").where("node < pivot and root <> with").where(c.near()).select(*pair("node", "pivot")).distinct()
+    pairs = possible(pairs, c.sets, c.rule)
     cells = live.join(many.where(F.col("k") >= FEW).select("entry"), "entry").select(F.col("entry.pivot").alias("cell"), "node", "n").distinct()
     cells = materialize(c.spark, cells, "jaccard-cells")
-    parts = MORE_PIVOTS
+    turn = 0
     while True:
         live = c.open(cells, "cell")
-        chosen = pivots(live, "cell", parts)
-        more = live.join(chosen, "cell").where("root <> with").where(c.near()).select(*pair("node", "pivot"))
-        c.compare((pairs.union(more) if parts == MORE_PIVOTS else more).distinct())
+        chosen = pivots(live, "cell", PIVOTS[min(turn, len(PIVOTS) - 1)])
+        more = possible_in_cells(live, chosen, c.sets, c.rule)
+        c.compare(more if turn else pairs.union(more).distinct())
         if live.isEmpty():
             return c.roots
         cells = live.join(chosen.select("cell", F.col("pivot").alias("node")), ["cell", "node"], "left_anti").select("cell", "node", "n")
-        parts *= MORE_PIVOTS
+        turn += 1
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -130,6 +130,7 @@ def test_odd_documents_against_all_pairs(spark, odd_docs, odd_rows, few, chunk,
 @pytest.mark.parametrize("few, at", [(8, 85), (2, 85), (3, 60)])
 def test_groups_against_all_pairs(spark, groups, few, at, monkeypatch):
     monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "PIVOTS", (2, 3) if few == 3 else (8, 64, 256))
     docs = spark.createDataFrame(groups, "doc_id bigint, text string").repartition(7)
     assert found(jaccard.similar_documents(spark, docs, at=at)) == brute(groups, at)
 
