@@ -12,7 +12,8 @@
   Same algorithm, comparable (not equal) trees.
 * K-means: k=3, k-means|| init, clusters renumbered by (size desc, centre).
 * PCA: 2 components, centred scores, sign fixed so that each component's
-  largest-magnitude loading is positive.
+  largest-magnitude loading is positive. Beyond 4,096 features no covariance
+  matrix is formed (``widepca``).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import widepca
 from tessera.operators.iforest import IsolationForest
 from tessera.operators.stages import IndexMap, PCScores
 from tessera.operators.stats import DRIVER_LEVELS
@@ -58,6 +60,7 @@ EMPTY, NO_TARGET, TARGET_NOT_FOUND, UNKNOWN_TASK = (
 # (a table may well have a column called "label", "features" or "prediction").
 FEATURES, LABEL, PREDICTION, Y, ROW_KEY = "__features", "__label", "__prediction", "__y", "__row_key"
 NORMAL_FEATURES = 4096  # the library's limit for normal equations
+MATRIX_FEATURES = 4096  # PCA holds a covariance matrix on the driver up to here (128 MB)
 _EXTRA = {"rawPredictionCol": "__raw", "probabilityCol": "__prob"}
 
 DEFAULTS = {
@@ -66,7 +69,7 @@ DEFAULTS = {
     "num_trees": 300, "max_depth": 30, "max_bins": 32, "forest_memory_mb": 1024,
     "k": 3, "kmeans_max_iter": 300, "kmeans_tol": 1e-4,  # relative, as in the reference's library
     "iforest_trees": 100, "iforest_max_samples": 256,
-    "components": 2,
+    "components": 2, "matrix_features": MATRIX_FEATURES,
     "rows_per_partition": 500_000, "least_partitions": 8,
     "driver_levels": DRIVER_LEVELS,
 }
@@ -178,16 +181,17 @@ def fit_iforest(feats: DataFrame, seed: int, params: dict):
     return est.fit(feats)
 
 
-PCA_FEATURES = 65_535  # the library's limit: the covariance is held on the driver
-
-
-def fit_pca(feats: DataFrame, means: list[float] | None, k: int = 2) -> tuple[PipelineModel, list[float]]:
-    """Spark PCA (covariance on the driver) + centring + sign rule; ``means`` are the features' means,
-    known from the preprocessor (None: summed up here)."""
+def fit_pca(feats: DataFrame, means: list[float] | None, k: int = 2, width: int | None = None,
+            matrix_features: int = MATRIX_FEATURES) -> tuple[PipelineModel, list[float]]:
+    """PCA + centring + sign rule, and the shares of the variance. Up to ``matrix_features`` features the library's, with the
+    covariance on the driver, beyond ``widepca``. ``means`` and ``width`` are known from the preprocessor (None: summed up here)."""
+    if width is None and means is None:
+        means = feats.select(Summarizer.mean(F.col(FEATURES)).alias("m")).first()["m"].toArray().tolist()
+    width = len(means) if width is None else width
+    if width > matrix_features:
+        return _fit_wide_pca(feats, k, width)
     if means is None:
         means = feats.select(Summarizer.mean(F.col(FEATURES)).alias("m")).first()["m"].toArray().tolist()
-    if len(means) > PCA_FEATURES:
-        raise ValueError(f"PCA holds a covariance matrix on the driver and ends at {PCA_FEATURES} features after encoding; found {len(means)}.")
     model = PCA(k=k, inputCol=FEATURES, outputCol="__pca_raw").fit(feats)
     pc = model.pc.toArray()  # p x k
     mean = np.asarray(means)
@@ -204,5 +208,13 @@ def fit_pca(feats: DataFrame, means: list[float] | None, k: int = 2) -> tuple[Pi
     return PipelineModel([model, scores]), [float(v) for v in model.explainedVariance.toArray()]
 
 
+def _fit_wide_pca(feats: DataFrame, k: int, width: int) -> tuple[PipelineModel, list[float]]:
+    loadings, _, shares, centre = widepca.principal_components(feats, FEATURES, k)
+    signs = [widepca.leading_sign(loadings, f"v{j}") for j in range(k)]
+    loadings = loadings.select("i", *[(F.lit(s) * F.col(f"v{j}")).alias(f"v{j}") for j, s in enumerate(signs)])
+    offsets = [float(s * c) for s, c in zip(signs, centre)]
+    return PipelineModel([widepca.Projection(FEATURES, [f"pc{j + 1}" for j in range(k)], offsets, width, loadings)]), shares
+
+
 def persist(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -409,6 +409,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 1 AS component, round((1 + abs(r)) / 2, 6) AS ratio FROM s
         UNION ALL SELECT 2, round((1 - abs(r)) / 2, 6) FROM s""",
 }
+ORACLE_SQL["m7_pca_blocks_scores_part"] = ORACLE_SQL["m7_pca_scores_part"]
+ORACLE_SQL["m7_pca_blocks_evr_part"] = ORACLE_SQL["m7_pca_evr_part"]
 ORACLE_SQL["k3_model_roundtrip_part"] = ORACLE_SQL["m7_pca_scores_part"]
 ORACLE_SQL["m9_report_regression_lineitem"] = _ridge_report(
     _LINE_KEY, "lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag",

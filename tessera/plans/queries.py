@@ -335,6 +335,22 @@ def m7_pca_evr_part(spark, sf):
     return _small(spark, [(i + 1, round(v, 6)) for i, v in enumerate(evr)], "component int, ratio double")
 
 
+def _pca_blocks(spark, sf):
+    """M7 as for wide tables: no covariance matrix."""
+    return run_task(V.part_num(spark, sf), "Dimensionality Reduction", "PCA", None, key_cols=["p_partkey"], exclude=["p_partkey"],
+                    params={"matrix_features": 0})
+
+
+def m7_pca_blocks_scores_part(spark, sf):
+    res = _pca_blocks(spark, sf)
+    return res.results.select("p_partkey", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
+
+
+def m7_pca_blocks_evr_part(spark, sf):
+    evr = _pca_blocks(spark, sf).report["explained_variance_ratio"]
+    return _small(spark, [(i + 1, round(v, 6)) for i, v in enumerate(evr)], "component int, ratio double")
+
+
 def m1_logreg_closed_form_lineitem(spark, sf):
     """Logistic regression with one feature, checked against Newton's method in SQL."""
     li = read_table(spark, sf, "lineitem", V.LINEITEM_KEY + ["l_extendedprice", "l_quantity"])
@@ -472,6 +488,8 @@ QUERIES: dict[str, Query] = {
     "m3_ridge_lineitem": m3_ridge_lineitem,
     "m7_pca_scores_part": m7_pca_scores_part,
     "m7_pca_evr_part": m7_pca_evr_part,
+    "m7_pca_blocks_scores_part": m7_pca_blocks_scores_part,
+    "m7_pca_blocks_evr_part": m7_pca_blocks_evr_part,
     "m1_logreg_closed_form_lineitem": m1_logreg_closed_form_lineitem,
     "k2_report_roundtrip_labels": k2_report_roundtrip_labels,
     "k3_model_roundtrip_part": k3_model_roundtrip_part,

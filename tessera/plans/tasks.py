@@ -206,7 +206,7 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
         plot = Plot(type="scatter2d")
         if width >= 2 and info.rows >= 2:
             def view():
-                pca, _ = M.fit_pca(feats, info.feature_means, 2)
+                pca, _ = M.fit_pca(feats, info.feature_means, 2, width, int(p["matrix_features"]))
                 return metrics.grid_counts(pca.transform(out.select(M.FEATURES, "cluster")), "pc1", "pc2",
                                            group="cluster")
             plot["data"] = _Lazy(view)
@@ -227,7 +227,7 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
     if info.rows < k:
         raise ValueError(f"n_components={k} must be between 0 and min(n_samples, n_features)="
                          f"{min(info.rows, width)}")
-    pca, evr = M.fit_pca(feats, info.feature_means, k)
+    pca, evr = M.fit_pca(feats, info.feature_means, k, width, int(p["matrix_features"]))
     model = PipelineModel([prep, pca])
     results = _with_results(model.transform(keyed), user_cols, [f"pc{j + 1}" for j in range(k)])
     report.update({"components": k, "explained_variance_ratio": evr})
