@@ -2,12 +2,13 @@
 
 All of it is one or two aggregates plus an ordered top-k: the missing counts of
 every column come from a single ``agg`` (``count(*) - count(c)``) unpivoted
-with ``explode``, and previews take the first rows by a key with Spark's
-top-k (no global sort of the data).
+with ``explode``, and previews take the first rows by a key, or by place in the
+files, with Spark's top-k (no global sort of the data).
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +39,46 @@ def top_missing(df: DataFrame, k: int = 10) -> DataFrame:
     return missing_counts(df).orderBy(F.desc("n_missing"), "position").limit(k)
 
 
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows in the order of the files: by path, then by place in the file.
+
+    Files are read one, two, four ... at a time until they hold ``n`` rows, so a large table costs its first files only.
+    Parquet rows are ordered by their number in the file, wherever a shuffle may have put them; rows of other formats by
+    the start of their split and their order in it. A frame that is not read from files row by row (an aggregate, a join,
+    rows made in memory) has no such order: there any ``n`` rows are returned.
+    """
+    def places(fields: list[str]) -> DataFrame:
+        return df.select("*", *[F.col(f"_metadata.{f}").alias(f"__{f}") for f in fields])
+
+    at = None
+    if "_metadata" not in (c.lower() for c in df.columns):
+        for fields in (["file_path", "row_index"], ["file_path", "file_block_start"]):
+            try:
+                at = places(fields)
+                break
+            except AnalysisException:  # no files below, or a format without row numbers
+                continue
+    if at is None:
+        return df.limit(n)
+    order = [f"__{f}" for f in fields]
+    if "row_index" not in fields:
+        at, order = at.withColumn("__row", F.monotonically_increasing_id()), [*order, "__row"]
+    # _metadata writes local paths with one slash, the list of files with three
+    files = sorted(f.replace("file:///", "file:/", 1) if f.startswith("file:///") else f for f in df.inputFiles())
+    begin, step = 0, 1
+    while begin + step < len(files):
+        some = at.where(F.col("__file_path").isin(files[:begin + step]))
+        if some.limit(n).count() >= n:
+            at = some
+            break
+        begin, step = begin + step, 2 * step
+    return at.orderBy(*order).limit(n).select(*[_c(c) for c in df.columns])
+
+
 def preview(df: DataFrame, n: int = 30, order_by: list[str] | None = None) -> DataFrame:
-    """First ``n`` rows, every cell as text, in key order when a key is given."""
+    """First ``n`` rows, every cell as text, in key order when a key is given, else in file order."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    rows = df.orderBy(*[_c(c) for c in order_by]).limit(n) if order_by else df.limit(n)
+    rows = df.orderBy(*[_c(c) for c in order_by]).limit(n) if order_by else first_rows(df, n)
     return rows.select(*[as_text(_c(c), types[c]).alias(c) for c in df.columns])
 
 
@@ -61,8 +98,8 @@ def head_csv(df: DataFrame, n: int = 12, order_by: list[str] | None = None) -> D
         rows = df.orderBy(*[_c(c) for c in order_by]).limit(n)
         order = [_c(c) for c in order_by]
     else:
-        rows = df.limit(n).withColumn("_k", F.monotonically_increasing_id())
-        order = [F.col("_k")]
+        rows = first_rows(df, n).withColumn("__k", F.monotonically_increasing_id())
+        order = [F.col("__k")]
     # at most n rows reach this window
     lines = rows.select(F.row_number().over(Window.orderBy(*order)).cast("int").alias("line_no"),
                         F.concat_ws(",", *[_csv_field(as_text(_c(c), types[c])) for c in df.columns]).alias("line"))

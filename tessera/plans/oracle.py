@@ -409,6 +409,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 1 AS component, round((1 + abs(r)) / 2, 6) AS ratio FROM s
         UNION ALL SELECT 2, round((1 - abs(r)) / 2, 6) FROM s""",
 }
+# the file has its rows in the order of the key
+ORACLE_SQL["t1_first_rows_orders"] = ORACLE_SQL["t1_preview_orders"]
+ORACLE_SQL["t4_first_lines_orders"] = ORACLE_SQL["t4_head_csv_orders"]
 ORACLE_SQL["m7_pca_blocks_scores_part"] = ORACLE_SQL["m7_pca_scores_part"]
 ORACLE_SQL["m7_pca_blocks_evr_part"] = ORACLE_SQL["m7_pca_evr_part"]
 ORACLE_SQL["k3_model_roundtrip_part"] = ORACLE_SQL["m7_pca_scores_part"]

@@ -115,6 +115,15 @@ def t4_head_csv_orders(spark, sf):
     return profile.head_csv(V.orders_nulls(spark, sf), 12, order_by=["o_orderkey"])
 
 
+def t1_first_rows_orders(spark, sf):
+    """Without a key: the file's first rows (``balance`` spreads them over the cores before)."""
+    return profile.preview(V.orders_nulls(spark, sf), 30)
+
+
+def t4_first_lines_orders(spark, sf):
+    return profile.head_csv(V.orders_nulls(spark, sf), 12)
+
+
 # ---------------------------------------------------------------- statistics
 
 def a3_median_lineitem_nulls(spark, sf):
@@ -463,6 +472,8 @@ QUERIES: dict[str, Query] = {
     "t2_top_missing_lineitem_nulls": t2_top_missing_lineitem_nulls,
     "t1_preview_orders": t1_preview_orders,
     "t4_head_csv_orders": t4_head_csv_orders,
+    "t1_first_rows_orders": t1_first_rows_orders,
+    "t4_first_lines_orders": t4_first_lines_orders,
     "a3_median_lineitem_nulls": a3_median_lineitem_nulls,
     "a4_mode_part": a4_mode_part,
     "a4_mode_lineitem_nulls": a4_mode_lineitem_nulls,
