@@ -67,3 +67,11 @@ def test_without_files(spark):
     df = spark.range(5).withColumn("_metadata", F.lit(1))
     assert first_rows(df, 3).count() == 3 and first_rows(spark.range(5), 9).count() == 5
     assert first_rows(spark.range(5).groupBy("id").count(), 2).count() == 2
+
+
+def test_derived_frames_keep_their_rows(spark, tables):
+    """A frame over files that is not a plain scan: the rows are its own, whatever their order."""
+    df = spark.read.parquet(tables[1] + "/p").select((F.col("id") % 5).alias("k"))
+    for d in (df.distinct(), df.dropDuplicates(["k"]), df.groupBy("k").count().drop("count")):
+        assert sorted(r["k"] for r in first_rows(d, 50).collect()) == [0, 1, 2, 3, 4]
+    assert first_rows(df.limit(7), 50).count() == 7 and first_rows(df.union(df), 2000).count() == 900
