@@ -28,21 +28,32 @@ def _task(df, **params):
     return run_task(df, "Dimensionality Reduction", "PCA", None, key_cols=["id"], exclude=["id"], params={"components": 3, **params})
 
 
+@pytest.fixture(scope="module")
+def power(wide):
+    res = _task(wide, matrix_features=10)
+    yield res
+    res.release()
+
+
 def _scores(res):
     return {r["id"]: (r["pc1"], r["pc2"], r["pc3"]) for r in res.results.collect()}
 
 
-@pytest.mark.parametrize("joined", [False, True])
-def test_wide_one_hot_equals_the_covariance_matrix(wide, monkeypatch, joined):
-    if joined:
-        monkeypatch.setattr(principal_components, "__defaults__", (*principal_components.__defaults__[:-1], 0))
-    whole, power = _task(wide), _task(wide, matrix_features=10)
+def test_wide_one_hot_equals_the_covariance_matrix(wide, power):
+    whole = _task(wide)
     assert not any(type(s).__name__ == "PCAModel" for s in power.model.stages[-1].stages)
     assert power.report["explained_variance_ratio"] == pytest.approx(whole.report["explained_variance_ratio"], rel=1e-9)
     want, got = _scores(whole), _scores(power)
     assert got.keys() == want.keys() and max(abs(x - y) for i in want for x, y in zip(want[i], got[i])) < 1e-6
     whole.release()
-    power.release()
+
+
+def test_joined_vectors_and_another_layout(wide, power, monkeypatch):
+    monkeypatch.setattr(principal_components, "__defaults__", (*principal_components.__defaults__[:-1], 0))
+    joined = _task(wide.repartition(17, "c"), matrix_features=10)
+    want, got = _scores(power), _scores(joined)
+    assert max(abs(x - y) for i in want for x, y in zip(want[i], got[i])) < 1e-6
+    joined.release()
 
 
 def _vectors(spark, rows):
@@ -86,19 +97,12 @@ def test_fewer_dimensions_than_components(spark):
     assert shares == pytest.approx([1.0, 0.0, 0.0], abs=1e-9) and loadings.count() == 2
 
 
-def test_saved_and_applied(wide, tmp_path):
-    res = _task(wide, matrix_features=10)
-    save_model(res.model, str(tmp_path / "m"))
+def test_saved_and_applied(wide, power, tmp_path):
+    save_model(power.model, str(tmp_path / "m"))
     again = PipelineModel.load(str(tmp_path / "m")).transform(wide).select("id", "pc1", "pc2", "pc3")
-    assert {r["id"]: (r["pc1"], r["pc2"], r["pc3"]) for r in again.collect()} == _scores(res)
-    res.release()
+    assert {r["id"]: (r["pc1"], r["pc2"], r["pc3"]) for r in again.collect()} == _scores(power)
 
 
-def test_layout_and_sign(spark, wide):
-    a, b = _task(wide, matrix_features=10), _task(wide.repartition(17, "c"), matrix_features=10)
-    want, got = _scores(a), _scores(b)
-    assert max(abs(x - y) for i in want for x, y in zip(want[i], got[i])) < 1e-6
+def test_sign(spark):
     table = spark.createDataFrame([(0, 0.5), (1, -2.0), (2, 2.0)], "i int, v0 double")
     assert widepca.leading_sign(table, "v0") == -1.0 and widepca.leading_sign(table.select("i", F.lit(0.0).alias("v0")), "v0") == 1.0
-    a.release()
-    b.release()
