@@ -71,3 +71,46 @@ def test_odd_rows_and_empty_table(spark, odd_docs, no_docs):
     assert out.columns == ["doc_id", "n_blocks", "notices"] and out.count() == odd_docs.count()
     assert out.where("size(notices) > 0").count() == 0
     assert L.scan(spark, no_docs).count() == 0
+
+
+def test_compression_decides():
+    class Constant:
+        def compress(self, content):
+            return b""
+
+    blind = L.Scanner(L.TEMPLATES, L.CUES)
+    blind.control, blind.given = Constant(), [Constant() for _ in blind.given]
+    # the longer reading explains more of the text, so it saves more, though the short one has no differences
+    readings = [("Apache-2.0", 1, "obtain", "get"), ("MIT", 14, "merge", "join"), ("MPL-2.0", 17, "distributed", "given")]
+    for name, k, word, other in readings:
+        assert L.TEMPLATES[k][0] == name
+        text = L.TEMPLATES[k][1].replace(word, other, 1)
+        for whole in (text, NOISE + text + " " + NOISE):
+            assert [(n["license"], n["differences"]) for n in scan(whole)["notices"]] == [(name, [f"{word}>{other}"])]
+            assert [(n["license"], n["differences"]) for n in blind(whole)["notices"]] != [(name, [f"{word}>{other}"])]
+
+
+def test_versions_that_differ_in_a_word():
+    grant = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3 of the License"
+    for text, name in (("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), (grant.format("Affero "), "AGPL-3.0"), (grant.format(""), "GPL-3.0"),
+                       (grant.format("Lesser "), "LGPL-3.0"), ("SPDX-License-Identifier: LGPL-3.0-or-later", "LGPL-3.0-or-later")):
+        for whole in (text, NOISE + text + " " + NOISE):
+            assert [(n["license"], n["differences"]) for n in scan(whole)["notices"]] == [(name, [])]
+
+
+def test_versions_side_by_side():
+    texts = [t for _, t in L.TEMPLATES]
+    names = [n for n, _ in L.TEMPLATES]
+    for seed in range(2):
+        order = random.Random(seed).sample(range(len(texts)), len(texts))
+        found = scan(" xx yy zz. ".join(texts[k] for k in order))["notices"]
+        assert [n["license"] for n in found] == [names[k] for k in order]
+        assert all(n["differences"] == [] for n in found)
+
+
+def test_planted_notices_through_spark(spark):
+    rows = [(1, NOISE + "Released under the MIT License. " + NOISE), (1, NOISE + "Released under the MIT License. " + NOISE),
+            (None, "All rights reserved."), (2, None), (3, ""), (4, "SPDX-License-Identifier: ISC\n" + NOISE * 200)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, notices string").repartition(3)
+    found = sorted((str(r["doc_id"]), [(n["license"], n["begin"], n["differences"]) for n in r["notices"]]) for r in L.scan(spark, docs).collect())
+    assert found == [("1", [("MIT", len(NOISE), [])])] * 2 + [("2", []), ("3", []), ("4", [("ISC", 0, [])]), ("None", [("All rights reserved", 0, [])])]
