@@ -57,3 +57,26 @@ def test_empty_input(spark):
     df = with_row_key(spark.range(0).withColumnRenamed("id", "k"), ["k"])
     with pytest.raises(ValueError, match="empty"):
         exact_split(df, 0.2, 42)
+
+
+@pytest.mark.parametrize("limit", [100_000, 10])
+def test_cut_equals_a_sort_in_one_aggregate(spark, monkeypatch, limit):
+    from tessera.operators import split
+
+    passes = []
+    rows, limited = split._rows, limit == 10
+    monkeypatch.setattr(split, "EXACT_LIMIT", limit)
+    monkeypatch.setattr(split, "_rows", lambda hist: passes.append(1) or rows(hist))
+    for n, keys in ((1, 1), (2, 2), (5, 5), (3000, 3000), (3000, 7), (4000, 900)):
+        hashed = spark.range(n).select(F.md5((F.col("id") % keys).cast("string")).alias(split.HASH)).cache()
+        ordered = sorted(r[0] for r in hashed.collect())
+        for k in {1, max(1, n // 5), max(1, n // 2), max(1, n - 1)}:
+            passes.clear()
+            t = ordered[k - 1]
+            want = (t, sum(h < t for h in ordered), ordered.count(t))
+            assert split.find_cut_near(hashed, n, k) == want == split.find_cut(hashed, k)
+            if n == keys and not limited:
+                passes.clear()
+                split.find_cut_near(hashed, n, k)
+                assert len(passes) == 1
+        hashed.unpersist()
