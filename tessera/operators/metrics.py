@@ -7,11 +7,12 @@ summaries ever reach the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import equal_width_bin, num_value
+from tessera.functions.columns import equal_width_bin, key_text, num_value
+from tessera.operators.dictionary import ranked
 
 
 def _c(name: str):
@@ -45,14 +46,36 @@ def confusion_dense(pred: DataFrame, labels: list[str], y_true: str = "y_true",
             .select("i", "j", "y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
+def label_ranks(long: DataFrame, numeric: bool) -> DataFrame:
+    """``(label, idx)``: the labels of a long confusion table in class order, numbered from 0 without a driver
+    list or a single-task sort."""
+    label = F.col("label")
+    value = F.struct(label.cast("double").alias("v"), label) if numeric else F.struct(label)
+    labels = long.select(F.explode(F.array("y_true", "y_pred")).alias("label")).where(label.isNotNull()).distinct()
+    found = ranked(labels.select(F.lit(0).alias("position"), F.lit("label").alias("column"), value.alias("value")))
+    return found.select("value.label", "idx")
+
+
+def confusion_sparse(long: DataFrame, numeric: bool) -> DataFrame:
+    """A10 for any number of classes: ``(i, j, y_true, y_pred, n)`` of the cells that are not zero, with the
+    ranks of their labels. ``long`` is a table of ``confusion_long``; pairs with a null label are left out."""
+    ranks = label_ranks(long, numeric)
+    rows, cols = (ranks.select(F.col("label").alias(name), F.col("idx").alias(at)) for name, at in (("y_true", "i"), ("y_pred", "j")))
+    return long.join(rows, "y_true").join(cols, "y_pred").select("i", "j", "y_true", "y_pred", "n")
+
+
 def classification_metrics(pred: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """A11 + A12: one row ``(n, accuracy, f1_weighted)``.
+    """A11 + A12: one row ``(n, accuracy, f1_weighted)``, see ``metrics_of_confusion``."""
+    return metrics_of_confusion(confusion_long(pred, y_true, y_pred))
+
+
+def metrics_of_confusion(long: DataFrame) -> DataFrame:
+    """A11 + A12 of a long confusion table: one row ``(n, accuracy, f1_weighted)``.
 
     Weighted F1 over the union of true and predicted labels; a label that is
     never predicted has precision 0 and F1 0, a label that is only predicted has
     support 0 and weight 0.
     """
-    long = confusion_long(pred, y_true, y_pred)
     tp = long.where(F.col("y_true") == F.col("y_pred")).select(F.col("y_true").alias("label"), F.col("n").alias("tp"))
     support = long.groupBy(F.col("y_true").alias("label")).agg(F.sum("n").alias("support"))
     predicted = long.groupBy(F.col("y_pred").alias("label")).agg(F.sum("n").alias("predicted"))
@@ -150,6 +173,28 @@ def grid_counts(df: DataFrame, x: str, y: str, group: str | None = None, bins: i
             .groupBy("group", "bx", "by").agg(F.count(F.lit(1)).alias("n")))
 
 
+def scatter_sample(df: DataFrame, x: str, y: str, key: list[str], group: str | None = None, per_cell: int = 20,
+                   bins: int = 50, seed: int = 42) -> DataFrame:
+    """A17, points for a scatter plot: ``(group, bx, by, x, y)`` of the ``per_cell`` rows with the smallest seeded
+    hash of their key in each cell of the grid (of each group), so sparse regions keep all their points.
+
+    The same rows in any layout; rows that share a key are told apart by x and y. Each partition sends at most
+    ``per_cell`` rows of a cell, however many a cell has. Rows without x or y are not plotted.
+    """
+    (xmn, xmx), (ymn, ymx) = value_range(df, [x, y])
+    if xmn is None or ymn is None:
+        return df.sparkSession.createDataFrame([], "group string, bx int, by int, x double, y double")
+    g = _c(group).cast("string") if group else F.lit(None).cast("string")
+    points = (df.select(num_value(_c(x)).cast("double").alias("x"), num_value(_c(y)).cast("double").alias("y"), g.alias("group"),
+                        F.md5(F.concat_ws("|", key_text(key), F.lit(str(seed)))).alias("h"))
+              .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+              .withColumn("bx", equal_width_bin(F.col("x"), F.lit(xmn), F.lit(xmx), bins))
+              .withColumn("by", equal_width_bin(F.col("y"), F.lit(ymn), F.lit(ymx), bins)))
+    first = Window.partitionBy("group", "bx", "by").orderBy("h", "x", "y")
+    return (points.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_cell)
+            .select("group", "bx", "by", "x", "y"))
+
+
 def cluster_sizes(df: DataFrame, col: str = "cluster") -> DataFrame:
     """``(cluster, n)`` largest first, ties by label."""
     return df.groupBy(_c(col).alias("cluster")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster")

@@ -71,7 +71,7 @@ DEFAULTS = {
     "iforest_trees": 100, "iforest_max_samples": 256,
     "components": 2, "matrix_features": MATRIX_FEATURES,
     "rows_per_partition": 500_000, "least_partitions": 8,
-    "driver_levels": DRIVER_LEVELS,
+    "driver_levels": DRIVER_LEVELS, "dense_classes": 2_000,
 }
 
 

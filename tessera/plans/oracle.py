@@ -356,6 +356,22 @@ ORACLE_SQL: dict[str, str] = {
     "a16_axis_range_lineitem": with_views(
         "SELECT round(least(min(y_true), min(y_pred)), 6) AS lo, round(greatest(max(y_true), max(y_pred)), 6) AS hi "
         "FROM lineitem_pred", "lineitem_pred"),
+    "a17_scatter_lineitem": f"""
+        WITH r AS (SELECT min(l_quantity) AS xmn, max(l_quantity) AS xmx,
+                          min(l_extendedprice) AS ymn, max(l_extendedprice) AS ymx FROM lineitem),
+        p AS (SELECT l_returnflag AS "group", {_bin('l_quantity', 'xmn', 'xmx', 50)} AS bx,
+                     {_bin('l_extendedprice', 'ymn', 'ymx', 50)} AS by, CAST(l_quantity AS DOUBLE) AS x,
+                     CAST(l_extendedprice AS DOUBLE) AS y, md5(concat_ws('|', {_LINE_KEY}, '42')) AS h
+              FROM lineitem, r WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL)
+        SELECT "group", bx, "by", x, y FROM (
+            SELECT *, row_number() OVER (PARTITION BY "group", bx, "by" ORDER BY h, x, y) AS pos FROM p) WHERE pos <= 5""",
+    "a10_confusion_sparse_orders": """
+        WITH p AS (SELECT CAST(o_custkey AS VARCHAR) AS y_true,
+                          CAST(o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS y_pred FROM orders),
+        l AS (SELECT y_true AS label FROM p UNION SELECT y_pred FROM p),
+        r AS (SELECT label, row_number() OVER (ORDER BY CAST(label AS DOUBLE), label) - 1 AS idx FROM l)
+        SELECT t.idx AS i, q.idx AS j, y_true, y_pred, count(*) AS n
+        FROM p JOIN r t ON t.label = y_true JOIN r q ON q.label = y_pred GROUP BY 1, 2, 3, 4""",
     "a17_grid_lineitem": f"""
         WITH r AS (SELECT min(l_quantity) AS xmn, max(l_quantity) AS xmx,
                           min(l_extendedprice) AS ymn, max(l_extendedprice) AS ymx FROM lineitem)

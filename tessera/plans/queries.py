@@ -274,6 +274,20 @@ def a17_grid_lineitem(spark, sf):
     return metrics.grid_counts(li, "l_quantity", "l_extendedprice", group="l_returnflag", bins=50)
 
 
+def a17_scatter_lineitem(spark, sf):
+    """The points of a scatter plot, 5 a cell and group at most, the same in any layout."""
+    li = read_table(spark, sf, "lineitem", [*V.LINEITEM_KEY, "l_quantity", "l_extendedprice", "l_returnflag"])
+    return metrics.scatter_sample(li, "l_quantity", "l_extendedprice", V.LINEITEM_KEY, group="l_returnflag", per_cell=5)
+
+
+def a10_confusion_sparse_orders(spark, sf):
+    """A10 with a class for each customer: ranks and cells without a driver list."""
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey"])
+    moved = F.col("o_custkey") + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)
+    pred = o.select(F.col("o_custkey").cast("string").alias("y_true"), moved.cast("string").alias("y_pred"))
+    return metrics.confusion_sparse(metrics.confusion_long(pred), numeric=True)
+
+
 def a8_cluster_sizes_embeddings(spark, sf):
     return metrics.cluster_sizes(read_table(spark, sf, "embeddings", ["label"]), "label")
 
@@ -492,6 +506,8 @@ QUERIES: dict[str, Query] = {
     "a15_histogram_events": a15_histogram_events,
     "a16_axis_range_lineitem": a16_axis_range_lineitem,
     "a17_grid_lineitem": a17_grid_lineitem,
+    "a17_scatter_lineitem": a17_scatter_lineitem,
+    "a10_confusion_sparse_orders": a10_confusion_sparse_orders,
     "a8_cluster_sizes_embeddings": a8_cluster_sizes_embeddings,
     "a9_anomaly_count_events": a9_anomaly_count_events,
     "a18_metrics_summary_labels": a18_metrics_summary_labels,

@@ -27,6 +27,8 @@ from tessera.operators.split import exact_split_cached, with_row_key
 from tessera.operators.stages import CopyColumn
 
 IS_TEST = "__is_test"
+#: Observed pairs of classes that a report may bring to the driver, for each class of ``dense_classes``.
+DENSE_PAIRS = 50
 #: Columns that a run adds to the user's table while it works.
 INTERNAL = {M.ROW_KEY, IS_TEST, M.FEATURES, M.LABEL, M.PREDICTION, M.Y, "__y_text", "__y_pred", "__split_hash"}
 
@@ -157,12 +159,23 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
         model = PipelineModel([prep, fitted, to_text, CopyColumn(inputCol="__y_pred")])
         results = (model.transform(test)
                    .select(F.col(M.ROW_KEY).alias("row_key"), ytxt.alias("y_true"), F.col("y_pred")))
-        conf = metrics.confusion_long(results).toPandas()
-        rep = metrics.classification_report(list(conf.itertuples(index=False, name=None)), is_numeric(target_type))
-        report.update(rep)
-        cm, all_labels = rep["confusion_matrix"], rep["class_labels"]
-        plot = Plot(type="confusion_matrix", cm=cm, labels=all_labels,
-                    data=_Lazy(lambda: metrics.confusion_dense(results, all_labels)))
+        most = int(p["dense_classes"])
+        long = M.persist(metrics.confusion_long(results))
+        held.append(long)
+        conf = long.limit(most * DENSE_PAIRS + 1).toPandas()
+        numeric = is_numeric(target_type)
+        if len(conf) <= most * DENSE_PAIRS and len(set(conf["y_true"]) | set(conf["y_pred"])) <= most:
+            rep = metrics.classification_report(list(conf.itertuples(index=False, name=None)), numeric)
+            report.update(rep)
+            cm, all_labels = rep["confusion_matrix"], rep["class_labels"]
+            plot = Plot(type="confusion_matrix", cm=cm, labels=all_labels,
+                        data=_Lazy(lambda: metrics.confusion_dense(results, all_labels)))
+        else:  # neither matrix nor labels pass through the driver: the plot data are the cells that are not zero
+            row = metrics.metrics_of_confusion(long).first()
+            report.update({"accuracy": float(row["accuracy"]), "f1_weighted": float(row["f1_weighted"]),
+                           "confusion_matrix": None, "class_labels": None})
+            plot = Plot(type="confusion_matrix", cm=None, labels=None,
+                        data=_Lazy(lambda: metrics.confusion_sparse(long, numeric)))
     else:
         if not is_numeric(target_type):
             raise ValueError("Regression target must be numeric.")
@@ -177,7 +190,8 @@ def _supervised(df, task, model_name, target, test_size, seed, p, key_cols, excl
         row = metrics.regression_metrics(results).first()
         report.update({"rmse": float(row["rmse"]), "r2": float(row["r2"])})
         plot = Plot(type="pred_vs_actual", range=_Lazy(lambda: metrics.axis_range(results)),
-                    data=_Lazy(lambda: metrics.grid_counts(results, "y_true", "y_pred")))
+                    data=_Lazy(lambda: metrics.grid_counts(results, "y_true", "y_pred")),
+                    points=_Lazy(lambda: metrics.scatter_sample(results, "y_true", "y_pred", ["row_key"], seed=seed)))
     return TaskResult(model, results, report, plot, held)
 
 
@@ -207,9 +221,9 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
         if width >= 2 and info.rows >= 2:
             def view():
                 pca, _ = M.fit_pca(feats, info.feature_means, 2, width, int(p["matrix_features"]))
-                return metrics.grid_counts(pca.transform(out.select(M.FEATURES, "cluster")), "pc1", "pc2",
-                                           group="cluster")
-            plot["data"] = _Lazy(view)
+                return pca.transform(out.select(M.ROW_KEY, M.FEATURES, "cluster"))
+            plot["data"] = _Lazy(lambda: metrics.grid_counts(view(), "pc1", "pc2", group="cluster"))
+            plot["points"] = _Lazy(lambda: metrics.scatter_sample(view(), "pc1", "pc2", [M.ROW_KEY], group="cluster", seed=seed))
         return TaskResult(model, results, report, plot, held)
     if task == "Anomaly Detection":
         forest = M.fit_iforest(feats, seed, p)
@@ -229,7 +243,11 @@ def _unsupervised(df, task, model_name, seed, p, key_cols, exclude, report) -> T
                          f"{min(info.rows, width)}")
     pca, evr = M.fit_pca(feats, info.feature_means, k, width, int(p["matrix_features"]))
     model = PipelineModel([prep, pca])
-    results = _with_results(model.transform(keyed), user_cols, [f"pc{j + 1}" for j in range(k)])
+    out = model.transform(keyed)
+    results = _with_results(out, user_cols, [f"pc{j + 1}" for j in range(k)])
     report.update({"components": k, "explained_variance_ratio": evr})
-    plot = Plot(type="scatter2d", data=_Lazy(lambda: metrics.grid_counts(results, "pc1", "pc2")))
+    plot = Plot(type="scatter2d")
+    if k >= 2:
+        plot["data"] = _Lazy(lambda: metrics.grid_counts(results, "pc1", "pc2"))
+        plot["points"] = _Lazy(lambda: metrics.scatter_sample(out, "pc1", "pc2", [M.ROW_KEY], seed=seed))
     return TaskResult(model, results, report, plot, held)
