@@ -3,6 +3,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics
+from tessera.plans.tasks import run_task
 from test_plans import plan
 
 
@@ -38,3 +39,14 @@ def test_odd_points(spark):
     got = metrics.scatter_sample(df, "x", "y", ["id"], group="group", per_cell=1).collect()
     assert sorted((str(r["group"]), r.x, r.y) for r in got) == [("None", 3.0, 2.0), ("a", 1.0, 2.0)]
     assert metrics.scatter_sample(df.limit(0), "x", "y", ["id"]).count() == 0
+
+
+def test_points_of_the_tasks(spark):
+    df = spark.range(300).selectExpr("id", "cast(id % 17 as double) as a", "cast(id % 5 as double) as b", "id * 2.5D as y")
+    run = dict(key_cols=["id"], exclude=["id"])
+    for task, model, target in (("Regression", "Ridge Regression", "y"), ("Clustering", "KMeans", None), ("Dimensionality Reduction", "PCA", None)):
+        res = run_task(df, task, model, target, **run)
+        rows, cells = res.plot["points"].collect(), res.plot["data"].collect()
+        assert {(r["group"], r["bx"], r["by"]) for r in rows} == {(r["group"], r["bx"], r["by"]) for r in cells}
+        assert len(rows) == sum(min(20, r["n"]) for r in cells)
+        res.release()
