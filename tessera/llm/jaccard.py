@@ -20,8 +20,9 @@ Candidates that share an entry are verified in two steps: a parity sketch of one
 the difference of two sets from below, then whole sets are compared. It goes in rounds. First each entry
 compares its members with one pivot. Then entries of few members compare the rest with each other, and
 larger ones join in cells, all entries of one pivot together, so that members they have in common meet
-once; a cell picks pivots anew in each round (8, then 64, then 256), whose sketches go to its members as one
-list, and only pairs that may be linked come back. Members known to be connected are not
+once; a cell picks pivots anew in each round (8, then 64, then 16 times as many each time, so the
+rounds are logarithmic), whose sketches meet those of its members in blocks, and only pairs that may be linked
+come back. Members known to be connected are not
 compared, pivots leave their cell, and entries and cells whose members are all connected are done. A large
 group of near copies is thus settled by about one comparison a member, and no case is left out: rounds go
 on until no cell holds two unconnected members that were not compared.
@@ -36,6 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,9 @@ from tessera.llm.common import components, materialize, words_of
 BAND, FEW, PER_CLASS, SHORT = 0.2, 8, 4, 128
 #: Tokens that a task sorts at once.
 CHUNK = 1 << 20
-#: Words whose hash a task remembers, candidate sets that are broadcast to find their texts, pivots of a cell in each round (the last number goes on).
-KNOWN_WORDS, BROADCAST_ROWS, PIVOTS = 1 << 20, 1 << 19, (8, 64, 256)
+#: Words whose hash a task remembers, candidate sets that are broadcast to find their texts, pivots of a cell in each round (then 16
+#: times as many each time), bytes of sketches that meet as one block.
+KNOWN_WORDS, BROADCAST_ROWS, PIVOTS, BLOCK = 1 << 20, 1 << 19, (8, 64), 1 << 16
 
 _END = np.uint64(int(BAND * 2**64))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -112,7 +115,7 @@ class Rule:
 
     def near(self, n: int, m: int) -> bool:
         """Whether sets of ``n`` and ``m`` tokens can be linked at all."""
-        return self.of * min(n, m) >= self.at * max(n, m)
+        return self.of * np.minimum(n, m) >= self.at * np.maximum(n, m)
 
     def may_differ(self, n: int, m: int, by: int) -> bool:
         """Whether sets of ``n`` and ``m`` tokens can be linked when at least ``by`` tokens are in one of them only."""
@@ -315,28 +318,55 @@ def possible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return rows.where(may("n", "left", "m", "right")).select("a", "b")
 
 
-def possible_in_cells(live: DataFrame, chosen: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """``(a, b)`` for members of ``live(cell, node, n, root)`` and unconnected pivots of ``chosen(cell, pivot, with, m)`` whose
-    sizes and sketches leave a link possible. A member is one row, whatever the number of its cell's pivots."""
+def _by_length(bits: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and sketches, one a row of 64-bit words, of each length of sketch."""
+    size = pc.binary_length(bits).to_numpy(zero_copy_only=False)
+    at = [np.flatnonzero(size == s) for s in np.unique(size)]
+    return [(k, np.frombuffer(b"".join(bits.take(pa.array(k)).to_pylist()), np.uint64).reshape(len(k), -1)) for k in at]
+
+
+def block_pairs(members: pa.StructArray, pivots: pa.StructArray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the members and pivots (structs of node, n, root, bits) that may be linked and are not connected."""
+    (node, n, root), (other, m, its) = ([b.field(k).to_numpy(zero_copy_only=False) for k in ("node", "n", "root")] for b in (members, pivots))
+    left, right = [node[:0]], [other[:0]]
+    for x, own in _by_length(members.field("bits")):
+        for y, pivot in _by_length(pivots.field("bits")):
+            width = min(own.shape[1], pivot.shape[1])  # a longer sketch folds to a shorter one
+            short = np.bitwise_xor.reduce(own.reshape(len(own), -1, width), axis=1)
+            for j, sketch_j in zip(y, np.bitwise_xor.reduce(pivot.reshape(len(pivot), -1, width), axis=1)):
+                at = np.flatnonzero((root[x] != its[j]) & rule.near(n[x], m[j]))
+                by = np.bitwise_count(short[at] ^ sketch_j).sum(axis=1, dtype=np.int64)
+                at = x[at[rule.may_differ(n[x[at]], m[j], by)]]
+                left.append(node[at])
+                right.append(np.full(len(at), other[j]))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def possible_in_cells(live: DataFrame, chosen: DataFrame, sets: DataFrame, rule: Rule, parts: int) -> DataFrame:
+    """``(a, b)`` for members of ``live(cell, node, n, root, k, blocks)`` and unconnected pivots of ``chosen(cell, pivot, with, m, k, blocks)``,
+    up to ``parts`` a cell, whose sizes and sketches leave a link possible. Both sides meet in blocks of some ``BLOCK`` bytes."""
     bits = sets.select("node", "bits")
-    each = chosen.join(bits.withColumnRenamed("node", "pivot"), "pivot")
-    lists = each.groupBy("cell").agg(F.collect_list(F.struct("pivot", "with", "m", "bits")).alias("pivots"))
-    rows = live.join(bits, "node").join(lists, "cell")
+    member_blocks, pivot_blocks = F.ceil("blocks"), F.ceil(F.col("blocks") * F.least(F.lit(1.0), F.lit(float(parts)) / F.col("k")))
 
-    @F.arrow_udf("array<bigint>")
-    def may(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        last, pivots = None, []
-        for cells, nodes, ns, roots, own, lists in batches:
-            out = []
-            for k, (cell, node, n, root) in enumerate(zip(*(c.to_pylist() for c in (cells, nodes, ns, roots)))):
-                if cell != last:
-                    last, pivots = cell, [(p["pivot"], p["with"], p["m"], np.frombuffer(p["bits"], np.uint8)) for p in lists[k].as_py()]
-                x = np.frombuffer(own[k].as_buffer(), np.uint8)
-                out.append([p for p, r, m, y in pivots if r != root and rule.near(n, m) and rule.may_differ(n, m, differ_at_least(x, y))])
-            yield pa.array(out, pa.list_(pa.int64()))
+    def lists(rows: DataFrame, blocks, name: str, *keep) -> DataFrame:
+        part = F.pmod(F.xxhash64(F.col("node"), F.lit(-1)), blocks).alias("part")
+        return rows.join(bits, "node").groupBy("cell", part, *keep).agg(F.collect_list(F.struct("node", "n", "root", "bits")).alias(name))
+
+    members = lists(live, member_blocks, "members", pivot_blocks.alias("others")).drop("part")
+    members = members.select("cell", "members", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("part"))
+    pivots = lists(chosen.toDF("cell", "node", "root", "n", "k", "blocks"), pivot_blocks, "pivots")
+
+    @F.arrow_udf("array<struct<a: bigint, b: bigint>>")
+    def may(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            found = [block_pairs(x.values, y.values, rule) for x, y in zip(left, right)]
+            cut = np.cumsum([0] + [len(x) for x, _ in found])
+            x, y = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+            pairs = pa.StructArray.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            yield pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pairs)
 
-    pairs = rows.select("node", F.explode(may("cell", "node", "n", "root", "bits", "pivots")).alias("pivot"))
-    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    found = members.join(pivots, ["cell", "part"]).select(F.explode(may("members", "pivots")).alias("p"))
+    return found.select("p.a", "p.b").distinct()
 
 
 def verified(pairs: DataFrame, whole: DataFrame, rule: Rule) -> DataFrame:
@@ -365,12 +395,14 @@ class _Connecting:
         self.tried, self.roots = [], None
 
     def open(self, rows: DataFrame, group: str) -> DataFrame:
-        """``rows(group, node, n)`` with their ``root``, without groups whose members are all connected."""
+        """``rows(group, node, n)`` with their ``root``, without groups whose members are all connected; ``k`` and ``blocks`` are the
+        members of the group and the blocks that their sketches fill."""
         root = F.col("node")
         if self.roots is not None:
             rows, root = rows.join(self.roots, "node", "left"), F.coalesce("root", "node")
         rows = rows.select(group, "node", "n", root.alias("root"))
-        several = rows.groupBy(group).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(group)
+        several = rows.groupBy(group).agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("k"),
+                                          (F.sum(F.col("n") / 4 + 40) / BLOCK).alias("blocks")).where("x <> y").drop("x", "y")
         return materialize(self.spark, rows.join(several, group), "jaccard-open")
 
     def near(self) -> F.Column:
@@ -408,27 +440,28 @@ def connect(c: _Connecting, entries: DataFrame) -> DataFrame | None:
 
     def pivots(live: DataFrame, group: str, parts: int) -> DataFrame:
         order = F.xxhash64(F.col("node"), F.lit(parts))
-        p = live.groupBy(group, F.pmod(order, F.lit(parts)).alias("part")).agg(F.min_by(F.struct("node", "root", "n"), F.struct(order, "node")).alias("p"))
-        return materialize(c.spark, p.select(group, F.col("p.node").alias("pivot"), F.col("p.root").alias("with"), F.col("p.n").alias("m")), "jaccard-pivots")
+        part = F.when(F.col("k") <= parts, F.col("node")).otherwise(F.pmod(order, F.lit(parts)))  # all of a group that small
+        p = live.groupBy(group, part.alias("part"), "k", "blocks").agg(F.min_by(F.struct("node", "root", "n"), F.struct(order, "node")).alias("p"))
+        return materialize(c.spark, p.select(group, F.col("p.node").alias("pivot"), F.col("p.root").alias("with"), F.col("p.n").alias("m"), "k", "blocks"), "jaccard-pivots")
 
     live = c.open(entries, "entry")
     chosen = pivots(live, "entry", 1)
-    pairs = live.join(chosen, "entry").where("root <> with").where(c.near()).select(*pair("node", "pivot")).distinct()
+    pairs = live.join(chosen.drop("k", "blocks"), "entry").where("root <> with").where(c.near()).select(*pair("node", "pivot")).distinct()
     c.compare(possible(pairs, c.sets, c.rule))
     rest = live.join(chosen.select("entry", "pivot"), "entry").where("node <> pivot").select(F.struct("entry", "pivot").alias("entry"), "node", "n")
     live = c.open(rest, "entry")
-    many = live.groupBy("entry").agg(F.count(F.lit(1)).alias("k"))
-    small = live.join(many.where(F.col("k") < FEW).select("entry"), "entry")
+    small = live.where(F.col("k") < FEW)
     other = small.select("entry", F.col("node").alias("pivot"), F.col("root").alias("with"), F.col("n").alias("m"))
     pairs = small.join(other, "entry").where("node < pivot and root <> with").where(c.near()).select(*pair("node", "pivot")).distinct()
     pairs = possible(pairs, c.sets, c.rule)
-    cells = live.join(many.where(F.col("k") >= FEW).select("entry"), "entry").select(F.col("entry.pivot").alias("cell"), "node", "n").distinct()
+    cells = live.where(F.col("k") >= FEW).select(F.col("entry.pivot").alias("cell"), "node", "n").distinct()
     cells = materialize(c.spark, cells, "jaccard-cells")
     turn = 0
     while True:
         live = c.open(cells, "cell")
-        chosen = pivots(live, "cell", PIVOTS[min(turn, len(PIVOTS) - 1)])
-        more = possible_in_cells(live, chosen, c.sets, c.rule)
+        parts = PIVOTS[turn] if turn < len(PIVOTS) else PIVOTS[-1] * 16 ** (turn + 1 - len(PIVOTS))
+        chosen = pivots(live, "cell", parts)
+        more = possible_in_cells(live, chosen, c.sets, c.rule, parts)
         c.compare(more if turn else pairs.union(more).distinct())
         if live.isEmpty():
             return c.roots

@@ -148,3 +148,35 @@ def test_query_against_all_pairs(spark):
 
 def test_empty_table(spark, no_docs):
     assert jaccard.similar_documents(spark, no_docs).count() == 0
+
+
+def test_blocks_keep_every_possible_pair():
+    import pyarrow as pa
+
+    rule, r = jaccard.Rule(85, 100), random.Random(5)
+    base = [r.getrandbits(64) for _ in range(140)]
+    sets = [np.unique(np.array(base[:r.randint(100, 140)] + [r.getrandbits(64) for _ in range(r.randint(0, 30))], np.uint64)) for _ in range(60)]
+
+    def block(nodes):
+        bits = [jaccard.sketch(sets[i]).tobytes() for i in nodes]
+        return pa.StructArray.from_arrays([pa.array(nodes), pa.array([len(sets[i]) for i in nodes]), pa.array([i % 7 for i in nodes]), pa.array(bits)],
+                                          names=["node", "n", "root", "bits"])
+
+    members, pivots = list(range(40)), list(range(30, 60))
+    want = {(i, j) for i in members for j in pivots if i % 7 != j % 7 and rule.near(len(sets[i]), len(sets[j]))
+            and rule.may_differ(len(sets[i]), len(sets[j]), jaccard.differ_at_least(jaccard.sketch(sets[i]), jaccard.sketch(sets[j])))}
+    assert len({len(jaccard.sketch(s)) for s in sets}) > 1 and 0 < len(want) < 900
+    assert set(zip(*(x.tolist() for x in jaccard.block_pairs(block(members), block(pivots), rule)))) == want
+
+
+def test_rounds_of_a_cell_are_logarithmic(spark, monkeypatch):
+    """900 unlinked sets of one entry: pivots of 8, 64 and then all of them (before: 256 a round)."""
+    r = np.random.default_rng(3)
+    sets = spark.createDataFrame([(i, 40, jaccard.sketch(r.integers(0, 2**63, 40).astype(np.uint64)).tobytes()) for i in range(900)], "node long, n long, bits binary")
+    opened = []
+    real = jaccard._Connecting.open
+    monkeypatch.setattr(jaccard._Connecting, "open", lambda self, rows, group: opened.append(group) or real(self, rows, group))
+    monkeypatch.setattr(jaccard, "BLOCK", 1 << 12)
+    c = jaccard._Connecting(spark, sets, jaccard.Rule(85, 100), lambda wanted: sets.where("false").select("node", "bits"), [])
+    assert jaccard.connect(c, sets.selectExpr("1L as entry", "node", "n")) is None
+    assert opened.count("cell") <= 4
