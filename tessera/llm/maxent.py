@@ -208,14 +208,14 @@ def _counts(key: np.ndarray, ending: np.ndarray, n: np.ndarray) -> pa.RecordBatc
 
 @dataclass
 class Model:
-    """Weights with the outputs as rows: numpy gathers and sums them fastest this way."""
+    """Weights with the outputs as rows, held column by column: those of a feature are one line of the processor's cache."""
 
     first: np.ndarray  # CLASSES x FEATURES
     second: np.ndarray  # MEMBERS x (FEATURES * CLASSES)
 
     @classmethod
     def empty(cls) -> Model:
-        return cls(np.zeros((CLASSES, FEATURES), np.float32), np.zeros((MEMBERS, FEATURES * CLASSES), np.float32))
+        return cls(np.zeros((CLASSES, FEATURES), np.float32, order="F"), np.zeros((MEMBERS, FEATURES * CLASSES), np.float32, order="F"))
 
 
 def features(key: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -248,14 +248,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def _probabilities(model: Model, f: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of each token's bucket, class probabilities and bucket probabilities within that class."""
     c = (bucket // MEMBERS).astype(np.uint16)
-    x = model.first.take(f[0], axis=1)
+    first, second = model.first.T, model.second.T
+    x, y = first.take(f[0], axis=0), second.take(f[0] * np.uint16(CLASSES) + c, axis=0)
     for i in range(1, USED):
-        x += model.first.take(f[i], axis=1)
-    x += model.first[:, :1]
-    y = model.second.take(f[0] * np.uint16(CLASSES) + c, axis=1)
-    for i in range(1, USED):
-        y += model.second.take(f[i] * np.uint16(CLASSES) + c, axis=1)
-    y += model.second.take(c, axis=1)
+        x += first.take(f[i], axis=0)
+        y += second.take(f[i] * np.uint16(CLASSES) + c, axis=0)
+    x += first[0]
+    y += second.take(c, axis=0)
+    x, y = (np.ascontiguousarray(z.T) for z in (x, y))  # outputs as rows: numpy sums them fastest this way
     return c, _softmax(x), _softmax(y)
 
 
@@ -270,15 +270,16 @@ def log_probability(model: Model, f: np.ndarray, bucket: np.ndarray) -> np.ndarr
     return out
 
 
-def _step(weights: np.ndarray, squares: np.ndarray, cols: np.ndarray, gradient: np.ndarray) -> None:
-    """AdaGrad step on the columns that the batch touches; ``squares`` has one sum for each column."""
-    order = np.argsort(cols, kind="stable")  # 16-bit numbers: a radix sort
-    ordered = cols[order]
+def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
+    """AdaGrad step on the rows ``rows`` of weights that the batch touches, by one row of ``gradient`` each;
+    ``squares`` has one sum for each row of weights."""
+    order = np.argsort(rows, kind="stable")  # 16-bit numbers: a radix sort
+    ordered = rows[order]
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    g = np.add.reduceat(gradient.take(order, axis=1), first, axis=1)
-    at = ordered[first]
-    squares[at] += (g * g).mean(axis=0)
-    weights[:, at] -= g * (RATE / (np.sqrt(squares[at]) + 1e-3))
+    g = np.add.reduceat(gradient.take(order, axis=0), first, axis=0)
+    at = ordered[first].astype(np.intp)
+    squares[at] += np.ascontiguousarray((g * g).T).mean(axis=0)
+    weights[at] = weights.take(at, axis=0) - g * (RATE / (np.sqrt(squares[at]) + 1e-3))[:, None]
 
 
 def train_batch(model: Model, squares: tuple[np.ndarray, np.ndarray], f: np.ndarray, bucket: np.ndarray) -> None:
@@ -286,12 +287,13 @@ def train_batch(model: Model, squares: tuple[np.ndarray, np.ndarray], f: np.ndar
     n = np.arange(len(c))
     p[c, n] -= 1
     q[bucket % MEMBERS, n] -= 1
+    p_all, p, q = p.sum(axis=1)[None, :], np.ascontiguousarray(p.T), np.ascontiguousarray(q.T)
     for i in range(USED):
-        _step(model.first, squares[0], f[i], p)
-    _step(model.first, squares[0], np.zeros(1, np.uint16), p.sum(axis=1, keepdims=True))
+        _step(model.first.T, squares[0], f[i], p)
+    _step(model.first.T, squares[0], np.zeros(1, np.uint16), p_all)
     for i in range(USED):
-        _step(model.second, squares[1], f[i] * np.uint16(CLASSES) + c, q)
-    _step(model.second, squares[1], c, q)
+        _step(model.second.T, squares[1], f[i] * np.uint16(CLASSES) + c, q)
+    _step(model.second.T, squares[1], c, q)
 
 
 _FLOATS = pa.list_(pa.float32())
@@ -304,7 +306,7 @@ def train_round(spark: SparkSession, docs: DataFrame, text: str, model: Model, f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value
-        own = Model(start.first.copy(), start.second.copy())
+        own = Model(start.first.copy("F"), start.second.copy("F"))
         squares = np.zeros(own.first.shape[1], np.float32), np.zeros(own.second.shape[1], np.float32)
         hits = np.zeros(own.first.shape[1], np.int64), np.zeros(own.second.shape[1], np.int64)
         hasher = Hasher()
@@ -347,7 +349,7 @@ def train_round(spark: SparkSession, docs: DataFrame, text: str, model: Model, f
 
     updates = docs.select(text).mapInArrow(run, "layer int, r bigint, n double, w array<float>")
     averaged = updates.repartition("layer", "r").mapInArrow(average, "layer int, r bigint, w array<float>")
-    out = Model(model.first.copy(), model.second.copy())
+    out = Model(model.first.copy("F"), model.second.copy("F"))
     for r in averaged.toLocalIterator():
         (out.second if r["layer"] else out.first)[:, r["r"]] = r["w"]
     return out

@@ -111,3 +111,20 @@ def test_no_training_rows_and_empty_table(spark, odd_docs, no_docs):
     rows = M.score(spark, odd_docs, F.lit(False)).collect()
     assert len(rows) == odd_docs.count() and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in rows)
     assert M.score(spark, no_docs, F.lit(True)).count() == 0
+
+
+def test_weights_of_a_feature_lie_together():
+    """A feature's weights are gathered and stepped as one line of memory (before: one stride for each output),
+    also after a copy; the steps are those of weights held the other way round."""
+    random = np.random.default_rng(9)
+    f = random.integers(1, M.FEATURES, (M.USED, 900)).astype(np.uint16)
+    bucket = random.integers(0, M.BUCKETS, 900)
+    held = M.Model.empty()
+    other = M.Model(np.zeros(held.first.shape, np.float32), np.zeros(held.second.shape, np.float32))
+    for model in (held, other):
+        squares = np.zeros(model.first.shape[1], np.float32), np.zeros(model.second.shape[1], np.float32)
+        for at in range(0, 900, 300):
+            M.train_batch(model, squares, f[:, at:at + 300], bucket[at:at + 300])
+    assert held.first[:, 5].flags.c_contiguous and held.second[:, 5].flags.c_contiguous
+    assert np.array_equal(held.first, other.first) and np.array_equal(held.second, other.second)
+    assert held.first.any() and np.array_equal(M.log_probability(held, f, bucket), M.log_probability(other, f, bucket))
