@@ -41,15 +41,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, materialize, words_of
+from tessera.llm.common import ROWS_AT_ONCE, components, materialize, words_of
 
 #: Share of all hashes in the band; tokens in more than FEW sets are frequent; tokens of a set to a class; sets up to SHORT are kept whole.
 BAND, FEW, PER_CLASS, SHORT = 0.2, 8, 4, 128
 #: Tokens that a task sorts at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Words whose hash a task remembers, candidate sets that are broadcast to find their texts, pivots of a cell in each round (then 16
 #: times as many each time), bytes of sketches that meet as one block.
-KNOWN_WORDS, BROADCAST_ROWS, PIVOTS, BLOCK = 1 << 20, 1 << 19, (8, 64), 1 << 16
+KNOWN_WORDS, BROADCAST_ROWS, PIVOTS, BLOCK = 1 << 15, 1 << 19, (8, 64), 1 << 16
 
 _END = np.uint64(int(BAND * 2**64))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -161,6 +161,13 @@ def _batch(names: str, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names.split())
 
 
+def slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The batches in parts of some rows, whose results are sent before the next part is read."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def prints(docs: DataFrame, doc_id: str, text: str, shingle: int, rule: Rule) -> DataFrame:
     """``(doc_id, place, digest, n, inside, base, bits)``: digest of the token set (null if empty), its size, its
     ``inside`` tokens in the band (a short set: and then the others), and its sketch."""
@@ -168,7 +175,7 @@ def prints(docs: DataFrame, doc_id: str, text: str, shingle: int, rule: Rule) ->
     @F.arrow_udf("struct<digest: binary, n: bigint, inside: int, base: binary, bits: binary>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingles = Shingles(shingle)
-        for batch in batches:
+        for batch in slices(batches):
             digest, n, inside, base, bits = [], [], [], [], []
             for t in batch:
                 tokens = shingles.tokens(words_of(t.as_py()))
@@ -295,7 +302,7 @@ def whole_sets(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, shi
     @F.arrow_udf("binary")
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingles = Shingles(shingle)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([shingles.tokens(words_of(t.as_py())).tobytes() for t in batch], pa.binary())
 
     sets = materialize(spark, found.select("node", tokens("t").alias("tokens")), "jaccard-sets")
@@ -410,15 +417,15 @@ class _Connecting:
 
     def compare(self, pairs: DataFrame) -> None:
         """Verify ``pairs(a, b)`` that may be linked and were not compared before, and join the components of the linked ones."""
-        for t in self.tried:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        if self.tried:  # one join however many rounds there were: each would hold memory of its own in the same task
+            pairs = pairs.join(reduce(DataFrame.union, self.tried), ["a", "b"], "left_anti")
         pairs = materialize(self.spark, pairs, "jaccard-possible")
         if pairs.isEmpty():
             return
         self.tried.append(pairs)
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        for w in self.whole:
-            wanted = wanted.join(w, "node", "left_anti")
+        if self.whole:
+            wanted = wanted.join(reduce(DataFrame.union, self.whole).select("node"), "node", "left_anti")
         self.whole.append(self.fetch(materialize(self.spark, wanted, "jaccard-wanted")))
         links = verified(pairs, reduce(DataFrame.union, self.whole), self.rule)
         old = self.roots
@@ -459,12 +466,14 @@ def connect(c: _Connecting, entries: DataFrame) -> DataFrame | None:
     turn = 0
     while True:
         live = c.open(cells, "cell")
+        if live.isEmpty():
+            if not turn:
+                c.compare(pairs)
+            return c.roots
         parts = PIVOTS[turn] if turn < len(PIVOTS) else PIVOTS[-1] * 16 ** (turn + 1 - len(PIVOTS))
         chosen = pivots(live, "cell", parts)
         more = possible_in_cells(live, chosen, c.sets, c.rule, parts)
         c.compare(more if turn else pairs.union(more).distinct())
-        if live.isEmpty():
-            return c.roots
         cells = live.join(chosen.select("cell", F.col("pivot").alias("node")), ["cell", "node"], "left_anti").select("cell", "node", "n")
         turn += 1
 
@@ -497,6 +506,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_i
     both = shared.union(outside)
     poorest = short_of_rare(both.join(poor.select("node"), "node", "left_semi"), poor.select("node", "n"), rule, "n")
     entries = single_tokens(both, sets, rule).union(combined_tokens(poorest.where("frequent is not null"), rule))
+    entries = materialize(spark, entries, "jaccard-entries")  # read twice
     roots = connect(_Connecting(spark, sets, rule, fetch, whole), entries)
     roots = sets.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots.toDF("node", "root")
     named = sets.join(roots, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))

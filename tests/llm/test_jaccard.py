@@ -180,3 +180,46 @@ def test_rounds_of_a_cell_are_logarithmic(spark, monkeypatch):
     c = jaccard._Connecting(spark, sets, jaccard.Rule(85, 100), lambda wanted: sets.where("false").select("node", "bits"), [])
     assert jaccard.connect(c, sets.selectExpr("1L as entry", "node", "n")) is None
     assert opened.count("cell") <= 4
+
+
+def test_words_that_a_task_remembers_take_little_memory():
+    """300,000 different words (before: all of them were kept)."""
+    import tracemalloc
+
+    shingles = jaccard.Shingles(4)
+    tracemalloc.start()
+    try:
+        for i in range(300):
+            shingles.tokens([b"word%d" % k for k in range(1000 * i, 1000 * i + 1000)])
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_pairs_of_earlier_rounds_are_left_out_by_one_join(spark, monkeypatch):
+    """Three rounds' pairs and three batches of whole sets (before: a join for each, all of them in one task)."""
+    sets = spark.createDataFrame([(i, np.arange(40 + i % 3, dtype=np.uint64).tobytes()) for i in range(8)], "node long, tokens binary")
+    plans, real = {}, jaccard.materialize
+
+    def seen(s, df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(s, df, name)
+
+    monkeypatch.setattr(jaccard, "materialize", seen)
+    c = jaccard._Connecting(spark, sets, jaccard.Rule(85, 100), lambda wanted: sets.join(wanted, "node", "left_semi"),
+                            [real(spark, sets.where(f"node = {i}"), "test-whole") for i in range(3)])
+    c.tried = [real(spark, spark.createDataFrame([(0, i)], "a long, b long"), "test-tried") for i in range(1, 4)]
+    c.compare(spark.createDataFrame([(0, i) for i in range(1, 6)], "a long, b long"))
+    assert {r["b"] for r in c.tried[-1].collect()} == {4, 5}
+    assert {r["node"] for r in c.whole[-1].collect()} == {4, 5}
+    assert {r["node"] for r in c.roots.collect()} == {0, 4, 5}
+    assert plans["jaccard-possible"].count("Join LeftAnti") == 1
+    assert plans["jaccard-wanted"].count("Join LeftAnti") <= 2  # one for each end of the pairs
+
+
+def test_results_are_sent_in_parts():
+    """10,000 rows of a batch (before: their token sets were held at once)."""
+    import pyarrow as pa
+
+    parts = [len(x) for x in jaccard.slices(iter([pa.array(["a"] * 10_000), pa.array([], pa.string()), pa.array(["b"])]))]
+    assert sum(parts) == 10_001 and max(parts) <= 1024
