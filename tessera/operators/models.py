@@ -9,7 +9,10 @@
   over (there the scale is the sample standard deviation of y).
 * Random forests: the reference grows unlimited-depth trees with exact splits;
   MLlib ends at depth 30, the default here, and bins splits (32 by default).
-  Same algorithm, comparable (not equal) trees.
+  Same algorithm, comparable (not equal) trees. Forests of more than
+  ``library_trees`` trees are grown from sums by cell (``forest``), as the library
+  keeps a count and walks a map entry for each row and tree; where the bins have
+  too many cells for that, they are the library's too.
 * K-means: k=3, k-means|| init, clusters renumbered by (size desc, centre).
 * PCA: 2 components, centred scores, sign fixed so that each component's
   largest-magnitude loading is positive. Beyond 4,096 features no covariance
@@ -18,6 +21,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -29,7 +34,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import widepca
+from tessera.operators import forest, widepca
 from tessera.operators.iforest import IsolationForest
 from tessera.operators.stages import IndexMap, PCScores
 from tessera.operators.stats import DRIVER_LEVELS
@@ -66,7 +71,7 @@ _EXTRA = {"rawPredictionCol": "__raw", "probabilityCol": "__prob"}
 DEFAULTS = {
     "logreg_max_iter": 2000, "logreg_tol": 1e-6,
     "ridge_alpha": 1.0,
-    "num_trees": 300, "max_depth": 30, "max_bins": 32, "forest_memory_mb": 1024,
+    "num_trees": 300, "max_depth": 30, "max_bins": 32, "forest_memory_mb": 1024, "library_trees": 64,
     "k": 3, "kmeans_max_iter": 300, "kmeans_tol": 1e-4,  # relative, as in the reference's library
     "iforest_trees": 100, "iforest_max_samples": 256,
     "components": 2, "matrix_features": MATRIX_FEATURES,
@@ -120,11 +125,23 @@ def fit_classifier(model_name: str, train: DataFrame, n_train: int, seed: int, p
                                  regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False,
                                  maxIter=params["logreg_max_iter"], tol=params["logreg_tol"], family="auto")
         return est.fit(train)
+    layout = canonical_layout(train, fit_partitions(n_train, params))
+    if params["num_trees"] > params["library_trees"] and n_train:
+        classes = int(train.agg(F.max(LABEL)).first()[0]) + 1
+        # the library's "sqrt"
+        model = _cell_forest(train, layout, n_train, LABEL, classes, lambda width: math.ceil(width ** 0.5), seed, params, **_EXTRA)
+        if model is not None:
+            return model
     est = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, **_EXTRA,
                                  numTrees=params["num_trees"], maxDepth=params["max_depth"],
                                  maxBins=params["max_bins"], featureSubsetStrategy="sqrt", impurity="gini",
                                  seed=seed, maxMemoryInMB=params["forest_memory_mb"])
-    return est.fit(canonical_layout(train, fit_partitions(n_train, params)))
+    return est.fit(layout)
+
+
+def _cell_forest(train, layout, n_train, target, classes, n_features, seed, params, **columns):
+    return forest.fit(train, layout, n_train, FEATURES, target, classes, params["num_trees"], params["max_depth"], params["max_bins"],
+                      n_features, seed, predictionCol=PREDICTION, **columns)
 
 
 def fit_regressor(model_name: str, train: DataFrame, n_train: int, y_std: float, seed: int, params: dict, width: int = 1):
@@ -146,11 +163,16 @@ def fit_regressor(model_name: str, train: DataFrame, n_train: int, y_std: float,
                                regParam=alpha * y_std / n_train, elasticNetParam=0.0, standardization=False,
                                solver="normal", fitIntercept=True)
         return est.fit(train)
+    layout = canonical_layout(train, fit_partitions(n_train, params))
+    if params["num_trees"] > params["library_trees"] and n_train:
+        model = _cell_forest(train, layout, n_train, Y, 0, lambda width: width, seed, params)
+        if model is not None:
+            return model
     est = RandomForestRegressor(featuresCol=FEATURES, labelCol=Y, predictionCol=PREDICTION,
                                 numTrees=params["num_trees"], maxDepth=params["max_depth"],
                                 maxBins=params["max_bins"], featureSubsetStrategy="all", impurity="variance",
                                 seed=seed, maxMemoryInMB=params["forest_memory_mb"])
-    return est.fit(canonical_layout(train, fit_partitions(n_train, params)))
+    return est.fit(layout)
 
 
 def fit_kmeans(feats: DataFrame, seed: int, params: dict, mean_variance: float = 1.0,
