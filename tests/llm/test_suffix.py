@@ -45,6 +45,20 @@ def test_every_window_has_one_anchor(monkeypatch):
             assert starts == list(range(len(t) - 39))
 
 
+def test_anchors_do_not_depend_on_the_texts_hashed_together(spark, tmp_path):
+    random.seed(0)
+    prose = lambda n: "".join(random.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    # the passage's two smallest 16-grams: their hashes agree in the upper 42 bits, the right one's is smaller
+    passage = prose(100) + "vpobfzjagdtggswl" + prose(130) + "wcagxjqaqpggwgfo" + prose(170)
+    beside = prose(S.STEP_BYTES - 52)
+    alone, among = S._runs([passage.encode()], 400)[0], S._runs([passage.encode(), beside.encode()], 400)[0]
+    assert alone.tolist() == among.tolist()
+    for k, rows in enumerate([[(1, passage)], [(2, passage), (3, beside)]]):
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/{k}")
+    docs = spark.read.parquet(f"{tmp_path}/0").unionAll(spark.read.parquet(f"{tmp_path}/1"))
+    assert {r.doc_id: r.n_removed for r in S.repeated_bytes(spark, docs).collect()} == {1: 432, 2: 432, 3: 0}
+
+
 @pytest.mark.parametrize("group", [20_000, 1])
 def test_repeated_bytes_against_brute_force(spark, odd_docs, odd_rows, group, monkeypatch):
     monkeypatch.setattr(S, "GROUP_CONTEXTS", group)  # the small bound counts windows instead of sorting
